@@ -75,6 +75,33 @@ SELECT conv_id % 16 AS group_id, conv_id AS sample_index,
   CASE WHEN max(turn) >= 7 THEN 'aborted' WHEN max(turn) >= 6 THEN 'truncated' ELSE 'completed' END AS status,
   CAST(sum(length(text)) AS BIGINT) AS n_tokens
 FROM {conversations} GROUP BY conv_id""",
+    # One JUnit XML document per agent step (some wrapped in <testsuites>, one
+    # unreadable document per 50 runs) and one expected test id per step in
+    # one of four spellings.  The plain columns next to the XML are what the
+    # document encodes; only the oracle reads them.
+    "fx_junit": """
+SELECT run_id, step AS doc_pos, ln, flag, tax, disc,
+  CASE WHEN run_id % 50 = 0 AND step = 0 THEN 'not xml at all'
+       ELSE concat(CASE WHEN step % 3 = 2 THEN '<testsuites><testsuite>' ELSE '<testsuite name="s">' END,
+         '<testcase name="test_', CAST(ln AS STRING), '" classname="tests.test_', flag, '"',
+         CASE WHEN ln % 2 = 0 THEN concat(' file="tests/test_', flag, '.py"') ELSE '' END, '>',
+         CASE WHEN tax > 0.06 THEN '<failure message="boom">trace</failure>'
+              WHEN disc > 0.08 THEN '<skipped/>' ELSE '' END,
+         '</testcase>', CASE WHEN step % 3 = 2 THEN '</testsuite></testsuites>' ELSE '</testsuite>' END) END AS xml
+FROM (SELECT l_orderkey AS run_id,
+        row_number() OVER (PARTITION BY l_orderkey
+                           ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS step,
+        l_linenumber AS ln, l_returnflag AS flag, l_tax AS tax, l_discount AS disc FROM {lineitem}) t""",
+    "fx_expected": """
+SELECT run_id, step AS pos, CASE step % 4
+    WHEN 0 THEN concat('tests/test_', flag, '.py::test_', CAST(ln AS STRING))
+    WHEN 1 THEN concat('tests.test_', flag, '.test_', CAST(ln AS STRING))
+    WHEN 2 THEN concat('tests/test_', flag, '.py::test_ ', CAST(ln AS STRING))
+    ELSE concat('missing/test_', CAST(step AS STRING), '.py::nothing') END AS test_id
+FROM (SELECT l_orderkey AS run_id,
+        row_number() OVER (PARTITION BY l_orderkey
+                           ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS step,
+        l_linenumber AS ln, l_returnflag AS flag FROM {lineitem}) t""",
 }
 
 

@@ -1,6 +1,6 @@
 """Named query plans; importing this package fills the registry."""
 
-from runlens.plans import instance_plans, scoring_plans, stats_plans  # noqa: F401
+from runlens.plans import instance_plans, scoring_plans, stats_plans, testlog_plans  # noqa: F401
 from runlens.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
