@@ -102,6 +102,21 @@ FROM (SELECT l_orderkey AS run_id,
         row_number() OVER (PARTITION BY l_orderkey
                            ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS step,
         l_linenumber AS ln, l_returnflag AS flag FROM {lineitem}) t""",
+    # Search hits of the first instances' runs: repo URLs on github, gitlab
+    # and raw hosts in several spellings, next to ordinary page URLs.
+    "fx_hits": """
+SELECT page_id AS hit_id, concat('I-', CAST(page_id AS STRING)) AS instance_id,
+  CASE page_id % 9
+    WHEN 0 THEN concat('https://github.com/src', CAST(page_id % 20 AS STRING), '/repo', CAST(page_id % 7 AS STRING), '/issues/1')
+    WHEN 1 THEN concat('https://GitHub.com/SRC', CAST(page_id % 20 AS STRING), '/Repo', CAST(page_id % 7 AS STRING))
+    WHEN 2 THEN concat('https://gitlab.com/other/repo', CAST(page_id % 7 AS STRING), '?tab=readme')
+    WHEN 3 THEN concat('https://raw.githubusercontent.com/x/repo', CAST(page_id % 7 AS STRING), '/main/setup.py')
+    WHEN 4 THEN concat('https://github.com/src', CAST(page_id % 20 AS STRING), '/repo', CAST(page_id % 7 AS STRING), '-extension')
+    WHEN 5 THEN concat('https://mirror.example.org/github.com/src1/repo', CAST(page_id % 7 AS STRING), '#readme')
+    WHEN 6 THEN concat('https://raw.githubusercontent.com/repo', CAST(page_id % 7 AS STRING), '/x')
+    ELSE url END AS url,
+  regexp_extract(html, '<title>([^<]*)</title>', 1) AS title
+FROM {pages}""",
 }
 
 
