@@ -117,6 +117,15 @@ SELECT page_id AS hit_id, concat('I-', CAST(page_id AS STRING)) AS instance_id,
     ELSE url END AS url,
   regexp_extract(html, '<title>([^<]*)</title>', 1) AS title
 FROM {pages}""",
+    # Terminal captures: the scroll-back buffer grows by one message per
+    # step, except every fourth step, where the screen was cleared.
+    "fx_screens": """
+SELECT conv_id AS run_id, turn AS step, buffer, right(buffer, 120) AS visible
+FROM (SELECT conv_id, turn,
+        CASE WHEN turn % 4 = 3 THEN concat('$ clear', chr(10), text)
+             ELSE string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn
+                                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS buffer
+      FROM {conversations}) t""",
 }
 
 

@@ -1,6 +1,13 @@
 """Named query plans; importing this package fills the registry."""
 
-from runlens.plans import instance_plans, leak_plans, scoring_plans, stats_plans, testlog_plans  # noqa: F401
+from runlens.plans import (  # noqa: F401
+    instance_plans,
+    leak_plans,
+    scoring_plans,
+    stats_plans,
+    step_plans,
+    testlog_plans,
+)
 from runlens.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
