@@ -4,6 +4,7 @@ from runlens.plans import (  # noqa: F401
     instance_plans,
     leak_plans,
     message_plans,
+    rl_plans,
     scoring_plans,
     stats_plans,
     step_plans,
