@@ -2,6 +2,7 @@
 
 from runlens.plans import (  # noqa: F401
     instance_plans,
+    io_plans,
     leak_plans,
     message_plans,
     rl_plans,
