@@ -9,6 +9,7 @@ from runlens.plans import (  # noqa: F401
     scoring_plans,
     stats_plans,
     step_plans,
+    stream_plans,
     testlog_plans,
 )
 from runlens.plans.registry import ORACLE, QUERIES
