@@ -101,14 +101,15 @@ StepHook = Callable[[pd.DataFrame], pd.DataFrame]
 
 
 def run_step_hooks(steps: DataFrame, hook: StepHook, schema: str | T.StructType, run: str = "run_id",
-                   step: str = "step") -> DataFrame:
-    """Call ``hook`` once per run with that run's steps in step order.
+                   step: str = "step", per_run: bool = True) -> DataFrame:
+    """Call ``hook`` with each run's steps in step order.
 
     Rows are hash-partitioned by run and sorted by ``(run, step)`` inside each
-    partition; the hook is then called per run within each Arrow batch, with
-    a run that straddles two batches carried over to the next one.  This
-    gives per-run semantics without a Python round trip per group (a run is
-    bounded by ``max_steps``)."""
+    partition; a run that straddles two Arrow batches is carried over, so a
+    run is never split.  ``per_run=True`` calls the hook once per run;
+    ``per_run=False`` hands it whole batches of complete runs (sorted), for
+    hooks written with vectorised ``groupby`` logic.  Either way there is no
+    Python round trip per group (a run is bounded by ``max_steps``)."""
     ordered = steps.repartition(run).sortWithinPartitions(run, step)
 
     def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,9 +123,13 @@ def run_step_hooks(steps: DataFrame, hook: StepHook, schema: str | T.StructType,
             tail = pdf[run] == last
             carry = pdf[tail]
             done = pdf[~tail]
-            if not done.empty:
+            if done.empty:
+                continue
+            if per_run:
                 yield pd.concat([hook(g.reset_index(drop=True)) for _, g in done.groupby(run, sort=False)],
                                 ignore_index=True)
+            else:
+                yield hook(done.reset_index(drop=True))
         if carry is not None and not carry.empty:
             yield hook(carry.reset_index(drop=True))
 

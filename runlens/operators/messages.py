@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runlens.functions.terminal_json import parse_commands
-from runlens.functions.text import PY_WS_CLASS, py_strip
+from runlens.functions.text import py_rstrip, py_strip
 
 
 def _count(haystack: Column, needle: str) -> Column:
@@ -43,7 +43,7 @@ def repair_function_tag(content: Column) -> Column:
     c = F.coalesce(content, F.lit(""))
     one_open = _count(c, "<function=") == 1
     no_close = ~c.contains("</function>")
-    stripped = F.regexp_replace(c, rf"(?U){PY_WS_CLASS}+$", "")
+    stripped = py_rstrip(c)
     fixed = F.when(stripped.endswith("</"), F.concat(stripped, F.lit("function>"))).otherwise(
         F.concat(stripped, F.lit("\n</function>")))
     return F.when(one_open & no_close, fixed).otherwise(c)
@@ -173,37 +173,38 @@ def answers_files(text: Column) -> Column:
                     lambda x: x != "")
 
 
+# A readable block: a number or ``a-b`` (``+`` allowed, ASCII digits), with
+# surrounding whitespace; it must end at a comma or at the end of the line.
+_WS = r"[\s\x1c-\x1f]*"
+_NUM = r"\+?[0-9]+"
+_BLOCK = rf"{_WS}{_NUM}{_WS}(?:-{_WS}{_NUM}{_WS})?(?=,|$)"
+_VALID_PREFIX = rf"(?U)^(?:{_BLOCK}(?:,{_BLOCK})*)"
+
+
 def answers_lines(df: DataFrame, text: str, key: str) -> DataFrame:
     """``file:1,3-5`` lines -> ``(key, file, line_no, ord)`` rows.
 
     A line without exactly one ``:`` is skipped; within a line, blocks are
     read left to right and the first unreadable block drops itself and the
     rest of that line (earlier blocks stay).  ``a-b`` expands to a..b (empty
-    when b < a).  Order: line, block, position in the block."""
+    when b < a).  Order: line, block, position in the block.
+
+    The readable prefix of each line is found with one regex; blocks and
+    numbers are then plain string splits and explodes (no array lambdas)."""
     lines = df.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("li", "line"))
     lines = lines.withColumn("line", py_strip(F.col("line"))).where(F.col("line") != "")
     parts = F.split(F.col("line"), ":")
     lines = lines.where(F.size(parts) == 2).select(
-        key, "li", py_strip(F.element_at(parts, 1)).alias("file"), F.split(F.element_at(parts, 2), ",").alias("blocks"))
-
-    def parse_block(b):
-        s = py_strip(b)
-        rng = F.split(s, "-")
-        lo = py_strip(F.element_at(rng, 1)).try_cast("int")
-        hi = py_strip(F.try_element_at(rng, F.lit(2))).try_cast("int")
-        is_rng = s.contains("-")
-        ok = F.when(is_rng, (F.size(rng) == 2) & lo.isNotNull() & hi.isNotNull()).otherwise(
-            s.try_cast("int").isNotNull())
-        nums = F.when(is_rng, F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))) \
-            .otherwise(F.array(s.try_cast("int")))
-        return F.struct(ok.alias("ok"), nums.alias("nums"))
-
-    parsed = F.transform(F.col("blocks"), parse_block)
-    fail = F.array_position(F.transform(parsed, lambda p: p["ok"]), F.lit(False))
-    kept = F.when(fail == 0, parsed).otherwise(F.slice(parsed, 1, (fail - 1).cast("int")))
-    blocks = lines.select(key, "li", "file", F.posexplode(kept).alias("bi", "b"))
-    nums = blocks.select(key, "li", "file", "bi", F.posexplode("b.nums").alias("k", "line_no"))
-    return nums.select(key, "file", "line_no", F.struct("li", "bi", "k").alias("ord"))
+        key, "li", py_strip(F.try_element_at(parts, F.lit(1))).alias("file"),
+        F.regexp_extract(F.try_element_at(parts, F.lit(2)), _VALID_PREFIX, 0).alias("ok_blocks"))
+    lines = lines.where(F.col("ok_blocks") != "")
+    blocks = lines.select(key, "li", "file", F.posexplode(F.split("ok_blocks", ",")).alias("bi", "b"))
+    ends = F.split(F.col("b"), "-")
+    lo = py_strip(F.element_at(ends, 1)).try_cast("int")
+    hi = F.coalesce(py_strip(F.try_element_at(ends, F.lit(2))).try_cast("int"), lo)
+    nums = F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+    out = blocks.select(key, "li", "file", "bi", F.posexplode(nums).alias("k", "line_no"))
+    return out.select(key, "file", "line_no", F.struct("li", "bi", "k").alias("ord"))
 
 
 def answers_path(text: Column) -> Column:

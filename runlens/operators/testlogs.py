@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.functions.text import py_strip, split_lines
+from runlens.functions.text import PY_WS_CHARS, py_strip
 
 # Fixed values of the reference: pytest summary labels -> counter field.
 PYTEST_LABELS = {
@@ -26,34 +26,39 @@ PYTEST_LABELS = {
 COUNTERS = ("passed", "failed", "errors", "skipped", "warnings", "xfailed", "xpassed", "deselected")
 # A line is a summary line when it has "N passed|failed|error(s)|skipped|xfailed|xpassed".
 SUMMARY_LINE = r"(?U)\d+\s+(?:passed|failed|errors?|skipped|xfailed|xpassed)\b"
+# The same test as one multi-line scan: whole lines (``.`` and ``$`` stop at
+# ``\n`` only) whose gap between number and label stays on the line.
+SUMMARY_LINES = r"(?dmU)^.*\d+[\s&&[^\n]]+(?:passed|failed|errors?|skipped|xfailed|xpassed)\b.*$"
 COUNT_PAIR = r"(?U)(\d+)\s+(\w+)"
 SUCCESS_MARKER = "<pytest>true</pytest>"
 
 
-def pytest_counts(output: Column) -> Column:
-    """Struct of the 8 counters from the **last** summary line of ``output``.
+def add_pytest_counts(df: DataFrame, output: str = "output", name: str = "counts") -> DataFrame:
+    """Adds struct ``name`` with the 8 counters of the **last** summary line.
 
     Every ``N label`` pair of that line is mapped through the label table; a
     repeated label keeps its last value; no summary line gives all zeros.
-    Lines split on ``\\r?\\n``.
-    """
-    lines = F.filter(split_lines(F.coalesce(output, F.lit(""))), lambda l: l.rlike(SUMMARY_LINE))
-    last = F.coalesce(F.try_element_at(lines, F.lit(-1)), F.lit(""))
-    nums = F.regexp_extract_all(last, F.lit(COUNT_PAIR), 1)
-    labels = F.regexp_extract_all(last, F.lit(COUNT_PAIR), 2)
-    label_map = F.create_map(*[F.lit(x) for kv in PYTEST_LABELS.items() for x in kv])
-    pairs = F.transform(
-        F.arrays_zip(nums.alias("n"), labels.alias("l")),
-        lambda p: F.struct(F.try_element_at(label_map, F.lower(p["l"])).alias("f"), p["n"].alias("n")),
-    )
-    def is_field(name):
-        return lambda p: p["f"] == name
-
+    Lines end at ``\\n`` (a trailing ``\\r`` stays on its line).
+
+    Built in stages so each array is computed once per row: the summary
+    lines with one multi-line regex, then the pairs, then per counter the
+    last matching pair via ``array_position`` on the reversed arrays (no
+    array lambdas, so everything stays in generated code)."""
+    cols = df.columns
+    lines = F.regexp_extract_all(F.coalesce(F.col(output), F.lit("")), F.lit(SUMMARY_LINES), 0)
+    s1 = df.withColumn("_last", F.coalesce(F.try_element_at(lines, F.lit(-1)), F.lit("")))
+    labels = F.regexp_extract_all(F.col("_last"), F.lit(COUNT_PAIR), 2)
+    s2 = s1.select(*cols,
+                   F.reverse(F.regexp_extract_all(F.col("_last"), F.lit(COUNT_PAIR), 1)).alias("_rev_nums"),
+                   F.reverse(F.split(F.lower(F.array_join(labels, "\u0000")), "\u0000")).alias("_rev_labels"))
     fields = []
-    for name in COUNTERS:
-        hit = F.try_element_at(F.filter(pairs, is_field(name)), F.lit(-1))
-        fields.append(F.coalesce(hit["n"].try_cast("bigint"), F.lit(0).cast("bigint")).alias(name))
-    return F.struct(*fields)
+    for counter in COUNTERS:
+        hits = [F.nullif(F.array_position(F.col("_rev_labels"), F.lit(lab)), F.lit(0))
+                for lab, f in PYTEST_LABELS.items() if f == counter]
+        pos = hits[0] if len(hits) == 1 else F.least(*hits)
+        value = F.try_element_at(F.col("_rev_nums"), pos.cast("int")).try_cast("bigint")
+        fields.append(F.coalesce(value, F.lit(0).cast("bigint")).alias(counter))
+    return s2.select(*cols, F.struct(*fields).alias(name))
 
 
 def total_run(counts: Column) -> Column:
@@ -88,14 +93,13 @@ def f2p_p2p_gate(f2p_counts: Column, p2p_counts: Column, f2p_n: Column, p2p_n: C
     )
 
 
-def suite_pass_rate(output: Column, test_suite_num: Column) -> Column:
+def suite_pass_rate(counts: Column, output: Column, test_suite_num: Column) -> Column:
     """Struct(accepted, score, effective_total, pass_rate) of a repo-level run.
 
     Denominator: ``test_suite_num`` if > 0 else passed+failed+errors; score
     1.0 when the success marker is in the output, else the rate (0 when the
     denominator is 0).
     """
-    counts = pytest_counts(output)
     eff = F.when(test_suite_num > 0, test_suite_num.cast("bigint")).otherwise(total_run(counts))
     rate = F.when(eff > 0, counts["passed"].cast("double") / eff.cast("double")).otherwise(F.lit(0.0))
     marker = F.coalesce(output, F.lit("")).contains(SUCCESS_MARKER)
@@ -107,11 +111,11 @@ def suite_pass_rate(output: Column, test_suite_num: Column) -> Column:
     )
 
 
-def grade_fallback(output: Column, junit_passed: Column) -> Column:
+def grade_fallback(counts: Column, output: Column, junit_passed: Column) -> Column:
     """Struct(all_passed, source): marker -> JUnit verdict (NULL when no XML
-    was available) -> summary verdict."""
+    was available) -> summary verdict (``counts`` from ``add_pytest_counts``)."""
     marker = F.coalesce(output, F.lit("")).contains(SUCCESS_MARKER)
-    summary = all_passed(pytest_counts(output))
+    summary = all_passed(counts)
     return F.struct(
         F.when(marker, F.lit(True)).when(junit_passed.isNotNull(), junit_passed).otherwise(summary)
         .alias("all_passed"),
@@ -175,7 +179,8 @@ def parse_test_id_array(raw: Column) -> Column:
 
 
 def _strip_dots(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\.+|\.+$", "")
+    """``str.strip('.')``."""
+    return F.trim(c, F.lit("."))
 
 
 def normalize_test_id(c: Column) -> Column:
@@ -191,27 +196,27 @@ def match_form(c: Column) -> Column:
 
 
 def fingerprint(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+", "")
+    """All whitespace removed (Python's Unicode whitespace set)."""
+    return F.translate(c, PY_WS_CHARS, "")
 
 
 _CASE = "array<struct<_name:string,_classname:string,_file:string,failure:string,error:string,skipped:string>>"
-_SUITE_SCHEMA = f"struct<testcase:{_CASE},_corrupt_record:string>"
-_SUITES_SCHEMA = f"struct<testsuite:array<struct<testcase:{_CASE}>>,_corrupt_record:string>"
+# One schema for both roots: a <testsuite> root fills ``testcase``, a
+# <testsuites> root fills ``testsuite``; each document is parsed once.
+_XML_SCHEMA = f"struct<testcase:{_CASE},testsuite:array<struct<testcase:{_CASE}>>,_corrupt_record:string>"
 
 
 def junit_cases(docs: DataFrame, xml: str = "xml", keys: tuple[str, ...] = ("run_id", "doc_pos")) -> DataFrame:
     """JUnit XML documents -> one row per test case.
 
-    Root ``testsuite`` or ``testsuites`` (both parsed, coalesced).  Status is
-    ``failed`` when a ``failure`` or ``error`` child exists, else ``passed``;
-    skipped cases are dropped.  A document that is not XML gives one row with
-    status ``xml_error`` and NULL case fields.
-    """
-    a = F.from_xml(F.col(xml), _SUITE_SCHEMA)
-    b = F.from_xml(F.col(xml), _SUITES_SCHEMA)
-    cases = F.coalesce(a["testcase"], F.flatten(F.transform(b["testsuite"], lambda s: s["testcase"])))
-    bad = a["_corrupt_record"].isNotNull() & b["_corrupt_record"].isNotNull()
-    parsed = docs.select(*keys, cases.alias("_cases"), bad.alias("_bad"))
+    Root ``testsuite`` or ``testsuites``.  Status is ``failed`` when a
+    ``failure`` or ``error`` child exists (empty elements count), else
+    ``passed``; skipped cases are dropped.  A document that is not XML gives
+    one row with status ``xml_error`` and NULL case fields."""
+    parsed = docs.select(*keys, F.from_xml(F.col(xml), _XML_SCHEMA).alias("_x"))
+    cases = F.coalesce(F.col("_x.testcase"),
+                       F.flatten(F.transform(F.col("_x.testsuite"), lambda s: s["testcase"])))
+    parsed = parsed.select(*keys, cases.alias("_cases"), F.col("_x._corrupt_record").isNotNull().alias("_bad"))
     good = parsed.where(~F.col("_bad")).select(*keys, F.posexplode("_cases").alias("pos", "c"))
     good = good.where(F.col("c.skipped").isNull()).select(
         *keys,
@@ -234,32 +239,40 @@ def match_test_cases(cases: DataFrame, expected: DataFrame, run: str = "run_id",
                      order: tuple[str, ...] = ("doc_pos", "pos")) -> DataFrame:
     """Final status per matched expected id.
 
-    Four strategies in priority order, each an equi-join on ``(run, key)``:
-    1 exact ``file::name``; 2 match form of ``classname.name``; 3 its
-    whitespace-free fingerprint; 4 ``classname`` as a path + ``::name``.
-    A case takes its best-priority hit; when two expected ids share a match
-    form (or fingerprint) the later one in the list owns it; when several
-    cases hit one id, the last case in document order decides its status.
+    Four strategies in priority order: 1 exact ``file::name``; 2 match form
+    of ``classname.name``; 3 its whitespace-free fingerprint; 4 ``classname``
+    as a path + ``::name``.  Each case contributes up to four ``(kind, key,
+    priority)`` probes and each expected id up to three ``(kind, key)``
+    entries, so all strategies run as **one** equi-join on ``(run, kind,
+    key)``.  A case takes its best-priority hit; when two expected ids share
+    a match form (or fingerprint) the later one in the list owns it; when
+    several cases hit one id, the last case in document order decides.
     """
     c = cases.where(F.col("status") != "xml_error")
-    order_key = F.struct(*[F.col(o) for o in order])
-    c = c.select(
-        run, *order, "status",
-        F.when(F.col("file") != "", F.concat(F.col("file"), F.lit("::"), F.col("name"))).alias("k1"),
-        match_form(F.concat(F.col("classname"), F.lit("."), F.col("name"))).alias("k2"),
-        F.concat(F.replace(F.col("classname"), F.lit("."), F.lit("/")), F.lit(".py::"), F.col("name")).alias("k4"),
-    ).withColumn("k3", fingerprint(F.col("k2")))
-    exact = expected.select(run, F.col("test_id").alias("_key"), F.col("test_id").alias("expected_id")).distinct()
-    by_norm = expected.groupBy(run, match_form(F.col("test_id")).alias("_key")).agg(
-        F.max_by("test_id", "pos").alias("expected_id"))
-    by_fp = expected.groupBy(run, fingerprint(match_form(F.col("test_id"))).alias("_key")).agg(
+    k2 = match_form(F.concat(F.col("classname"), F.lit("."), F.col("name")))
+    def probe(pri: int, kind: str, key: Column) -> Column:
+        return F.struct(F.lit(pri).alias("pri"), F.lit(kind).alias("kind"), key.alias("key"))
+
+    probes = F.array(
+        probe(1, "exact", F.when(F.col("file") != "", F.concat(F.col("file"), F.lit("::"), F.col("name")))),
+        probe(2, "norm", k2),
+        probe(3, "fp", fingerprint(k2)),
+        probe(4, "exact", F.concat(F.replace(F.col("classname"), F.lit("."), F.lit("/")), F.lit(".py::"),
+                                   F.col("name"))),
+    )
+    probe_rows = c.select(run, *order, "status", F.explode(probes).alias("p")).select(
+        run, *order, "status", "p.pri", "p.kind", "p.key").where(F.col("key").isNotNull())
+    exact = expected.select(run, F.lit("exact").alias("kind"), F.col("test_id").alias("key"),
+                            F.col("test_id").alias("expected_id")).distinct()
+    owned = expected.select(run, "pos", "test_id", F.explode(F.array(
+        F.struct(F.lit("norm").alias("kind"), match_form(F.col("test_id")).alias("key")),
+        F.struct(F.lit("fp").alias("kind"), fingerprint(match_form(F.col("test_id"))).alias("key")))).alias("e"))
+    owned = owned.groupBy(run, F.col("e.kind").alias("kind"), F.col("e.key").alias("key")).agg(
         F.max_by("test_id", "pos").alias("expected_id"))
-    hits = None
-    for pri, key, table in ((1, "k1", exact), (2, "k2", by_norm), (3, "k3", by_fp), (4, "k4", exact)):
-        h = c.join(table, (c[run] == table[run]) & (c[key] == table["_key"]), "inner").select(
-            c[run], *[c[o] for o in order], c["status"], F.lit(pri).alias("pri"), table["expected_id"])
-        hits = h if hits is None else hits.unionByName(h)
+    entries = exact.unionByName(owned)
+    hits = probe_rows.join(entries, [run, "kind", "key"], "inner")
     best = hits.groupBy(run, *order, "status").agg(F.min_by("expected_id", "pri").alias("expected_id"))
+    order_key = F.struct(*[F.col(o) for o in order])
     return best.groupBy(run, "expected_id").agg(F.max_by("status", order_key).alias("status"))
 
 

@@ -450,8 +450,9 @@ def q_register_answer_parser(spark, sf):
 
 
 def _count_calls_hook(pdf):
-    """Example step callback: tool calls made so far in the run."""
-    calls = (pdf["tool_name"] != "finish").astype("int64").cumsum()
+    """Example step callback: tool calls made so far in each run (written
+    per run group, so it accepts a batch of complete runs)."""
+    calls = (pdf["tool_name"] != "finish").astype("int64").groupby(pdf["run_id"]).cumsum()
     return pdf[["run_id", "step"]].assign(calls_so_far=calls.values)
 
 
@@ -464,5 +465,5 @@ FROM fx_calls""",
 )
 def q_step_hook(spark, sf):
     calls = fixture(spark, sf, "fx_calls").select("run_id", "step", "tool_name")
-    return H.run_step_hooks(calls, _count_calls_hook, "run_id long, step int, calls_so_far long")
+    return H.run_step_hooks(calls, _count_calls_hook, "run_id long, step int, calls_so_far long", per_run=False)
 

@@ -45,9 +45,8 @@ SELECT k AS run_id, {", ".join(_FIELDS)}, passed + failed + errors AS total_run,
   failed = 0 AND errors = 0 AND passed > 0 AS all_passed FROM c""",
 )
 def q_pytest_counts(spark, sf):
-    logs = fixture(spark, sf, "fx_logs")
-    c = TL.pytest_counts(F.col("output"))
-    return logs.select("run_id", c.alias("c")).select(
+    logs = TL.add_pytest_counts(fixture(spark, sf, "fx_logs"), "output", "c")
+    return logs.select(
         "run_id", *_counts_cols(F.col("c")), TL.total_run(F.col("c")).alias("total_run"),
         TL.all_passed(F.col("c")).alias("all_passed"))
 
@@ -74,8 +73,8 @@ def q_f2p_p2p_gate(spark, sf):
     logs = fixture(spark, sf, "fx_logs").select(
         "run_id", "output", F.expr(_P2P_TEXT).alias("p2p_output"),
         (F.col("run_id") % 3).alias("f2p_n"), (F.col("test_suite_num") % 4).alias("p2p_n"))
-    g = TL.f2p_p2p_gate(TL.pytest_counts(F.col("output")), TL.pytest_counts(F.col("p2p_output")),
-                        F.col("f2p_n"), F.col("p2p_n"))
+    logs = TL.add_pytest_counts(TL.add_pytest_counts(logs, "output", "f2p"), "p2p_output", "p2p")
+    g = TL.f2p_p2p_gate(F.col("f2p"), F.col("p2p"), F.col("f2p_n"), F.col("p2p_n"))
     return logs.select("run_id", g.alias("g")).select("run_id", "g.*")
 
 
@@ -98,8 +97,9 @@ SELECT run_id, contains(output, '<pytest>true</pytest>') AS accepted,
 )
 def q_suite_pass_rate(spark, sf):
     logs = fixture(spark, sf, "fx_logs").select("run_id", F.expr(_MARKED).alias("output"), "test_suite_num")
-    return logs.select("run_id", TL.suite_pass_rate(F.col("output"), F.col("test_suite_num")).alias("r")).select(
-        "run_id", "r.*")
+    logs = TL.add_pytest_counts(logs)
+    r = TL.suite_pass_rate(F.col("counts"), F.col("output"), F.col("test_suite_num"))
+    return logs.select("run_id", r.alias("r")).select("run_id", "r.*")
 
 
 @register(
@@ -109,9 +109,8 @@ SELECT l.run_id, c.passed >= l.test_suite_num AND c.failed = 0 AND c.errors = 0
 FROM fx_logs l JOIN c ON l.run_id = c.k""",
 )
 def q_suite_all_passed(spark, sf):
-    logs = fixture(spark, sf, "fx_logs")
-    return logs.select("run_id", TL.suite_all_passed(TL.pytest_counts(F.col("output")),
-                                                     F.col("test_suite_num")).alias("all_passed"))
+    logs = TL.add_pytest_counts(fixture(spark, sf, "fx_logs"))
+    return logs.select("run_id", TL.suite_all_passed(F.col("counts"), F.col("test_suite_num")).alias("all_passed"))
 
 
 _JUNIT_VERDICT = "CASE WHEN run_id % 3 = 0 THEN NULL ELSE test_suite_num % 2 = 0 END"
@@ -133,8 +132,9 @@ def q_grade_fallback(spark, sf):
     # stand-in: JUnit verdict is absent (no XML) for every third run
     logs = fixture(spark, sf, "fx_logs").select(
         "run_id", F.expr(_MARKED).alias("output"), F.expr(_JUNIT_VERDICT).alias("junit_passed"))
-    return logs.select("run_id", TL.grade_fallback(F.col("output"), F.col("junit_passed")).alias("g")).select(
-        "run_id", "g.*")
+    logs = TL.add_pytest_counts(logs)
+    g = TL.grade_fallback(F.col("counts"), F.col("output"), F.col("junit_passed"))
+    return logs.select("run_id", g.alias("g")).select("run_id", "g.*")
 
 
 _REWARD_SRC = """SELECT event_id,
@@ -298,7 +298,10 @@ SELECT e.run_id, e.total_expected, coalesce(mm.total_matched, 0) AS total_matche
 FROM e LEFT JOIN mm ON e.run_id = mm.run_id LEFT JOIN bad ON e.run_id = bad.run_id""",
 )
 def q_expected_test_coverage(spark, sf):
-    cases = TL.junit_cases(fixture(spark, sf, "fx_junit").select("run_id", "doc_pos", "xml"))
+    # cases feed both the matching and the per-run XML-error flag: one
+    # exchange on run_id, reused by both consumers, so each document is
+    # parsed once
+    cases = TL.junit_cases(fixture(spark, sf, "fx_junit").select("run_id", "doc_pos", "xml")).repartition("run_id")
     expected = fixture(spark, sf, "fx_expected")
     matched = TL.match_test_cases(cases, expected)
     return TL.expected_test_coverage(matched, expected, cases)
