@@ -29,7 +29,8 @@ def py_escape(c: Column) -> Column:
     cls = "".join("\\" + ch if ch in "[]\\^-" else ch for ch in _PY_ESCAPED)
     cls = cls.replace("\t", "\\t").replace("\n", "\\n").replace("\r", "\\r").replace("\v", "\\x0B").replace(
         "\f", "\\f")
-    return F.regexp_replace(c, f"([{cls}])", r"\\\\$1")
+    # in a Java replacement string "\\" is one literal backslash
+    return F.regexp_replace(c, f"([{cls}])", r"\\$1")
 
 
 def _translate(p: str) -> str:
