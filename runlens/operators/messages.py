@@ -191,20 +191,21 @@ def answers_lines(df: DataFrame, text: str, key: str) -> DataFrame:
 
     The readable prefix of each line is found with one regex; blocks and
     numbers are then plain string splits and explodes (no array lambdas)."""
-    lines = df.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("li", "line"))
-    lines = lines.withColumn("line", py_strip(F.col("line"))).where(F.col("line") != "")
-    parts = F.split(F.col("line"), ":")
+    lines = df.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("_li", "_line"))
+    lines = lines.withColumn("_line", py_strip(F.col("_line"))).where(F.col("_line") != "")
+    parts = F.split(F.col("_line"), ":")
     lines = lines.where(F.size(parts) == 2).select(
-        key, "li", py_strip(F.try_element_at(parts, F.lit(1))).alias("file"),
-        F.regexp_extract(F.try_element_at(parts, F.lit(2)), _VALID_PREFIX, 0).alias("ok_blocks"))
-    lines = lines.where(F.col("ok_blocks") != "")
-    blocks = lines.select(key, "li", "file", F.posexplode(F.split("ok_blocks", ",")).alias("bi", "b"))
-    ends = F.split(F.col("b"), "-")
+        key, "_li", py_strip(F.try_element_at(parts, F.lit(1))).alias("_file"),
+        F.regexp_extract(F.try_element_at(parts, F.lit(2)), _VALID_PREFIX, 0).alias("_ok"))
+    lines = lines.where(F.col("_ok") != "")
+    blocks = lines.select(key, "_li", "_file", F.posexplode(F.split("_ok", ",")).alias("_bi", "_b"))
+    ends = F.split(F.col("_b"), "-")
     lo = py_strip(F.element_at(ends, 1)).try_cast("int")
     hi = F.coalesce(py_strip(F.try_element_at(ends, F.lit(2))).try_cast("int"), lo)
     nums = F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
-    out = blocks.select(key, "li", "file", "bi", F.posexplode(nums).alias("k", "line_no"))
-    return out.select(key, "file", "line_no", F.struct("li", "bi", "k").alias("ord"))
+    out = blocks.select(key, "_li", "_file", "_bi", F.posexplode(nums).alias("_k", "line_no"))
+    return out.select(key, F.col("_file").alias("file"), "line_no",
+                      F.struct(F.col("_li").alias("li"), F.col("_bi").alias("bi"), F.col("_k").alias("k")).alias("ord"))
 
 
 def answers_path(text: Column) -> Column:
