@@ -17,7 +17,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.functions.regex import java_match_pattern, matches_any, py_escape
+from runlens.functions.regex import matches_any, py_escape
 from runlens.functions.text import py_strip
 
 # Fixed values of the reference: bash blocklists of the search agent.
@@ -327,6 +327,3 @@ def patch_files(patches: DataFrame, patch: str = "patch", language: str = "langu
     art = art.otherwise(F.col("file").rlike(default_rx))
     return base.select(key, "file_pos", "file", art.alias("is_artefact"))
 
-
-def java_rule(p: str) -> str:
-    return java_match_pattern(p)

@@ -19,24 +19,6 @@ DEFAULT_NUM = 10
 DEFAULT_START = 0
 
 
-def normalize_hits(raw: DataFrame, items: str = "items") -> DataFrame:
-    """Search payload rows -> ``position, title, url, description, snippets``.
-
-    Missing fields default to ``0``/``''``/``[]``; ``snippets`` holds the
-    snippet when there is one.
-    """
-    it = raw.select("*", F.posexplode_outer(items).alias("_pos", "_it")).drop(items)
-    snip = F.coalesce(F.col("_it.snippet"), F.lit(""))
-    return it.select(
-        *[c for c in raw.columns if c != items],
-        F.coalesce(F.col("_it.position").cast("bigint"), F.lit(0).cast("bigint")).alias("position"),
-        F.coalesce(F.col("_it.title"), F.lit("")).alias("title"),
-        F.coalesce(F.col("_it.link"), F.lit("")).alias("url"),
-        snip.alias("description"),
-        F.when(snip != "", F.array(snip)).otherwise(F.array().cast("array<string>")).alias("snippets"),
-    )
-
-
 def active_queries(queries: DataFrame, text: str = "query") -> DataFrame:
     """Blank queries are dropped."""
     return queries.where(F.coalesce(py_strip(F.col(text)), F.lit("")) != "")

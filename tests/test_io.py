@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runlens.session import scratch_path
 from runlens.sources import readers as RD
 from runlens.sources import writers as W
 
+from .conftest import scratch
+
 
 def _write(path, lines):
     os.makedirs(os.path.dirname(path), exist_ok=True)
@@ -19,7 +20,7 @@ def _write(path, lines):
 
 
 def test_scan_instances_keeps_raw_and_skips_blank(spark):
-    p = scratch_path(spark, "t-inst/data.jsonl")
+    p = scratch(spark, "t-inst/data.jsonl")
     _write(p, [json.dumps({"instance_id": "a", "repo": "x/y", "extra": {"k": 1}}), "   ",
                json.dumps({"instance_id": "b"})])
     schema = T.StructType([T.StructField("instance_id", T.StringType()), T.StructField("repo", T.StringType())])
@@ -30,7 +31,7 @@ def test_scan_instances_keeps_raw_and_skips_blank(spark):
 
 
 def test_scan_instances_bad_json_fails(spark):
-    p = scratch_path(spark, "t-bad/data.jsonl")
+    p = scratch(spark, "t-bad/data.jsonl")
     _write(p, ['{"instance_id": "a"}', "{not json"])
     schema = T.StructType([T.StructField("instance_id", T.StringType())])
     with pytest.raises(Exception):
@@ -38,7 +39,7 @@ def test_scan_instances_bad_json_fails(spark):
 
 
 def test_prediction_schema_violations(spark):
-    p = scratch_path(spark, "t-preds/p.jsonl")
+    p = scratch(spark, "t-preds/p.jsonl")
     _write(p, [json.dumps({"instance_id": "a", "model_name_or_path": "m", "model_patch": "d"}),
                json.dumps({"instance_id": "b", "model_patch": "d"}),
                json.dumps({"instance_id": "c", "model_name_or_path": "m", "model_patch": None, "x": 1}),
@@ -52,8 +53,8 @@ def test_prediction_schema_violations(spark):
 
 
 def test_progress_missing_file_and_error_key(spark):
-    assert RD.scan_progress(spark, scratch_path(spark, "t-none/progress.jsonl")).count() == 0
-    p = scratch_path(spark, "t-prog/progress.jsonl")
+    assert RD.scan_progress(spark, scratch(spark, "t-none/progress.jsonl")).count() == 0
+    p = scratch(spark, "t-prog/progress.jsonl")
     _write(p, [json.dumps({"instance_id": "a", "status": "passed", "error": None}),
                json.dumps({"status": "passed"}),
                json.dumps({"instance_id": "b", "details": {"error": "x"}})])
@@ -62,7 +63,7 @@ def test_progress_missing_file_and_error_key(spark):
 
 
 def test_task_dirs_and_files(spark):
-    root = scratch_path(spark, "t-tasks")
+    root = scratch(spark, "t-tasks")
     for name, toml, instr in [("ok", '[environment]\ndocker_image = "img:1"\nmemory = "4G"\n', "do it"),
                               ("noimg", "[environment]\ncpus = 2\n", "x"), ("noinstr", '[environment]\ndocker_image = "i"\n', None)]:
         os.makedirs(f"{root}/{name}/tests", exist_ok=True)
@@ -82,10 +83,10 @@ def test_task_dirs_and_files(spark):
 
 
 def test_id_list(spark):
-    p = scratch_path(spark, "t-ids/ids.json")
+    p = scratch(spark, "t-ids/ids.json")
     _write(p, [json.dumps(["b", "a", "c"])])
     assert [r.instance_id for r in RD.scan_id_list(spark, p).orderBy("pos").collect()] == ["b", "a", "c"]
-    bad = scratch_path(spark, "t-ids-bad/ids.json")
+    bad = scratch(spark, "t-ids-bad/ids.json")
     _write(bad, [json.dumps({"a": 1})])
     with pytest.raises(Exception):
         RD.scan_id_list(spark, bad).collect()
@@ -104,7 +105,7 @@ def test_search_payload_shapes(spark):
 
 
 def test_writers_roundtrip_and_redaction(spark):
-    out = scratch_path(spark, "t-results")
+    out = scratch(spark, "t-results")
     runs = spark.createDataFrame([("r1", "a", "d", "t", True, 1.0, None, "finish"),
                                   ("r1", "b", "d", "t", None, None, "boom", None)],
                                  "run_id string, instance_id string, dataset_id string, task string, accepted boolean, "

@@ -3,16 +3,17 @@
 from pyspark.sql import functions as F
 
 from runlens.operators import scoring as S
-from runlens.session import scratch_path
 from runlens.streaming import streams as ST
 from runlens.streaming import watchdog as WD
 
+from .conftest import scratch
+
 
 def test_progress_latest_stream_equals_batch(spark):
     rows = [(i, f"I-{i % 7}", ["passed", "failed", "error", None][i % 4], i % 5 == 0, float(i), None)
             for i in range(200)]
     df = spark.createDataFrame(rows, ST.PROGRESS_STREAM_SCHEMA)
-    base = scratch_path(spark, "t-stream-latest")
+    base = scratch(spark, "t-stream-latest")
     for k in range(4):
         df.where(F.col("seq") % 4 == k).write.mode("append").json(f"{base}/landing")
     q = ST.start_progress_latest(ST.read_progress_stream(spark, f"{base}/landing", files_per_trigger=1),
