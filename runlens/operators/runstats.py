@@ -1,6 +1,6 @@
 """Statistics over finished runs, agent steps and progress logs.
 
-All aggregates are hash aggregates with map-side partial combine; ordered
+All aggregates have a map-side partial step before the shuffle; ordered
 per-group work uses windows whose groups are bounded (blocks of a sequence,
 or the first ``k`` rows of a group, which Spark limits before the shuffle).
 """

@@ -25,11 +25,13 @@ def latest_progress(progress: DataFrame, key: str = "instance_id", seq: str = "s
     """Last record per id in log order (``seq`` is the line number).
 
     Rows without an id (NULL or '') are dropped as in the reference loader.
-    Written as a ``max(struct(seq, ...))`` hash aggregate rather than a
-    ``row_number`` window: the aggregate combines map-side, so a hot id that
-    owns a third of the log is reduced before the shuffle instead of being
-    sorted inside one task.  Ties on ``seq`` resolve on the remaining fields,
-    which keeps the result deterministic.
+    Written as a ``max(struct(seq, ...))`` aggregate rather than a
+    ``row_number`` window: the aggregate has a map-side partial step (Spark
+    runs a struct ``max`` as a sort-based aggregate), so a hot id that owns a
+    third of the log is reduced to one row per map task before the shuffle
+    instead of being shipped whole to one task.  Callers pass only the
+    columns they need (``outcome_inputs``).  Ties on ``seq`` resolve on the
+    remaining fields, which keeps the result deterministic.
     """
     others = [c for c in progress.columns if c not in (key, seq)]
     rec = F.struct(F.col(seq).alias(seq), *[F.col(c).alias(c) for c in others])
@@ -69,6 +71,15 @@ def classify_status(
     )
 
 
+OUTCOME_FIELDS = ("status", "outcome", "has_error_key", "details_error", "accepted")
+
+
+def outcome_inputs(progress: DataFrame, key: str = "instance_id", seq: str = "seq") -> DataFrame:
+    """Only the columns the outcome needs, so the per-id reduction carries
+    (and the scan reads) nothing else."""
+    return progress.select(key, seq, *[c for c in OUTCOME_FIELDS if c in progress.columns])
+
+
 def with_outcome(progress: DataFrame) -> DataFrame:
     """Progress rows with their classified ``outcome`` and ``terminal`` flag."""
     out = classify_status(progress)
@@ -107,7 +118,7 @@ def pending_work(predictions: DataFrame, progress: DataFrame) -> DataFrame:
     Errors are not terminal, so an instance whose last record is an error is
     evaluated again.
     """
-    last = with_outcome(latest_progress(progress))
+    last = with_outcome(latest_progress(outcome_inputs(progress)))
     done = last.filter(F.col("terminal")).select("instance_id")
     return predictions.filter(~empty_patch(F.col("model_patch"))).join(
         done, "instance_id", "left_anti"
@@ -121,7 +132,7 @@ def attach_outcome(joined: DataFrame, progress: DataFrame) -> DataFrame:
     carries an ``error`` key raises too, before its status is looked at.
     Adds ``result_found`` and ``outcome`` (passed / failed / error).
     """
-    last = latest_progress(progress)
+    last = latest_progress(outcome_inputs(progress))
     last = last.select(
         "instance_id",
         classify_status(last).alias("_cls"),
