@@ -262,14 +262,14 @@ def match_test_cases(cases: DataFrame, expected: DataFrame, run: str = "run_id",
     )
     probe_rows = c.select(run, *order, "status", F.explode(probes).alias("p")).select(
         run, *order, "status", "p.pri", "p.kind", "p.key").where(F.col("key").isNotNull())
-    exact = expected.select(run, F.lit("exact").alias("kind"), F.col("test_id").alias("key"),
-                            F.col("test_id").alias("expected_id")).distinct()
-    owned = expected.select(run, "pos", "test_id", F.explode(F.array(
+    # one aggregation builds every lookup entry: the exact id, and the owner
+    # (last expected id in the list) of each match form and fingerprint
+    entries = expected.select(run, "pos", "test_id", F.explode(F.array(
+        F.struct(F.lit("exact").alias("kind"), F.col("test_id").alias("key")),
         F.struct(F.lit("norm").alias("kind"), match_form(F.col("test_id")).alias("key")),
         F.struct(F.lit("fp").alias("kind"), fingerprint(match_form(F.col("test_id"))).alias("key")))).alias("e"))
-    owned = owned.groupBy(run, F.col("e.kind").alias("kind"), F.col("e.key").alias("key")).agg(
+    entries = entries.groupBy(run, F.col("e.kind").alias("kind"), F.col("e.key").alias("key")).agg(
         F.max_by("test_id", "pos").alias("expected_id"))
-    entries = exact.unionByName(owned)
     hits = probe_rows.join(entries, [run, "kind", "key"], "inner")
     best = hits.groupBy(run, *order, "status").agg(F.min_by("expected_id", "pri").alias("expected_id"))
     order_key = F.struct(*[F.col(o) for o in order])
