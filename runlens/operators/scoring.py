@@ -222,11 +222,16 @@ def completed_union(status: DataFrame) -> DataFrame:
     )
 
 
-def report_json_view(status: DataFrame) -> DataFrame:
-    """The reference's single-object report, built only on request.
-
-    Each id list is one ``array_sort(collect_list)`` per bucket, so it is
-    bounded by the bucket size; use ``sorted_buckets`` for unbounded data.
-    """
-    lists = status.groupBy("bucket").agg(F.array_sort(F.collect_list("instance_id")).alias("ids"))
-    return lists.join(bucket_report(status), "bucket")
+def report_json_chunks(status: DataFrame, ids_per_chunk: int = 100_000) -> DataFrame:
+    """The report's id lists as ``(bucket, chunk, ids)`` rows for a JSON view.
+
+    Ids are range-partitioned on ``(bucket, instance_id)``, so each chunk is a
+    contiguous, sorted run of one bucket's ids and holds about
+    ``ids_per_chunk`` of them; reading chunks in ``(bucket, chunk)`` order
+    gives each sorted list.  No list is ever built whole in one task.  The
+    number of chunks comes from one row count."""
+    n = status.count()
+    parts = max(1, -(-n // ids_per_chunk))
+    ranged = status.select("bucket", "instance_id").repartitionByRange(parts, "bucket", "instance_id")
+    chunked = ranged.withColumn("chunk", F.spark_partition_id())
+    return chunked.groupBy("bucket", "chunk").agg(F.array_sort(F.collect_list("instance_id")).alias("ids"))

@@ -56,13 +56,13 @@ def write_progress_stream(stream: DataFrame, path: str, checkpoint: str):
 
 def write_report(counts: DataFrame, status: DataFrame, path: str, with_json_view: bool = False) -> None:
     """Report = bucket counts table + long ``(bucket, instance_id)`` table;
-    the single JSON object with id lists only when asked for."""
+    on request also the id lists as sorted, bounded JSON chunks."""
     counts.write.mode("overwrite").json(f"{path}/counts")
     status.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/instances")
     if with_json_view:
-        from runlens.operators.scoring import report_json_view
+        from runlens.operators.scoring import report_json_chunks
 
-        report_json_view(status).coalesce(1).write.mode("overwrite").json(f"{path}/report")
+        report_json_chunks(status).write.mode("overwrite").json(f"{path}/report")
 
 
 def write_analysis(task_stats: DataFrame, overall: DataFrame, path: str) -> None:
@@ -108,7 +108,8 @@ def _redact(c: Column, dt: T.DataType) -> Column:
 
 def redact_secrets(df: DataFrame) -> DataFrame:
     """Remove secret-looking keys (case-insensitive) from every column,
-    recursing into nested structs and string-keyed maps but not into
-    arrays, as the reference config snapshot does."""
+    recursing into nested structs but not into arrays, as the reference
+    config snapshot does; string-keyed maps lose such keys at their top
+    level (map values are not descended into)."""
     keep = [f for f in df.schema.fields if f.name.lower() not in SECRET_KEYS]
     return df.select(*[_redact(F.col(f.name), f.dataType).alias(f.name) for f in keep])

@@ -78,3 +78,15 @@ def test_classify_status_order(spark):
         "status string, outcome string, has_error_key boolean, details_error string, accepted boolean")
     got = [r[0] for r in df.select(S.classify_status(df)).collect()]
     assert got == ["passed", "failed", "error", "error", "passed", "failed"]
+
+
+def test_report_chunks_are_sorted_contiguous_runs(spark):
+    status = spark.createDataFrame([(f"I-{i:04d}", ["resolved", "error"][i % 2]) for i in range(500)],
+                                   "instance_id string, bucket string")
+    chunks = S.report_json_chunks(status, ids_per_chunk=60).orderBy("bucket", "chunk").collect()
+    by_bucket = {}
+    for r in chunks:
+        assert len(r.ids) <= 120
+        by_bucket.setdefault(r.bucket, []).extend(r.ids)
+    for b, ids in by_bucket.items():
+        assert ids == sorted(i for i, bb in ((r.instance_id, r.bucket) for r in status.collect()) if bb == b)
