@@ -308,7 +308,7 @@ def _payloads(spark, sf):
 @register(
     "scan_search_hits",
     """SELECT page_id AS query_id, 0 AS item_pos,
-  CASE page_id % 5 WHEN 2 THEN 3 WHEN 3 THEN 0 ELSE page_id % 9 END AS position,
+  CAST(CASE page_id % 5 WHEN 2 THEN 3 WHEN 3 THEN 0 ELSE page_id % 9 END AS INTEGER) AS position,
   CASE page_id % 5 WHEN 2 THEN '' WHEN 3 THEN '' ELSE regexp_extract(html, '<title>([^<]*)</title>', 1) END AS title,
   CASE page_id % 5 WHEN 3 THEN '' ELSE url END AS url,
   CASE page_id % 5 WHEN 2 THEN '' WHEN 3 THEN concat('no json: ', url)
@@ -350,7 +350,8 @@ _ROLL_REWARD = "CASE status WHEN 'completed' THEN 1.0 WHEN 'truncated' THEN -1.0
 @register(
     "write_rollout",
     oracle_with("fx_samples") + f"""
-SELECT group_id % 4 AS rollout_id, group_id, sample_index, status, n_tokens, {_ROLL_REWARD} AS reward FROM fx_samples""",
+SELECT group_id % 4 AS rollout_id, group_id, sample_index, status, n_tokens, CAST({_ROLL_REWARD} AS DOUBLE) AS reward
+FROM fx_samples""",
 )
 def q_write_rollout(spark, sf):
     s = fixture(spark, sf, "fx_samples").withColumn("rollout_id", F.col("group_id") % 4).withColumn(
@@ -385,7 +386,7 @@ def q_run_partition_key(spark, sf):
 @register(
     "redact_secrets",
     """SELECT doc_id, to_json({'model': source, 'llm': {'base_url': lang, 'nested': {'keep': n_chars}},
-  'tools': [{'token': 'z', 'name': 'bash'}], 'headers': MAP {'Accept': 'json'}}) AS config FROM documents""",
+  'tools': [{'token': 'z', 'name': 'bash'}], 'headers': MAP {'Accept': 'json'}})::VARCHAR AS config FROM documents""",
 )
 def q_redact_secrets(spark, sf):
     docs = read_table(spark, sf, "documents")
@@ -419,7 +420,7 @@ def demo_scorer(instance, prediction):
 SELECT i.instance_id, CASE WHEN p.model_patch IS NULL THEN 'error'
     WHEN contains(p.model_patch, concat('src/', i.language, '.py')) THEN 'passed' ELSE 'failed' END AS status,
   coalesce(contains(p.model_patch, concat('src/', i.language, '.py')), false) AS accepted,
-  CASE WHEN contains(p.model_patch, concat('src/', i.language, '.py')) THEN 1.0 ELSE 0.0 END AS score
+  CAST(CASE WHEN contains(p.model_patch, concat('src/', i.language, '.py')) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score
 FROM fx_instances i JOIN fx_predictions p ON i.instance_id = p.instance_id""",
 )
 def q_register_scorer(spark, sf):
@@ -459,7 +460,7 @@ def _count_calls_hook(pdf):
 @register(
     "step_hook",
     oracle_with("fx_calls") + """
-SELECT run_id, step, CAST(sum(CASE WHEN tool_name <> 'finish' THEN 1 ELSE 0 END)
+SELECT run_id, CAST(step AS INTEGER) AS step, CAST(sum(CASE WHEN tool_name <> 'finish' THEN 1 ELSE 0 END)
   OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS calls_so_far
 FROM fx_calls""",
 )

@@ -81,7 +81,7 @@ def _or_rules(col: str, rules: list[str]) -> str:
     return "(" + " OR ".join(f"regexp_matches({col}, '^(?:{p})', 'i')" for p in ok) + ")"
 
 
-@register("block_urls", oracle_with("fx_search") + f"\nSELECT query_id, position, url, {_or_rules('url', URL_RULES)}"
+@register("block_urls", oracle_with("fx_search") + f"\nSELECT query_id, CAST(position AS INTEGER) AS position, url, {_or_rules('url', URL_RULES)}"
           " AS blocked FROM fx_search")
 def q_block_urls(spark, sf):
     hits = fixture(spark, sf, "fx_search").select("query_id", "position", "url")
@@ -91,7 +91,7 @@ def q_block_urls(spark, sf):
 _HIT_BLOCK = f"({_or_rules('url', HIT_RULES['url'])} OR {_or_rules('title', HIT_RULES['title'])})"
 
 
-@register("filter_hits", oracle_with("fx_search") + f"\nSELECT query_id, position, {_HIT_BLOCK} AS blocked FROM fx_search")
+@register("filter_hits", oracle_with("fx_search") + f"\nSELECT query_id, CAST(position AS INTEGER) AS position, {_HIT_BLOCK} AS blocked FROM fx_search")
 def q_filter_hits(spark, sf):
     hits = fixture(spark, sf, "fx_search")
     return L.filter_hits(hits, HIT_RULES).select("query_id", "position", "blocked")
@@ -115,7 +115,7 @@ def _search_inputs(spark, sf):
     return hits, queries
 
 
-@register("page_hits", oracle_with("fx_search") + _PAGE_SQL + "\nSELECT query_id, position, rank, url FROM kept")
+@register("page_hits", oracle_with("fx_search") + _PAGE_SQL + "\nSELECT query_id, CAST(position AS INTEGER) AS position, rank, url FROM kept")
 def q_page_hits(spark, sf):
     hits, queries = _search_inputs(spark, sf)
     return SR.page_hits(hits, queries, num=_NUM, start=_START).select("query_id", "position", "rank", "url")

@@ -132,7 +132,7 @@ _CALL_ERR = f"""CASE WHEN tool_name NOT IN ('execute_bash', 'str_replace_editor'
 @register(
     "tool_call_rows",
     oracle_with("fx_calls") + f"""
-SELECT run_id, step, CAST(0 AS INTEGER) AS call_pos, concat('call_', CAST(step AS VARCHAR)) AS call_id,
+SELECT run_id, CAST(step AS INTEGER) AS step, CAST(0 AS INTEGER) AS call_pos, concat('call_', CAST(step AS VARCHAR)) AS call_id,
   tool_name AS name, {_ARGS} AS arguments, {_CALL_ERR} AS error_obs FROM fx_calls""",
 )
 def q_tool_call_rows(spark, sf):
@@ -162,7 +162,7 @@ def q_format_messages(spark, sf):
     oracle_with("fx_calls") + f""",
 c AS (SELECT run_id, step, concat('call_', CAST(step AS VARCHAR)) AS call_id, tool_name AS name,
         coalesce({_CALL_ERR}, 'ok') AS observation FROM fx_calls)
-SELECT run_id, step, CASE WHEN run_id % 2 = 0 THEN 'user' ELSE 'tool' END AS role,
+SELECT run_id, CAST(step AS INTEGER) AS step, CASE WHEN run_id % 2 = 0 THEN 'user' ELSE 'tool' END AS role,
   CASE WHEN run_id % 2 = 0 THEN concat('OBSERVATION:', chr(10), '[', name, ']', chr(10), observation)
        ELSE observation END AS content,
   CASE WHEN run_id % 2 = 0 THEN NULL ELSE call_id END AS tool_call_id,

@@ -81,8 +81,8 @@ _PATCH = "sample_id % 7 <> 0"
     "rl_reward",
     f"""SELECT DISTINCT vec_id % 50 AS sample_id FROM embeddings""".replace(
         "SELECT DISTINCT vec_id % 50 AS sample_id FROM embeddings",
-        f"""SELECT sample_id, CASE WHEN ({_ACC}) AND ({_PATCH}) THEN 1.0 ELSE -1.0 END AS reward,
-  CASE WHEN ({_ACC}) AND ({_PATCH}) THEN 1.0 ELSE 0.0 END AS eval_reward
+        f"""SELECT sample_id, CAST(CASE WHEN ({_ACC}) AND ({_PATCH}) THEN 1.0 ELSE -1.0 END AS DOUBLE) AS reward,
+  CAST(CASE WHEN ({_ACC}) AND ({_PATCH}) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS eval_reward
 FROM (SELECT DISTINCT vec_id % 50 AS sample_id FROM embeddings)"""),
 )
 def q_rl_reward(spark, sf):
@@ -109,7 +109,7 @@ smp AS (SELECT s.sample_id, {_PROMPT_N} AS np, s.n_resp, {_BUDGET} AS budget, st
           s.mask, CASE WHEN {_ACC} THEN 1.0 ELSE -1.0 END AS reward0, {_FSTAT} AS fstat FROM seq s),
 c AS (SELECT *, np + n_resp > budget AS over, budget - np - 64 AS room FROM smp)
 SELECT sample_id,
-  CASE WHEN over AND reward0 = 1.0 THEN -1.0 ELSE reward0 END AS reward,
+  CAST(CASE WHEN over AND reward0 = 1.0 THEN -1.0 ELSE reward0 END AS DOUBLE) AS reward,
   CASE WHEN over AND room < 0 THEN 'aborted' WHEN over THEN 'truncated'
        ELSE CASE fstat WHEN 'stop' THEN 'completed' WHEN 'length' THEN 'truncated' WHEN 'abort' THEN 'aborted'
             ELSE 'completed' END END AS status,
@@ -139,7 +139,7 @@ a AS (SELECT sample_id, string_agg(CAST(t AS VARCHAR), ',' ORDER BY step, i) AS
       GROUP BY 1),
 n AS (SELECT sample_id, count(*) AS num_steps FROM m GROUP BY 1)
 SELECT n.sample_id AS run_id, coalesce(a.tokens, '') AS response_tokens, {R('coalesce(a.lp, 0.0)', 6)} AS logprob_sum,
-  CAST(n.num_steps AS BIGINT) AS num_steps, CASE WHEN n.sample_id % 3 = 0 THEN 1.0 ELSE -1.0 END AS reward
+  CAST(n.num_steps AS BIGINT) AS num_steps, CAST(CASE WHEN n.sample_id % 3 = 0 THEN 1.0 ELSE -1.0 END AS DOUBLE) AS reward
 FROM n LEFT JOIN a ON n.sample_id = a.sample_id""",
 )
 def q_trajectory_export(spark, sf):

@@ -31,7 +31,7 @@ def q_condense_messages(spark, sf):
     oracle_with("fx_calls") + f""",
 v AS (SELECT run_id, min(step) FILTER (WHERE prompt_tokens + completion_tokens > {CONTEXT_LIMIT}) AS v,
         max(step) AS last FROM fx_calls GROUP BY 1)
-SELECT c.run_id, c.step, coalesce(v.v < v.last, false) AS cutoff FROM fx_calls c JOIN v ON c.run_id = v.run_id
+SELECT c.run_id, CAST(c.step AS INTEGER) AS step, coalesce(v.v < v.last, false) AS cutoff FROM fx_calls c JOIN v ON c.run_id = v.run_id
 WHERE v.v IS NULL OR c.step <= v.v""",
 )
 def q_context_cutoff(spark, sf):
@@ -98,7 +98,7 @@ _COMPLETE = "tool_name = 'finish'"
 p AS (SELECT run_id, step, {_COMPLETE} AS c FROM fx_calls WHERE {_PARSE_OK}),
 l AS (SELECT run_id, step, c AND coalesce(lag(c) OVER (PARTITION BY run_id ORDER BY step), false) AS ok FROM p),
 fin AS (SELECT run_id, min(step) AS finish_step FROM l WHERE ok GROUP BY 1)
-SELECT r.run_id, fin.finish_step FROM (SELECT DISTINCT run_id FROM fx_calls) r LEFT JOIN fin ON r.run_id = fin.run_id""",
+SELECT r.run_id, CAST(fin.finish_step AS INTEGER) AS finish_step FROM (SELECT DISTINCT run_id FROM fx_calls) r LEFT JOIN fin ON r.run_id = fin.run_id""",
 )
 def q_confirm_complete(spark, sf):
     calls = fixture(spark, sf, "fx_calls").select(
@@ -131,7 +131,7 @@ _ADDED = "completion_tokens + CAST(tool_elapsed * 1000 AS BIGINT)"
 s AS (SELECT run_id, step, {_PROMPT_LEN} AS prompt_len, {_ADDED} AS added FROM fx_calls),
 r AS (SELECT *, sum(added) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
         - added AS before FROM s)
-SELECT run_id, step, CAST(prompt_len + before AS BIGINT) AS seq_len,
+SELECT run_id, CAST(step AS INTEGER) AS step, CAST(prompt_len + before AS BIGINT) AS seq_len,
   CAST({TOKEN_BUDGET} - prompt_len - before - 128 AS BIGINT) AS remaining,
   {TOKEN_BUDGET} - prompt_len - before - 128 <= 0 AS length FROM r""",
 )

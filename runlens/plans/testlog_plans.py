@@ -243,7 +243,7 @@ _CASES_SQL = """cases AS (
 
 @register(
     "junit_cases",
-    oracle_with("fx_junit") + ",\n" + _CASES_SQL + "\nSELECT run_id, doc_pos, CAST(pos AS INTEGER) AS pos, name,"
+    oracle_with("fx_junit") + ",\n" + _CASES_SQL + "\nSELECT run_id, CAST(doc_pos AS INTEGER) AS doc_pos, CAST(pos AS INTEGER) AS pos, name,"
     " classname, file, status FROM cases",
 )
 def q_junit_cases(spark, sf):
