@@ -98,7 +98,7 @@ FROM g WHERE gap > 30""",
 def q_stream_watchdog(spark, sf):
     ev = read_table(spark, sf, "events")
     rows = ev.select((F.col("user_id") % 8).alias("rollout_id"), "event_id",
-                     (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000.0).alias("ts_seconds"))
+                     (WD.epoch_micros(ev.schema["ts"].dataType, F.col("ts")) / 1_000_000.0).alias("ts_seconds"))
     landing, out, ckpt = _dirs(spark, "watchdog")
     rows.write.mode("append").json(landing)
     stream = spark.readStream.schema("rollout_id bigint, event_id bigint, ts_seconds double").json(landing)

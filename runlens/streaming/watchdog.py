@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -38,6 +39,14 @@ WARN_OUT = T.StructType([
 WARN_STATE = T.StructType([T.StructField("last_ts", T.DoubleType())])
 
 
+def epoch_micros(dtype: T.DataType, ts):
+    """Microseconds since the epoch; a wall-clock (NTZ) timestamp is read as
+    UTC without passing through the session time zone."""
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+    return F.unix_micros(ts)
+
+
 def warnings_in_gap(gap: float, timeout: float = NO_PROGRESS_TIMEOUT) -> int:
     """Warnings logged while waiting ``gap`` seconds: one each time more than
     ``timeout`` seconds passed since the last progress or warning."""
