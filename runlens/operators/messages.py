@@ -84,10 +84,75 @@ COMMANDS_SCHEMA = T.StructType([
 ])
 
 
+_NUMERIC_KINDS = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT", "BOOLEAN")
+
+
+def _is_numeric(kind: Column) -> Column:
+    return kind.isin(*_NUMERIC_KINDS) | kind.startswith("DECIMAL")
+
+
+def _fast_json_commands(text: Column) -> Column:
+    """JVM path for well-formed answers: the whole (stripped) text is one JSON
+    object with ``analysis``, ``plan`` and a ``commands`` array of objects
+    whose ``keystrokes`` are strings.  Returns the parsed struct, or NULL when
+    the row needs the full parser (extra text, repairs or any error)."""
+    t = py_strip(text)
+    v = F.try_parse_json(t)
+    is_obj = t.startswith("{") & F.schema_of_variant(v).startswith("OBJECT")
+
+    def present(path: str) -> Column:
+        return F.try_variant_get(v, path, "variant").isNotNull()
+
+    cmds = F.try_variant_get(v, "$.commands", "array<variant>")
+    cmd_ok = F.forall(cmds, lambda c: F.schema_of_variant(c).startswith("OBJECT")
+                      & (F.schema_of_variant(F.try_variant_get(c, "$.keystrokes", "variant")) == "STRING"))
+    ok = (is_obj & present("$.analysis") & present("$.plan") & present("$.commands") & cmds.isNotNull()
+          & F.coalesce(cmd_ok, F.lit(False)))
+    tc = F.try_variant_get(v, "$.task_complete", "variant")
+    tc_kind = F.schema_of_variant(tc)
+    tc_warn = F.when(tc.isNotNull() & (tc_kind != "VOID") & ~tc_kind.isin("BOOLEAN", "STRING"),
+                     F.lit("task_complete should be boolean or string"))
+    complete = (
+        F.when(tc_kind == "BOOLEAN", F.try_variant_get(v, "$.task_complete", "boolean"))
+        .when(tc_kind == "STRING", F.lower(F.try_variant_get(v, "$.task_complete", "string")).isin("true", "1", "yes"))
+        .when(_is_numeric(tc_kind), F.try_variant_get(v, "$.task_complete", "double") != 0)
+        .when(tc_kind.startswith("ARRAY"), F.size(F.try_variant_get(v, "$.task_complete", "array<variant>")) > 0)
+        .when(tc_kind.startswith("OBJECT"), F.size(F.try_variant_get(v, "$.task_complete", "map<string,variant>")) > 0)
+        .otherwise(F.lit(False))
+    )
+
+    def dur_warning(c: Column, i: Column) -> Column:
+        d = F.try_variant_get(c, "$.duration", "variant")
+        n = (i + 1).cast("string")
+        return (F.when(d.isNull(), F.concat(F.lit("Command "), n, F.lit(": missing duration, using 1.0")))
+                .when(~_is_numeric(F.schema_of_variant(d)),
+                      F.concat(F.lit("Command "), n, F.lit(": invalid duration, using 1.0"))))
+
+    def command(c: Column) -> Column:
+        d = F.try_variant_get(c, "$.duration", "variant")
+        dur = F.when(d.isNotNull() & _is_numeric(F.schema_of_variant(d)),
+                     F.try_variant_get(c, "$.duration", "double")).otherwise(F.lit(1.0))
+        return F.struct(F.try_variant_get(c, "$.keystrokes", "string").alias("keystrokes"), dur.alias("duration"))
+
+    warnings = F.filter(F.concat(F.array(tc_warn), F.transform(cmds, dur_warning)), lambda w: w.isNotNull())
+    bullets = F.when(F.size(warnings) > 0, F.concat(F.lit("- "), F.array_join(warnings, "\n- "))).otherwise(
+        F.lit(""))
+    return F.when(ok, F.struct(F.coalesce(complete, F.lit(False)).alias("is_complete"), F.lit("").alias("error"),
+                               bullets.alias("warning"), F.transform(cmds, command).alias("commands")))
+
+
 def extract_json_commands(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """Parse terminal-agent JSON answers: ``keys`` + is_complete, error,
-    warning, commands.  Runs per partition over Arrow batches; no shuffle."""
+    warning, commands.
+
+    Well-formed answers (the common case) are parsed in the JVM from a
+    VARIANT; only the remaining rows -- extra text around the object,
+    truncated or mixed output that needs a repair, structural errors -- go
+    to the Python brace-scanning helper through ``mapInPandas`` (Arrow
+    batches, per partition; no shuffle)."""
     out_schema = T.StructType([df.schema[k] for k in keys] + list(COMMANDS_SCHEMA.fields))
+    staged = df.select(*keys, text, _fast_json_commands(F.col(text)).alias("_fast"))
+    fast = staged.where(F.col("_fast").isNotNull()).select(*keys, "_fast.*")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -99,7 +164,8 @@ def extract_json_commands(df: DataFrame, text: str, keys: list[str]) -> DataFram
             out["commands"] = [[{"keystrokes": k, "duration": d} for k, d in p.commands] for p in parsed]
             yield out
 
-    return df.select(*keys, text).mapInPandas(run, out_schema)
+    slow = staged.where(F.col("_fast").isNull()).select(*keys, text).mapInPandas(run, out_schema)
+    return fast.unionByName(slow)
 
 
 # ── tool calls, chat rows, observations ────────────────────────────────────
