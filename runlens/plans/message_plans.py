@@ -279,7 +279,26 @@ def q_truncate_middle_chars(spark, sf):
     return docs.select("doc_id", M.truncate_middle_chars(F.col("text"), MAX_CHARS).alias("text"))
 
 
-@register("truncate_middle_bytes")
+_BYTES_HALF = MAX_BYTES // 2
+# oracle: per long document, characters with their UTF-8 byte counts; the
+# head / tail are the longest runs within half the budget (a character cut
+# by the byte boundary is dropped)
+_BYTES_ORACLE = f"""WITH d AS (SELECT doc_id, text, octet_length(encode(text)) AS nb FROM documents),
+ch AS (SELECT doc_id, nb, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i
+       FROM d WHERE nb > {MAX_BYTES}),
+cum AS (SELECT doc_id, nb, c, i,
+          sum(octet_length(encode(c))) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS fwd,
+          sum(octet_length(encode(c))) OVER (PARTITION BY doc_id ORDER BY i DESC ROWS UNBOUNDED PRECEDING) AS bwd
+        FROM ch),
+ht AS (SELECT doc_id, coalesce(string_agg(c, '' ORDER BY i) FILTER (WHERE fwd <= {_BYTES_HALF}), '') AS head,
+         coalesce(string_agg(c, '' ORDER BY i) FILTER (WHERE bwd <= {_BYTES_HALF}), '') AS tail FROM cum GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.nb <= {MAX_BYTES} THEN d.text
+  ELSE concat(ht.head, chr(10), '[... ', CAST(d.nb - {2 * _BYTES_HALF} AS VARCHAR), ' bytes omitted ...]', chr(10), ht.tail)
+  END AS text
+FROM d LEFT JOIN ht ON d.doc_id = ht.doc_id"""
+
+
+@register("truncate_middle_bytes", _BYTES_ORACLE)
 def q_truncate_middle_bytes(spark, sf):
     docs = read_table(spark, sf, "documents")
     return docs.select("doc_id", M.truncate_middle_bytes(F.col("text"), MAX_BYTES).alias("text"))
