@@ -99,7 +99,9 @@ def repo_rules(instances: DataFrame, repo: str = "repo", key: str = "instance_id
         F.concat(F.lit(r".*api\.github\.com/repos/"), seg(own), F.lit("/"), en, F.lit(".*")),
         F.concat(F.lit(r".*raw\.githubusercontent\.com/"), seg(own), F.lit("/"), en, F.lit(".*")),
     )
-    base = instances.where(F.coalesce(F.col(repo), F.lit("")) != "").select(
+    # (``length > 0`` also drops NULL repos; this shape avoids a Spark codegen
+    # bug hit by ``coalesce(repo, '') != ''`` once pushed into a CASE)
+    base = instances.where(F.length(F.col(repo)) > 0).select(
         key, url.alias("_url"), F.when(name != "", cmd).otherwise(F.array().cast("array<string>")).alias("_cmd"))
     urls = base.select(key, F.lit("url").alias("kind"), F.posexplode("_url").alias("ord", "pattern"))
     cmds = base.select(key, F.lit("command").alias("kind"), F.posexplode("_cmd").alias("ord", "pattern"))
@@ -201,7 +203,7 @@ def repo_leak_join(hits: DataFrame, instances: DataFrame, repo: str = "repo", ke
     skew on one repo is split by AQE's skew-join handling.
     """
     owner, name = repo_parts(F.col(repo))
-    rules = instances.where(F.coalesce(F.col(repo), F.lit("")) != "").select(
+    rules = instances.where(F.length(F.col(repo)) > 0).select(
         F.col(key).alias("_rk"), F.lower(owner).alias("_rowner"), F.lower(name).alias("_rname"))
     cand = url_candidates(hits, url, (key, hit_key))
     j = cand.join(rules, (cand[key] == rules["_rk"]) & (cand["name"] == rules["_rname"]), "inner")
