@@ -1,8 +1,9 @@
 """Extension points: user scorers, answer parsers by task type, and
 per-step callbacks.
 
-User code runs inside Spark tasks over Arrow batches (``mapInPandas``) or
-per run group (``applyInPandas``); nothing is brought to the driver.
+User code runs inside Spark tasks over Arrow batches (``mapInPandas``);
+step hooks see whole runs (rows hash-partitioned by run and sorted by step).
+Nothing is brought to the driver.
 """
 
 from __future__ import annotations

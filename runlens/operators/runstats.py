@@ -69,6 +69,32 @@ def overall_stats(results: DataFrame, score: str = "score", finish_reason: str =
     )
 
 
+def analysis_report(results: DataFrame, task: str = "task", score: str = "score",
+                    finish_reason: str = "finish_reason") -> DataFrame:
+    """Per-task statistics and the overall row from **one** aggregation,
+    ``GROUPING SETS ((task), ())``: the overall row (``task = 'overall'``)
+    counts every result, the per-task rows leave out empty tasks."""
+    t = F.lower(F.coalesce(F.col(task), F.lit("")))
+    base = results.select(t.alias("_task"), F.col(score).alias("_score"), F.col(finish_reason).alias("_fr"))
+    agg = base.rollup("_task").agg(*_counts(F.col("_score"), F.col("_fr")), F.grouping("_task").alias("_g"))
+    agg = agg.where((F.col("_g") == 1) | (F.col("_task") != ""))
+    name = F.when(F.col("_g") == 1, F.lit("overall")).otherwise(F.col("_task"))
+    is_dom = (F.col("_g") == 0) & (F.col("_task") == DOMAIN_TASK)
+    dom = lambda c: F.when(is_dom, c)
+    other = lambda c: F.when(~is_dom, c)
+    return agg.select(
+        name.alias("task"), "total",
+        dom(round_half_up(F.col("_avg"), 4)).alias("avg_pass_rate"),
+        dom(F.col("_almost")).alias("almost_correct_num"),
+        dom(safe_rate(F.col("_almost"), F.col("total"))).alias("almost_correct_rate"),
+        dom(F.col("solved")).alias("correct_num"),
+        dom(safe_rate(F.col("solved"), F.col("total"))).alias("correct_rate"),
+        other(F.col("solved")).alias("solved"),
+        other(safe_rate(F.col("solved"), F.col("total"))).alias("solved_rate"),
+        "error_count",
+    )
+
+
 def untagged_instances(results: DataFrame, task: str = "task") -> DataFrame:
     """Ids whose task is empty or missing (listed apart by the analysis)."""
     return results.where(F.coalesce(F.col(task), F.lit("")) == "").select("instance_id")

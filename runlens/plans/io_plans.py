@@ -338,10 +338,10 @@ def q_write_report(spark, sf):
 @register("write_analysis", ORACLE["task_stats"])
 def q_write_analysis(spark, sf):
     res = fixture(spark, sf, "fx_results")
-    tasks = RS.task_stats(res)
+    report = RS.analysis_report(res)
     out = _scratch(spark, "analysis")
-    W.write_analysis(tasks, RS.overall_stats(res), out)
-    return spark.read.schema(tasks.schema).json(f"{out}/analysis/tasks")
+    W.write_analysis(report, out)
+    return spark.read.schema(report.schema).json(f"{out}/analysis").where(F.col("task") != "overall")
 
 
 _ROLL_REWARD = "CASE status WHEN 'completed' THEN 1.0 WHEN 'truncated' THEN -1.0 ELSE 0.0 END"

@@ -65,10 +65,10 @@ def write_report(counts: DataFrame, status: DataFrame, path: str, with_json_view
         report_json_chunks(status).write.mode("overwrite").json(f"{path}/report")
 
 
-def write_analysis(task_stats: DataFrame, overall: DataFrame, path: str) -> None:
-    """Per-task and overall statistics next to the results."""
-    task_stats.write.mode("overwrite").json(f"{path}/analysis/tasks")
-    overall.write.mode("overwrite").json(f"{path}/analysis/overall")
+def write_analysis(report: DataFrame, path: str) -> None:
+    """Per-task and overall statistics (``runstats.analysis_report``) next to
+    the results."""
+    report.write.mode("overwrite").json(f"{path}/analysis")
 
 
 def write_rollout(samples: DataFrame, info: DataFrame, path: str) -> None:

@@ -88,3 +88,15 @@ def test_confirm_complete_needs_two_parsed_completes(spark):
                                    (2, 0, True, True), (2, 1, True, False), (2, 2, True, True)],
                                   "run_id long, step int, parse_ok boolean, is_complete boolean")
     assert dict(rows(ST.confirm_complete(steps))) == {1: 2, 2: None}
+
+
+def test_analysis_report_one_pass_equals_separate_jobs(spark):
+    res = spark.createDataFrame([("Doc2Repo", 1.0, "finish"), ("doc2repo", 0.9, "error"), ("", 1.0, "finish"),
+                                 (None, 0.0, "error"), ("crossrepo", 1.0, "finish")],
+                                "task string, score double, finish_reason string")
+    rep = {r.task: r.asDict() for r in RS.analysis_report(res).collect()}
+    sep = {r.task: r.asDict() for r in RS.task_stats(res).collect()}
+    o = RS.overall_stats(res).collect()[0]
+    assert {k: v for k, v in rep.items() if k != "overall"} == sep
+    assert (rep["overall"]["total"], rep["overall"]["solved"], rep["overall"]["solved_rate"]) == (o.total, o.solved,
+                                                                                               o.solved_rate)
