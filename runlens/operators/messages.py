@@ -1,9 +1,9 @@
 """Message and tool-call tables: validity, XML / JSON call extraction, call
 rows, chat export, observations, typed final answers and truncation.
 
-All jobs are row-local column expressions except the JSON command parser,
-which runs as an Arrow ``mapInPandas`` helper, and the byte-level middle
-truncation of non-ASCII text, which is a vectorised pandas UDF.
+All jobs are row-local column expressions except the JSON command parser
+for answers that are not one well-formed object, which runs as an Arrow
+``mapInPandas`` helper.
 """
 
 from __future__ import annotations
@@ -292,36 +292,33 @@ def truncate_middle_chars(text: Column, max_chars: int) -> Column:
     return F.when(n > max_chars, F.concat(F.left(t, F.lit(half)), marker, tail)).otherwise(text)
 
 
-def _bytes_cut(s: pd.Series, max_bytes: int) -> pd.Series:
-    half = max_bytes // 2
-
-    def one(x):
-        if x is None:
-            return None
-        b = x.encode("utf-8")
-        if len(b) <= max_bytes:
-            return x
-        head = b[:half].decode("utf-8", errors="ignore")
-        tail = b[-half:].decode("utf-8", errors="ignore") if half else b.decode("utf-8", errors="ignore")
-        return f"{head}\n[... {len(b) - 2 * half} bytes omitted ...]\n{tail}"
-
-    return s.map(one)
+def _is_continuation(data: Column, pos: Column) -> Column:
+    """UTF-8 byte ``pos`` (1-based) of ``data`` is a continuation byte (10xxxxxx)."""
+    return F.substring(F.hex(F.substring(data, pos, 1)), 1, 1).isin("8", "9", "A", "B")
 
 
 def truncate_middle_bytes(text: Column, max_bytes: int) -> Column:
     """Same on UTF-8 bytes (``[... k bytes omitted ...]``); characters cut
-    at the edges are dropped.  Rows whose bytes are all ASCII (and rows that
-    fit) stay in the JVM; other long rows go through a pandas UDF."""
+    at the edges are dropped, as ``bytes.decode(errors='ignore')`` does.
+
+    All in the JVM: the head is cut back to the last character boundary at
+    or before ``max//2`` bytes and the tail starts at the first boundary of
+    the last ``max//2`` bytes (a UTF-8 character has at most 3 continuation
+    bytes, so at most 3 bytes are inspected at each edge)."""
     half = max_bytes // 2
     t = F.coalesce(text, F.lit(""))
-    nbytes = F.octet_length(t)
-    ascii_only = nbytes == F.length(t)
-    tail = F.right(t, F.lit(half)) if half > 0 else t
-    fast = F.concat(F.left(t, F.lit(half)), F.lit("\n[... "), (nbytes - 2 * half).cast("string"),
-                    F.lit(" bytes omitted ...]\n"), tail)
-    udf = F.pandas_udf(lambda s: _bytes_cut(s, max_bytes), T.StringType())
-    slow = udf(F.when((nbytes > max_bytes) & ~ascii_only, text))
-    return F.when(nbytes <= max_bytes, text).when(ascii_only, fast).otherwise(slow)
+    data = F.encode(t, "UTF-8")
+    n = F.octet_length(t)
+    h = F.lit(half)
+    drop = (F.when(~_is_continuation(data, h + 1), F.lit(0)).when(~_is_continuation(data, h), F.lit(1))
+            .when(~_is_continuation(data, h - 1), F.lit(2)).otherwise(F.lit(3)))
+    head = F.decode(F.substring(data, F.lit(1), h - drop), "UTF-8") if half > 0 else F.lit("")
+    start = n - half + 1
+    skip = (F.when(~_is_continuation(data, start), F.lit(0)).when(~_is_continuation(data, start + 1), F.lit(1))
+            .when(~_is_continuation(data, start + 2), F.lit(2)).otherwise(F.lit(3)))
+    tail = F.decode(F.substring(data, start + skip, h - skip), "UTF-8") if half > 0 else t
+    cut = F.concat(head, F.lit("\n[... "), (n - 2 * half).cast("string"), F.lit(" bytes omitted ...]\n"), tail)
+    return F.when(n <= max_bytes, text).otherwise(cut)
 
 
 def tail_chars(text: Column, n: int = 2000) -> Column:

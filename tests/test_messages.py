@@ -149,3 +149,11 @@ def test_json_fast_path_equals_python_parser(spark):
         p = parse_commands(t)
         assert got[i] == (bool(p.is_complete), p.error, p.warning, [(k, float(d)) for k, d in p.commands]), t
     assert df.select(M._fast_json_commands(F.col("response")).isNotNull().alias("f")).where("f").count() > 50
+
+
+def test_byte_truncation_small_budgets_and_multibyte(spark):
+    vals = ["aé€😀" * 7, "😀😀😀", "€" * 5, "abc", "", "é" * 9 + "x"]
+    df = spark.createDataFrame([(v,) for v in vals], "t string")
+    for m in (0, 1, 2, 3, 4, 5, 7, 10):
+        got = [r[0] for r in df.select(M.truncate_middle_bytes(F.col("t"), m)).collect()]
+        assert got == [_py_bytes(v, m) for v in vals], m
