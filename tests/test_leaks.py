@@ -97,3 +97,37 @@ def test_patch_artefacts(spark):
     got = dict(rows(L.patch_files(df), "file", "is_artefact"))
     assert got == {"src/a.py": False, "build/x.o": True, "node_modules/m.js": True, "img/i.png": True,
                    "target/A.class": False, "lib/x.js": True}
+
+
+def test_search_block_formatting(spark):
+    from runlens.operators import search as SR
+
+    inst = spark.createDataFrame([("i", "django/django")], "instance_id string, repo string")
+    url_rules = [r.pattern for r in L.repo_rules(inst).where(F.col("kind") == "url").collect()]
+    hits = spark.createDataFrame([(1, 1, "Repo PR", "https://github.com/django/django/pull/1"),
+                                  (1, 2, "SO Answer", "https://stackoverflow.com/q/123"),
+                                  (2, 1, "x", "https://github.com/django/django")],
+                                 "query_id long, position long, title string, url string")
+    flagged = L.filter_hits(hits, {"url": url_rules})
+    queries = spark.createDataFrame([(1, "django bug"), (2, "only blocked"), (3, "   ")], "query_id long, query string")
+    ranked = SR.page_hits(flagged, queries)
+    text = {r.query_id: r.text for r in SR.format_hits(ranked.select("query_id", "rank", "title", "url"),
+                                                       L.blocked_counts(flagged), queries).collect()}
+    assert set(text) == {1, 2}
+    assert "SO Answer" in text[1] and "Repo PR" not in text[1] and "1 result(s) filtered" in text[1]
+    assert text[1].startswith("Search results for: django bug\nWARNING") and "[1]\n  title: SO Answer" in text[1]
+    assert text[2].endswith("No results found.")
+
+
+def test_blocklist_modes_on_commands(spark):
+    inst = spark.createDataFrame([("s", True, ""), ("n", False, ""), ("x", False, "")],
+                                 "instance_id string, search boolean, repo string")
+    bl = L.effective_blocklist(inst, extra=[r".*forbidden.*"]).where(
+        (F.col("instance_id") != "x") | (F.col("pattern") != ".*forbidden.*"))
+    calls = spark.createDataFrame([(i, c) for i in ("s", "n") for c in
+                                   ("git clone https://github.com/test/repo", "git log --all", "forbidden command")],
+                                  "instance_id string, command string")
+    got = {(r.instance_id, r.command): r.blocked for r in L.block_commands(calls, bl).collect()}
+    assert got[("s", "git clone https://github.com/test/repo")] is False
+    assert got[("n", "git clone https://github.com/test/repo")] is True
+    assert got[("s", "git log --all")] and got[("n", "forbidden command")]
