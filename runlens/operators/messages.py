@@ -11,10 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runlens.functions.metrics import observe_malformed
+
 from runlens.functions.terminal_json import parse_commands
 from runlens.functions.text import py_rstrip, py_strip
 
@@ -141,7 +143,8 @@ def _fast_json_commands(text: Column) -> Column:
                                bullets.alias("warning"), F.transform(cmds, command).alias("commands")))
 
 
-def extract_json_commands(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
+def extract_json_commands(df: DataFrame, text: str, keys: list[str],
+                          observation: Observation | None = None) -> DataFrame:
     """Parse terminal-agent JSON answers: ``keys`` + is_complete, error,
     warning, commands.
 
@@ -149,7 +152,8 @@ def extract_json_commands(df: DataFrame, text: str, keys: list[str]) -> DataFram
     VARIANT; only the remaining rows -- extra text around the object,
     truncated or mixed output that needs a repair, structural errors -- go
     to the Python brace-scanning helper through ``mapInPandas`` (Arrow
-    batches, per partition; no shuffle)."""
+    batches, per partition; no shuffle).  With an ``observation`` the number
+    of answers with a parse error is reported by the same job."""
     out_schema = T.StructType([df.schema[k] for k in keys] + list(COMMANDS_SCHEMA.fields))
     staged = df.select(*keys, text, _fast_json_commands(F.col(text)).alias("_fast"))
     fast = staged.where(F.col("_fast").isNotNull()).select(*keys, "_fast.*")
@@ -165,17 +169,18 @@ def extract_json_commands(df: DataFrame, text: str, keys: list[str]) -> DataFram
             yield out
 
     slow = staged.where(F.col("_fast").isNull()).select(*keys, text).mapInPandas(run, out_schema)
-    return fast.unionByName(slow)
+    return observe_malformed(fast.unionByName(slow), F.col("error") != "", observation)
 
 
 # ── tool calls, chat rows, observations ────────────────────────────────────
 
 
 def tool_call_rows(steps: DataFrame, known_tools: list[str], calls: str = "tool_calls",
-                   keys: tuple[str, ...] = ("run_id", "step")) -> DataFrame:
+                   keys: tuple[str, ...] = ("run_id", "step"), observation: Observation | None = None) -> DataFrame:
     """One row per call: name / arguments from the flat or the
     ``function``-nested shape, and the error observation the loop would
-    produce (unknown tool, or arguments that are not JSON)."""
+    produce (unknown tool, or arguments that are not JSON); an
+    ``observation`` receives the count of erroring calls."""
     ex = steps.select(*keys, F.posexplode(calls).alias("call_pos", "c"))
     name = F.coalesce(F.col("c.name"), F.col("c.function.name"), F.lit(""))
     args = F.coalesce(F.col("c.arguments"), F.col("c.function.arguments"), F.lit("{}"))
@@ -183,8 +188,9 @@ def tool_call_rows(steps: DataFrame, known_tools: list[str], calls: str = "tool_
     bad_json = F.try_parse_json(args).isNull()
     err = (F.when(~F.array_contains(known, name), F.concat(F.lit("Error: tool '"), name, F.lit("' not found.")))
            .when(bad_json, F.concat(F.lit("Error: invalid JSON arguments: "), args)))
-    return ex.select(*keys, "call_pos", F.coalesce(F.col("c.id"), F.lit("")).alias("call_id"),
-                     name.alias("name"), args.alias("arguments"), err.alias("error_obs"))
+    out = ex.select(*keys, "call_pos", F.coalesce(F.col("c.id"), F.lit("")).alias("call_id"),
+                    name.alias("name"), args.alias("arguments"), err.alias("error_obs"))
+    return observe_malformed(out, F.col("error_obs").isNotNull(), observation)
 
 
 def format_messages(steps: DataFrame, keys: tuple[str, ...] = ("run_id", "step"), content: str = "content",

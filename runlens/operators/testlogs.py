@@ -7,9 +7,11 @@ Everything is column expressions (array functions, ``from_xml``,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from runlens.functions.metrics import observe_malformed
+
 from runlens.functions.text import PY_WS_CHARS, py_strip
 
 # Fixed values of the reference: pytest summary labels -> counter field.
@@ -206,17 +208,21 @@ _CASE = "array<struct<_name:string,_classname:string,_file:string,failure:string
 _XML_SCHEMA = f"struct<testcase:{_CASE},testsuite:array<struct<testcase:{_CASE}>>,_corrupt_record:string>"
 
 
-def junit_cases(docs: DataFrame, xml: str = "xml", keys: tuple[str, ...] = ("run_id", "doc_pos")) -> DataFrame:
+def junit_cases(docs: DataFrame, xml: str = "xml", keys: tuple[str, ...] = ("run_id", "doc_pos"),
+                observation: Observation | None = None) -> DataFrame:
     """JUnit XML documents -> one row per test case.
 
     Root ``testsuite`` or ``testsuites``.  Status is ``failed`` when a
     ``failure`` or ``error`` child exists (empty elements count), else
     ``passed``; skipped cases are dropped.  A document that is not XML gives
-    one row with status ``xml_error`` and NULL case fields."""
+    one row with status ``xml_error`` and NULL case fields; with an
+    ``observation`` the counts of documents and unreadable documents are
+    reported by the same job."""
     parsed = docs.select(*keys, F.from_xml(F.col(xml), _XML_SCHEMA).alias("_x"))
     cases = F.coalesce(F.col("_x.testcase"),
                        F.flatten(F.transform(F.col("_x.testsuite"), lambda s: s["testcase"])))
     parsed = parsed.select(*keys, cases.alias("_cases"), F.col("_x._corrupt_record").isNotNull().alias("_bad"))
+    parsed = observe_malformed(parsed, F.col("_bad"), observation)
     good = parsed.where(~F.col("_bad")).select(*keys, F.posexplode("_cases").alias("pos", "c"))
     good = good.where(F.col("c.skipped").isNull()).select(
         *keys,

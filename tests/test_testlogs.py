@@ -106,3 +106,13 @@ def test_reward_coalesce(spark):
                                          .alias("r")).collect()]
     assert got == [(0.5, "reward.txt", True), (1.0, "reward.json", True), (0.0, "reward.json", False),
                    (0.0, "none", False), (0.0, "timeout", False), (0.0, "none", False)]
+
+
+def test_malformed_documents_are_counted_by_observe(spark):
+    from pyspark.sql import Observation
+
+    d = spark.createDataFrame([(1, 0, JUNIT_EXACT), (2, 0, "not xml"), (3, 0, "<oops")],
+                              "run_id long, doc_pos int, xml string")
+    obs = Observation("junit")
+    TL.junit_cases(d, observation=obs).collect()
+    assert obs.get == {"rows": 3, "malformed": 2}
