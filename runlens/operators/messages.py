@@ -93,11 +93,12 @@ def _is_numeric(kind: Column) -> Column:
     return kind.isin(*_NUMERIC_KINDS) | kind.startswith("DECIMAL")
 
 
-def _fast_json_commands(text: Column) -> Column:
-    """JVM path for well-formed answers: the whole (stripped) text is one JSON
-    object with ``analysis``, ``plan`` and a ``commands`` array of objects
-    whose ``keystrokes`` are strings.  Returns the parsed struct, or NULL when
-    the row needs the full parser (extra text, repairs or any error)."""
+def _well_formed(text: Column) -> Column:
+    """The fast path applies (see ``_fast_json_commands``)."""
+    return F.coalesce(_fast_parts(text)[0], F.lit(False))
+
+
+def _fast_parts(text: Column):
     t = py_strip(text)
     v = F.try_parse_json(t)
     is_obj = t.startswith("{") & F.schema_of_variant(v).startswith("OBJECT")
@@ -110,6 +111,15 @@ def _fast_json_commands(text: Column) -> Column:
                       & (F.schema_of_variant(F.try_variant_get(c, "$.keystrokes", "variant")) == "STRING"))
     ok = (is_obj & present("$.analysis") & present("$.plan") & present("$.commands") & cmds.isNotNull()
           & F.coalesce(cmd_ok, F.lit(False)))
+    return ok, v, cmds
+
+
+def _fast_json_commands(text: Column) -> Column:
+    """JVM path for well-formed answers: the whole (stripped) text is one JSON
+    object with ``analysis``, ``plan`` and a ``commands`` array of objects
+    whose ``keystrokes`` are strings.  Returns the parsed struct, or NULL when
+    the row needs the full parser (extra text, repairs or any error)."""
+    ok, v, cmds = _fast_parts(text)
     tc = F.try_variant_get(v, "$.task_complete", "variant")
     tc_kind = F.schema_of_variant(tc)
     tc_warn = F.when(tc.isNotNull() & (tc_kind != "VOID") & ~tc_kind.isin("BOOLEAN", "STRING"),
@@ -155,8 +165,10 @@ def extract_json_commands(df: DataFrame, text: str, keys: list[str],
     batches, per partition; no shuffle).  With an ``observation`` the number
     of answers with a parse error is reported by the same job."""
     out_schema = T.StructType([df.schema[k] for k in keys] + list(COMMANDS_SCHEMA.fields))
-    staged = df.select(*keys, text, _fast_json_commands(F.col(text)).alias("_fast"))
-    fast = staged.where(F.col("_fast").isNotNull()).select(*keys, "_fast.*")
+    # the fast branch filters through a generator (``inline`` of a
+    # NULL-compacted one-element array), so the parse is not duplicated by a
+    # pushed-down filter; the slow branch tests only the cheap well-formed flag
+    fast = df.select(*keys, F.inline(F.array_compact(F.array(_fast_json_commands(F.col(text))))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -168,7 +180,7 @@ def extract_json_commands(df: DataFrame, text: str, keys: list[str],
             out["commands"] = [[{"keystrokes": k, "duration": d} for k, d in p.commands] for p in parsed]
             yield out
 
-    slow = staged.where(F.col("_fast").isNull()).select(*keys, text).mapInPandas(run, out_schema)
+    slow = df.where(~_well_formed(F.col(text))).select(*keys, text).mapInPandas(run, out_schema)
     return observe_malformed(fast.unionByName(slow), F.col("error") != "", observation)
 
 
@@ -269,8 +281,8 @@ def answers_lines(df: DataFrame, text: str, key: str) -> DataFrame:
     lines = lines.where(F.size(parts) == 2).select(
         key, "_li", py_strip(F.try_element_at(parts, F.lit(1))).alias("_file"),
         F.regexp_extract(F.try_element_at(parts, F.lit(2)), _VALID_PREFIX, 0).alias("_ok"))
-    lines = lines.where(F.col("_ok") != "")
-    blocks = lines.select(key, "_li", "_file", F.posexplode(F.split("_ok", ",")).alias("_bi", "_b"))
+    blocks = lines.select(key, "_li", "_file", F.posexplode(
+        F.when(F.col("_ok") != "", F.split("_ok", ","))).alias("_bi", "_b"))
     ends = F.split(F.col("_b"), "-")
     lo = py_strip(F.element_at(ends, 1)).try_cast("int")
     hi = F.coalesce(py_strip(F.try_element_at(ends, F.lit(2))).try_cast("int"), lo)

@@ -218,27 +218,30 @@ def junit_cases(docs: DataFrame, xml: str = "xml", keys: tuple[str, ...] = ("run
     one row with status ``xml_error`` and NULL case fields; with an
     ``observation`` the counts of documents and unreadable documents are
     reported by the same job."""
+    # Parse once, then let one generator emit either the document's cases or
+    # a single error marker.  No filter sits on a parsed column, so the
+    # optimizer cannot push one below the parse and run ``from_xml`` twice.
     parsed = docs.select(*keys, F.from_xml(F.col(xml), _XML_SCHEMA).alias("_x"))
     cases = F.coalesce(F.col("_x.testcase"),
                        F.flatten(F.transform(F.col("_x.testsuite"), lambda s: s["testcase"])))
-    parsed = parsed.select(*keys, cases.alias("_cases"), F.col("_x._corrupt_record").isNotNull().alias("_bad"))
-    parsed = observe_malformed(parsed, F.col("_bad"), observation)
-    good = parsed.where(~F.col("_bad")).select(*keys, F.posexplode("_cases").alias("pos", "c"))
-    good = good.where(F.col("c.skipped").isNull()).select(
+    bad = F.col("_x._corrupt_record").isNotNull()
+    parsed = observe_malformed(parsed.select(*keys, "_x"), bad, observation)
+    marker = F.array(F.struct(F.lit(True).alias("bad"), F.lit(None).cast(_CASE[len("array<"):-1]).alias("c")))
+    items = F.when(bad, marker).otherwise(F.transform(cases, lambda c: F.struct(F.lit(False).alias("bad"),
+                                                                                  c.alias("c"))))
+    rows = parsed.select(*keys, F.posexplode(items).alias("pos", "it"))
+    rows = rows.where(F.col("it.bad") | F.col("it.c.skipped").isNull())
+    c = "it.c"
+    return rows.select(
         *keys,
-        F.col("pos").cast("int").alias("pos"),
-        F.coalesce(F.col("c._name"), F.lit("")).alias("name"),
-        F.coalesce(F.col("c._classname"), F.lit("")).alias("classname"),
-        F.coalesce(F.col("c._file"), F.lit("")).alias("file"),
-        F.when(F.col("c.failure").isNotNull() | F.col("c.error").isNotNull(), F.lit("failed"))
+        F.when(~F.col("it.bad"), F.col("pos").cast("int")).alias("pos"),
+        F.when(~F.col("it.bad"), F.coalesce(F.col(f"{c}._name"), F.lit(""))).alias("name"),
+        F.when(~F.col("it.bad"), F.coalesce(F.col(f"{c}._classname"), F.lit(""))).alias("classname"),
+        F.when(~F.col("it.bad"), F.coalesce(F.col(f"{c}._file"), F.lit(""))).alias("file"),
+        F.when(F.col("it.bad"), F.lit("xml_error"))
+        .when(F.col(f"{c}.failure").isNotNull() | F.col(f"{c}.error").isNotNull(), F.lit("failed"))
         .otherwise(F.lit("passed")).alias("status"),
     )
-    errors = parsed.where(F.col("_bad")).select(
-        *keys, F.lit(None).cast("int").alias("pos"), *[F.lit(None).cast("string").alias(c) for c in
-                                                      ("name", "classname", "file")],
-        F.lit("xml_error").alias("status"),
-    )
-    return good.unionByName(errors)
 
 
 def match_test_cases(cases: DataFrame, expected: DataFrame, run: str = "run_id",

@@ -134,7 +134,7 @@ def parse_progress_lines(lines: DataFrame, seq: str = "seq") -> DataFrame:
     v = _parse_strict(text)
     base = _nonblank(lines).withColumn("_pos", F.monotonically_increasing_id()).select(
         "_pos", v.alias("_v"), F.json_object_keys(text).alias("_keys"))
-    out = base.select(
+    rec = F.struct(
         F.coalesce(F.try_variant_get("_v", "$.seq", "bigint"), F.col("_pos")).alias(seq),
         F.try_variant_get("_v", "$.instance_id", "string").alias("instance_id"),
         F.try_variant_get("_v", "$.status", "string").alias("status"),
@@ -144,7 +144,10 @@ def parse_progress_lines(lines: DataFrame, seq: str = "seq") -> DataFrame:
         F.try_variant_get("_v", "$.details.error", "string").alias("details_error"),
         F.try_variant_get("_v", "$.duration", "double").alias("duration"),
     )
-    return out.where(F.coalesce(F.col("instance_id"), F.lit("")) != "")
+    # rows without an id are dropped through a generator rather than a
+    # filter, so the JSON parse is not pushed into a filter and run twice
+    keep = F.coalesce(F.try_variant_get("_v", "$.instance_id", "string"), F.lit("")) != ""
+    return base.select(F.inline(F.array_compact(F.array(F.when(keep, rec)))))
 
 
 def scan_progress(spark: SparkSession, path: str) -> DataFrame:
