@@ -44,3 +44,22 @@ def test_watchdog_listener_counts_idle_batches():
     for n in (5, 0, 0, 0, 0):
         w.onQueryProgress(E(n))
     assert len(w.warnings) == 2
+
+
+def test_results_append_is_exactly_once_across_restarts(spark):
+    base = scratch(spark, "results-restart")
+    landing, out, ckpt = f"{base}/landing", f"{base}/out", f"{base}/ckpt"
+    rows = [(f"r{i % 3}", f"I-{i}", "t", float(i % 2), "finish") for i in range(30)]
+    df = spark.createDataFrame(rows, ST.RESULT_STREAM_SCHEMA)
+
+    def run_once():
+        stream = spark.readStream.schema(ST.RESULT_STREAM_SCHEMA).json(landing)
+        ST.start_results_append(stream, out, ckpt).awaitTermination()
+
+    df.where("instance_id < 'I-2'").write.mode("append").json(landing)
+    run_once()
+    run_once()                                  # restart with nothing new: no duplicates
+    df.where("instance_id >= 'I-2'").write.mode("append").json(landing)
+    run_once()                                  # restart: only the new files are processed
+    got = sorted(r.instance_id for r in spark.read.parquet(out).collect())
+    assert got == sorted(r[1] for r in rows)
