@@ -273,20 +273,32 @@ def answers_lines(df: DataFrame, text: str, key: str) -> DataFrame:
     rest of that line (earlier blocks stay).  ``a-b`` expands to a..b (empty
     when b < a).  Order: line, block, position in the block.
 
+    A file is listed as soon as a line reaches it -- unless the line's first
+    block is a malformed range (not exactly one ``-``) -- even if no number
+    follows; such a line contributes one row with ``line_no`` NULL, so a
+    per-file ``collect_list`` gives ``[]`` as the reference's ``defaultdict``
+    does.
+
     The readable prefix of each line is found with one regex; blocks and
     numbers are then plain string splits and explodes (no array lambdas)."""
     lines = df.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("_li", "_line"))
     lines = lines.withColumn("_line", py_strip(F.col("_line"))).where(F.col("_line") != "")
     parts = F.split(F.col("_line"), ":")
+    nums_text = F.try_element_at(parts, F.lit(2))
+    first = py_strip(F.try_element_at(F.split(nums_text, ","), F.lit(1)))
+    created = ~(first.contains("-") & (F.size(F.split(first, "-")) != 2))
     lines = lines.where(F.size(parts) == 2).select(
         key, "_li", py_strip(F.try_element_at(parts, F.lit(1))).alias("_file"),
-        F.regexp_extract(F.try_element_at(parts, F.lit(2)), _VALID_PREFIX, 0).alias("_ok"))
-    blocks = lines.select(key, "_li", "_file", F.posexplode(
-        F.when(F.col("_ok") != "", F.split("_ok", ","))).alias("_bi", "_b"))
+        F.regexp_extract(nums_text, _VALID_PREFIX, 0).alias("_ok"), created.alias("_created"))
+    empty = F.array().cast("array<string>")
+    arr = F.concat(F.when(F.col("_created"), F.array(F.lit(None).cast("string"))).otherwise(empty),
+                   F.when(F.col("_ok") != "", F.split("_ok", ",")).otherwise(empty))
+    blocks = lines.select(key, "_li", "_file", F.posexplode(arr).alias("_bi", "_b"))
     ends = F.split(F.col("_b"), "-")
     lo = py_strip(F.element_at(ends, 1)).try_cast("int")
     hi = F.coalesce(py_strip(F.try_element_at(ends, F.lit(2))).try_cast("int"), lo)
-    nums = F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+    nums = (F.when(F.col("_b").isNull(), F.array(F.lit(None).cast("int")))
+            .when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>")))
     out = blocks.select(key, "_li", "_file", "_bi", F.posexplode(nums).alias("_k", "line_no"))
     return out.select(key, F.col("_file").alias("file"), "line_no",
                       F.struct(F.col("_li").alias("li"), F.col("_bi").alias("bi"), F.col("_k").alias("k")).alias("ord"))

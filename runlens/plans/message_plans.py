@@ -221,7 +221,8 @@ _LINES = """concat('src/a', CAST(o_custkey % 5 AS STRING), '.py:', CAST(o_orderk
   CAST(o_orderkey % 7 AS STRING), chr(10), ' lib/b.py : ', CAST(o_custkey % 20 AS STRING), '-',
   CAST(o_custkey % 20 + o_orderkey % 4 - 1 AS STRING), chr(10), 'bad line', chr(10),
   'src/a', CAST(o_custkey % 5 AS STRING), '.py:3,x', CAST(o_orderkey % 3 AS STRING), ',9', chr(10),
-  'c.py:1:2', chr(10), '  ', chr(10), 'lib/b.py:', CAST(o_orderkey % 11 AS STRING))"""
+  'c.py:1:2', chr(10), '  ', chr(10), 'lib/b.py:', CAST(o_orderkey % 11 AS STRING), chr(10),
+  'empty', CAST(o_orderkey % 3 AS STRING), '.py:', CASE WHEN o_orderkey % 2 = 0 THEN '9-7' ELSE 'x,1' END)"""
 
 
 @register(
@@ -241,9 +242,14 @@ kept AS (SELECT b3.* FROM b3 JOIN ff ON b3.o_orderkey = ff.o_orderkey AND b3.li
          WHERE ff.fail IS NULL OR b3.bi < ff.fail),
 n AS (SELECT o_orderkey, file, li, bi, unnest(CASE WHEN is_rng THEN
           range(CAST(trim(rng[1]) AS INTEGER), CAST(trim(rng[2]) AS INTEGER) + 1)
-          ELSE [CAST(s AS INTEGER)] END) AS line_no FROM kept)
-SELECT o_orderkey, file, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY li, bi, line_no) AS lines
-FROM n GROUP BY 1, 2""",
+          ELSE [CAST(s AS INTEGER)] END) AS line_no FROM kept),
+files AS (SELECT DISTINCT o_orderkey, trim(parts[1]) AS file FROM l2
+          WHERE len(parts) = 2 AND NOT (contains(trim(string_split(parts[2], ',')[1]), '-')
+                                        AND len(string_split(trim(string_split(parts[2], ',')[1]), '-')) <> 2)),
+agg AS (SELECT o_orderkey, file, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY li, bi, line_no) AS lines
+        FROM n GROUP BY 1, 2)
+SELECT f.o_orderkey, f.file, coalesce(a.lines, '') AS lines
+FROM files f LEFT JOIN agg a ON f.o_orderkey = a.o_orderkey AND f.file = a.file""",
 )
 def q_answers_lines(spark, sf):
     orders = read_table(spark, sf, "orders").select("o_orderkey", F.expr(_LINES).alias("txt"))
