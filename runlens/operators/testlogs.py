@@ -153,23 +153,42 @@ def reward_coalesce(reward_txt: Column, reward_json: Column, timed_out: Column)
     return F.struct(reward.alias("reward"), source.alias("source"), (reward > 0).alias("accepted"))
 
 
+def _py_str_item(x: Column) -> Column:
+    """``str(item)`` of a truthy JSON array item, NULL for a falsy one
+    (null, false, 0, "", [], {}).  Strings, booleans and integers render as
+    Python does; other truthy values render as their JSON text."""
+    kind = F.schema_of_variant(x)
+    as_str = F.try_variant_get(x, "$", "string")
+    is_int = kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT")
+    is_num = is_int | kind.isin("DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+    return (
+        F.when(kind == "STRING", F.when(as_str != "", as_str))
+        .when(kind == "BOOLEAN", F.when(F.try_variant_get(x, "$", "boolean"), F.lit("True")))
+        .when(is_int, F.when(F.try_variant_get(x, "$", "bigint") != 0, as_str))
+        .when(is_num, F.when(F.try_variant_get(x, "$", "double") != 0, as_str))
+        .when(kind.startswith("ARRAY"), F.when(F.size(F.try_variant_get(x, "$", "array<variant>")) > 0,
+                                               F.to_json(x)))
+        .when(kind.startswith("OBJECT"), F.when(F.size(F.try_variant_get(x, "$", "map<string,variant>")) > 0,
+                                                F.to_json(x)))
+    )
+
+
 def parse_test_ids(raw: Column) -> Column:
     """Test id field -> ``array<string>``.
 
-    JSON array text -> its truthy items, stripped; JSON string text -> that
-    string; other non-blank text -> ``[text]`` stripped; blank/NULL -> ``[]``.
-    """
+    JSON array text -> ``str(item).strip()`` of its truthy items; JSON string
+    text -> that string; other non-blank text -> ``[text]`` stripped;
+    blank/NULL -> ``[]``."""
     s = py_strip(raw)
-    arr = F.from_json(s, "array<string>")
-    items = F.transform(
-        F.filter(arr, lambda x: x.isNotNull() & (x != "")), lambda x: py_strip(x)
-    )
     v = F.try_parse_json(s)
-    as_str = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    kind = F.schema_of_variant(v)
+    items = F.transform(F.filter(F.transform(F.try_variant_get(v, "$", "array<variant>"), _py_str_item),
+                                 lambda x: x.isNotNull()), lambda x: py_strip(x))
+    as_str = F.when(kind == "STRING", F.try_variant_get(v, "$", "string"))
     empty = F.array().cast("array<string>")
     return (
         F.when(F.coalesce(s, F.lit("")) == "", empty)
-        .when(arr.isNotNull(), items)
+        .when(kind.startswith("ARRAY"), items)
         .when(as_str.isNotNull() & (as_str != ""), F.array(as_str))
         .otherwise(F.array(s))
     )
