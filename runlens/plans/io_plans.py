@@ -350,11 +350,14 @@ _ROLL_REWARD = "CASE status WHEN 'completed' THEN 1.0 WHEN 'truncated' THEN -1.0
 @register(
     "write_rollout",
     oracle_with("fx_samples") + f"""
-SELECT group_id % 4 AS rollout_id, group_id, sample_index, status, n_tokens, CAST({_ROLL_REWARD} AS DOUBLE) AS reward
+SELECT CAST(floor(sample_index / 8) AS BIGINT) AS rollout_id, group_id, sample_index, status, n_tokens,
+  CAST({_ROLL_REWARD} AS DOUBLE) AS reward
 FROM fx_samples""",
 )
 def q_write_rollout(spark, sf):
-    s = fixture(spark, sf, "fx_samples").withColumn("rollout_id", F.col("group_id") % 4).withColumn(
+    # stand-in: a rollout is a batch of 8 consecutive samples
+    s = fixture(spark, sf, "fx_samples").withColumn("rollout_id", F.floor(F.col("sample_index") / 8).cast("bigint")) \
+        .withColumn(
         "reward", F.expr(_ROLL_REWARD)).withColumn("spec_info", F.struct(F.lit("draft").alias("mode")))
     first = s.groupBy("group_id").agg(F.min("sample_index").alias("first_index"))
     from runlens.operators.rl import rollout_info

@@ -10,9 +10,10 @@ from runlens.functions.numeric import sql_round as R
 from runlens.operators import rl as RL
 from runlens.plans.registry import register
 
-# Stand-in RL steps from the embeddings table: 50 samples, one step per
-# vector, ``n`` tokens per step (ids from the vector id, log-probs from the
-# vector values), model or observation by label parity.
+# Stand-in RL steps from the embeddings table: one step per vector, ten
+# consecutive vectors per sample (so samples grow in number, not in size, with
+# the table), ``n`` tokens per step (ids from the vector id, log-probs from
+# the vector values), model or observation by label parity.
 _N = "4 + CAST(vec_id % 7 AS INT) * 4"
 
 
@@ -20,8 +21,8 @@ def _rl_steps(spark, sf):
     emb = read_table(spark, sf, "embeddings").withColumn("n", F.expr(_N))
     model = F.col("label") % 2 == 0
     return emb.select(
-        (F.col("vec_id") % 50).alias("sample_id"),
-        F.floor(F.col("vec_id") / 50).cast("int").alias("step"),
+        F.floor(F.col("vec_id") / 10).cast("bigint").alias("sample_id"),
+        (F.col("vec_id") % 10).cast("int").alias("step"),
         F.when(model, F.lit("model")).otherwise(F.lit("observation")).alias("kind"),
         F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (F.col("vec_id") * 100 + i).cast("int"))
         .alias("token_ids"),
@@ -31,7 +32,7 @@ def _rl_steps(spark, sf):
     )
 
 
-_STEPS_SQL = f"""rl_steps AS (SELECT vec_id % 50 AS sample_id, CAST(floor(vec_id / 50) AS INTEGER) AS step,
+_STEPS_SQL = f"""rl_steps AS (SELECT CAST(floor(vec_id / 10) AS BIGINT) AS sample_id, CAST(vec_id % 10 AS INTEGER) AS step,
     CASE WHEN label % 2 = 0 THEN 'model' ELSE 'observation' END AS kind,
     list_transform(range(0, {_N}), lambda i: CAST(vec_id * 100 + i AS INTEGER)) AS token_ids,
     list_transform(embedding[1:{_N}], lambda x: CAST(x AS DOUBLE)) AS logprobs,
@@ -79,14 +80,13 @@ _PATCH = "sample_id % 7 <> 0"
 
 @register(
     "rl_reward",
-    f"""SELECT DISTINCT vec_id % 50 AS sample_id FROM embeddings""".replace(
-        "SELECT DISTINCT vec_id % 50 AS sample_id FROM embeddings",
-        f"""SELECT sample_id, CAST(CASE WHEN ({_ACC}) AND ({_PATCH}) THEN 1.0 ELSE -1.0 END AS DOUBLE) AS reward,
+    f"""SELECT sample_id, CAST(CASE WHEN ({_ACC}) AND ({_PATCH}) THEN 1.0 ELSE -1.0 END AS DOUBLE) AS reward,
   CAST(CASE WHEN ({_ACC}) AND ({_PATCH}) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS eval_reward
-FROM (SELECT DISTINCT vec_id % 50 AS sample_id FROM embeddings)"""),
+FROM (SELECT DISTINCT CAST(floor(vec_id / 10) AS BIGINT) AS sample_id FROM embeddings)""",
 )
 def q_rl_reward(spark, sf):
-    ids = read_table(spark, sf, "embeddings").select((F.col("vec_id") % 50).alias("sample_id")).distinct()
+    ids = read_table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 10).cast("bigint").alias("sample_id")) \
+        .distinct()
     return ids.select("sample_id", RL.rl_reward(F.expr(_ACC), F.expr(_PATCH)).alias("reward"),
                       RL.rl_reward(F.expr(_ACC), F.expr(_PATCH), evaluation=True).alias("eval_reward"))
 
@@ -95,10 +95,11 @@ def q_rl_reward(spark, sf):
     "rl_status",
     f"""SELECT sample_id, CASE {_FSTAT} WHEN 'stop' THEN 'completed' WHEN 'length' THEN 'truncated'
   WHEN 'abort' THEN 'aborted' ELSE 'completed' END AS status
-FROM (SELECT DISTINCT vec_id % 50 AS sample_id FROM embeddings)""",
+FROM (SELECT DISTINCT CAST(floor(vec_id / 10) AS BIGINT) AS sample_id FROM embeddings)""",
 )
 def q_rl_status(spark, sf):
-    ids = read_table(spark, sf, "embeddings").select((F.col("vec_id") % 50).alias("sample_id")).distinct()
+    ids = read_table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 10).cast("bigint").alias("sample_id")) \
+        .distinct()
     return ids.select("sample_id", RL.rl_status(F.expr(_FSTAT)).alias("status"))
 
 
@@ -187,8 +188,8 @@ _REWARD = "CASE status WHEN 'completed' THEN 1.0 WHEN 'truncated' THEN -1.0 ELSE
     "rollout_info",
     oracle_with("fx_samples") + f""",
 g AS (SELECT group_id, min(sample_index) AS first_index FROM fx_samples GROUP BY 1),
-s AS (SELECT f.*, g.first_index, f.group_id % 4 AS rollout_id, {_REWARD} AS reward FROM fx_samples f
-      JOIN g ON f.group_id = g.group_id)
+s AS (SELECT f.*, g.first_index, CAST(floor(f.sample_index / 8) AS BIGINT) AS rollout_id, {_REWARD} AS reward
+      FROM fx_samples f JOIN g ON f.group_id = g.group_id)
 SELECT rollout_id, count(*) AS n_samples, count(*) FILTER (WHERE status = 'truncated') AS n_truncated,
   {R('avg(reward)', 6)} AS mean_reward,
   string_agg(CAST(reward AS VARCHAR), ',' ORDER BY first_index, sample_index) AS reward,
@@ -198,8 +199,9 @@ FROM s GROUP BY rollout_id""",
 def q_rollout_info(spark, sf):
     s = fixture(spark, sf, "fx_samples")
     first = s.groupBy("group_id").agg(F.min("sample_index").alias("first_index"))
-    s = s.join(first, "group_id").withColumn("rollout_id", F.col("group_id") % 4).withColumn(
-        "reward", F.expr(_REWARD))
+    # stand-in: a rollout is a batch of 8 consecutive samples
+    s = s.join(first, "group_id").withColumn("rollout_id", F.floor(F.col("sample_index") / 8).cast("bigint")) \
+        .withColumn("reward", F.expr(_REWARD))
     info = RL.rollout_info(s)
     return info.select("rollout_id", "n_samples", "n_truncated", round_half_up(F.col("mean_reward"), 6)
                        .alias("mean_reward"),

@@ -68,15 +68,20 @@ def q_stream_progress_counts(spark, sf):
     return spark.read.parquet(out).select("outcome", F.col("n").cast("bigint").alias("n"))
 
 
+# stand-in sample groups for the collector: 4 consecutive samples per group
+# (groups grow in number, not size, with the table)
+_GROUP = "CAST(floor(sample_index / 4) AS BIGINT)"
+
+
 @register(
     "stream_groups",
-    oracle_with("fx_samples") + """
-SELECT group_id, CASE WHEN bool_or(status = 'aborted') THEN 'retry' ELSE 'batch' END AS route,
+    oracle_with("fx_samples") + f"""
+SELECT {_GROUP} AS group_id, CASE WHEN bool_or(status = 'aborted') THEN 'retry' ELSE 'batch' END AS route,
   count(*) AS n_samples, min(sample_index) AS first_index, count(*) FILTER (WHERE status = 'aborted') AS n_aborted
-FROM fx_samples GROUP BY group_id""",
+FROM fx_samples GROUP BY 1""",
 )
 def q_stream_groups(spark, sf):
-    s = fixture(spark, sf, "fx_samples")
+    s = fixture(spark, sf, "fx_samples").withColumn("group_id", F.expr(_GROUP))
     # stand-in: the expected group size travels with each sample
     sizes = s.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size"))
     rows = s.join(sizes, "group_id").withColumn("_wave", F.col("sample_index") % 3)
@@ -89,7 +94,7 @@ def q_stream_groups(spark, sf):
 
 @register(
     "stream_watchdog",
-    """WITH c AS (SELECT user_id % 8 AS rollout_id, event_id, epoch_us(ts) / 1000000.0 AS ts_seconds FROM events),
+    """WITH c AS (SELECT user_id AS rollout_id, event_id, epoch_us(ts) / 1000000.0 AS ts_seconds FROM events),
 g AS (SELECT rollout_id, event_id, ts_seconds - lag(ts_seconds) OVER (PARTITION BY rollout_id
         ORDER BY ts_seconds, event_id) AS gap FROM c)
 SELECT rollout_id, event_id, CAST(gap AS DOUBLE) AS gap_seconds, CAST(ceil(gap / 30.0) - 1 AS BIGINT) AS warnings
@@ -97,7 +102,8 @@ FROM g WHERE gap > 30""",
 )
 def q_stream_watchdog(spark, sf):
     ev = read_table(spark, sf, "events")
-    rows = ev.select((F.col("user_id") % 8).alias("rollout_id"), "event_id",
+    # stand-in: each user's events are one collector's completions
+    rows = ev.select(F.col("user_id").alias("rollout_id"), "event_id",
                      (WD.epoch_micros(ev.schema["ts"].dataType, F.col("ts")) / 1_000_000.0).alias("ts_seconds"))
     landing, out, ckpt = _dirs(spark, "watchdog")
     rows.write.mode("append").json(landing)
