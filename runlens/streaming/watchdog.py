@@ -66,7 +66,8 @@ def _make_watch(timeout: float):
                                 "warnings": n})
             last = float(ts)
         state.update((last,))
-        yield pd.DataFrame(out, columns=[f.name for f in WARN_OUT.fields])
+        if out:
+            yield pd.DataFrame(out, columns=[f.name for f in WARN_OUT.fields])
 
     return watch
 
