@@ -6,7 +6,8 @@ Two forms:
 * ``watchdog_stream`` -- stateful per rollout over a stream of completion
   events (event time): for each gap of ``g`` seconds between consecutive
   completions it reports the ``ceil(g / timeout) - 1`` warnings the
-  collector loop would have logged while waiting.
+  collector loop would have logged while waiting; with ``live=True`` the
+  same processor also keeps a processing-time timer per rollout.
 * ``WatchdogListener`` -- live, on the driver, fed only by streaming
   progress metrics (rows per micro-batch), never by data.
 """
@@ -53,8 +54,17 @@ def warnings_in_gap(gap: float, timeout: float = NO_PROGRESS_TIMEOUT) -> int:
     return max(int(math.ceil(gap / timeout)) - 1, 0) if gap > 0 else 0
 
 
-def _make_watch(timeout: float):
+def _make_watch(timeout: float, live: bool):
+    timeout_ms = int(timeout * 1000)
+
     def watch(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if live and state.hasTimedOut:
+            # no completion for this rollout within the timeout (processing
+            # time): one warning, then the timer restarts
+            state.setTimeoutDuration(timeout_ms)
+            yield pd.DataFrame([{"rollout_id": int(key[0]), "event_id": None, "gap_seconds": None, "warnings": 1}],
+                               columns=[f.name for f in WARN_OUT.fields])
+            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts_seconds", "event_id"], kind="stable")
         out = []
@@ -66,17 +76,26 @@ def _make_watch(timeout: float):
                                 "warnings": n})
             last = float(ts)
         state.update((last,))
+        if live:
+            state.setTimeoutDuration(timeout_ms)
         if out:
             yield pd.DataFrame(out, columns=[f.name for f in WARN_OUT.fields])
 
     return watch
 
 
-def watchdog_stream(completions: DataFrame, timeout: float = NO_PROGRESS_TIMEOUT) -> DataFrame:
+def watchdog_stream(completions: DataFrame, timeout: float = NO_PROGRESS_TIMEOUT, live: bool = False) -> DataFrame:
     """``completions``: ``rollout_id, event_id, ts_seconds`` arriving in time
-    order per rollout.  State: one timestamp per rollout."""
+    order per rollout.  State: one timestamp per rollout.
+
+    Event time: each gap between consecutive completions reports the
+    warnings the collector would have logged.  ``live=True`` also arms a
+    processing-time timeout per rollout in the same processor: when no
+    completion arrives for ``timeout`` seconds of wall-clock time, one
+    warning row (no ``event_id``) is emitted and the timer restarts."""
+    mode = GroupStateTimeout.ProcessingTimeTimeout if live else GroupStateTimeout.NoTimeout
     return completions.groupBy("rollout_id").applyInPandasWithState(
-        _make_watch(timeout), WARN_OUT, WARN_STATE, "append", GroupStateTimeout.NoTimeout)
+        _make_watch(timeout, live), WARN_OUT, WARN_STATE, "append", mode)
 
 
 class WatchdogListener(StreamingQueryListener):

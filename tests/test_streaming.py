@@ -63,3 +63,35 @@ def test_results_append_is_exactly_once_across_restarts(spark):
     run_once()                                  # restart: only the new files are processed
     got = sorted(r.instance_id for r in spark.read.parquet(out).collect())
     assert got == sorted(r[1] for r in rows)
+
+
+def test_watchdog_processor_timeout_and_gaps():
+    import pandas as pd
+
+    class FakeState:
+        def __init__(self, value=None, timed_out=False):
+            self.value, self.hasTimedOut, self.timeout = value, timed_out, None
+
+        @property
+        def exists(self):
+            return self.value is not None
+
+        @property
+        def get(self):
+            return self.value
+
+        def update(self, v):
+            self.value = v
+
+        def setTimeoutDuration(self, ms):  # noqa: N802
+            self.timeout = ms
+
+    fn = WD._make_watch(30.0, live=True)
+    st = FakeState()
+    batch = pd.DataFrame({"rollout_id": [7, 7, 7], "event_id": [3, 1, 2], "ts_seconds": [100.0, 0.0, 40.0]})
+    out = list(fn((7,), iter([batch]), st))
+    assert out[0][["event_id", "warnings"]].values.tolist() == [[2, 1], [3, 1]]
+    assert st.value == (100.0,) and st.timeout == 30000
+    timed = FakeState((100.0,), timed_out=True)
+    warn = list(fn((7,), iter([]), timed))[0]
+    assert warn["warnings"].tolist() == [1] and warn["event_id"].isna().all() and timed.timeout == 30000
