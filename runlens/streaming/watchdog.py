@@ -92,7 +92,9 @@ def watchdog_stream(completions: DataFrame, timeout: float = NO_PROGRESS_TIMEOUT
     warnings the collector would have logged.  ``live=True`` also arms a
     processing-time timeout per rollout in the same processor: when no
     completion arrives for ``timeout`` seconds of wall-clock time, one
-    warning row (no ``event_id``) is emitted and the timer restarts."""
+    warning row (no ``event_id``) is emitted and the timer restarts.  Live
+    mode is for continuous (processing-time) triggers: armed timers keep an
+    ``availableNow`` query from finishing."""
     mode = GroupStateTimeout.ProcessingTimeTimeout if live else GroupStateTimeout.NoTimeout
     return completions.groupBy("rollout_id").applyInPandasWithState(
         _make_watch(timeout, live), WARN_OUT, WARN_STATE, "append", mode)

@@ -95,3 +95,19 @@ def test_watchdog_processor_timeout_and_gaps():
     timed = FakeState((100.0,), timed_out=True)
     warn = list(fn((7,), iter([]), timed))[0]
     assert warn["warnings"].tolist() == [1] and warn["event_id"].isna().all() and timed.timeout == 30000
+
+
+def test_watchdog_live_timer_fires_on_continuous_trigger(spark):
+    import time
+
+    base = scratch(spark, "wd-live")
+    rows = [(r % 3, i, float(i)) for i, r in enumerate(range(30))]
+    spark.createDataFrame(rows, "rollout_id bigint, event_id bigint, ts_seconds double").write.json(f"{base}/in")
+    s = spark.readStream.schema("rollout_id bigint, event_id bigint, ts_seconds double").json(f"{base}/in")
+    q = (WD.watchdog_stream(s, timeout=1.0, live=True).writeStream.outputMode("append").format("parquet")
+         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck")
+         .trigger(processingTime="500 milliseconds").start())
+    time.sleep(8)
+    q.stop()
+    out = spark.read.parquet(f"{base}/out")
+    assert out.where("event_id IS NULL").count() > 0
