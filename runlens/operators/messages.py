@@ -291,7 +291,10 @@ def answers_lines(df: DataFrame, text: str, key: str) -> DataFrame:
         key, "_li", py_strip(F.try_element_at(parts, F.lit(1))).alias("_file"),
         F.regexp_extract(nums_text, _VALID_PREFIX, 0).alias("_ok"), created.alias("_created"))
     empty = F.array().cast("array<string>")
-    arr = F.concat(F.when(F.col("_created"), F.array(F.lit(None).cast("string"))).otherwise(empty),
+    # the NULL marker is only needed when the line may add no number: no
+    # readable block, or a range that can be empty
+    marker = F.col("_created") & ((F.col("_ok") == "") | F.col("_ok").contains("-"))
+    arr = F.concat(F.when(marker, F.array(F.lit(None).cast("string"))).otherwise(empty),
                    F.when(F.col("_ok") != "", F.split("_ok", ",")).otherwise(empty))
     blocks = lines.select(key, "_li", "_file", F.posexplode(arr).alias("_bi", "_b"))
     ends = F.split(F.col("_b"), "-")
