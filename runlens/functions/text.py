@@ -40,16 +40,6 @@ def is_blank(c: Column) -> Column:
     return py_strip(F.coalesce(c, F.lit(""))) == ""
 
 
-def nonempty(c: Column) -> Column:
-    """Python truthiness of a string column, as a nullable string: '' -> NULL."""
-    return F.nullif(c, F.lit(""))
-
-
 def truthy_chain(*cols: Column) -> Column:
     """``a or b or c or ''``: empty strings and NULLs both fall through."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols], F.lit(""))
-
-
-def split_lines(c: Column) -> Column:
-    """Split text into lines on ``\\r?\\n`` (our documented line rule)."""
-    return F.split(c, r"\r?\n")

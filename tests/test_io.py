@@ -126,3 +126,18 @@ def test_run_partition_key(spark):
     df = spark.createDataFrame([("Qwen/Qwen3.5-397B A17B@x", "2026-01-02 03:04:05")], "m string, ts string")
     got = df.select(W.run_partition_key(F.col("m"), F.to_timestamp("ts"))).collect()[0][0]
     assert got == "Qwen3.5-397B_A17B_x_20260102_030405"
+
+
+def test_progress_stream_writer_and_lineage_cut(spark):
+    from runlens.session import cut_lineage
+    from runlens.streaming import streams as ST
+
+    base = scratch(spark, "prog-stream")
+    rows = [(i, f"I-{i % 3}", "passed", True, 1.0, None) for i in range(12)]
+    spark.createDataFrame(rows, ST.PROGRESS_STREAM_SCHEMA).write.json(f"{base}/in")
+    stream = ST.read_progress_stream(spark, f"{base}/in")
+    W.write_progress_stream(stream, f"{base}/out", f"{base}/ck").trigger(availableNow=True).start().awaitTermination()
+    back = RD.scan_progress(spark, f"{base}/out")
+    assert sorted(r.seq for r in back.collect()) == list(range(12))
+    cut = cut_lineage(back)
+    assert cut.count() == 12 and "Scan" not in cut._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]

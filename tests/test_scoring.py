@@ -1,6 +1,5 @@
 """Offline scoring: buckets, last-record-wins, empty patches, resume."""
 
-from pyspark.sql import functions as F
 
 from runlens.operators import scoring as S
 from runlens.plans import QUERIES

@@ -100,3 +100,11 @@ def test_analysis_report_one_pass_equals_separate_jobs(spark):
     assert {k: v for k, v in rep.items() if k != "overall"} == sep
     assert (rep["overall"]["total"], rep["overall"]["solved"], rep["overall"]["solved_rate"]) == (o.total, o.solved,
                                                                                                o.solved_rate)
+
+
+def test_tool_usage_wide_pivot(spark):
+    usage = spark.createDataFrame([(1, "bash", 2), (1, "editor", 1), (2, "bash", 3)],
+                                  "run_id long, tool_name string, n long")
+    got = {r.run_id: (r.bash, r.editor, r.finish) for r in
+           RS.tool_usage_wide(usage, ["bash", "editor", "finish"]).collect()}
+    assert got == {1: (2, 1, 0), 2: (3, 0, 0)}

@@ -116,3 +116,8 @@ def test_malformed_documents_are_counted_by_observe(spark):
     obs = Observation("junit")
     TL.junit_cases(d, observation=obs).collect()
     assert obs.get == {"rows": 3, "malformed": 2}
+
+
+def test_parse_test_id_array_list_form(spark):
+    df = spark.createDataFrame([([" a ", "", None, "b"],), ([],)], "ids array<string>")
+    assert [r[0] for r in df.select(TL.parse_test_id_array(F.col("ids"))).collect()] == [["a", "b"], []]
