@@ -11,11 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's str.isspace() set, as a Java (?U) character class.
-PY_WS_CLASS = r"[\s\x1c-\x1f]"
-
-# The same set as plain characters, generated from Python's own rule; the
-# character-set ``trim`` is a simple scan, much cheaper than a regex.
+# Python's str.isspace() set as plain characters, generated from Python's own
+# rule; the character-set ``trim`` is a simple scan, much cheaper than a regex.
 PY_WS_CHARS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
