@@ -44,22 +44,47 @@ def progress_latest_updates(stream: DataFrame) -> DataFrame:
 
 
 def start_progress_latest(stream: DataFrame, out: str, checkpoint: str, available_now: bool = True):
-    """Append each micro-batch's changed ids with the batch id; the current
-    view is the newest row per id (``latest_view``)."""
+    """Append each micro-batch's changed ids to an upsert log partitioned by
+    batch id; the current view is the newest row per id (``latest_view``).
+    A replayed batch rewrites rows with the same epoch, so the view is
+    unchanged (idempotent)."""
     def upsert(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch).cast("bigint")).write.mode("append").parquet(out)
+        batch.withColumn("epoch", F.lit(epoch).cast("bigint")).write.mode("append").partitionBy("epoch").parquet(out)
 
     w = (progress_latest_updates(stream).writeStream.outputMode("update").foreachBatch(upsert)
          .option("checkpointLocation", checkpoint))
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
-def latest_view(spark: SparkSession, out: str) -> DataFrame:
-    """Compacted view of the upsert log: the newest emitted row per id."""
-    log = spark.read.parquet(out)
+def latest_view(spark: SparkSession, out: str, snapshot: str | None = None) -> DataFrame:
+    """The newest emitted row per id.
+
+    With a ``snapshot`` written by ``compact_latest``, only log epochs after
+    the snapshot's are read (partition pruning on ``epoch``), so the read
+    stays proportional to the changes since the last compaction."""
+    log = spark.read.parquet(out).select("instance_id", "last", "epoch")
+    if snapshot is not None:
+        snap = spark.read.parquet(snapshot)
+        since = snap.agg(F.max("epoch")).collect()[0][0]
+        if since is not None:
+            log = log.where(F.col("epoch") > F.lit(since)).unionByName(snap.select("instance_id", "last", "epoch"))
     return log.groupBy("instance_id").agg(F.max_by("last", "epoch").alias("last")).select("instance_id", "last.*")
 
 
+def compact_latest(spark: SparkSession, out: str, snapshot: str, previous: str | None = None) -> None:
+    """Write the current view (with each row's epoch) as a new snapshot
+    folder; later reads pass it to ``latest_view``.  The upsert log's older
+    epoch partitions are no longer read and can be expired by retention."""
+    log = spark.read.parquet(out).select("instance_id", "last", "epoch")
+    if previous is not None:
+        prev = spark.read.parquet(previous)
+        since = prev.agg(F.max("epoch")).collect()[0][0]
+        if since is not None:
+            log = log.where(F.col("epoch") > F.lit(since)).unionByName(prev.select("instance_id", "last", "epoch"))
+    newest = log.groupBy("instance_id").agg(F.max_by(F.struct("last", "epoch"), "epoch").alias("r"))
+    newest.select("instance_id", "r.last", "r.epoch").write.mode("overwrite").parquet(snapshot)
+
+
 # ── live counters (complete mode over a 3-row state) ───────────────────────
 
 

@@ -111,3 +111,25 @@ def test_watchdog_live_timer_fires_on_continuous_trigger(spark):
     q.stop()
     out = spark.read.parquet(f"{base}/out")
     assert out.where("event_id IS NULL").count() > 0
+
+
+def test_latest_view_with_snapshot_compaction(spark):
+    base = scratch(spark, "compact")
+    schema = ST.PROGRESS_STREAM_SCHEMA
+    first = spark.createDataFrame([(i, f"I-{i % 4}", "failed", False, 1.0, None) for i in range(8)], schema)
+    second = spark.createDataFrame([(100 + i, f"I-{i % 2}", "passed", True, 1.0, None) for i in range(4)], schema)
+
+    def run():
+        ST.start_progress_latest(ST.read_progress_stream(spark, f"{base}/in"), f"{base}/log", f"{base}/ck") \
+            .awaitTermination()
+
+    first.write.mode("append").json(f"{base}/in")
+    run()
+    ST.compact_latest(spark, f"{base}/log", f"{base}/snap1")
+    second.write.mode("append").json(f"{base}/in")
+    run()
+    full = sorted((r.instance_id, r.seq) for r in ST.latest_view(spark, f"{base}/log").collect())
+    fast = sorted((r.instance_id, r.seq) for r in ST.latest_view(spark, f"{base}/log", f"{base}/snap1").collect())
+    assert full == fast == [("I-0", 102), ("I-1", 103), ("I-2", 6), ("I-3", 7)]
+    ST.compact_latest(spark, f"{base}/log", f"{base}/snap2", previous=f"{base}/snap1")
+    assert sorted((r.instance_id, r.seq) for r in ST.latest_view(spark, f"{base}/log", f"{base}/snap2").collect()) == full
