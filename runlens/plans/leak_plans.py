@@ -220,12 +220,18 @@ def q_summary_requests(spark, sf):
 
 EXTRA_RULES = [r".*rm -rf /.*", r".*git pull.*", r".*curl .*"]
 
+
+def _sql_list(items: list[str]) -> str:
+    """A DuckDB list literal of string constants."""
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]::VARCHAR[]"
+
+
 _BL_SQL = f""",
 bl AS (SELECT instance_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS ord, unnest(l) AS pattern FROM (
   SELECT instance_id, list_concat(
-    {[p for p in L.ALWAYS_BLOCKED]},
-    CASE WHEN search THEN []::VARCHAR[] ELSE {[p for p in L.NON_SEARCH_BLOCKED]} END,
-    {[p for p in EXTRA_RULES if p not in L.ALWAYS_BLOCKED]}::VARCHAR[],
+    {_sql_list(L.ALWAYS_BLOCKED)},
+    CASE WHEN search THEN []::VARCHAR[] ELSE {_sql_list(L.NON_SEARCH_BLOCKED)} END,
+    {_sql_list([p for p in EXTRA_RULES if p not in L.ALWAYS_BLOCKED])},
     CASE WHEN full_repo <> '' AND name <> '' THEN [
       concat('.*git\\s+clone\\s+.*', en, '.*'), concat('.*git\\s+fetch\\s+.*', en, '.*'),
       concat('.*github\\.io/', coalesce(eo, '[^/]+'), '/', en, '.*'),
@@ -234,11 +240,7 @@ bl AS (SELECT instance_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS ord
   FROM own))"""
 
 
-def _sql_list_fix(sql: str) -> str:
-    return sql.replace("\\\\", "\\")
-
-
-@register("effective_blocklist", _sql_list_fix(oracle_with("fx_instances") + ",\n" + _PARTS + _BL_SQL)
+@register("effective_blocklist", oracle_with("fx_instances") + ",\n" + _PARTS + _BL_SQL
           + "\nSELECT instance_id, ord, pattern FROM bl")
 def q_effective_blocklist(spark, sf):
     return L.effective_blocklist(_instances_with_repo(spark, sf), EXTRA_RULES)
@@ -257,7 +259,7 @@ _CMD = """CASE turn % 8
 
 @register(
     "block_commands",
-    _sql_list_fix(oracle_with("fx_instances") + ",\n" + _PARTS + _BL_SQL) + f""",
+    oracle_with("fx_instances") + ",\n" + _PARTS + _BL_SQL + f""",
 calls AS (SELECT concat('I-', CAST(conv_id AS VARCHAR)) AS instance_id, conv_id, turn, {_CMD} AS command
           FROM conversations)
 SELECT c.conv_id, c.turn, c.command,
