@@ -236,8 +236,10 @@ def block_commands(calls: DataFrame, blocklist: DataFrame, command: str = "comma
     """Adds ``blocked``: a rule of the call's instance ``re.match``-es the
     command (case-sensitive; ``.`` stops at newlines, so line 2 is unseen).
 
-    Each instance's rules are folded into one alternation, so the join is
-    one row per instance and the regex compiles once per instance run.
+    Each instance's rules are folded into one alternation, so the join
+    brings one pattern per instance; Spark reuses the compiled pattern while
+    consecutive rows carry the same one (calls arrive grouped by instance
+    after a sort-merge join).
     """
     folded = blocklist.groupBy(key).agg(
         F.concat(F.lit("(?dU)^(?:"),

@@ -72,7 +72,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never local)."""
+    """Reliable checkpoint (never ``localCheckpoint``) into the folder named
+    by ``spark.checkpoint.dir``."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

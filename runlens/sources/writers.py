@@ -47,7 +47,9 @@ def write_progress(records: DataFrame, path: str) -> None:
 
 
 def write_progress_stream(stream: DataFrame, path: str, checkpoint: str):
-    """Streaming form: each micro-batch is appended once (checkpointed)."""
+    """Streaming form: each micro-batch is appended (checkpointed).  A
+    replayed batch can append its records again; readers reduce by ``seq``
+    (``latest_progress``), so such duplicates do not change any result."""
     def append(batch: DataFrame, _epoch: int) -> None:
         batch.write.mode("append").json(path)
 

@@ -1,9 +1,10 @@
 """Structured Streaming jobs for the two append-driven paths: the evaluation
 progress log and the RL sample collector, plus the results append.
 
-All streams are checkpointed; a restarted or re-run query resumes from its
-checkpoint and never re-emits committed output (exactly-once sinks).  None
-of the outputs goes through the driver: sinks are files / per-batch appends.
+All streams are checkpointed and resume from their checkpoint.  File sinks
+are exactly-once; ``foreachBatch`` sinks are written so that a replayed batch
+changes nothing (an epoch-partitioned upsert log, a full overwrite for the
+counters).  None of the outputs goes through the driver.
 """
 
 from __future__ import annotations
