@@ -88,8 +88,8 @@ def q_stream_groups(spark, sf):
     landing, out, ckpt = _dirs(spark, "groups")
     _land(rows, "_wave", 3, landing)
     stream = spark.readStream.schema(ST.SAMPLE_STREAM_SCHEMA).option("maxFilesPerTrigger", 4).json(landing)
-    ST.start_groups(stream, out, ckpt).awaitTermination()
-    return spark.read.parquet(out).select("group_id", "route", "n_samples", "first_index", "n_aborted")
+    ST.start_groups_jvm(stream, out, ckpt).awaitTermination()
+    return ST.completed_groups(spark, out).select("group_id", "route", "n_samples", "first_index", "n_aborted")
 
 
 @register(

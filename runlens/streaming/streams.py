@@ -148,10 +148,48 @@ def complete_groups(stream: DataFrame) -> DataFrame:
 
 
 def start_groups(stream: DataFrame, out: str, checkpoint: str):
+    """Python-state form: ``complete_groups`` with a file sink."""
     return (complete_groups(stream).writeStream.outputMode("append").format("parquet")
             .option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def group_counters(stream: DataFrame) -> DataFrame:
+    """JVM form of the collector state: per group only counters (samples
+    seen, aborted, first index, expected size), as an update-mode streaming
+    aggregate."""
+    return stream.groupBy("group_id").agg(
+        F.count(F.lit(1)).alias("n_samples"),
+        F.count_if(F.col("status") == "aborted").alias("n_aborted"),
+        F.min("sample_index").alias("first_index"),
+        F.max("group_size").alias("group_size"),
+    )
+
+
+def start_groups_jvm(stream: DataFrame, out: str, checkpoint: str, available_now: bool = True):
+    """Emit each group once, in the micro-batch where its sample count
+    reaches the expected size (update mode emits changed groups; the sink
+    keeps those that just completed).  Route ``retry`` when any sample was
+    aborted.  Output rows carry the batch id; a replayed batch rewrites the
+    same rows, and readers keep one row per group (``completed_groups``)."""
+    def emit(batch: DataFrame, epoch: int) -> None:
+        done = batch.where(F.col("n_samples") == F.col("group_size")).select(
+            "group_id", F.when(F.col("n_aborted") > 0, F.lit("retry")).otherwise(F.lit("batch")).alias("route"),
+            "n_samples", "first_index", "n_aborted", F.lit(epoch).cast("bigint").alias("epoch"))
+        done.write.mode("append").partitionBy("epoch").parquet(out)
+
+    w = (group_counters(stream).writeStream.outputMode("update").foreachBatch(emit)
+         .option("checkpointLocation", checkpoint))
+    return (w.trigger(availableNow=True) if available_now else w).start()
+
+
+def completed_groups(spark: SparkSession, out: str) -> DataFrame:
+    """One row per completed group from ``start_groups_jvm``'s output."""
+    rows = spark.read.parquet(out)
+    first = rows.groupBy("group_id").agg(F.min_by(F.struct("route", "n_samples", "first_index", "n_aborted"),
+                                                  "epoch").alias("r"))
+    return first.select("group_id", "r.*")
+
+
 # ── results append (exactly once) ──────────────────────────────────────────
 
 RESULT_STREAM_SCHEMA = "run_id string, instance_id string, task string, score double, finish_reason string"

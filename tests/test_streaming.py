@@ -133,3 +133,22 @@ def test_latest_view_with_snapshot_compaction(spark):
     assert full == fast == [("I-0", 102), ("I-1", 103), ("I-2", 6), ("I-3", 7)]
     ST.compact_latest(spark, f"{base}/log", f"{base}/snap2", previous=f"{base}/snap1")
     assert sorted((r.instance_id, r.seq) for r in ST.latest_view(spark, f"{base}/log", f"{base}/snap2").collect()) == full
+
+
+def test_group_collectors_jvm_and_python_agree(spark):
+    base = scratch(spark, "groups")
+    rows = [(i // 4, i, "aborted" if i % 11 == 0 else "completed", 5, 4) for i in range(40)]
+    df = spark.createDataFrame(rows, ST.SAMPLE_STREAM_SCHEMA)
+    for k in range(3):
+        df.where(f"sample_index % 3 = {k}").write.mode("append").json(f"{base}/in")
+
+    def stream():
+        return spark.readStream.schema(ST.SAMPLE_STREAM_SCHEMA).option("maxFilesPerTrigger", 2).json(f"{base}/in")
+
+    ST.start_groups_jvm(stream(), f"{base}/jvm", f"{base}/ck1").awaitTermination()
+    ST.start_groups(stream(), f"{base}/py", f"{base}/ck2").awaitTermination()
+    jvm = sorted(tuple(r) for r in ST.completed_groups(spark, f"{base}/jvm").collect())
+    py = sorted(tuple(r) for r in spark.read.parquet(f"{base}/py").select(
+        "group_id", "route", "n_samples", "first_index", "n_aborted").collect())
+    assert jvm == py and len(jvm) == 10
+    assert spark.read.parquet(f"{base}/jvm").select("epoch").distinct().count() > 1
