@@ -34,7 +34,9 @@ def page_hits(hits: DataFrame, queries: DataFrame, num: int = DEFAULT_NUM, start
     q = active_queries(queries).select(query)
     page = hits.join(q, query, "left_semi").where(
         (F.col(position) >= start + 1) & (F.col(position) <= start + num))
-    kept = page.where(~F.col("blocked"))
+    # ``blocked`` is dropped from the output (always false here), so the rule
+    # regexes behind it run only in the filter
+    kept = page.where(~F.col("blocked")).drop("blocked")
     w = Window.partitionBy(query).orderBy(position)
     return kept.withColumn("rank", F.row_number().over(w).cast("bigint"))
 

@@ -300,6 +300,13 @@ def task_files(files: DataFrame, tests_dir: str = "tests") -> DataFrame:
                        F.base64("content").alias("content_b64"))
 
 
+def task_files_map(files: DataFrame) -> DataFrame:
+    """On-demand map form ``task_dir -> {"/tests/...": base64}`` of
+    ``task_files`` output; one map per task, bounded by the task's files."""
+    return files.groupBy("task_dir").agg(F.map_from_entries(F.array_sort(F.collect_list(
+        F.struct("key", "content_b64")))).alias("test_files"))
+
+
 def collect_task_files(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return task_files(files.select(F.regexp_replace("path", "^file:", "").alias("path"), "content"))

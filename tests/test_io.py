@@ -141,3 +141,10 @@ def test_progress_stream_writer_and_lineage_cut(spark):
     assert sorted(r.seq for r in back.collect()) == list(range(12))
     cut = cut_lineage(back)
     assert cut.count() == 12 and "Scan" not in cut._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
+
+
+def test_task_files_map(spark):
+    files = spark.createDataFrame([("/t/a/tests/x.py", b"1"), ("/t/a/tests/d/y.txt", b"2"), ("/t/b/tests/z", b"3"),
+                                   ("/t/a/solution.sh", b"4")], "path string, content binary")
+    got = {r.task_dir: r.test_files for r in RD.task_files_map(RD.task_files(files)).collect()}
+    assert got == {"/t/a": {"/tests/d/y.txt": "Mg==", "/tests/x.py": "MQ=="}, "/t/b": {"/tests/z": "Mw=="}}
