@@ -1,9 +1,13 @@
 """Queries for readers, writers and extension points.
 
-Readers: each parse job gets rows in the schema its Spark reader yields
-(``value`` lines, whole-text documents, ``(path, content)`` files), made from
-the driver tables.  Writers: the rows are written with the library writer
-into the shared scratch folder (``spark.checkpoint.dir``) and read back.
+Readers: the stand-in lines / documents made from the driver tables are
+written with Spark's text writer into the shared scratch folder
+(``spark.checkpoint.dir``) and the library's ``scan_*`` reader runs on those
+files.  Two readers need file names Spark's writers cannot produce
+(``task.toml`` / ``instruction.md`` folders, one search payload per file);
+their queries feed the parse job rows in the exact schema the reader yields
+(``(path, content)``, ``(key, payload)``).  Writers: rows are written with
+the library writer into the scratch folder and read back.
 """
 
 from __future__ import annotations
@@ -30,6 +34,15 @@ def _scratch(spark, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def _text_files(spark, lines, name: str, partition: str | None = None) -> str:
+    """Write a ``value`` column as text files (optionally one folder per
+    ``partition`` value) and return the folder."""
+    path = _scratch(spark, name)
+    w = lines.repartition(partition).write.partitionBy(partition) if partition else lines.write
+    w.mode("overwrite").text(path)
+    return path
+
+
 # ── instances ──────────────────────────────────────────────────────────────
 
 INSTANCE_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in (
@@ -42,7 +55,7 @@ def q_scan_instances(spark, sf):
     inst = fixture(spark, sf, "fx_instances")
     lines = inst.select(F.to_json(F.struct(*inst.columns)).alias("value")).unionByName(
         inst.where(F.col("instance_id").endswith("7")).select(F.lit("   ").alias("value")))
-    return RD.parse_instance_lines(lines, INSTANCE_SCHEMA, keep_raw=False)
+    return RD.scan_instances(spark, _text_files(spark, lines, "instances"), INSTANCE_SCHEMA, keep_raw=False)
 
 
 # ── predictions ────────────────────────────────────────────────────────────
@@ -66,9 +79,7 @@ def _prediction_lines(spark, sf, dirty: bool):
 
 @register("scan_predictions", oracle_with("fx_predictions") + "\nSELECT * FROM fx_predictions")
 def q_scan_predictions(spark, sf):
-    preds = RD.parse_prediction_lines(_prediction_lines(spark, sf, dirty=False))
-    RD.check_predictions(preds)
-    return preds.drop("keys")
+    return RD.scan_predictions(spark, _text_files(spark, _prediction_lines(spark, sf, dirty=False), "predictions"))
 
 
 @register(
@@ -110,7 +121,7 @@ FROM fx_progress WHERE seq % 37 <> 0"""
 
 @register("scan_progress", oracle_with("fx_progress") + _PROGRESS_ORACLE)
 def q_scan_progress(spark, sf):
-    return RD.parse_progress_lines(_progress_lines(spark, sf))
+    return RD.scan_progress(spark, _text_files(spark, _progress_lines(spark, sf), "progress-log"))
 
 
 @register("write_progress", oracle_with("fx_progress") + _PROGRESS_ORACLE)
@@ -133,10 +144,11 @@ SELECT regexp_extract({_RUN_DIR}, '[^/]+$') AS run_id, instance_id, CAST(NULL AS
   CAST(NULL AS BOOLEAN) AS success, score, CAST(NULL AS VARCHAR) AS error, finish_reason FROM fx_results""",
 )
 def q_scan_results(spark, sf):
+    # one folder per run (Spark's partitioned writer names it run=<run id>)
     res = fixture(spark, sf, "fx_results")
     lines = res.select(F.to_json(F.struct(*res.columns)).alias("value"),
-                       F.concat(F.expr(_RUN_DIR), F.lit("/results.jsonl")).alias("file_path"))
-    return RD.parse_result_lines(lines)
+                       F.regexp_extract(F.expr(_RUN_DIR), "[^/]+$", 0).alias("run"))
+    return RD.scan_results(spark, _text_files(spark, lines, "results-runs", partition="run"), pattern="*/*.txt")
 
 
 def _runs(spark, sf):
@@ -207,7 +219,7 @@ def _traj_out(steps):
 def q_scan_trajectories(spark, sf):
     recs = _trajectory_records(spark, sf).where(F.col("trajectory").isNotNull()).drop("run_key")
     lines = recs.select(F.to_json(F.struct(*recs.columns)).alias("value"))
-    return _traj_out(RD.trajectory_steps(RD.parse_trajectory_lines(lines)))
+    return _traj_out(RD.trajectory_steps(RD.scan_trajectories(spark, _text_files(spark, lines, "trajectory-log"))))
 
 
 @register("write_trajectories", _TRAJ_ORACLE)
@@ -285,7 +297,10 @@ def q_scan_id_list(spark, sf):
     lists = docs.groupBy("list_id").agg(F.array_sort(F.collect_list(F.struct(
         "doc_id", F.concat(F.lit("I-"), F.col("doc_id").cast("string")).alias("id")))).alias("_l"))
     text = lists.select("list_id", F.to_json(F.transform("_l", lambda x: x["id"])).alias("value"))
-    return RD.parse_id_lists(text)
+    # one id-list document per file (one folder per list)
+    ids = RD.scan_id_list(spark, f"{_text_files(spark, text, 'id-lists', partition='list_id')}/*/*.txt")
+    return ids.select(F.regexp_extract("list_id", r"list_id=(\d+)", 1).cast("bigint").alias("list_id"),
+                      "pos", "instance_id")
 
 
 _HIT = "named_struct('position', page_id % 9, 'title', regexp_extract(html, '<title>([^<]*)</title>', 1), " \

@@ -177,14 +177,15 @@ RESULT_SCHEMA = T.StructType([
 
 def parse_result_lines(lines: DataFrame, path_col: str = "file_path") -> DataFrame:
     """``results.jsonl`` rows of many run folders; the run id is the name of
-    the folder holding the file."""
+    the folder holding the file (a Hive-style ``key=`` prefix is dropped)."""
+    folder = F.regexp_extract(F.col(path_col), r"([^/]+)/[^/]+$", 1)
     rows = _nonblank(lines).select(F.from_json(py_strip(F.col("value")), RESULT_SCHEMA).alias("r"),
-                                   F.regexp_extract(F.col(path_col), r"([^/]+)/[^/]+$", 1).alias("run_id"))
+                                   F.regexp_replace(folder, r"^[^=/]*=", "").alias("run_id"))
     return rows.select("run_id", "r.*")
 
 
-def scan_results(spark: SparkSession, root: str) -> DataFrame:
-    lines = spark.read.text(f"{root}/*/results.jsonl").select("value", F.col("_metadata.file_path").alias("file_path"))
+def scan_results(spark: SparkSession, root: str, pattern: str = "*/results.jsonl") -> DataFrame:
+    lines = spark.read.text(f"{root}/{pattern}").select("value", F.col("_metadata.file_path").alias("file_path"))
     return parse_result_lines(lines)
 
 
