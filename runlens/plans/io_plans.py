@@ -4,9 +4,9 @@ Readers: the stand-in lines / documents made from the driver tables are
 written with Spark's text writer into the shared scratch folder
 (``spark.checkpoint.dir``) and the library's ``scan_*`` reader runs on those
 files.  Two readers need file names Spark's writers cannot produce
-(``task.toml`` / ``instruction.md`` folders, one search payload per file);
-their queries feed the parse job rows in the exact schema the reader yields
-(``(path, content)``, ``(key, payload)``).  Writers: rows are written with
+(``task.toml`` / ``instruction.md`` folders); their queries feed the parse
+job rows in the exact schema the ``binaryFile`` reader yields
+(``(path, content)``).  Writers: rows are written with
 the library writer into the scratch folder and read back.
 """
 
@@ -333,7 +333,11 @@ def _payloads(spark, sf):
 FROM pages""",
 )
 def q_scan_search_hits(spark, sf):
-    hits = RD.parse_search_payloads(_payloads(spark, sf))
+    # stand-in search-call log: one {"query_id", "response"} line per call
+    log = _payloads(spark, sf).select(F.to_json(F.struct(F.col("query_id").cast("string").alias("query_id"),
+                                                         F.col("payload").alias("response"))).alias("value"))
+    hits = RD.scan_search_log(spark, _text_files(spark, log, "search-log")).withColumn(
+        "query_id", F.col("query_id").cast("bigint"))
     return hits.select("query_id", F.col("item_pos").cast("int").alias("item_pos"),
                        F.col("position").cast("int").alias("position"), "title", "url", "description",
                        F.size("snippets").alias("n_snippets"))

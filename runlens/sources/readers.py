@@ -377,3 +377,13 @@ def scan_search_hits(spark: SparkSession, path: str) -> DataFrame:
     docs = spark.read.option("wholetext", "true").text(path).select(
         F.col("_metadata.file_path").alias("query_id"), F.col("value").alias("payload"))
     return parse_search_payloads(docs)
+
+
+def scan_search_log(spark: SparkSession, path: str, key: str = "query_id") -> DataFrame:
+    """A log of search calls: one JSON object per line with the call's key
+    and the raw ``response`` text (any payload shape), parsed like
+    ``scan_search_hits``."""
+    lines = _nonblank(spark.read.text(path))
+    recs = lines.select(F.from_json(F.col("value"), f"{key} string, response string").alias("r"))
+    return parse_search_payloads(recs.select(F.col(f"r.{key}").alias(key), F.col("r.response").alias("payload")),
+                                 keys=(key,))

@@ -148,3 +148,11 @@ def test_task_files_map(spark):
                                    ("/t/a/solution.sh", b"4")], "path string, content binary")
     got = {r.task_dir: r.test_files for r in RD.task_files_map(RD.task_files(files)).collect()}
     assert got == {"/t/a": {"/tests/d/y.txt": "Mg==", "/tests/x.py": "MQ=="}, "/t/b": {"/tests/z": "Mw=="}}
+
+
+def test_search_log_reader(spark):
+    p = scratch(spark, "search-log/log.jsonl")
+    _write(p, [json.dumps({"query_id": "q1", "response": json.dumps({"organic": [{"title": "t", "link": "l"}]})}),
+               json.dumps({"query_id": "q2", "response": "plain text"}), ""])
+    got = sorted((r.query_id, r.title, r.url, r.description) for r in RD.scan_search_log(spark, p).collect())
+    assert got == [("q1", "t", "l", ""), ("q2", "", "", "plain text")]
