@@ -287,12 +287,12 @@ def q_collect_task_files(spark, sf):
 
 @register(
     "scan_id_list",
-    """SELECT CAST(floor(doc_id / 20) AS BIGINT) AS list_id,
-  CAST(row_number() OVER (PARTITION BY floor(doc_id / 20) ORDER BY doc_id) - 1 AS INTEGER) AS pos,
+    """SELECT CAST(floor(doc_id / 500) AS BIGINT) AS list_id,
+  CAST(row_number() OVER (PARTITION BY floor(doc_id / 500) ORDER BY doc_id) - 1 AS INTEGER) AS pos,
   concat('I-', CAST(doc_id AS VARCHAR)) AS instance_id FROM documents""",
 )
 def q_scan_id_list(spark, sf):
-    docs = read_table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 20).cast("bigint").alias("list_id"),
+    docs = read_table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 500).cast("bigint").alias("list_id"),
                                                      "doc_id")
     lists = docs.groupBy("list_id").agg(F.array_sort(F.collect_list(F.struct(
         "doc_id", F.concat(F.lit("I-"), F.col("doc_id").cast("string")).alias("id")))).alias("_l"))
