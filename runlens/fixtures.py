@@ -78,7 +78,8 @@ FROM {conversations} GROUP BY conv_id""",
     # One JUnit XML document per agent step (some wrapped in <testsuites>, one
     # unreadable document per 50 runs) and one expected test id per step in
     # one of four spellings.  The plain columns next to the XML are what the
-    # document encodes; only the oracle reads them.
+    # document encodes; only the oracle reads them.  Both use the same inner
+    # subquery, so a plan that builds both shares its shuffle and sort.
     "fx_junit": """
 SELECT run_id, step AS doc_pos, ln, flag, tax, disc,
   CASE WHEN run_id % 50 = 0 AND step = 0 THEN 'not xml at all'
@@ -101,7 +102,7 @@ SELECT run_id, step AS pos, CASE step % 4
 FROM (SELECT l_orderkey AS run_id,
         row_number() OVER (PARTITION BY l_orderkey
                            ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS step,
-        l_linenumber AS ln, l_returnflag AS flag FROM {lineitem}) t""",
+        l_linenumber AS ln, l_returnflag AS flag, l_tax AS tax, l_discount AS disc FROM {lineitem}) t""",
     # Search hits of the first instances' runs: repo URLs on github, gitlab
     # and raw hosts in several spellings, next to ordinary page URLs.
     "fx_hits": """
