@@ -308,22 +308,24 @@ def expected_test_coverage(matched: DataFrame, expected: DataFrame, cases: DataF
                            run: str = "run_id") -> DataFrame:
     """Per run: expected / matched / unmatched counts and the verdict
     ``all_passed = some matched ∧ all matched passed ∧ none unmatched``; a
-    run with an unreadable XML document is not passed."""
-    m = matched.groupBy(run).agg(
-        F.count(F.lit(1)).cast("bigint").alias("total_matched"),
-        F.bool_and(F.col("status") == "passed").alias("_all_ok"),
-    )
-    e = expected.join(matched.select(run, F.col("expected_id").alias("test_id"), F.lit(1).alias("_hit")),
-                      [run, "test_id"], "left")
-    e = e.groupBy(run).agg(
+    run with an unreadable XML document is not passed.
+
+    Every matched id is one of the run's expected ids, so both the matched
+    and the unmatched counts come from one ``expected ⟕ matched`` join; the
+    matching pipeline is consumed once."""
+    j = expected.select(run, "test_id").join(
+        matched.select(run, F.col("expected_id").alias("test_id"), "status"), [run, "test_id"], "left")
+    hit = F.col("status").isNotNull()
+    e = j.groupBy(run).agg(
         F.count(F.lit(1)).cast("bigint").alias("total_expected"),
-        F.count_if(F.col("_hit").isNull()).cast("bigint").alias("unmatched"),
+        F.count_if(~hit).cast("bigint").alias("unmatched"),
+        F.count_distinct(F.when(hit, F.col("test_id"))).cast("bigint").alias("total_matched"),
+        F.bool_and(F.when(hit, F.col("status") == "passed")).alias("_all_ok"),
     )
     bad = cases.groupBy(run).agg(F.bool_or(F.col("status") == "xml_error").alias("xml_error"))
-    out = e.join(m, run, "left").join(bad, run, "left")
+    out = e.join(bad, run, "left")
     return out.select(
-        run, "total_expected", F.coalesce("total_matched", F.lit(0).cast("bigint")).alias("total_matched"),
-        "unmatched",
-        ((F.coalesce("total_matched", F.lit(0)) > 0) & F.coalesce("_all_ok", F.lit(False))
+        run, "total_expected", "total_matched", "unmatched",
+        ((F.col("total_matched") > 0) & F.coalesce("_all_ok", F.lit(False))
          & (F.col("unmatched") == 0) & ~F.coalesce("xml_error", F.lit(False))).alias("all_passed"),
-    )
+    )
\ No newline at end of file
