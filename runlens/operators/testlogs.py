@@ -328,4 +328,4 @@ def expected_test_coverage(matched: DataFrame, expected: DataFrame, cases: DataF
         run, "total_expected", "total_matched", "unmatched",
         ((F.col("total_matched") > 0) & F.coalesce("_all_ok", F.lit(False))
          & (F.col("unmatched") == 0) & ~F.coalesce("xml_error", F.lit(False))).alias("all_passed"),
-    )
\ No newline at end of file
+    )
