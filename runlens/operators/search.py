@@ -54,28 +54,36 @@ def _entry(fields: list[str]) -> Column:
         "\n"))
 
 
-def format_hits(ranked: DataFrame, counts: DataFrame, queries: DataFrame, fields: list[str] | None = None,
-                query: str = "query_id", text: str = "query") -> DataFrame:
+def format_hits(hits: DataFrame, queries: DataFrame, num: int = DEFAULT_NUM, start: int = DEFAULT_START,
+                fields: list[str] | None = None, query: str = "query_id", text: str = "query",
+                position: str = "position") -> DataFrame:
     """One text block per non-blank query: header, optional filtered-count
-    warning, then numbered entries or ``No results found.``.
+    warning, then the page's unblocked hits numbered 1..n, or ``No results
+    found.``  ``hits`` carry a ``blocked`` flag.
 
-    ``ranked`` is ``page_hits`` output, ``counts`` has ``n_blocked`` per query.
-    List-valued fields are space-joined before printing.
-    """
+    One pass over the page: a running count of unblocked hits (one window
+    partitioned by query) numbers the entries, and a single aggregation on
+    the same partitioning collects them and counts the blocked ones, so the
+    flags are evaluated once.  List-valued fields are space-joined."""
     fields = fields or RESULT_SCHEME
-    cols = ranked.columns
-    rk = ranked
+    cols = hits.columns
+    q = active_queries(queries).select(query)
+    page = hits.join(q, query, "left_semi").where((F.col(position) >= start + 1) & (F.col(position) <= start + num))
     for f in fields:
-        if f in cols and dict(ranked.dtypes)[f].startswith("array"):
-            rk = rk.withColumn(f, F.array_join(F.transform(F.col(f), lambda v: v.cast("string")), " "))
+        if f in cols and dict(hits.dtypes)[f].startswith("array"):
+            page = page.withColumn(f, F.array_join(F.transform(F.col(f), lambda v: v.cast("string")), " "))
+    w = Window.partitionBy(query).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    page = page.withColumn("rank", F.sum(F.when(~F.col("blocked"), 1).otherwise(0)).over(w).cast("bigint"))
     present = [f for f in fields if f in cols]
-    entries = rk.select(query, "rank", _entry(present).alias("entry")).where(F.col("entry").isNotNull())
-    agg = entries.groupBy(query).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "entry"))), lambda e: e["entry"]),
-                     "\n").alias("_body"),
-        F.count(F.lit(1)).alias("_n"))
-    q = active_queries(queries).select(query, text).join(counts.select(query, "n_blocked"), query, "left")
-    out = q.join(agg, query, "left")
+    entry = F.when(~F.col("blocked"), _entry(present))
+    agg = page.groupBy(query).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(entry.isNotNull(), F.struct(F.col("rank"),
+                                                                                                 entry.alias("e"))))),
+                                 lambda x: x["e"]), "\n").alias("_body"),
+        F.count_if(entry.isNotNull()).alias("_n"),
+        F.count_if(F.col("blocked")).alias("n_blocked"),
+    )
+    out = active_queries(queries).select(query, text).join(agg, query, "left")
     warn = F.when(F.coalesce(F.col("n_blocked"), F.lit(0)) > 0, F.concat(
         F.lit("WARNING: "), F.col("n_blocked").cast("string"), F.lit(" result(s) filtered by security constraints.")))
     head = F.filter(F.array(F.concat(F.lit("Search results for: "), F.col(text)), warn), lambda x: x.isNotNull())

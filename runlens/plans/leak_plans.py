@@ -137,10 +137,8 @@ FROM aq LEFT JOIN cnt ON aq.query_id = cnt.query_id LEFT JOIN body ON aq.query_i
 )
 def q_format_hits(spark, sf):
     hits, queries = _search_inputs(spark, sf)
-    page = hits.join(SR.active_queries(queries).select("query_id"), "query_id", "left_semi").where(
-        F.col("position").between(_START + 1, _START + _NUM))
-    ranked = SR.page_hits(hits, queries, num=_NUM, start=_START)
-    return SR.format_hits(ranked.select("query_id", "rank", "title", "url"), L.blocked_counts(page), queries)
+    return SR.format_hits(hits.select("query_id", "position", "title", "url", "blocked"), queries,
+                          num=_NUM, start=_START)
 
 
 # ── pages ──────────────────────────────────────────────────────────────────

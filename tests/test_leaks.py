@@ -110,9 +110,7 @@ def test_search_block_formatting(spark):
                                  "query_id long, position long, title string, url string")
     flagged = L.filter_hits(hits, {"url": url_rules})
     queries = spark.createDataFrame([(1, "django bug"), (2, "only blocked"), (3, "   ")], "query_id long, query string")
-    ranked = SR.page_hits(flagged, queries)
-    text = {r.query_id: r.text for r in SR.format_hits(ranked.select("query_id", "rank", "title", "url"),
-                                                       L.blocked_counts(flagged), queries).collect()}
+    text = {r.query_id: r.text for r in SR.format_hits(flagged, queries).collect()}
     assert set(text) == {1, 2}
     assert "SO Answer" in text[1] and "Repo PR" not in text[1] and "1 result(s) filtered" in text[1]
     assert text[1].startswith("Search results for: django bug\nWARNING") and "[1]\n  title: SO Answer" in text[1]
