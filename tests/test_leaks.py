@@ -129,3 +129,8 @@ def test_blocklist_modes_on_commands(spark):
     assert got[("s", "git clone https://github.com/test/repo")] is False
     assert got[("n", "git clone https://github.com/test/repo")] is True
     assert got[("s", "git log --all")] and got[("n", "forbidden command")]
+
+
+def test_blocked_counts(spark):
+    hits = spark.createDataFrame([(1, True), (1, False), (2, False)], "query_id long, blocked boolean")
+    assert sorted(tuple(r) for r in L.blocked_counts(hits).collect()) == [(1, 1, 1), (2, 1, 0)]
