@@ -275,9 +275,10 @@ def answers_lines(df: DataFrame, text: str, key: str) -> DataFrame:
 
     A file is listed as soon as a line reaches it -- unless the line's first
     block is a malformed range (not exactly one ``-``) -- even if no number
-    follows; such a line contributes one row with ``line_no`` NULL, so a
-    per-file ``collect_list`` gives ``[]`` as the reference's ``defaultdict``
-    does.
+    follows.  A reaching line that may add no number (no readable block, or
+    a range, which can be empty) also contributes one row with ``line_no``
+    NULL, so a per-file ``collect_list`` of the non-NULL numbers gives
+    ``[]`` for such files, as the reference's ``defaultdict`` does.
 
     The readable prefix of each line is found with one regex; blocks and
     numbers are then plain string splits and explodes (no array lambdas)."""
