@@ -34,6 +34,8 @@ def valid_response(content: Column, n_tool_calls: Column, finish_reason: Column)
     return has & (F.coalesce(finish_reason, F.lit("")) != "length")
 
 
+# Fixed values of the reference: the XML tool-call tags (as Java patterns;
+# ``(?s)`` is Python's DOTALL).
 _FUNCTION = r"(?s)<function=([^>]+)>\n?(.*?)</function>"
 _PARAM = r"(?s)<parameter=([^>]+)>(.*?)</parameter>"
 

@@ -26,7 +26,8 @@ PYTEST_LABELS = {
     "deselected": "deselected",
 }
 COUNTERS = ("passed", "failed", "errors", "skipped", "warnings", "xfailed", "xpassed", "deselected")
-# A line is a summary line when it has "N passed|failed|error(s)|skipped|xfailed|xpassed".
+# Fixed values of the reference: a summary line has "N passed|failed|error(s)|
+# skipped|xfailed|xpassed"; counts are "N label" pairs; the success marker.
 SUMMARY_LINE = r"(?U)\d+\s+(?:passed|failed|errors?|skipped|xfailed|xpassed)\b"
 # The same test as one multi-line scan: whole lines (``.`` and ``$`` stop at
 # ``\n`` only) whose gap between number and label stays on the line.
