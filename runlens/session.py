@@ -62,13 +62,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     (local tests) do we create a private scratch folder and register it.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
+    if not current:
+        current = tempfile.mkdtemp(prefix="runlens-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", current)
+    try:  # RDD checkpoint folder for DataFrame.checkpoint (absent under Spark Connect)
         spark.sparkContext.setCheckpointDir(current)
-        return current
-    local = tempfile.mkdtemp(prefix="runlens-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    except Exception:  # noqa: BLE001
+        pass
+    return current
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
