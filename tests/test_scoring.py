@@ -12,6 +12,8 @@ def test_flagship_counts_match_published_fixture_numbers(spark):
     assert got == {"empty_patch": 25, "error": 119, "incomplete": 49, "resolved": 5, "unresolved": 2}
     got = dict(rows(QUERIES["bucket_report"](spark, SF_MID)))
     assert got == {"empty_patch": 120, "error": 583, "incomplete": 247, "resolved": 38, "unresolved": 12}
+    got = dict(rows(QUERIES["bucket_report"](spark, "/root/testdata/sf0.1")))
+    assert got == {"empty_patch": 1213, "error": 5747, "incomplete": 2471, "resolved": 379, "unresolved": 190}
 
 
 def test_flagship_is_partitioning_invariant(spark):
