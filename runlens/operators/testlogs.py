@@ -200,6 +200,12 @@ def parse_test_id_array(raw: Column) -> Column:
     return F.transform(F.filter(raw, lambda x: x.isNotNull() & (x != "")), lambda x: py_strip(x))
 
 
+def all_expected_tests(f2p: Column, p2p: Column) -> Column:
+    """FAIL_TO_PASS ids then PASS_TO_PASS ids, duplicates kept (each field is
+    parsed with ``parse_test_ids``)."""
+    return F.concat(parse_test_ids(f2p), parse_test_ids(p2p))
+
+
 def _strip_dots(c: Column) -> Column:
     """``str.strip('.')``."""
     return F.trim(c, F.lit("."))

@@ -206,7 +206,7 @@ FROM (SELECT conv_id, turn, ids, generate_subscripts(ids, 1) AS i FROM a)""",
 )
 def q_all_expected_tests(spark, sf):
     conv = read_table(spark, sf, "conversations")
-    both = F.concat(TL.parse_test_ids(F.expr(_IDS_SRC)), TL.parse_test_ids(F.expr(_P2P_SRC)))
+    both = TL.all_expected_tests(F.expr(_IDS_SRC), F.expr(_P2P_SRC))
     return conv.select("conv_id", "turn", F.posexplode(both).alias("pos", "test_id"))
 
 
