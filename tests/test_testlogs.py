@@ -121,3 +121,9 @@ def test_malformed_documents_are_counted_by_observe(spark):
 def test_parse_test_id_array_list_form(spark):
     df = spark.createDataFrame([([" a ", "", None, "b"],), ([],)], "ids array<string>")
     assert [r[0] for r in df.select(TL.parse_test_id_array(F.col("ids"))).collect()] == [["a", "b"], []]
+
+
+def test_all_expected_tests_keeps_order_and_duplicates(spark):
+    df = spark.createDataFrame([('["a", "b"]', '["b"]'), ("", "c"), (None, None)], "f string, p string")
+    got = [r[0] for r in df.select(TL.all_expected_tests(F.col("f"), F.col("p"))).collect()]
+    assert got == [["a", "b", "b"], ["c"], []]
