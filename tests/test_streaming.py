@@ -152,3 +152,19 @@ def test_group_collectors_jvm_and_python_agree(spark):
         "group_id", "route", "n_samples", "first_index", "n_aborted").collect())
     assert jvm == py and len(jvm) == 10
     assert spark.read.parquet(f"{base}/jvm").select("epoch").distinct().count() > 1
+
+
+def test_watchdog_gap_rule_against_loop_simulation():
+    # collector loop at millisecond ticks: warn once more than `timeout` passed
+    # since the last completion or warning, then restart the timer
+    import random
+
+    rnd = random.Random(5)
+    for _ in range(200):
+        timeout = rnd.choice([1.0, 2.5, 30.0])
+        gap_ms = rnd.randint(0, int(timeout * 1000 * 5))
+        mark, warned = 0, 0
+        for now in range(1, gap_ms):
+            if now - mark > timeout * 1000:
+                warned, mark = warned + 1, now
+        assert WD.warnings_in_gap(gap_ms / 1000, timeout) == warned, (gap_ms, timeout)
