@@ -5,24 +5,58 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from runlens.llm import syncmers, winnowing
+from runlens.llm import hd_langid, jaccard_join, lz_dedup, piece_codec, secret_scan, syncmers, winnowing
 from runlens.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _fold(modulus: int, held: int) -> F.Column:
+    """True on the rows whose label may not be learned from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == held, F.lit(True))
+
+
 def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_fingerprints(documents(spark, sf_dir))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(documents(spark, sf_dir))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_dedup.dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_codec.encode_documents(documents(spark, sf_dir), piece_codec.load_vocabulary(spark))
+    return coded.select("doc_id", "ids", "n_tokens", F.sha2("decoded", 256).alias("decoded_sha256"), "round_trip")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", _fold(4, 2))
+    return hd_langid.predict(docs, hd_langid.prototypes(docs.filter("NOT held_out")))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return winnowing.decontaminate(documents(spark, sf_dir), items).drop("hit_spans")
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(documents(spark, sf_dir))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 QUERIES: dict[str, Query] = {
     "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op7_language_id": op7_language_id,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_secret_scans": op10_secret_scans,
 }
 ORACLE: dict[str, str] = {}
