@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from runlens.llm.common import gram_hash, index_range, let
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: everything between words; A-Z is inside words and folded afterwards
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPAN = 10
 GRAM = 5
@@ -30,13 +31,18 @@ _POS_MASK = (1 << _POS_BITS) - 1
 
 
 def words(text: Column) -> Column:
-    """The words of a text; null has none."""
-    folded = F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
-    return F.regexp_extract_all(folded, F.lit(WORD), F.lit(0))
+    """The words of a text, their case unchanged; null has none."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")
+
+
+def _folded(word: Column) -> Column:
+    """A-Z lower-cased.  ``lower`` does just that for words of ASCII letters;
+    the slower ``translate`` is for words with others."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, UPPER, UPPER.lower()))
 
 
 def _word_hashes(text: Column) -> Column:
-    return F.transform(words(text), lambda w: F.xxhash64(w))
+    return F.transform(words(text), lambda w: F.xxhash64(_folded(w)))
 
 
 def _ranked_grams(h: Column) -> Column:
