@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import hd_langid, jaccard_join, lz_dedup, piece_codec, secret_scan, syncmers, winnowing
+from runlens.llm import crf_toxicity, hd_langid, jaccard_join, lz_dedup, nbsvm, oracles, piece_codec, secret_scan, syncmers, winnowing
 from runlens.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def _fold(modulus: int, held: int) -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == held, F.lit(True))
 
 
+def _labels(spark: SparkSession, sf_dir: str, column: str, modulus: int, held: int) -> DataFrame:
+    """The labels that may be learned from, as (doc_id, label)."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~_fold(modulus, held)).select("doc_id", F.col(column).alias("label"))
+
+
 def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_fingerprints(documents(spark, sf_dir))
 
@@ -35,11 +40,21 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "ids", "n_tokens", F.sha2("decoded", 256).alias("decoded_sha256"), "round_trip")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", _fold(3, 1))
+    return nbsvm.score(docs, nbsvm.fit(docs.filter("NOT held_out"), _labels(spark, sf_dir, "quality", 3, 1)))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumn("held_out", _fold(4, 2))
     return hd_langid.predict(docs, hd_langid.prototypes(docs.filter("NOT held_out")))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", _fold(5, 0))
+    return crf_toxicity.score(docs, crf_toxicity.fit(docs.filter("NOT held_out"), _labels(spark, sf_dir, "toxic", 5, 0)))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return winnowing.decontaminate(documents(spark, sf_dir), items).drop("hit_spans")
@@ -55,8 +70,14 @@ QUERIES: dict[str, Query] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_language_id": op7_language_id,
+    "op8_toxicity": op8_toxicity,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_secret_scans": op10_secret_scans,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_ngram_jaccard_join": oracles.JACCARD,
+    "op3_substring_dedup": oracles.DEDUP,
+    "op9_benchmark_decontamination": oracles.DECONTAMINATION,
+}

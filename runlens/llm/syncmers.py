@@ -106,12 +106,9 @@ def successors(keys: DataFrame) -> DataFrame:
     placed = keys.repartitionByRange(n, "id", "row_hash").withColumn("part", F.spark_partition_id()).checkpoint()
     key = F.struct("id", "row_hash")
     heads = placed.groupBy("part").agg(F.min(key).alias("head"))
-    first = heads.agg(F.min("head").alias("first"))
-    following = (
-        heads.withColumn("follow", F.lead("head").over(Window.orderBy("part")))  # one row per partition
-        .crossJoin(F.broadcast(first))  # one row
-        .select("part", F.coalesce("follow", "first").alias("follow"))
-    )
+    over_parts = Window.orderBy("part")  # one row per partition
+    everything = over_parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    following = heads.select("part", F.coalesce(F.lead("head").over(over_parts), F.first("head").over(everything)).alias("follow"))
     within = Window.partitionBy("part").orderBy("id", "row_hash")
     return (
         placed.withColumn("next", F.lead(key).over(within))
