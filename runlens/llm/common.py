@@ -50,6 +50,16 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: ids up to this number are sent to every task, more are shuffled
+BROADCAST_IDS = 500_000
+
+
+def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` joined with a table of ``doc_id`` and other columns; the table
+    is broadcast only after its rows have been counted."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id")
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list[tuple]], list[tuple]]], schema: str, chunk: int = 256) -> DataFrame:
     """``mapInArrow`` over small lists of row tuples.
 

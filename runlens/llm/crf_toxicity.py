@@ -2,9 +2,11 @@
 
 Tokens are runs of letters and digits.  Two states: toxic and clean.  A token's
 features are its word and its first 3 to 6 bytes (A-Z folded).  The labels
-table marks documents, so tokens are labelled first: in a toxic training
-document, the tokens with a feature that toxic documents hold far more often
-than clean ones (document counts over all labelled training rows).  The field
+table marks documents, so tokens are labelled first.  A feature's evidence is
+the Chernoff exponent of its document counts (over all labelled training rows,
+equal texts once): how improbable so many toxic documents would be if it had
+nothing to do with toxicity.  In a toxic training document, the tokens with
+strong evidence, and not far below the document's strongest, are labelled.  The field
 is then trained on tagged segments of a bounded sample (``SAMPLE`` documents per
 class) by gradient ascent on the likelihood, with forward-backward expectations.
 
@@ -25,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import LOWER, map_rows, mix64, word_bounds, word_hashes
+from runlens.llm.common import LOWER, map_rows, mix64, shared_table, with_ids, word_bounds, word_hashes
 from runlens.llm.nbsvm import sampled
 
 DIM_BITS = 19
 PREFIXES = (3, 4, 5, 6)
 SAMPLE = 2000
-#: a feature is a candidate for a weight / marks a token as toxic when toxic
-#: documents hold it so many times as often, and at least so many of them do
-CANDIDATE_RATIO, MARK_RATIO, LEAST_DOCUMENTS = 3.0, 12.0, 3
+#: evidence (in nats) a feature needs to get a weight, and to label a token;
+#: a labelled token has at least this share of its document's strongest
+CANDIDATE, LABELLING, SHARE = 5.0, 11.5, 0.5
 SEGMENT = 128
 PASSES = 80
 PENALTY = 1e-2
@@ -57,6 +59,13 @@ def token_features(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return (np.stack(columns, axis=1) >> shift).astype(np.int64).reshape(len(starts), 1 + len(PREFIXES)), starts, ends
 
 
+def _repeated(f: np.ndarray) -> np.ndarray:
+    """Where a token's feature equals one of its earlier ones (short words)."""
+    out = np.zeros(f.shape, dtype=bool)
+    out[:, 1:] = f[:, 1:] == f[:, :1]
+    return out
+
+
 @dataclass(frozen=True)
 class Field:
     """Potentials in logs: ``weights`` of features for the toxic state, its
@@ -68,9 +77,7 @@ class Field:
 
     def emissions(self, f: np.ndarray) -> np.ndarray:
         """Toxic-state scores of tokens; a repeated feature counts once."""
-        w = self.weights[f]
-        w[:, 1:][f[:, 1:] == f[:, :1]] = 0.0
-        return w.sum(axis=1)
+        return np.where(_repeated(f), 0.0, self.weights[f]).sum(axis=1)
 
     def active_marginals(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, toxic marginals) of the tokens with a non-zero emission, by
@@ -138,40 +145,56 @@ def document_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return total[:, :size], total[:, size]
 
 
+def evidence(counts: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """n * KL(share of toxic documents || their overall share), 0 where the
+    share is not above the overall one."""
+    n = np.maximum(counts.sum(axis=0), 1)
+    base = documents[1] / documents.sum()
+    share = counts[1] / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        kl = np.where(share > 0, share * np.log(share / base), 0.0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - base)), 0.0)
+    return np.where(share > base, n * kl, 0.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     """Train on ``docs(doc_id, text)`` with document ``labels(doc_id, label)``
     (0 or 1; other labels and null ids are left out).  With one class or none
     no token is ever toxic."""
     labels = labels.filter("label IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("label").cast("int").alias("label")).distinct()
-    counts, documents = document_counts(docs.select("doc_id", "text").join(labels, "doc_id"))
+    # equal texts count once: groups of copies are no evidence
+    labels = (
+        with_ids(docs.select("doc_id", F.xxhash64("text").alias("row_hash")), labels)
+        .groupBy("label", "row_hash").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "label").distinct()
+    )
+    labels = shared_table(labels, "labels")
+    counts, documents = document_counts(with_ids(docs.select("doc_id", "text"), labels))
     size = 1 << DIM_BITS
     neutral = Field(np.zeros(size), -8.0, np.zeros((2, 2)))
     if not documents.all():
         return neutral
-    ratio = ((counts[1] + 0.1) / (documents[1] + 0.2)) / ((counts[0] + 0.1) / (documents[0] + 0.2))
-    enough = counts[1] >= LEAST_DOCUMENTS
-    candidate, marking = enough & (ratio >= CANDIDATE_RATIO), enough & (ratio >= MARK_RATIO)
-    if not marking.any():
+    strength = evidence(counts, documents)
+    if strength.max() < LABELLING:
         return neutral
-    shared = docs.sparkSession.sparkContext.broadcast((np.packbits(candidate), np.packbits(marking)))  # 2 * 2**DIM_BITS bits
+    shared = docs.sparkSession.sparkContext.broadcast(strength.astype(np.float32))  # 2**DIM_BITS numbers
 
     def make() -> Callable[[list[tuple]], list[tuple]]:
-        known, marks = (np.unpackbits(x).astype(bool)[:size] for x in shared.value)
+        known = shared.value
 
         def work(rows: list[tuple]) -> list[tuple]:
             out = []
             for doc_id, label, text in rows:
                 f, _, _ = token_features(text)
-                f[:, 1:][f[:, 1:] == f[:, :1]] = -1
-                place, column = np.nonzero(known[f] & (f >= 0))
-                toxic = np.flatnonzero((marks[f] & (f >= 0)).any(axis=1)) if label == 1 else []
+                s = np.where(_repeated(f), 0, known[f])
+                place, column = np.nonzero(s >= CANDIDATE)
+                best = s.max(axis=1, initial=0)
+                toxic = np.flatnonzero(best >= max(LABELLING, SHARE * best.max(initial=0))) if label == 1 else []
                 out.append((doc_id, len(f), place.tolist(), f[place, column].tolist(), list(map(int, toxic))))
             return out
 
         return work
 
     chosen = sampled(labels, sample)  # bounded: at most 2 * sample ids
-    read = map_rows(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text"), make, "doc_id bigint, n int, place array<int>, feature array<int>, toxic array<int>")
+    read = map_rows(with_ids(docs.select("doc_id", "text"), chosen).select("doc_id", "label", "text"), make, "doc_id bigint, n int, place array<int>, feature array<int>, toxic array<int>")
     return train(read.orderBy("doc_id").toPandas().to_dict("records"), size)
 
 

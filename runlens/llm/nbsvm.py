@@ -1,7 +1,8 @@
 """Quality classifier: Naive Bayes support vectors.
 
 Features are indicators of hashed n-grams: byte trigrams of the text as it
-stands (they see case, symbols and markup debris) and whole words.  Each
+stands (they see case, symbols and markup debris), whole words, and the word
+n-grams that repeat one word, whichever word that is.  Each
 indicator is scaled by its class log-count ratio
 
     r = log((p / |p|) / (q / |q|)),  p = 1 + documents of class 1 with it, q of class 0
@@ -22,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import map_rows, mix64, word_bounds, word_hashes
+from runlens.llm.common import map_rows, mix64, with_ids, word_bounds, word_hashes
 
 DIM_BITS = 18
 SAMPLE = 2000
+#: lengths of the repeated-word n-grams
+REPEATS = (2, 3, 4, 6)
 #: weight of the fitted vector against its mean magnitude (the Naive Bayes part)
 BLEND = 0.5
 #: cost of a training error, and passes of the descent
-COST = 1.0
+COST = 0.1
 PASSES = 15
 
 
@@ -41,7 +44,11 @@ def features(text: str | None) -> np.ndarray:
     starts, ends = word_bounds(data)
     words = word_hashes(data, starts, ends)
     shift = np.uint64(64 - DIM_BITS)
-    return np.unique(np.concatenate([mix64(grams + np.uint64(1)) >> shift, words >> shift])).astype(np.int64)
+    same = np.concatenate((words[1:] == words[:-1], [False]))
+    change = np.flatnonzero(~same)
+    longest = int(np.diff(change, prepend=-1).max(initial=0))  # longest run of one word
+    repeats = np.array([n for n in REPEATS if n <= longest], dtype=np.uint64)
+    return np.unique(np.concatenate([mix64(grams + np.uint64(1)) >> shift, words >> shift, mix64(repeats + np.uint64(1 << 32)) >> shift])).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -110,8 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     other labels and null ids are left out).  With one class or none the model
     is neutral: it gives margin 0."""
     labels = labels.filter("label IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("label").cast("int").alias("label")).distinct()
-    train = docs.select("doc_id", "text").join(labels, "doc_id")
-    counts = class_counts(train)
+    counts = class_counts(with_ids(docs.select("doc_id", "text"), labels))
     size = 1 << DIM_BITS
     if not counts[0].any() or not counts[1].any():
         return Model(np.zeros(size), 0.0)
@@ -121,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return lambda rows: [(doc_id, label, features(text).tolist()) for doc_id, label, text in rows]
 
     chosen = sampled(labels, sample)  # bounded: at most 2 * sample ids
-    read = map_rows(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text"), make, "doc_id bigint, label int, f array<int>")
+    read = map_rows(with_ids(docs.select("doc_id", "text"), chosen).select("doc_id", "label", "text"), make, "doc_id bigint, label int, f array<int>")
     table = read.orderBy("doc_id").toPandas()
     y = np.where(table["label"].to_numpy() == 1, 1.0, -1.0)
     rows, values = [], []

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import crf_toxicity, hd_langid, jaccard_join, lz_dedup, nbsvm, oracles, piece_codec, secret_scan, syncmers, winnowing
+from runlens.llm import crf_toxicity, hd_langid, html_wrapper, jaccard_join, lz_dedup, nbsvm, oracles, piece_codec, secret_scan, syncmers, winnowing
 from runlens.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.score(docs, nbsvm.fit(docs.filter("NOT held_out"), _labels(spark, sf_dir, "quality", 3, 1)))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumn("held_out", _fold(4, 2))
     return hd_langid.predict(docs, hd_langid.prototypes(docs.filter("NOT held_out")))
@@ -71,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_html_extraction": op6_html_extraction,
     "op7_language_id": op7_language_id,
     "op8_toxicity": op8_toxicity,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
