@@ -86,6 +86,18 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[tuple]], list[tupl
     return df.mapInArrow(run, schema)
 
 
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], chunk: int = 256) -> DataFrame:
+    """``mapInArrow`` over small record batches; the schema stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, chunk):
+                yield work(batch.slice(at, chunk))
+
+    return df.mapInArrow(run, df.schema)
+
+
 # ---------------------------------------------------------------- numpy side
 
 #: [\x20\x09-\x0D], the separators of the shingle and window operators

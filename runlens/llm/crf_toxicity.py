@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import LOWER, map_rows, mix64, shared_table, with_ids, word_bounds, word_hashes
+from runlens.llm.common import LOWER, map_batches, map_rows, mix64, shared_table, with_ids, word_bounds, word_hashes
 from runlens.llm.nbsvm import sampled
 
 DIM_BITS = 19
@@ -319,3 +319,15 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
         return work
 
     return map_rows(docs.select(F.col("doc_id").cast("long"), "held_out", "text"), make, SCHEMA)
+
+
+def reject(docs: DataFrame, field: Field) -> DataFrame:
+    """The rows of ``docs`` (any columns, one of them ``text``) whose score is
+    below one half."""
+    shared = docs.sparkSession.sparkContext.broadcast((field.weights.astype(np.float32), field.bias, field.moves))
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        own = Field(*shared.value)
+        return lambda batch: batch.filter(pa.array([tag(t, own)[0] < 0.5 for t in batch.column("text").to_pylist()], type=pa.bool_()))
+
+    return map_batches(docs, make)

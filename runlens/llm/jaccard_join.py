@@ -188,7 +188,9 @@ def _may_link(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` per row of ``docs(doc_id, text)``.
+    """``doc_id, n_shingles, component_id`` per row of ``docs(doc_id, text)``,
+    with ``row_hash`` (of the text) and ``group`` (one number per component,
+    null for an empty set).
 
     Null texts and texts without words have an empty set and stay alone, even
     among themselves.  Repeated rows and rows with one id are documents of
@@ -253,9 +255,29 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     named = reps.join(groups, "node", "left").select(*key, "least_id", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    classes = named.join(smallest, "component").select(*key, "component_id")
-    members = sets.select("doc_id", *key)
+    classes = named.join(smallest, "component").select(*key, "component_id", F.col("component").alias("group"))
+    members = sets.select("doc_id", "row_hash", *key)
     return (
         members.join(classes, key, "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        .select(
+            "doc_id",
+            F.col("n").alias("n_shingles"),
+            F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+            "row_hash",
+            "group",
+        )
     )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document per component: the one with the smallest doc_id (of rows
+    with that id, the smallest text hash).  Documents with an empty set stay;
+    equal rows become one.  ``docs`` has any columns, among them ``doc_id`` and
+    ``text``."""
+    found = jaccard_components(docs)
+    first = F.min(F.struct(F.struct(F.col("doc_id").alias("v")).alias("__id"), F.col("row_hash").alias("__hash"))).alias("k")
+    kept = found.filter("group IS NOT NULL").groupBy("group").agg(first).select("k.*")
+    alone = found.filter("group IS NULL").select(F.struct(F.col("doc_id").alias("v")).alias("__id"), F.col("row_hash").alias("__hash")).distinct()
+    keyed = docs.withColumn("__id", F.struct(F.col("doc_id").cast("long").alias("v"))).withColumn("__hash", F.xxhash64("text"))
+    once = keyed.dropDuplicates(["__id", "__hash"])
+    return once.join(kept.unionByName(alone), ["__id", "__hash"], "left_semi").select(*docs.columns)

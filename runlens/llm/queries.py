@@ -28,7 +28,7 @@ def op1_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(documents(spark, sf_dir))
+    return jaccard_join.jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

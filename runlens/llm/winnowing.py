@@ -199,6 +199,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, broadcast_rows: int = BR
     )
 
 
+def reject(docs: DataFrame, items: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of ``docs`` (any columns, among them ``doc_id`` and ``text``)
+    without any word of a window of ``items(item_id, text)``."""
+    rows = _with_id(docs.select("doc_id", F.xxhash64("text").alias("row_hash"), "text"))
+    found = find_windows(rows, item_windows(items, "item_id", "text"), broadcast_rows=broadcast_rows)
+    found = found.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash")).distinct()
+    return docs.join(found, (F.struct(F.col("doc_id").alias("v")) == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
+
+
 def _with_id(rows: DataFrame) -> DataFrame:
     """doc_id as a one-field struct: never null itself, so joins on it keep
     rows whose id is null."""
