@@ -15,6 +15,8 @@ checked (``broadcast_rows``); a larger benchmark takes the shuffled join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,6 +109,11 @@ def item_windows(items: DataFrame, item_id: str, text: str) -> DataFrame:
     return h.select("item", F.explode_outer(both).alias("w")).select("item", "w.*").filter("window IS NOT NULL").distinct()
 
 
+def _all_grams(n: int) -> Callable[[Column], Column]:
+    """Every ``n``-word gram of a word-hash array, with its start."""
+    return lambda h: F.transform(index_range(F.size(h) - F.lit(n - 1)), lambda i: F.struct(i.alias("start"), gram_hash(h, i, n).alias("window")))
+
+
 def find_windows(docs: DataFrame, windows: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``doc_id, row_hash, start, len, window``: every occurrence of every
     item window in ``docs(doc_id, row_hash, text)``."""
@@ -141,10 +148,7 @@ def find_windows(docs: DataFrame, windows: DataFrame, *, broadcast_rows: int = B
         )
     for n in sorted(set(lengths) - {SPAN}):
         wanted = windows.filter(F.col("len") == n).select("window").distinct()
-        grams = let(
-            _word_hashes(F.col("text")),
-            lambda h, n=n: F.transform(index_range(F.size(h) - F.lit(n - 1)), lambda i: F.struct(i.alias("start"), gram_hash(h, i, n).alias("window"))),
-        )
+        grams = let(_word_hashes(F.col("text")), _all_grams(n))
         part = (
             docs.select(*key, F.explode_outer(grams).alias("x")).select(*key, "x.start", F.lit(n).alias("len"), "x.window")
             .join(side(wanted), "window").select(*key, "start", "len", "window")
