@@ -10,14 +10,17 @@ decided in whole numbers.
 2. Equal sets become one class with one representative.
 3. Prefix filter: sets that link share a shingle among their first
    ``n - ceil(4n/5) + 1``.  Prefix shingles of representatives are the join key.
-4. Every shingle's smallest holder is its leader; pairs (holder, leader) are
-   verified first: linear in the prefixes, and enough to tie large groups of
-   near copies together.
+4. Every shingle's holder with the most support (how often its prefix shingles
+   are held by others: the original of a group of edited copies has the most)
+   is its leader; pairs (holder, leader) are verified first.  They are linear in
+   the prefixes, and tie large groups of near copies together.  Where much is
+   left across components, the leaders of the largest components are tried again
+   by the holders outside them.
 5. What may still link is pairs of *different* components that share a prefix
    shingle.  They are found from shingles with holders in several components,
    joining only holders outside the shingle's largest component, under the
-   length, positional and suffix filters.  Pairs seen in step 4 are left out,
-   so a pair is verified once.  No link between components is lost.
+   length, positional and suffix filters.  Pairs tried before are left out, so
+   a pair is verified once.  No link between components is lost.
 """
 
 from __future__ import annotations
@@ -41,6 +44,10 @@ _LOW = np.uint64(64 - BUCKET_BITS)
 _LOW_MASK = np.uint64((1 << (64 - BUCKET_BITS)) - 1)
 #: representatives whose texts are looked up by a broadcast of their ids
 BROADCAST_IDS = 100_000
+#: rounds of step 4 at most, and the joined rows per entry under which step 5
+#: takes over; neither changes the result
+LEADER_ROUNDS = 4
+JOIN_ROWS = 4
 #: classes of the suffix filter's bound
 PARTS = 16
 
@@ -187,6 +194,47 @@ def _may_link(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return named.filter((5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (apart <= F.col("na") + F.col("nb") - 2 * need)).select("a", "b")
 
 
+def _mixed(entries: DataFrame, groups: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Entries with their component, and the shingles whose holders are in
+    several components: the largest one (``main``), its size, its holder with
+    the most support (``leader``), and the number of holders."""
+    if groups is None:
+        tagged = entries.withColumn("component", F.col("node"))
+    else:
+        tagged = shared_table(
+            entries.join(groups, "node", "left").select(*entries.columns, F.coalesce("component", "node").alias("component")), "tagged"
+        )
+    mixed = (
+        tagged.groupBy("shingle", "component").agg(F.count("*").alias("size"), F.max(F.struct("support", "node")).alias("top"))
+        .groupBy("shingle")
+        .agg(F.count("*").alias("groups"), F.sum("size").alias("holders"), F.max(F.struct("size", "top.support", "component", "top.node")).alias("main"))
+        .filter("groups > 1")
+        .select("shingle", "holders", F.col("main.component").alias("main"), F.col("main.size").alias("main_size"), F.col("main.node").alias("leader"))
+    )
+    return tagged, shared_table(mixed, "mixed")
+
+
+def _across(tagged: DataFrame, mixed: DataFrame, tried: DataFrame) -> DataFrame:
+    """All pairs(a, b) of different components that share a prefix shingle and
+    pass the length and positional filters, without the tried ones."""
+    rest = tagged.join(mixed.select("shingle", "main"), "shingle")
+    x = rest.filter("component <> main").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "at", "component")])
+    y = rest.select("shingle", "main", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "at", "component")])
+    need = F.ceil(4 * (F.col("x_n") + F.col("y_n")) / 9)
+    return (
+        x.join(y, "shingle")
+        .filter(
+            (F.col("x_component") != F.col("y_component"))
+            & ((F.col("y_component") == F.col("main")) | (F.col("x_node") < F.col("y_node")))
+            & (5 * F.least("x_n", "y_n") >= 4 * F.greatest("x_n", "y_n"))
+            & (F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) >= need)  # positional filter
+        )
+        .select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b"))
+        .distinct()
+        .join(tried, ["a", "b"], "left_anti")
+    )
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per row of ``docs(doc_id, text)``,
     with ``row_hash`` (of the text) and ``group`` (one number per component,
@@ -213,43 +261,34 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         .select(F.monotonically_increasing_id().alias("node"), *key, "of.doc_id", "of.row_hash", "least_id", "prefix", "parts"),
         "classes",
     )
-    # one shuffle on the shingle finds its holders' number and its leader
+    # one shuffle on the shingle finds how many hold it
     entries = reps.select("node", "n", F.posexplode("prefix").alias("at", "shingle"))
-    by = Window.partitionBy("shingle")
     entries = shared_table(
-        entries.withColumn("holders", F.count("*").over(by)).withColumn("leader", F.min("node").over(by)).filter("holders > 1").drop("holders"),
-        "holders",
+        entries.withColumn("holders", F.count("*").over(Window.partitionBy("shingle"))).filter("holders > 1"), "holders"
     )
-    first = _may_link(entries.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), reps)
-    first = shared_table(first, "leaders")
-    found = _verified(first, reps, docs, ranks)
-
-    groups = components(found)
-    tagged = shared_table(
-        entries.join(groups, "node", "left").select("shingle", "node", "n", "at", F.coalesce("component", "node").alias("component")), "tagged"
-    )
-    mixed = (
-        tagged.groupBy("shingle", "component").agg(F.count("*").alias("size"))
-        .groupBy("shingle").agg(F.count("*").alias("groups"), F.max_by("component", "size").alias("main"))
-        .filter("groups > 1").select("shingle", "main")
-    )
-    rest = tagged.join(mixed, "shingle")
-    x = rest.filter("component <> main").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "at", "component")])
-    y = rest.select("shingle", "main", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "at", "component")])
-    need = F.ceil(4 * (F.col("x_n") + F.col("y_n")) / 9)
-    others = (
-        x.join(y, "shingle")
-        .filter(
-            (F.col("x_component") != F.col("y_component"))
-            & ((F.col("y_component") == F.col("main")) | (F.col("x_node") < F.col("y_node")))
-            & (5 * F.least("x_n", "y_n") >= 4 * F.greatest("x_n", "y_n"))
-            & (F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) >= need)  # positional filter
+    support = entries.groupBy("node").agg(F.sum("holders").alias("support"))
+    entries = shared_table(entries.join(support, "node").drop("holders"), "entries")
+    size = entries.count()
+
+    tried = found = groups = None
+    for step in range(LEADER_ROUNDS + 1):
+        tagged, mixed = _mixed(entries, groups)
+        left = mixed.agg(F.sum(F.col("holders") * (F.col("holders") - F.col("main_size")))).first()[0] or 0
+        if step == LEADER_ROUNDS or step and left <= JOIN_ROWS * size:
+            break
+        pairs = (
+            tagged.join(mixed, "shingle").filter("component <> main")
+            .select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
         )
-        .select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    more = _verified(_may_link(others, reps), reps, docs, ranks)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = shared_table(_may_link(pairs, reps), "leaders")
+        linked = _verified(pairs, reps, docs, ranks)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = linked if found is None else found.unionByName(linked)
+        groups = components(found)
+
+    more = _verified(_may_link(_across(tagged, mixed, tried), reps), reps, docs, ranks)
     if not more.isEmpty():
         groups = components(found.unionByName(more))
 
