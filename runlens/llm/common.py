@@ -77,7 +77,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[tuple]], list[tupl
         for batch in batches:
             for at in range(0, batch.num_rows, chunk):
                 part = batch.slice(at, chunk)
-                rows = list(zip(*[c.to_pylist() for c in part.columns], strict=True))
+                rows = list(zip(*[_values(c) for c in part.columns], strict=True))
                 out = work(rows)
                 if out:
                     cols = list(zip(*out, strict=True))
@@ -86,6 +86,15 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[tuple]], list[tupl
     return df.mapInArrow(run, schema)
 
 
+def _values(column: pa.Array) -> list:
+    """Python values; lists of numbers as numpy arrays."""
+    kind = column.type
+    if pa.types.is_list(kind) and pa.types.is_integer(kind.value_type) and column.values.null_count == 0:
+        flat, at = column.values.to_numpy(), column.offsets.to_numpy()
+        return [flat[a:b] if valid else None for a, b, valid in zip(at[:-1], at[1:], column.is_valid().to_pylist(), strict=True)]
+    return column.to_pylist()
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], chunk: int = 256) -> DataFrame:
     """``mapInArrow`` over small record batches; the schema stays."""
 

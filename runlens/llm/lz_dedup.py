@@ -18,12 +18,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from itertools import compress
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import gram_hashes, map_rows, shared_table, text_words
+from runlens.llm.common import BROADCAST_IDS, gram_hashes, map_rows, shared_table, text_words
 
 PHRASE = 35
 GRAM = 8
@@ -49,8 +50,20 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _anchors(docs: DataFrame) -> DataFrame:
-    """``doc_id, anchor``: one row per anchor place of every document."""
+def _with_copies(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, copy_of, is_first``: ``copy_of`` is the smallest doc_id
+    with the same text where several rows have it, else null."""
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    copies = shared_table(
+        keyed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.coalesce(F.min("doc_id"), F.lit(-1)).alias("copy_of")).filter("n > 1").select("h1", "h2", "copy_of"),
+        "copies",
+    )
+    joined = keyed.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, ["h1", "h2"], "left")
+    return joined.select("doc_id", "text", "copy_of", (F.col("copy_of").isNull() | (F.coalesce("doc_id", F.lit(-1)) == F.col("copy_of"))).alias("is_first"))
+
+
+def _anchors(rows: DataFrame) -> DataFrame:
+    """``doc_id, anchors``: the anchors of every distinct text, by place."""
 
     def make() -> Callable[[list[tuple]], list[tuple]]:
         def work(rows: list[tuple]) -> list[tuple]:
@@ -62,32 +75,32 @@ def _anchors(docs: DataFrame) -> DataFrame:
 
         return work
 
-    lists = map_rows(docs.select("doc_id", "text"), make, "doc_id bigint, anchors array<bigint>")
-    return lists.select("doc_id", F.explode_outer("anchors").alias("anchor")).filter("anchor IS NOT NULL")
+    return shared_table(map_rows(rows.filter("is_first").select("doc_id", "text"), make, "doc_id bigint, anchors array<bigint>"), "anchors")
 
 
-def _phrases(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """``doc_id, phrase``: one row per phrase whose anchor is shared."""
+def _phrases(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """``doc_id, phrase, weight``: one row per phrase whose anchor is shared."""
 
     def make() -> Callable[[list[tuple]], list[tuple]]:
         def work(rows: list[tuple]) -> list[tuple]:
             out = []
-            for doc_id, text, anchors in rows:
-                h = text_words(text, lower=False)[0]
-                g, at = anchor_places(h)
-                wanted = np.isin(g, np.array(anchors, dtype=np.int64).view(np.uint64))[at]
-                out.append((doc_id, _signed(gram_hashes(h, PHRASE)[wanted])))
+            for doc_id, text, copy_of, is_first, anchors in rows:
+                if is_first:
+                    h = text_words(text, lower=False)[0]
+                    g, at = anchor_places(h)
+                    wanted = np.isin(g, anchors.view(np.uint64))[at]
+                    out.append((doc_id, _signed(gram_hashes(h, PHRASE)[wanted]), 1 if copy_of is None else 2))
             return out
 
         return work
 
-    lists = map_rows(_joined(docs, shared, "anchors", "inner"), make, "doc_id bigint, phrases array<bigint>")
-    return lists.select("doc_id", F.explode_outer("phrases").alias("phrase")).filter("phrase IS NOT NULL")
+    lists = map_rows(_joined(rows, shared, ["anchors"], "inner"), make, "doc_id bigint, phrases array<bigint>, weight int")
+    return lists.select("doc_id", F.explode_outer("phrases").alias("phrase"), "weight").filter("phrase IS NOT NULL")
 
 
-def _joined(docs: DataFrame, lists: DataFrame, column: str, how: str) -> DataFrame:
-    right = lists.select(F.col("doc_id").alias("l_id"), column)
-    return docs.select("doc_id", "text").join(right, F.col("doc_id").eqNullSafe(F.col("l_id")), how).select("doc_id", "text", column)
+def _joined(rows: DataFrame, lists: DataFrame, columns: list[str], how: str) -> DataFrame:
+    right = lists.select(F.col("doc_id").alias("l_id"), *columns)
+    return rows.join(right, F.col("doc_id").eqNullSafe(F.col("l_id")), how).select(*rows.columns, *columns)
 
 
 def factors(h: np.ndarray, phrase: np.ndarray, blocks: np.ndarray) -> list[tuple[int, int, int]]:
@@ -111,52 +124,53 @@ def factors(h: np.ndarray, phrase: np.ndarray, blocks: np.ndarray) -> list[tuple
 SCHEMA = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, factors array<struct<start:bigint,words:bigint,block:bigint>>, kept string"
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: ``n_words``, ``n_removed`` (words
     inside any 35-word phrase that also starts anywhere else, the same document
     included), ``kept_sha256``, the ``factors`` (start word, words, reference
-    block = smallest doc_id holding the phrase) and the ``kept`` text.
+    block = smallest doc_id holding the phrase) and the ``kept`` text (null
+    without ``keep_text``).
 
     Words are runs of ``[^\\x20\\x09-\\x0D]``, unchanged.  Null and empty texts
     have no words; texts under 35 words lose nothing; repeated rows repeat each
     other and lose their shared phrases; null ids are kept (as block: -1);
     other columns are ignored; an empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    anchors = _anchors(docs)
+    rows = _with_copies(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    anchors = _anchors(rows).select("doc_id", F.explode_outer("anchors").alias("anchor")).filter("anchor IS NOT NULL")
     repeated = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     shared = shared_table(
-        anchors.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "anchors"
+        anchors.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "shared"
     )
-    phrases = _phrases(docs, shared)
-    index = phrases.groupBy("phrase").agg(F.count("*").alias("n"), F.min("doc_id").alias("block")).filter("n > 1").select("phrase", "block")
+    phrases = _phrases(rows, shared)
+    index = phrases.groupBy("phrase").agg(F.sum("weight").alias("n"), F.min("doc_id").alias("block")).filter("n > 1").select("phrase", "block")
     matches = (
-        phrases.join(index, "phrase")
+        phrases.filter("weight = 1").join(index, "phrase")
         .groupBy("doc_id")
-        .agg(F.collect_set(F.struct("phrase", F.coalesce("block", F.lit(-1)).alias("block"))).alias("matches"))
+        .agg(F.collect_list("phrase").alias("phrases"), F.collect_list(F.coalesce("block", F.lit(-1))).alias("blocks"))
     )
 
     def make() -> Callable[[list[tuple]], list[tuple]]:
         def work(rows: list[tuple]) -> list[tuple]:
             out = []
-            for doc_id, text, found in rows:
-                h, starts, ends = text_words(text, lower=False)
-                data = (text or "").encode()
-                drop = np.zeros(len(h) + 1, dtype=np.int64)
-                parsed = []
-                if found:
-                    pairs = np.array([(m["phrase"], m["block"]) for m in found], dtype=np.int64)
-                    phrase = np.ascontiguousarray(pairs[:, 0]).view(np.uint64)
-                    order = np.argsort(phrase)
-                    parsed = factors(h, phrase[order], pairs[order, 1])
-                    for start, words, _ in parsed:
+            for doc_id, text, copy_of, _, phrases, blocks in rows:
+                words = (text or "").encode().split()  # bytes split at [\x20\x09-\x0D] alone
+                parsed, kept = [], words
+                if copy_of is not None and len(words) >= PHRASE:
+                    parsed, kept = [(0, len(words), copy_of)], []
+                elif phrases is not None and len(words) >= PHRASE:
+                    phrase, first = np.unique(phrases.view(np.uint64), return_index=True)
+                    parsed = factors(text_words(text, lower=False)[0], phrase, blocks[first])
+                    drop = np.zeros(len(words) + 1, dtype=np.int64)
+                    for start, n, _ in parsed:
                         drop[start] += 1
-                        drop[start + words] -= 1
-                keep = np.cumsum(drop[:-1]) == 0
-                kept = b" ".join(data[s:e] for s, e in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True))
-                out.append((doc_id, len(h), int(len(h) - keep.sum()), hashlib.sha256(kept).hexdigest(), [{"start": s, "words": w, "block": b} for s, w, b in parsed], kept.decode()))
+                        drop[start + n] -= 1
+                    kept = list(compress(words, (np.cumsum(drop[:-1]) == 0).tolist()))
+                rest = b" ".join(kept)
+                spans = [{"start": s, "words": w, "block": b} for s, w, b in parsed]
+                out.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(rest).hexdigest(), spans, rest.decode() if keep_text else None))
             return out
 
         return work
 
-    return map_rows(_joined(docs, matches, "matches", "left"), make, SCHEMA)
+    return map_rows(_joined(rows, matches, ["phrases", "blocks"], "left"), make, SCHEMA)
