@@ -59,8 +59,8 @@ SELECT l_orderkey AS run_id,
   CASE l_returnflag WHEN 'R' THEN 'execute_bash' WHEN 'A' THEN 'str_replace_editor' ELSE 'finish' END AS tool_name
 FROM {lineitem}""",
     "fx_search": """
-SELECT page_id % 10 AS query_id,
-  row_number() OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS position,
+SELECT CAST(floor(page_id / 25) AS BIGINT) AS query_id,
+  row_number() OVER (PARTITION BY CAST(floor(page_id / 25) AS BIGINT) ORDER BY page_id) AS position,
   url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title
 FROM {pages}""",
     "fx_logs": """

@@ -109,7 +109,8 @@ def run_step_hooks(steps: DataFrame, hook: StepHook, schema: str | T.StructType,
     partition; a run that straddles two Arrow batches is carried over, so a
     run is never split.  ``per_run=True`` calls the hook once per run;
     ``per_run=False`` hands it whole batches of complete runs (sorted), for
-    hooks written with vectorised ``groupby`` logic.  Either way there is no
+    hooks written with vectorised ``groupby`` logic.  Steps without a run id are
+    one run.  Either way there is no
     Python round trip per group (a run is bounded by ``max_steps``)."""
     ordered = steps.repartition(run).sortWithinPartitions(run, step)
 
@@ -121,13 +122,13 @@ def run_step_hooks(steps: DataFrame, hook: StepHook, schema: str | T.StructType,
             if pdf.empty:
                 continue
             last = pdf[run].iloc[-1]
-            tail = pdf[run] == last
+            tail = pdf[run].isna() if pd.isna(last) else pdf[run] == last
             carry = pdf[tail]
             done = pdf[~tail]
             if done.empty:
                 continue
             if per_run:
-                yield pd.concat([hook(g.reset_index(drop=True)) for _, g in done.groupby(run, sort=False)],
+                yield pd.concat([hook(g.reset_index(drop=True)) for _, g in done.groupby(run, sort=False, dropna=False)],
                                 ignore_index=True)
             else:
                 yield hook(done.reset_index(drop=True))

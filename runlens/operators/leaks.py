@@ -184,7 +184,7 @@ def url_candidates(hits: DataFrame, url: str = "url", keys: tuple[str, ...] = ("
         names = F.regexp_extract_all(u, F.lit(rx), 2)
         cands.append(F.transform(F.arrays_zip(owners.alias("o"), names.alias("n")), _pair_struct(kind)))
     at = F.locate(_RAW_HOST, F.lower(u))
-    rest = F.when(at > 0, F.substring(u, at + len(_RAW_HOST), 1 << 30))
+    rest = F.when(at > 0, F.substr(u, at + len(_RAW_HOST)))
     segs = F.split(rest, "/")
     inner = F.when(F.size(segs) >= 3, F.slice(segs, 2, F.size(segs) - 2)).otherwise(F.array().cast("array<string>"))
     cands.append(F.transform(F.coalesce(inner, F.array().cast("array<string>")),

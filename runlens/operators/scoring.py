@@ -22,7 +22,8 @@ BUCKETS = ("incomplete", "empty_patch", "resolved", "unresolved", "error")
 
 
 def latest_progress(progress: DataFrame, key: str = "instance_id", seq: str = "seq") -> DataFrame:
-    """Last record per id in log order (``seq`` is the line number).
+    """Last record per id in log order: by ``seq``, then by ``log_pos`` where
+    the log has that column (``scan_progress``; files without sequence numbers).
 
     Rows without an id (NULL or '') are dropped as in the reference loader.
     Written as a ``max(struct(seq, ...))`` aggregate rather than a
@@ -34,13 +35,15 @@ def latest_progress(progress: DataFrame, key: str = "instance_id", seq: str = "s
     remaining fields, which keeps the result deterministic.
     """
     others = [c for c in progress.columns if c not in (key, seq)]
+    others.sort(key=lambda c: c != "log_pos")
     rec = F.struct(F.col(seq).alias(seq), *[F.col(c).alias(c) for c in others])
-    return (
+    latest = (
         progress.filter(F.col(key).isNotNull() & (F.col(key) != ""))
         .groupBy(key)
         .agg(F.max(rec).alias("_last"))
         .select(key, "_last.*")
     )
+    return latest.drop("log_pos")
 
 
 def classify_status(
@@ -49,6 +52,7 @@ def classify_status(
     outcome: str = "outcome",
     has_error: str = "has_error_key",
     details_error: str = "details_error",
+    has_details_error: str = "has_details_error",
     accepted: str = "accepted",
 ) -> Column:
     """status -> outcome -> ``error`` key present -> ``details.error`` -> accepted.
@@ -59,7 +63,8 @@ def classify_status(
     cols = df.columns
     st, oc = col_or_null(cols, status), col_or_null(cols, outcome)
     err_key = F.coalesce(col_or_null(cols, has_error).cast("boolean"), F.lit(False))
-    det_err = col_or_null(cols, details_error).isNotNull()
+    det_err = col_or_null(cols, details_error).isNotNull() | F.coalesce(
+        col_or_null(cols, has_details_error).cast("boolean"), F.lit(False))
     acc = F.coalesce(col_or_null(cols, accepted).cast("boolean"), F.lit(False))
     return (
         F.when(st.isin(*OUTCOMES), st)
@@ -71,13 +76,13 @@ def classify_status(
     )
 
 
-OUTCOME_FIELDS = ("status", "outcome", "has_error_key", "details_error", "accepted")
+OUTCOME_FIELDS = ("status", "outcome", "has_error_key", "details_error", "has_details_error", "accepted")
 
 
 def outcome_inputs(progress: DataFrame, key: str = "instance_id", seq: str = "seq") -> DataFrame:
     """Only the columns the outcome needs, so the per-id reduction carries
     (and the scan reads) nothing else."""
-    return progress.select(key, seq, *[c for c in OUTCOME_FIELDS if c in progress.columns])
+    return progress.select(key, seq, *[c for c in ("log_pos", *OUTCOME_FIELDS) if c in progress.columns])
 
 
 def with_outcome(progress: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ def terminal_delta(screens: DataFrame, run: str = "run_id", step: str = "step",
     cur = F.coalesce(F.col(buffer), F.lit(""))
     p = F.instr(F.reverse(cur), F.reverse(pb))
     found = pb.isNotNull() & (pb != "") & (p > 0)
-    new_part = py_strip(F.substring(cur, F.length(cur) - p + 2, 1 << 30))
+    new_part = py_strip(F.substr(cur, F.length(cur) - p + 2))
     out = F.when(found & (new_part != ""), F.concat(F.lit("New Terminal Output:\n"), new_part)).otherwise(
         F.concat(F.lit("Current Terminal Screen:\n"), F.coalesce(F.col(visible), F.lit(""))))
     return screens.withColumn("observation", out)

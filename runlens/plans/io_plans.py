@@ -22,6 +22,7 @@ from runlens.operators import hooks as H
 from runlens.operators import runstats as RS
 from runlens.operators import scoring as S
 from runlens.plans import scoring_plans, stats_plans  # noqa: F401  (oracles reused below)
+from runlens.functions.numeric import sql_round
 from runlens.plans.registry import ORACLE, register
 from runlens.session import scratch_path
 from runlens.sources import readers as RD
@@ -95,7 +96,9 @@ def q_schema_violations(spark, sf):
 
 # ── progress ───────────────────────────────────────────────────────────────
 
-def _progress_lines(spark, sf):
+def _progress_lines(spark, sf, null_details: bool = False):
+    """Log lines; with ``null_details`` every 41st record has a null
+    ``details.error`` (its key is present)."""
     prog = fixture(spark, sf, "fx_progress")
     iid = F.when(F.col("seq") % 37 != 0, F.col("instance_id"))
     rec = F.struct(F.col("seq"), iid.alias("instance_id"), "status", "accepted", "duration",
@@ -103,33 +106,39 @@ def _progress_lines(spark, sf):
                    .alias("details"))
     rec_err = F.struct(F.col("seq"), iid.alias("instance_id"), F.lit("error").alias("status"),
                        F.concat(F.lit("exit "), F.col("seq").cast("string")).alias("error"))
-    return prog.select(F.when(F.col("status") == "error", F.to_json(rec_err)).otherwise(F.to_json(rec))
-                       .alias("value"))
+    rec_null = F.struct(F.col("seq"), iid.alias("instance_id"), "status", "accepted", "duration",
+                        F.struct(F.lit(None).cast("string").alias("error")).alias("details"))
+    line = F.when(F.col("status") == "error", F.to_json(rec_err))
+    if null_details:
+        line = line.when(F.col("seq") % 41 == 0, F.to_json(rec_null, _KEEP_NULLS))
+    return prog.select(line.otherwise(F.to_json(rec)).alias("value"))
 
 
 _PROGRESS_RECORD = ("seq bigint, instance_id string, status string, accepted boolean, duration double, "
                     "details struct<error:string>, error string")
 
-_PROGRESS_ORACLE = """
+def _progress_oracle(null_details: str) -> str:
+    return f"""
 SELECT seq, instance_id, status, CAST(NULL AS VARCHAR) AS outcome,
   CASE WHEN status = 'error' THEN NULL ELSE accepted END AS accepted,
   coalesce(status = 'error', false) AS has_error_key,
-  CASE WHEN status = 'error' THEN NULL ELSE details_error END AS details_error,
+  CASE WHEN status = 'error' OR {null_details} THEN NULL ELSE details_error END AS details_error,
+  NOT coalesce(status = 'error', false) AND (details_error IS NOT NULL OR {null_details}) AS has_details_error,
   CASE WHEN status = 'error' THEN NULL ELSE duration END AS duration
 FROM fx_progress WHERE seq % 37 <> 0"""
 
 
-@register("scan_progress", oracle_with("fx_progress") + _PROGRESS_ORACLE)
+@register("scan_progress", oracle_with("fx_progress") + _progress_oracle("seq % 41 = 0"))
 def q_scan_progress(spark, sf):
-    return RD.scan_progress(spark, _text_files(spark, _progress_lines(spark, sf), "progress-log"))
+    return RD.scan_progress(spark, _text_files(spark, _progress_lines(spark, sf, null_details=True), "progress-log")).drop("log_pos")
 
 
-@register("write_progress", oracle_with("fx_progress") + _PROGRESS_ORACLE)
+@register("write_progress", oracle_with("fx_progress") + _progress_oracle("false"))
 def q_write_progress(spark, sf):
     out = _scratch(spark, "progress")
     records = _progress_lines(spark, sf).select(F.from_json("value", _PROGRESS_RECORD).alias("r")).select("r.*")
     W.write_progress(records, out)
-    return RD.parse_progress_lines(spark.read.text(out))
+    return RD.scan_progress(spark, out).drop("log_pos")
 
 
 # ── results ────────────────────────────────────────────────────────────────
@@ -199,35 +208,44 @@ def _trajectory_records(spark, sf):
         F.lit(None).cast("string").alias("error"), F.lit(None).cast("double").alias("duration"),
         F.lit("").alias("patch"),
         F.when(F.col("run_id") % 5 != 0, F.col("trajectory")).alias("trajectory"),
-        F.lit(None).cast("struct<accepted:boolean,score:double,duration:double>").alias("eval_result"))
+        F.struct((F.col("run_id") % 2 == 0).alias("accepted"), F.lit(0.5).alias("score"), F.lit(1.0).alias("duration"),
+                 F.struct((F.col("run_id") % 7).alias("n_failed")).alias("details")).alias("eval_result"),
+        F.struct((F.col("run_id") % 11).alias("n_calls")).alias("stats"))
 
 
-_TRAJ_ORACLE = oracle_with("fx_calls") + """
+_TRAJ_STEPS = """
 SELECT concat('I-', CAST(run_id AS VARCHAR)) AS instance_id, CAST(step AS INTEGER) AS pos, CAST(step AS INTEGER) AS step,
   CASE WHEN tool_name = 'finish' THEN 'finish' ELSE 'tool_call' END AS action_type,
-  concat('step ', CAST(step AS VARCHAR)) AS content, tool_name AS first_call, 1 AS n_observations
+  concat('step ', CAST(step AS VARCHAR)) AS content, tool_name AS first_call, 1 AS n_observations,
+  run_id % 11 AS n_calls, run_id % 7 AS n_failed
 FROM fx_calls WHERE run_id % 5 <> 0"""
+# runs without an agent result keep one row without step fields
+_TRAJ_EMPTY = """
+UNION ALL SELECT DISTINCT concat('I-', CAST(run_id AS VARCHAR)), CAST(NULL AS INTEGER), CAST(NULL AS INTEGER), NULL, NULL, NULL,
+  CAST(NULL AS INTEGER), run_id % 11, run_id % 7 FROM fx_calls WHERE run_id % 5 = 0"""
 
 
-def _traj_out(steps):
-    return steps.where(F.col("step").isNotNull()).select(
+def _traj_out(trajectories):
+    info = trajectories.select("instance_id", F.try_variant_get("stats", "$.n_calls", "bigint").alias("n_calls"),
+                               F.try_variant_get("eval_result.details", "$.n_failed", "bigint").alias("n_failed"))
+    return RD.trajectory_steps(trajectories).join(info, "instance_id").select(
         "instance_id", F.col("pos").cast("int").alias("pos"), "step", "action_type", "content",
-        F.element_at("tool_calls", 1)["name"].alias("first_call"), F.size("observations").alias("n_observations"))
+        F.try_element_at("tool_calls", F.lit(1))["name"].alias("first_call"),
+        F.when(F.col("observations").isNotNull(), F.size("observations")).alias("n_observations"), "n_calls", "n_failed")
 
 
-@register("scan_trajectories", _TRAJ_ORACLE)
+@register("scan_trajectories", oracle_with("fx_calls") + _TRAJ_STEPS + _TRAJ_EMPTY)
 def q_scan_trajectories(spark, sf):
-    recs = _trajectory_records(spark, sf).where(F.col("trajectory").isNotNull()).drop("run_key")
+    recs = _trajectory_records(spark, sf).drop("run_key")
     lines = recs.select(F.to_json(F.struct(*recs.columns)).alias("value"))
-    return _traj_out(RD.trajectory_steps(RD.scan_trajectories(spark, _text_files(spark, lines, "trajectory-log"))))
+    return _traj_out(RD.scan_trajectories(spark, _text_files(spark, lines, "trajectory-log")))
 
 
-@register("write_trajectories", _TRAJ_ORACLE)
+@register("write_trajectories", oracle_with("fx_calls") + _TRAJ_STEPS)
 def q_write_trajectories(spark, sf):
     out = _scratch(spark, "trajectories")
     W.write_trajectories(_trajectory_records(spark, sf).withColumnRenamed("run_key", "run_id"), out)
-    back = RD.scan_trajectories(spark, out)
-    return _traj_out(RD.trajectory_steps(back))
+    return _traj_out(RD.scan_trajectories(spark, out))
 
 
 # ── task directories ───────────────────────────────────────────────────────
@@ -249,7 +267,7 @@ def _task_files(spark, sf):
     tests = part.select(F.concat(d, F.lit("/tests/test_"), F.col("p_size").cast("string"), F.lit(".py")).alias("path"),
                         F.encode(F.col("p_type"), "UTF-8").alias("content"))
     nested = part.where(F.col("p_partkey") % 2 == 0).select(
-        F.concat(d, F.lit("/tests/data/case.txt")).alias("path"), F.encode(F.col("p_name"), "UTF-8").alias("content"))
+        F.concat(d, F.lit("/tests/data/tests/case.txt")).alias("path"), F.encode(F.col("p_name"), "UTF-8").alias("content"))
     other = part.select(F.concat(d, F.lit("/solution.sh")).alias("path"), F.encode(F.lit("echo"), "UTF-8")
                         .alias("content"))
     return toml.unionByName(instr).unionByName(tests).unionByName(nested).unionByName(other)
@@ -276,8 +294,9 @@ def q_scan_task_dirs(spark, sf):
     "collect_task_files",
     """SELECT concat('/tasks/t', CAST(p_partkey AS VARCHAR)) AS task_dir,
   concat('/tests/test_', CAST(p_size AS VARCHAR), '.py') AS key, to_base64(encode(p_type)) AS content_b64 FROM part
-UNION ALL SELECT concat('/tasks/t', CAST(p_partkey AS VARCHAR)), '/tests/data/case.txt', to_base64(encode(p_name))
-FROM part WHERE p_partkey % 2 = 0""",
+  WHERE p_partkey % 11 <> 0
+UNION ALL SELECT concat('/tasks/t', CAST(p_partkey AS VARCHAR)), '/tests/data/tests/case.txt', to_base64(encode(p_name))
+FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 11 <> 0""",
 )
 def q_collect_task_files(spark, sf):
     return RD.task_files(_task_files(spark, sf))
@@ -313,7 +332,7 @@ def _payloads(spark, sf):
     alt = F.struct(F.col("url").alias("url"), F.lit(3).alias("position"))
     payload = (
         F.when(F.col("page_id") % 5 == 0, F.to_json(F.struct(F.array(hit).alias("results"))))
-        .when(F.col("page_id") % 5 == 1, F.to_json(F.struct(F.array(hit).alias("organic"))))
+        .when(F.col("page_id") % 5 == 1, F.to_json(F.struct(F.array(hit).alias("organic_results"))))
         .when(F.col("page_id") % 5 == 2, F.to_json(alt))
         .when(F.col("page_id") % 5 == 3, F.concat(F.lit("no json: "), F.col("url")))
         .otherwise(F.to_json(F.array(hit))))
@@ -354,13 +373,19 @@ def q_write_report(spark, sf):
     return spark.read.schema("bucket string, n bigint").json(f"{out}/counts")
 
 
-@register("write_analysis", ORACLE["task_stats"])
+_OVERALL = f"""
+UNION ALL SELECT 'overall', count(*), NULL, NULL, NULL, NULL, NULL, count(*) FILTER (WHERE score >= 1.0),
+  {sql_round('CAST(count(*) FILTER (WHERE score >= 1.0) AS DOUBLE) / count(*)', 4)},
+  count(*) FILTER (WHERE finish_reason = 'error') FROM fx_results"""
+
+
+@register("write_analysis", ORACLE["task_stats"] + _OVERALL)
 def q_write_analysis(spark, sf):
     res = fixture(spark, sf, "fx_results")
     report = RS.analysis_report(res)
     out = _scratch(spark, "analysis")
     W.write_analysis(report, out)
-    return spark.read.schema(report.schema).json(f"{out}/analysis").where(F.col("task") != "overall")
+    return spark.read.schema(report.schema).json(f"{out}/analysis")
 
 
 _ROLL_REWARD = "CASE status WHEN 'completed' THEN 1.0 WHEN 'truncated' THEN -1.0 ELSE 0.0 END"

@@ -12,30 +12,28 @@ from runlens.plans.registry import register
 
 # Stand-in RL steps from the embeddings table: one step per vector, ten
 # consecutive vectors per sample (so samples grow in number, not in size, with
-# the table), ``n`` tokens per step (ids from the vector id, log-probs from
-# the vector values), model or observation by label parity.
-_N = "4 + CAST(vec_id % 7 AS INT) * 4"
+# the table), one token per vector element (ids from the vector id, log-probs
+# from the vector values), model or observation by label parity.
 
 
 def _rl_steps(spark, sf):
-    emb = read_table(spark, sf, "embeddings").withColumn("n", F.expr(_N))
+    emb = read_table(spark, sf, "embeddings")
     model = F.col("label") % 2 == 0
     return emb.select(
         F.floor(F.col("vec_id") / 10).cast("bigint").alias("sample_id"),
         (F.col("vec_id") % 10).cast("int").alias("step"),
         F.when(model, F.lit("model")).otherwise(F.lit("observation")).alias("kind"),
-        F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (F.col("vec_id") * 100 + i).cast("int"))
-        .alias("token_ids"),
-        F.transform(F.slice("embedding", 1, F.col("n")), lambda x: x.cast("double")).alias("logprobs"),
+        F.transform("embedding", lambda x, i: (F.col("vec_id") * 100 + i).cast("int")).alias("token_ids"),
+        F.transform("embedding", lambda x: x.cast("double")).alias("logprobs"),
         F.when(model, F.concat(F.lit("w"), (F.col("vec_id") % 3).cast("string"))).otherwise(F.lit(""))
         .alias("weight_version"),
     )
 
 
-_STEPS_SQL = f"""rl_steps AS (SELECT CAST(floor(vec_id / 10) AS BIGINT) AS sample_id, CAST(vec_id % 10 AS INTEGER) AS step,
+_STEPS_SQL = """rl_steps AS (SELECT CAST(floor(vec_id / 10) AS BIGINT) AS sample_id, CAST(vec_id % 10 AS INTEGER) AS step,
     CASE WHEN label % 2 = 0 THEN 'model' ELSE 'observation' END AS kind,
-    list_transform(range(0, {_N}), lambda i: CAST(vec_id * 100 + i AS INTEGER)) AS token_ids,
-    list_transform(embedding[1:{_N}], lambda x: CAST(x AS DOUBLE)) AS logprobs,
+    list_transform(range(0, len(embedding)), lambda i: CAST(vec_id * 100 + i AS INTEGER)) AS token_ids,
+    list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS logprobs,
     CASE WHEN label % 2 = 0 THEN concat('w', CAST(vec_id % 3 AS VARCHAR)) ELSE '' END AS weight_version
   FROM embeddings)"""
 

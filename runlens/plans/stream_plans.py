@@ -36,10 +36,25 @@ def _land(df: DataFrame, wave: str, n_waves: int, path: str) -> None:
 
 def _progress_rows(spark, sf):
     prog = fixture(spark, sf, "fx_progress")
-    return prog.select("seq", "instance_id", "status", "accepted", "duration", "details_error",
+    details = F.when(F.col("details_error").isNotNull(), F.struct(F.col("details_error").alias("error")))
+    return prog.select("seq", "instance_id", "status", "accepted", "duration", details.alias("details"),
                        (F.col("seq") % 4).alias("_wave"))
 
 
+def _mixed_rows(spark, sf):
+    """The same records, some with only ``outcome``, some with only ``error``."""
+    rows = _progress_rows(spark, sf)
+    only_outcome, only_error = F.col("seq") % 29 == 0, F.col("seq") % 31 == 0
+    other = only_outcome | only_error
+    return rows.withColumns({
+        "status": F.when(~other, F.col("status")),
+        "outcome": F.when(only_outcome, F.lit("passed")),
+        "accepted": F.when(~only_outcome, F.col("accepted")),
+        "details": F.when(~other, F.col("details")),
+        "error": F.when(only_error & ~only_outcome, F.lit("exit 1")),
+    })
+
+
 @register(
     "stream_progress_latest",
     oracle_with("fx_progress") + ",\n" + _LAST
@@ -56,13 +71,14 @@ def q_stream_progress_latest(spark, sf):
 @register(
     "stream_progress_counts",
     oracle_with("fx_progress") + """
-SELECT CASE WHEN status IN ('passed','failed','error') THEN status WHEN details_error IS NOT NULL THEN 'error'
+SELECT CASE WHEN seq % 29 = 0 THEN 'passed' WHEN seq % 31 = 0 THEN 'error'
+            WHEN status IN ('passed','failed','error') THEN status WHEN details_error IS NOT NULL THEN 'error'
             WHEN coalesce(accepted, false) THEN 'passed' ELSE 'failed' END AS outcome, count(*) AS n
-FROM fx_progress GROUP BY 1""",
+FROM fx_progress WHERE coalesce(instance_id, '') <> '' GROUP BY 1""",
 )
 def q_stream_progress_counts(spark, sf):
     landing, out, ckpt = _dirs(spark, "progress-counts")
-    _land(_progress_rows(spark, sf), "_wave", 4, landing)
+    _land(_mixed_rows(spark, sf), "_wave", 4, landing)
     q = ST.start_progress_counts(ST.read_progress_stream(spark, landing, files_per_trigger=8), out, ckpt)
     q.awaitTermination()
     return spark.read.parquet(out).select("outcome", F.col("n").cast("bigint").alias("n"))
@@ -82,9 +98,12 @@ FROM fx_samples GROUP BY 1""",
 )
 def q_stream_groups(spark, sf):
     s = fixture(spark, sf, "fx_samples").withColumn("group_id", F.expr(_GROUP))
-    # stand-in: the expected group size travels with each sample
-    sizes = s.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size"))
-    rows = s.join(sizes, "group_id").withColumn("_wave", F.col("sample_index") % 3)
+    # stand-in: the expected group size travels with each sample; every fifth
+    # group gets one sample too many, all of them in one file
+    sizes = s.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    over = (F.col("group_id") % 5 == 0) & (F.col("n") > 1)
+    rows = (s.join(sizes, "group_id").withColumn("group_size", F.col("n") - over.cast("int"))
+            .withColumn("_wave", F.when(over, 0).otherwise(F.col("sample_index") % 3)).drop("n").repartition("group_id"))
     landing, out, ckpt = _dirs(spark, "groups")
     _land(rows, "_wave", 3, landing)
     stream = spark.readStream.schema(ST.SAMPLE_STREAM_SCHEMA).option("maxFilesPerTrigger", 4).json(landing)

@@ -7,9 +7,10 @@ only place that touches cluster configuration is this module.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings every runlens job relies on.  AQE re-plans joins and coalesces
 # partitions at runtime and splits skewed join partitions (one repo / one run
@@ -58,11 +59,15 @@ def build_session(
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder of the cluster.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when it is unset
-    (local tests) do we create a private scratch folder and register it.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a ``local`` master
+    may go without: it gets a private scratch folder.  On any other master the
+    driver and the executors share no local folder, so an unset folder raises.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local($|\[)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on master {master!r}")
         current = tempfile.mkdtemp(prefix="runlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     try:  # RDD checkpoint folder for DataFrame.checkpoint (absent under Spark Connect)
@@ -72,13 +77,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (never ``localCheckpoint``) into the folder named
-    by ``spark.checkpoint.dir``."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub folder of the shared checkpoint folder for intermediate tables."""
     base = checkpoint_dir(spark)

@@ -126,25 +126,30 @@ PROGRESS_SCHEMA = T.StructType([
 ])
 
 
-def parse_progress_lines(lines: DataFrame, seq: str = "seq") -> DataFrame:
-    """Progress records; rows without an instance id are dropped.
-
-    ``has_error_key`` is key presence of ``error`` (a null value counts),
-    ``details_error`` is ``details.error``.  The line order is ``seq`` when
-    the writer recorded one, else the position of the line in its file."""
+def progress_records(lines: DataFrame) -> DataFrame:
+    """Progress records of text ``lines`` (batch or stream); rows without an
+    instance id are dropped.
+
+    ``has_error_key`` and ``has_details_error`` are key presence of ``error``
+    and ``details.error`` (null values count), ``details_error`` is the value
+    of the latter, ``seq`` the writer's sequence number (NULL if it wrote
+    none).  A ``log_pos`` column of the lines is kept."""
     text = py_strip(F.col("value"))
     v = _parse_strict(text)
-    base = _nonblank(lines).withColumn("_pos", F.monotonically_increasing_id()).select(
-        "_pos", v.alias("_v"), F.json_object_keys(text).alias("_keys"))
+    kept = [c for c in ("log_pos",) if c in lines.columns]
+    base = _nonblank(lines).select(*kept, v.alias("_v"), F.json_object_keys(text).alias("_keys"),
+                                   F.json_object_keys(F.get_json_object(text, "$.details")).alias("_details"))
     rec = F.struct(
-        F.coalesce(F.try_variant_get("_v", "$.seq", "bigint"), F.col("_pos")).alias(seq),
+        F.try_variant_get("_v", "$.seq", "bigint").alias("seq"),
         F.try_variant_get("_v", "$.instance_id", "string").alias("instance_id"),
         F.try_variant_get("_v", "$.status", "string").alias("status"),
         F.try_variant_get("_v", "$.outcome", "string").alias("outcome"),
         F.try_variant_get("_v", "$.accepted", "boolean").alias("accepted"),
         F.array_contains("_keys", "error").alias("has_error_key"),
         F.try_variant_get("_v", "$.details.error", "string").alias("details_error"),
+        F.coalesce(F.array_contains("_details", "error"), F.lit(False)).alias("has_details_error"),
         F.try_variant_get("_v", "$.duration", "double").alias("duration"),
+        *kept,
     )
     # rows without an id are dropped through a generator rather than a
     # filter, so the JSON parse is not pushed into a filter and run twice
@@ -152,16 +157,26 @@ def parse_progress_lines(lines: DataFrame, seq: str = "seq") -> DataFrame:
     return base.select(F.inline(F.array_compact(F.array(F.when(keep, rec)))))
 
 
+LOG_POS = "struct<written:timestamp,path:string,block:bigint,line:bigint>"
+
+
 def scan_progress(spark: SparkSession, path: str) -> DataFrame:
-    """A missing progress file reads as an empty log."""
+    """Progress records with their place in the log.
+
+    ``log_pos`` orders records that carry no ``seq``: by the file's
+    modification time, its path, and the line's place in the file, however
+    Spark packs files and blocks into tasks (``latest_progress`` uses it after
+    ``seq``).  A missing progress file reads as an empty log."""
     from pyspark.errors import AnalysisException
 
     try:
         lines = spark.read.text(path)
         lines.schema  # noqa: B018  (forces the path check)
     except AnalysisException:
-        lines = spark.createDataFrame([], "value string")
-    return parse_progress_lines(lines)
+        return progress_records(spark.createDataFrame([], f"value string, log_pos {LOG_POS}"))
+    place = F.struct(F.col("_metadata.file_modification_time").alias("written"), F.col("_metadata.file_path").alias("path"),
+                     F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return progress_records(lines.select("value", place.alias("log_pos")))
 
 
 # ── results and trajectories ───────────────────────────────────────────────
@@ -179,9 +194,10 @@ RESULT_SCHEMA = T.StructType([
 
 def parse_result_lines(lines: DataFrame, path_col: str = "file_path") -> DataFrame:
     """``results.jsonl`` rows of many run folders; the run id is the name of
-    the folder holding the file (a Hive-style ``key=`` prefix is dropped)."""
+    the folder holding the file (a Hive-style ``key=`` prefix is dropped).  A
+    malformed line fails the job."""
     folder = F.regexp_extract(F.col(path_col), r"([^/]+)/[^/]+$", 1)
-    rows = _nonblank(lines).select(F.from_json(py_strip(F.col("value")), RESULT_SCHEMA).alias("r"),
+    rows = _nonblank(lines).select(F.from_json(py_strip(F.col("value")), RESULT_SCHEMA, {"mode": "FAILFAST"}).alias("r"),
                                    F.regexp_replace(folder, r"^[^=/]*=", "").alias("run_id"))
     return rows.select("run_id", "r.*")
 
@@ -198,7 +214,7 @@ TRAJECTORY_SCHEMA = (
     "duration double, patch string, "
     f"trajectory array<struct<step:int,action:struct<type:string,content:string,tool_calls:{TOOL_CALL_TYPE}>,"
     "observations:array<string>>>, "
-    "eval_result struct<accepted:boolean,score:double,duration:double>"
+    "eval_result struct<accepted:boolean,score:double,duration:double,details:variant>, stats variant"
 )
 
 
@@ -212,7 +228,7 @@ def trajectory_steps(trajectories: DataFrame) -> DataFrame:
 
 
 def parse_trajectory_lines(lines: DataFrame) -> DataFrame:
-    return _nonblank(lines).select(F.from_json(py_strip(F.col("value")), TRAJECTORY_SCHEMA).alias("t")).select("t.*")
+    return _nonblank(lines).select(F.from_json(py_strip(F.col("value")), TRAJECTORY_SCHEMA, {"mode": "FAILFAST"}).alias("t")).select("t.*")
 
 
 def scan_trajectories(spark: SparkSession, path: str) -> DataFrame:
@@ -287,20 +303,28 @@ def task_dirs(files: DataFrame) -> DataFrame:
 
 
 def scan_task_dirs(spark: SparkSession, root: str) -> DataFrame:
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "{task.toml,instruction.md}").load(root))
+    """Tasks among the direct children of ``root``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "{task.toml,instruction.md}").load(f"{root.rstrip('/')}/*/")
     return task_dirs(files.select(F.regexp_replace("path", "^file:", "").alias("path"), "content"))
 
 
 def task_files(files: DataFrame, tests_dir: str = "tests") -> DataFrame:
     """Files under each task's ``tests/`` folder as ``(task_dir, key,
     content_b64)`` with key ``/tests/<relative path>`` (long form; build a map
-    per task only when needed)."""
-    rx = rf"^(.*)/{tests_dir}/(.+)$"
-    rows = files.where(F.col("path").rlike(rx))
-    return rows.select(F.regexp_extract("path", rx, 1).alias("task_dir"),
-                       F.concat(F.lit(f"/{tests_dir}/"), F.regexp_extract("path", rx, 2)).alias("key"),
-                       F.base64("content").alias("content_b64"))
+    per task only when needed).
+
+    A task is a folder that holds ``task.toml`` and ``instruction.md``; a path
+    belongs to the task above its ``tests`` folder, so ``tests`` folders deeper
+    inside are part of the key, and files of other folders are left out."""
+    parts = files.select(F.regexp_extract("path", _TASK_DIR, 1).alias("task_dir"), F.regexp_extract("path", _TASK_DIR, 2).alias("name"))
+    tasks = (parts.where(F.col("name").isin("task.toml", "instruction.md")).groupBy("task_dir")
+             .agg(F.count_distinct("name").alias("n")).where(F.col("n") == 2).select("task_dir"))
+    # every folder that the path could belong to, one row each: the text before each "/tests/"
+    cuts = F.split("path", f"/{tests_dir}/")
+    above = F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), lambda i: F.array_join(F.slice(cuts, 1, i), f"/{tests_dir}/"))
+    rows = files.where(F.col("path").contains(f"/{tests_dir}/")).select("path", "content", F.explode(above).alias("task_dir"))
+    return rows.join(tasks, "task_dir").select(
+        "task_dir", F.substr(F.col("path"), F.length("task_dir") + 1).alias("key"), F.base64("content").alias("content_b64"))
 
 
 def task_files_map(files: DataFrame) -> DataFrame:
@@ -342,7 +366,7 @@ def parse_search_payloads(payloads: DataFrame, text: str = "payload", keys: tupl
     """Search tool payloads -> normalised hit rows.
 
     Payload shapes: a JSON list of hits; an object with ``results`` (else
-    ``organic``, else the object itself as one hit); text that is not JSON
+    ``organic_results``, else ``organic``, else the object itself as one hit); text that is not JSON
     becomes one hit whose description is the text.  Missing fields default
     to position 0, '' and [] (url from ``link``, description from
     ``snippet``, snippets = [snippet] when there is one)."""
@@ -351,7 +375,7 @@ def parse_search_payloads(payloads: DataFrame, text: str = "payload", keys: tupl
     kind = F.schema_of_variant(v)
     as_list = F.from_json(t, _HIT_ITEM)
     obj_results = F.try_variant_get(v, "$.results", "variant")
-    obj_organic = F.try_variant_get(v, "$.organic", "variant")
+    obj_organic = F.coalesce(F.try_variant_get(v, "$.organic_results", "variant"), F.try_variant_get(v, "$.organic", "variant"))
     inner = F.coalesce(obj_results, obj_organic)
     from_obj = F.when(inner.isNotNull(), F.from_json(F.to_json(inner), _HIT_ITEM)).otherwise(
         F.array(F.from_json(t, _HIT_STRUCT)))
@@ -386,6 +410,6 @@ def scan_search_log(spark: SparkSession, path: str, key: str = "query_id") -> Da
     and the raw ``response`` text (any payload shape), parsed like
     ``scan_search_hits``."""
     lines = _nonblank(spark.read.text(path))
-    recs = lines.select(F.from_json(F.col("value"), f"{key} string, response string").alias("r"))
+    recs = lines.select(F.from_json(F.col("value"), f"{key} string, response string", {"mode": "FAILFAST"}).alias("r"))
     return parse_search_payloads(recs.select(F.col(f"r.{key}").alias(key), F.col("r.response").alias("payload")),
                                  keys=(key,))

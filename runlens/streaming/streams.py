@@ -18,17 +18,21 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from runlens.operators.scoring import classify_status
+from runlens.sources.readers import progress_records
 
+# the record as writers append it (readers parse text lines, see below)
 PROGRESS_STREAM_SCHEMA = ("seq bigint, instance_id string, status string, accepted boolean, duration double, "
-                          "details_error string")
+                          "details struct<error:string>")
 
 
 def read_progress_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(PROGRESS_STREAM_SCHEMA)
+    """Progress records as they are appended, with the columns of
+    ``scan_progress``: the same parser, so ``outcome`` and the presence of an
+    error key reach the classification."""
+    reader = spark.readStream
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    stream = reader.json(path)
-    return stream.where(F.coalesce(F.col("instance_id"), F.lit("")) != "")
+    return progress_records(reader.text(path))
 
 
 # ── latest record per instance (update mode, upsert log) ───────────────────
@@ -167,12 +171,12 @@ def group_counters(stream: DataFrame) -> DataFrame:
 
 def start_groups_jvm(stream: DataFrame, out: str, checkpoint: str, available_now: bool = True):
     """Emit each group once, in the micro-batch where its sample count
-    reaches the expected size (update mode emits changed groups; the sink
-    keeps those that just completed).  Route ``retry`` when any sample was
+    reaches the expected size or passes it (update mode emits changed groups;
+    late samples emit a group again, and readers keep its first row).  Route ``retry`` when any sample was
     aborted.  Output rows carry the batch id; a replayed batch rewrites the
     same rows, and readers keep one row per group (``completed_groups``)."""
     def emit(batch: DataFrame, epoch: int) -> None:
-        done = batch.where(F.col("n_samples") == F.col("group_size")).select(
+        done = batch.where(F.col("n_samples") >= F.col("group_size")).select(
             "group_id", F.when(F.col("n_aborted") > 0, F.lit("retry")).otherwise(F.lit("batch")).alias("route"),
             "n_samples", "first_index", "n_aborted", F.lit(epoch).cast("bigint").alias("epoch"))
         done.write.mode("append").partitionBy("epoch").parquet(out)
