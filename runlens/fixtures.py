@@ -67,7 +67,10 @@ FROM {pages}""",
 SELECT o_orderkey AS run_id,
   concat('collected', chr(10), '1 passed', chr(10), '===== ', CAST(o_orderkey % 9 AS STRING), ' passed, ',
          CAST(o_custkey % 3 AS STRING), ' failed, ', CAST(o_custkey % 2 AS STRING),
-         ' error in 1.25s =====', chr(10), 'bye') AS output,
+         ' error in 1.25s =====',
+         CASE o_orderkey % 7 WHEN 0 THEN concat(chr(13), '2 passed, 1 skipped') WHEN 1 THEN concat(chr(12), '3 failed')
+                             WHEN 2 THEN concat(chr(13), chr(10), '4 errors') ELSE '' END,
+         chr(10), 'bye') AS output,
   o_orderkey % 10 AS test_suite_num
 FROM {orders}""",
     "fx_samples": """

@@ -1,23 +1,21 @@
 """Message and tool-call tables: validity, XML / JSON call extraction, call
 rows, chat export, observations, typed final answers and truncation.
 
-All jobs are row-local column expressions except the JSON command parser
-for answers that are not one well-formed object, which runs as an Arrow
-``mapInPandas`` helper.
+All jobs are row-local column expressions; only finding the JSON object in
+answers that are not one well-formed object is an Arrow UDF.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runlens.functions.columns import once
 from runlens.functions.metrics import observe_malformed
 
-from runlens.functions.terminal_json import parse_commands
+from runlens.functions.terminal_json import candidates
 from runlens.functions.text import py_rstrip, py_strip
 
 
@@ -96,14 +94,18 @@ def _is_numeric(kind: Column) -> Column:
 
 
 def _well_formed(text: Column) -> Column:
-    """The fast path applies (see ``_fast_json_commands``)."""
+    """The fast path applies (the text is one checked object)."""
     return F.coalesce(_fast_parts(text)[0], F.lit(False))
 
 
 def _fast_parts(text: Column):
     t = py_strip(text)
     v = F.try_parse_json(t)
-    is_obj = t.startswith("{") & F.schema_of_variant(v).startswith("OBJECT")
+    # the JSON reader stops at the end of the first value; text after it would
+    # have to fit into a list and into an object alike to go unnoticed
+    alone = (F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))).isNotNull()
+             & F.try_parse_json(F.concat(F.lit('{"a":'), t, F.lit("}"))).isNotNull())
+    is_obj = t.startswith("{") & F.schema_of_variant(v).startswith("OBJECT") & alone
 
     def present(path: str) -> Column:
         return F.try_variant_get(v, path, "variant").isNotNull()
@@ -116,74 +118,107 @@ def _fast_parts(text: Column):
     return ok, v, cmds
 
 
-def _fast_json_commands(text: Column) -> Column:
-    """JVM path for well-formed answers: the whole (stripped) text is one JSON
-    object with ``analysis``, ``plan`` and a ``commands`` array of objects
-    whose ``keystrokes`` are strings.  Returns the parsed struct, or NULL when
-    the row needs the full parser (extra text, repairs or any error)."""
-    ok, v, cmds = _fast_parts(text)
-    tc = F.try_variant_get(v, "$.task_complete", "variant")
-    tc_kind = F.schema_of_variant(tc)
-    tc_warn = F.when(tc.isNotNull() & (tc_kind != "VOID") & ~tc_kind.isin("BOOLEAN", "STRING"),
-                     F.lit("task_complete should be boolean or string"))
-    complete = (
-        F.when(tc_kind == "BOOLEAN", F.try_variant_get(v, "$.task_complete", "boolean"))
-        .when(tc_kind == "STRING", F.lower(F.try_variant_get(v, "$.task_complete", "string")).isin("true", "1", "yes"))
-        .when(_is_numeric(tc_kind), F.try_variant_get(v, "$.task_complete", "double") != 0)
-        .when(tc_kind.startswith("ARRAY"), F.size(F.try_variant_get(v, "$.task_complete", "array<variant>")) > 0)
-        .when(tc_kind.startswith("OBJECT"), F.size(F.try_variant_get(v, "$.task_complete", "map<string,variant>")) > 0)
-        .otherwise(F.lit(False))
+CANDIDATE_TYPE = "array<struct<repair:string,body:string,notes:array<string>,problem:string>>"
+_REQUIRED = ("analysis", "plan", "commands")
+
+
+def _candidates(text: pd.Series) -> pd.Series:
+    """Objects found in answers that are not one well-formed object (those
+    come as NULL and stay NULL)."""
+    return text.map(candidates, na_action="ignore")
+
+
+def _listed(lines: Column) -> Column:
+    return F.when(F.size(lines) > 0, F.concat(F.lit("- "), F.array_join(lines, "\n- "))).otherwise(F.lit(""))
+
+
+def _truth(v: Column, kind: Column, path: str) -> Column:
+    """Whether a value counts as true: booleans, the words true / 1 / yes,
+    numbers other than 0, lists and objects that are not empty."""
+    return F.coalesce(
+        F.when(kind == "BOOLEAN", F.try_variant_get(v, path, "boolean"))
+        .when(kind == "STRING", F.lower(F.try_variant_get(v, path, "string")).isin("true", "1", "yes"))
+        .when(_is_numeric(kind), F.try_variant_get(v, path, "double") != 0)
+        .when(kind.startswith("ARRAY"), F.size(F.try_variant_get(v, path, "array<variant>")) > 0)
+        .when(kind.startswith("OBJECT"), F.size(F.try_variant_get(v, path, "map<string,variant>")) > 0),
+        F.lit(False))
+
+
+def _checked(c: Column) -> Column:
+    """The field checks of one candidate, as column expressions: struct of
+    is_complete, error, warning and commands."""
+    body = c["body"]
+    v = F.try_parse_json(body)
+    missing = F.filter(F.array(*[F.lit(k) for k in _REQUIRED]), lambda k: ~F.array_contains(F.json_object_keys(body), k))
+    items = F.try_variant_get(v, "$.commands", "array<variant>")
+    flag_kind = F.schema_of_variant(F.try_variant_get(v, "$.task_complete", "variant"))
+    complete = _truth(v, flag_kind, "$.task_complete")
+    odd_flag = F.when(flag_kind.isNotNull() & (flag_kind != "VOID") & ~flag_kind.isin("BOOLEAN", "STRING"),
+                      F.lit("task_complete should be boolean or string"))
+
+    def numbered(i: Column, text: str) -> Column:
+        return F.concat(F.lit("Command "), (i + 1).cast("string"), F.lit(text))
+
+    def fault(x: Column, i: Column) -> Column:
+        keys = F.schema_of_variant(F.try_variant_get(x, "$.keystrokes", "variant"))
+        text = (F.when(~F.schema_of_variant(x).startswith("OBJECT"), numbered(i, " must be an object"))
+                .when(keys.isNull(), numbered(i, " missing 'keystrokes'"))
+                .when(keys != "STRING", numbered(i, " keystrokes must be string")))
+        return F.when(text.isNotNull(), F.struct(i.alias("at"), text.alias("text")))
+
+    first_fault = F.get(F.array_compact(F.transform(items, fault)), F.lit(0))
+
+    def duration_note(x: Column, i: Column) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get(x, "$.duration", "variant"))
+        note = (F.when(kind.isNull(), numbered(i, ": missing duration, using 1.0"))
+                .when(~_is_numeric(kind), numbered(i, ": invalid duration, using 1.0")))
+        return F.when(first_fault.isNull() | (i < first_fault["at"]), note)
+
+    def command(x: Column) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get(x, "$.duration", "variant"))
+        given = F.when(_is_numeric(kind), F.try_variant_get(x, "$.duration", "double"))
+        return F.struct(F.try_variant_get(x, "$.keystrokes", "string").alias("keystrokes"),
+                        F.coalesce(given, F.lit(1.0)).alias("duration"))
+
+    structure = (F.when(body.isNull(), c["problem"])
+                 .when(F.size(missing) > 0, F.concat(F.lit("Missing required fields: "), F.array_join(missing, ", ")))
+                 .when(items.isNull(), F.lit("Field 'commands' must be an array")))
+    error = F.coalesce(structure, F.when(~complete, first_fault["text"]), F.lit(""))
+    later = F.array_compact(F.concat(F.array(odd_flag), F.transform(items, duration_note),
+                                     F.array(F.when(complete, first_fault["text"]))))
+    notes = F.when(structure.isNotNull(), c["notes"]).otherwise(F.concat(c["notes"], later))
+    fixed = F.when(c["repair"] != "", F.concat(F.lit("- AUTO-CORRECTED: "), c["repair"],
+                                                F.when(F.size(notes) > 0, "\n").otherwise(F.lit(""))))
+    none = F.array().cast("array<struct<keystrokes:string,duration:double>>")
+    return F.struct(
+        (complete & (error == "")).alias("is_complete"),
+        error.alias("error"),
+        F.concat(F.coalesce(fixed, F.lit("")), _listed(notes)).alias("warning"),
+        F.when((error == "") & first_fault.isNull(), F.transform(items, command)).otherwise(none).alias("commands"),
     )
 
-    def dur_warning(c: Column, i: Column) -> Column:
-        d = F.try_variant_get(c, "$.duration", "variant")
-        n = (i + 1).cast("string")
-        return (F.when(d.isNull(), F.concat(F.lit("Command "), n, F.lit(": missing duration, using 1.0")))
-                .when(~_is_numeric(F.schema_of_variant(d)),
-                      F.concat(F.lit("Command "), n, F.lit(": invalid duration, using 1.0"))))
-
-    def command(c: Column) -> Column:
-        d = F.try_variant_get(c, "$.duration", "variant")
-        dur = F.when(d.isNotNull() & _is_numeric(F.schema_of_variant(d)),
-                     F.try_variant_get(c, "$.duration", "double")).otherwise(F.lit(1.0))
-        return F.struct(F.try_variant_get(c, "$.keystrokes", "string").alias("keystrokes"), dur.alias("duration"))
-
-    warnings = F.filter(F.concat(F.array(tc_warn), F.transform(cmds, dur_warning)), lambda w: w.isNotNull())
-    bullets = F.when(F.size(warnings) > 0, F.concat(F.lit("- "), F.array_join(warnings, "\n- "))).otherwise(
-        F.lit(""))
-    return F.when(ok, F.struct(F.coalesce(complete, F.lit(False)).alias("is_complete"), F.lit("").alias("error"),
-                               bullets.alias("warning"), F.transform(cmds, command).alias("commands")))
-
 
 def extract_json_commands(df: DataFrame, text: str, keys: list[str],
                           observation: Observation | None = None) -> DataFrame:
     """Parse terminal-agent JSON answers: ``keys`` + is_complete, error,
     warning, commands.
 
-    Well-formed answers (the common case) are parsed in the JVM from a
-    VARIANT; only the remaining rows -- extra text around the object,
-    truncated or mixed output that needs a repair, structural errors -- go
-    to the Python brace-scanning helper through ``mapInPandas`` (Arrow
-    batches, per partition; no shuffle).  With an ``observation`` the number
-    of answers with a parse error is reported by the same job."""
-    out_schema = T.StructType([df.schema[k] for k in keys] + list(COMMANDS_SCHEMA.fields))
-    # the fast branch filters through a generator (``inline`` of a
-    # NULL-compacted one-element array), so the parse is not duplicated by a
-    # pushed-down filter; the slow branch tests only the cheap well-formed flag
-    fast = df.select(*keys, F.inline(F.array_compact(F.array(_fast_json_commands(F.col(text))))))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            parsed = [parse_commands(t) for t in pdf[text].tolist()]
-            out = pdf[keys].copy()
-            out["is_complete"] = [p.is_complete for p in parsed]
-            out["error"] = [p.error for p in parsed]
-            out["warning"] = [p.warning for p in parsed]
-            out["commands"] = [[{"keystrokes": k, "duration": d} for k, d in p.commands] for p in parsed]
-            yield out
-
-    slow = df.where(~_well_formed(F.col(text))).select(*keys, text).mapInPandas(run, out_schema)
-    return observe_malformed(fast.unionByName(slow), F.col("error") != "", observation)
+    One pass: answers that are one well-formed object are their own only
+    candidate; for the others an Arrow UDF lists the objects found in the text
+    (as it stands, then repaired).  Every candidate is checked by the same
+    column expressions, and the first one without an error is taken, else the
+    first.  With an ``observation`` the number of answers with a parse error is
+    reported by the same job."""
+    whole = F.array(F.struct(F.lit("").alias("repair"), py_strip(F.col(text)).alias("body"),
+                             F.array().cast("array<string>").alias("notes"), F.lit("").alias("problem")))
+    answer = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(*keys, text, _well_formed(F.col(text)).alias("_whole"))
+    rows = rows.withColumn("_found", F.pandas_udf(_candidates, CANDIDATE_TYPE)(F.when(~F.col("_whole"), answer)))
+    rows = rows.withColumn("_found", F.when(F.col("_whole"), whole.cast(CANDIDATE_TYPE)).otherwise(F.col("_found")))
+    rows = rows.select(*keys, F.transform("_found", _checked).alias("_checked"))
+    best = F.coalesce(F.get(F.filter("_checked", lambda r: r["error"] == ""), F.lit(0)), F.get("_checked", F.lit(0)))
+    out = rows.select(*keys, best.alias("_r")).select(*keys, "_r.*")
+    return observe_malformed(out, F.col("error") != "", observation)
 
 
 # ── tool calls, chat rows, observations ────────────────────────────────────
@@ -239,18 +274,19 @@ def format_observations(calls: DataFrame, text_mode: bool, obs: str = "observati
 
 
 def answers_int(params_json: Column, field: str = "answer") -> Column:
-    """``int(params['answer'])``: numbers truncate, text is parsed, anything
-    else (missing key, bad text, non-scalar) gives NULL."""
-    v = F.try_parse_json(params_json)
-    val = F.try_variant_get(v, f"$.{field}", "variant")
-    kind = F.schema_of_variant(val)
-    as_text = F.try_variant_get(v, f"$.{field}", "string")
-    return (
-        F.when(kind == "STRING", py_strip(as_text).try_cast("bigint"))
-        .when(kind.startswith("DECIMAL") | kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT",
-                                                     "BOOLEAN"),
-              F.try_variant_get(v, f"$.{field}", "double").cast("bigint"))
-    )
+    """``int(params['answer'])``: integers as they are, other numbers
+    truncated, text parsed; anything else (missing key, bad text, non-scalar,
+    an integer beyond 64 bits) gives NULL.  The JSON is parsed once."""
+    def read(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        return (
+            F.when(kind == "STRING", py_strip(F.try_variant_get(v, "$", "string")).try_cast("bigint"))
+            .when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "BOOLEAN"), F.try_variant_get(v, "$", "bigint"))
+            .when(kind.startswith("DECIMAL") & kind.endswith(",0)"), F.try_variant_get(v, "$", "decimal(38,0)").try_cast("bigint"))
+            .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), F.try_variant_get(v, "$", "double").try_cast("bigint"))
+        )
+
+    return once(F.try_variant_get(F.try_parse_json(params_json), f"$.{field}", "variant"), read)
 
 
 def answers_files(text: Column) -> Column:
@@ -260,11 +296,13 @@ def answers_files(text: Column) -> Column:
 
 
 # A readable block: a number or ``a-b`` (``+`` allowed, ASCII digits), with
-# surrounding whitespace; it must end at a comma or at the end of the line.
+# surrounding whitespace.
 _WS = r"[\s\x1c-\x1f]*"
 _NUM = r"\+?[0-9]+"
-_BLOCK = rf"{_WS}{_NUM}{_WS}(?:-{_WS}{_NUM}{_WS})?(?=,|$)"
-_VALID_PREFIX = rf"(?U)^(?:{_BLOCK}(?:,{_BLOCK})*)"
+_BLOCK = rf"(?U)^{_WS}{_NUM}{_WS}(?:-{_WS}{_NUM}{_WS})?$"
+# A range of more lines than this is not expanded (one answer line must not
+# produce billions of rows); it is kept as one row, see ``answers_lines``.
+MAX_RANGE = 1_000_000
 
 
 def answers_lines(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -282,8 +320,8 @@ def answers_lines(df: DataFrame, text: str, key: str) -> DataFrame:
     NULL, so a per-file ``collect_list`` of the non-NULL numbers gives
     ``[]`` for such files, as the reference's ``defaultdict`` does.
 
-    The readable prefix of each line is found with one regex; blocks and
-    numbers are then plain string splits and explodes (no array lambdas)."""
+    A range of more than ``MAX_RANGE`` lines is one row with ``line_no`` NULL
+    and the range in ``unexpanded`` (``lo-hi``, else NULL)."""
     lines = df.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("_li", "_line"))
     lines = lines.withColumn("_line", py_strip(F.col("_line"))).where(F.col("_line") != "")
     parts = F.split(F.col("_line"), ":")
@@ -292,21 +330,23 @@ def answers_lines(df: DataFrame, text: str, key: str) -> DataFrame:
     created = ~(first.contains("-") & (F.size(F.split(first, "-")) != 2))
     lines = lines.where(F.size(parts) == 2).select(
         key, "_li", py_strip(F.try_element_at(parts, F.lit(1))).alias("_file"),
-        F.regexp_extract(nums_text, _VALID_PREFIX, 0).alias("_ok"), created.alias("_created"))
-    empty = F.array().cast("array<string>")
+        F.split(nums_text, ",").alias("_blocks"), created.alias("_created"))
+    bad = F.array_position(F.transform("_blocks", lambda b: b.rlike(_BLOCK)), F.lit(False)).cast("int")
+    lines = lines.withColumn("_ok", F.when(bad > 0, F.slice("_blocks", 1, bad - 1)).otherwise(F.col("_blocks")))
     # the NULL marker is only needed when the line may add no number: no
     # readable block, or a range that can be empty
-    marker = F.col("_created") & ((F.col("_ok") == "") | F.col("_ok").contains("-"))
-    arr = F.concat(F.when(marker, F.array(F.lit(None).cast("string"))).otherwise(empty),
-                   F.when(F.col("_ok") != "", F.split("_ok", ",")).otherwise(empty))
+    marker = F.col("_created") & ((F.size("_ok") == 0) | F.array_join("_ok", ",").contains("-"))
+    arr = F.concat(F.when(marker, F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>")), F.col("_ok"))
     blocks = lines.select(key, "_li", "_file", F.posexplode(arr).alias("_bi", "_b"))
     ends = F.split(F.col("_b"), "-")
     lo = py_strip(F.element_at(ends, 1)).try_cast("int")
     hi = F.coalesce(py_strip(F.try_element_at(ends, F.lit(2))).try_cast("int"), lo)
-    nums = (F.when(F.col("_b").isNull(), F.array(F.lit(None).cast("int")))
+    wide = hi.cast("bigint") - lo >= MAX_RANGE
+    nums = (F.when(F.col("_b").isNull() | wide, F.array(F.lit(None).cast("int")))
             .when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>")))
-    out = blocks.select(key, "_li", "_file", "_bi", F.posexplode(nums).alias("_k", "line_no"))
-    return out.select(key, F.col("_file").alias("file"), "line_no",
+    unexpanded = F.when(wide, F.concat(lo.cast("string"), F.lit("-"), hi.cast("string")))
+    out = blocks.select(key, "_li", "_file", "_bi", unexpanded.alias("unexpanded"), F.posexplode(nums).alias("_k", "line_no"))
+    return out.select(key, F.col("_file").alias("file"), "line_no", "unexpanded",
                       F.struct(F.col("_li").alias("li"), F.col("_bi").alias("bi"), F.col("_k").alias("k")).alias("ord"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions.metrics import observe_malformed
 
+from runlens.functions.columns import once
 from runlens.functions.text import PY_WS_CHARS, py_strip
 
 # Fixed values of the reference: pytest summary labels -> counter field.
@@ -29,9 +30,12 @@ COUNTERS = ("passed", "failed", "errors", "skipped", "warnings", "xfailed", "xpa
 # Fixed values of the reference: a summary line has "N passed|failed|error(s)|
 # skipped|xfailed|xpassed"; counts are "N label" pairs; the success marker.
 SUMMARY_LINE = r"(?U)\d+\s+(?:passed|failed|errors?|skipped|xfailed|xpassed)\b"
-# The same test as one multi-line scan: whole lines (``.`` and ``$`` stop at
-# ``\n`` only) whose gap between number and label stays on the line.
-SUMMARY_LINES = r"(?dmU)^.*\d+[\s&&[^\n]]+(?:passed|failed|errors?|skipped|xfailed|xpassed)\b.*$"
+# Line ends as ``str.splitlines`` sees them; ``\r`` comes from progress bars.
+LINE_ENDS = r"\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029"
+# The same test as one scan: whole lines whose gap between number and label
+# stays on the line (the look-behind is the start of a line).
+SUMMARY_LINES = (rf"(?U)(?<![^{LINE_ENDS}])[^{LINE_ENDS}]*\d+[\s&&[^{LINE_ENDS}]]+"
+                 rf"(?:passed|failed|errors?|skipped|xfailed|xpassed)\b[^{LINE_ENDS}]*")
 COUNT_PAIR = r"(?U)(\d+)\s+(\w+)"
 SUCCESS_MARKER = "<pytest>true</pytest>"
 
@@ -41,12 +45,13 @@ def add_pytest_counts(df: DataFrame, output: str = "output", name: str = "counts
 
     Every ``N label`` pair of that line is mapped through the label table; a
     repeated label keeps its last value; no summary line gives all zeros.
-    Lines end at ``\\n`` (a trailing ``\\r`` stays on its line).
+    Lines end as for ``str.splitlines``.
 
     Built in stages so each array is computed once per row: the summary
-    lines with one multi-line regex, then the pairs, then per counter the
-    last matching pair via ``array_position`` on the reversed arrays (no
-    array lambdas, so everything stays in generated code)."""
+    lines with one regex, then the pairs, then per counter the last matching
+    pair via ``array_position`` on the reversed arrays.  The counters are one
+    lambda body: their generated code for two logs in one projection would be
+    too long for the JVM to compile."""
     cols = df.columns
     lines = F.regexp_extract_all(F.coalesce(F.col(output), F.lit("")), F.lit(SUMMARY_LINES), 0)
     s1 = df.withColumn("_last", F.coalesce(F.try_element_at(lines, F.lit(-1)), F.lit("")))
@@ -54,14 +59,19 @@ def add_pytest_counts(df: DataFrame, output: str = "output", name: str = "counts
     s2 = s1.select(*cols,
                    F.reverse(F.regexp_extract_all(F.col("_last"), F.lit(COUNT_PAIR), 1)).alias("_rev_nums"),
                    F.reverse(F.split(F.lower(F.array_join(labels, "\u0000")), "\u0000")).alias("_rev_labels"))
-    fields = []
-    for counter in COUNTERS:
-        hits = [F.nullif(F.array_position(F.col("_rev_labels"), F.lit(lab)), F.lit(0))
-                for lab, f in PYTEST_LABELS.items() if f == counter]
-        pos = hits[0] if len(hits) == 1 else F.least(*hits)
-        value = F.try_element_at(F.col("_rev_nums"), pos.cast("int")).try_cast("bigint")
-        fields.append(F.coalesce(value, F.lit(0).cast("bigint")).alias(counter))
-    return s2.select(*cols, F.struct(*fields).alias(name))
+
+    def counters(pairs: Column) -> Column:
+        fields = []
+        for counter in COUNTERS:
+            hits = [F.nullif(F.array_position(pairs["labels"], F.lit(lab)), F.lit(0).cast("bigint"))
+                    for lab, f in PYTEST_LABELS.items() if f == counter]
+            pos = hits[0] if len(hits) == 1 else F.least(*hits)
+            value = F.try_element_at(pairs["nums"], pos.cast("int")).try_cast("bigint")
+            fields.append(F.coalesce(value, F.lit(0).cast("bigint")).alias(counter))
+        return F.struct(*fields)
+
+    pairs = F.array(F.struct(F.col("_rev_labels").alias("labels"), F.col("_rev_nums").alias("nums")))
+    return s2.select(*cols, F.get(F.transform(pairs, counters), F.lit(0)).alias(name))
 
 
 def total_run(counts: Column) -> Column:
@@ -136,22 +146,25 @@ def reward_coalesce(reward_txt: Column, reward_json: Column, timed_out: Column)
     """
     txt = py_strip(reward_txt)
     txt_val = F.when(F.coalesce(txt, F.lit("")) != "", txt.try_cast("double"))
+
+    def reward_key(v: Column) -> Column:
+        # an absent key defaults to 0; a JSON null or non-numeric value fails float()
+        present = F.try_variant_get(v, "$.reward", "variant").isNotNull()
+        return F.when(F.schema_of_variant(v).startswith("OBJECT"),
+                      F.when(present, F.try_variant_get(v, "$.reward", "double")).otherwise(F.lit(0.0)))
+
     js = py_strip(reward_json)
-    v = F.when(F.coalesce(js, F.lit("")) != "", F.try_parse_json(js))
-    is_obj = F.schema_of_variant(v).startswith("OBJECT")
-    # an absent key defaults to 0; a JSON null or non-numeric value fails float()
-    present = F.try_variant_get(v, "$.reward", "variant").isNotNull()
-    json_val = F.when(is_obj & ~present, F.lit(0.0)).when(is_obj, F.try_variant_get(v, "$.reward", "double"))
+    json_val = once(F.when(F.coalesce(js, F.lit("")) != "", F.try_parse_json(js)), reward_key)
     timed = F.coalesce(timed_out, F.lit(False))
-    reward = (
-        F.when(timed, F.lit(0.0)).when(txt_val.isNotNull(), txt_val).when(json_val.isNotNull(), json_val)
-        .otherwise(F.lit(0.0))
-    )
-    source = (
-        F.when(timed, F.lit("timeout")).when(txt_val.isNotNull(), F.lit("reward.txt"))
-        .when(json_val.isNotNull(), F.lit("reward.json")).otherwise(F.lit("none"))
-    )
-    return F.struct(reward.alias("reward"), source.alias("source"), (reward > 0).alias("accepted"))
+    def verdict(read: Column) -> Column:
+        reward = F.when(timed, F.lit(0.0)).otherwise(F.coalesce(read["txt"], read["json"], F.lit(0.0)))
+        source = (
+            F.when(timed, F.lit("timeout")).when(read["txt"].isNotNull(), F.lit("reward.txt"))
+            .when(read["json"].isNotNull(), F.lit("reward.json")).otherwise(F.lit("none"))
+        )
+        return F.struct(reward.alias("reward"), source.alias("source"), (reward > 0).alias("accepted"))
+
+    return once(F.struct(txt_val.alias("txt"), json_val.alias("json")), verdict)
 
 
 def _py_str_item(x: Column) -> Column:

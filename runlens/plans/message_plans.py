@@ -84,7 +84,7 @@ def q_extract_xml_calls(spark, sf):
                     F.array_join(pairs, "|").alias("params"), F.col("x.mismatched").alias("mismatched"))
 
 
-# ── JSON commands (no SQL oracle: brace scanning with repairs) ────────────
+# ── JSON commands ─────────────────────────────────────────────────────────
 
 _JSON_TEXT = """CASE turn % 6
   WHEN 0 THEN concat('{"analysis": "a", "plan": "p", "commands": [{"keystrokes": "ls ', role,
@@ -97,11 +97,27 @@ _JSON_TEXT = """CASE turn % 6
   ELSE text END"""
 
 
-@register("extract_json_commands")
+# the rows of every shape, written out
+_JSON_ORACLE = """
+SELECT conv_id, turn, turn % 6 IN (1, 4) AS is_complete,
+  CASE turn % 6 WHEN 3 THEN 'Missing required fields: analysis' WHEN 5 THEN 'No valid JSON found in response' ELSE '' END AS error,
+  CASE turn % 6
+    WHEN 1 THEN concat('- Extra text before JSON', chr(10), '- Extra text after JSON', chr(10), '- Command 1: missing duration, using 1.0')
+    WHEN 2 THEN '- AUTO-CORRECTED: Fixed incomplete JSON'
+    WHEN 4 THEN '- Command 1 missing ''keystrokes'''
+    WHEN 5 THEN '- No valid JSON object found' ELSE '' END AS warning,
+  CASE WHEN turn % 6 IN (0, 1, 2) THEN CAST(0 AS INTEGER) END AS pos,
+  CASE turn % 6 WHEN 0 THEN concat('ls ', role, chr(10)) WHEN 1 THEN 'cd /' WHEN 2 THEN role END AS keystrokes,
+  CASE turn % 6 WHEN 0 THEN CAST(0.5 AS DOUBLE) WHEN 1 THEN CAST(1 AS DOUBLE) WHEN 2 THEN CAST(1 AS DOUBLE) END AS duration
+FROM conversations"""
+
+
+@register("extract_json_commands", _JSON_ORACLE)
 def q_extract_json_commands(spark, sf):
     conv = read_table(spark, sf, "conversations").select("conv_id", "turn", F.expr(_JSON_TEXT).alias("response"))
     out = M.extract_json_commands(conv, "response", ["conv_id", "turn"])
-    return out.select("conv_id", "turn", "is_complete", "error", "warning", F.size("commands").alias("n_commands"))
+    rows = out.select("conv_id", "turn", "is_complete", "error", "warning", F.posexplode_outer("commands").alias("pos", "c"))
+    return rows.select("conv_id", "turn", "is_complete", "error", "warning", "pos", "c.keystrokes", "c.duration")
 
 
 # ── tool calls, chat rows, observations ────────────────────────────────────

@@ -21,7 +21,7 @@ def _counts_cte(name: str, source: str, key: str, text: str) -> str:
     """SQL CTEs computing the 8 counters of ``text`` per ``key`` as ``name``."""
     cols = ",\n  ".join(
         f"coalesce(arg_max(CAST(n AS BIGINT), i) FILTER (WHERE f = '{f}'), 0) AS {f}" for f in _FIELDS)
-    return f"""{name}_l AS (SELECT {key} AS k, coalesce(list_filter(string_split_regex(coalesce({text}, ''), '\\r?\\n'),
+    return f"""{name}_l AS (SELECT {key} AS k, coalesce(list_filter(string_split_regex(coalesce({text}, ''), '[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]'),
     lambda x: regexp_matches(x, '\\d+\\s+(passed|failed|errors?|skipped|xfailed|xpassed)\\b'))[-1], '') AS last
   FROM {source}),
 {name}_p AS (SELECT k, unnest(regexp_extract_all(last, '(\\d+)\\s+(\\w+)', 1)) AS n,

@@ -92,6 +92,8 @@ def _redact_type(dt: T.DataType) -> T.DataType:
     if isinstance(dt, T.StructType):
         return T.StructType([T.StructField(f.name, _redact_type(f.dataType), f.nullable)
                              for f in dt.fields if f.name.lower() not in SECRET_KEYS])
+    if isinstance(dt, T.MapType) and isinstance(dt.keyType, T.StringType):
+        return T.MapType(dt.keyType, _redact_type(dt.valueType), dt.valueContainsNull)
     return dt
 
 
@@ -104,14 +106,16 @@ def _redact(c: Column, dt: T.DataType) -> Column:
         return F.when(c.isNull(), F.lit(None).cast(_redact_type(dt))).otherwise(
             F.struct(*[_redact(c[f.name], f.dataType).alias(f.name) for f in keep]))
     if isinstance(dt, T.MapType) and isinstance(dt.keyType, T.StringType):
-        return F.map_filter(c, lambda k, v: ~F.lower(k).isin(*SECRET_KEYS))
+        kept = F.map_filter(c, lambda k, v: ~F.lower(k).isin(*SECRET_KEYS))
+        if isinstance(dt.valueType, T.StructType | T.MapType):
+            return F.transform_values(kept, lambda k, v: _redact(v, dt.valueType))
+        return kept
     return c
 
 
 def redact_secrets(df: DataFrame) -> DataFrame:
     """Remove secret-looking keys (case-insensitive) from every column,
-    recursing into nested structs but not into arrays, as the reference
-    config snapshot does; string-keyed maps lose such keys at their top
-    level (map values are not descended into)."""
+    recursing into nested structs and the values of string-keyed maps, but not
+    into arrays, as the reference config snapshot does."""
     keep = [f for f in df.schema.fields if f.name.lower() not in SECRET_KEYS]
     return df.select(*[_redact(F.col(f.name), f.dataType).alias(f.name) for f in keep])

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from runlens.fixtures import read_table
-from runlens.functions.terminal_json import parse_commands
 from runlens.operators import messages as M
 
 from .conftest import SF_SMALL, rows
@@ -34,21 +33,6 @@ def test_xml_calls_reference_cases(spark):
     assert got[5] is None and got[6] is None
 
 
-def test_json_commands_helper():
-    ok = parse_commands('{"analysis": "a", "plan": "p", "commands": [{"keystrokes": "ls\\n", "duration": 0.5}]}')
-    assert ok.error == "" and ok.commands == [("ls\n", 0.5)] and not ok.is_complete
-    mixed = parse_commands('Sure {"analysis": "a", "plan": "p", "commands": [{"keystrokes": "x"}], '
-                           '"task_complete": "yes"} done')
-    assert mixed.is_complete and mixed.commands == [("x", 1.0)]
-    assert "Extra text before JSON" in mixed.warning and "missing duration" in mixed.warning
-    fixed = parse_commands('{"analysis": "a", "plan": "p", "commands": []')
-    assert fixed.error == "" and fixed.warning.startswith("- AUTO-CORRECTED: Fixed incomplete JSON")
-    missing = parse_commands('{"plan": "p", "commands": []}')
-    assert missing.error == "Missing required fields: analysis"
-    done = parse_commands('{"analysis": "a", "plan": "p", "commands": [{"duration": 1}], "task_complete": true}')
-    assert done.is_complete and done.error == "" and "missing 'keystrokes'" in done.warning
-
-
 def test_json_commands_job(spark):
     df = spark.createDataFrame([(1, '{"analysis": "a", "plan": "p", "commands": []}'), (2, "no json")],
                                "id long, response string")
@@ -111,48 +95,6 @@ def test_tool_call_rows_shapes(spark):
                    (2, "nope", "Error: tool 'nope' not found.")]
 
 
-def test_json_fast_path_equals_python_parser(spark):
-    """Generated answers (valid, structurally broken, wrapped in text,
-    truncated): the JVM fast path plus the Python fallback give exactly the
-    Python parser's result for every row."""
-    import json
-    import random
-
-    rnd = random.Random(11)
-
-    def cmd():
-        c = {}
-        if rnd.random() < 0.85:
-            c["keystrokes"] = rnd.choice(["ls\n", "cd /x", "", 'echo "q"\n'])
-        elif rnd.random() < 0.5:
-            c["keystrokes"] = 5
-        r = rnd.random()
-        if r < 0.5:
-            c["duration"] = rnd.choice([0.5, 1, 2.25, 1e3, True])
-        elif r < 0.6:
-            c["duration"] = rnd.choice(["1", None, [1]])
-        return c if rnd.random() < 0.95 else "notobj"
-
-    texts = []
-    for _ in range(250):
-        d = {k: "x" for k in ("analysis", "plan") if rnd.random() < 0.95}
-        if rnd.random() < 0.95:
-            d["commands"] = [cmd() for _ in range(rnd.randint(0, 3))] if rnd.random() < 0.97 else "x"
-        if rnd.random() < 0.3:
-            d["task_complete"] = rnd.choice([True, False, "yes", "No", "1", 1, 0, None, [1], {}])
-        t = json.dumps(d)
-        r = rnd.random()
-        t = ("Sure: " + t) if r < 0.1 else t[:-1] if r < 0.15 else ("  " + t + "\n") if r < 0.2 else t
-        texts.append(t)
-    df = spark.createDataFrame(list(enumerate(texts)), "id long, response string")
-    got = {r.id: (r.is_complete, r.error, r.warning, [(c.keystrokes, c.duration) for c in r.commands])
-           for r in M.extract_json_commands(df, "response", ["id"]).collect()}
-    for i, t in enumerate(texts):
-        p = parse_commands(t)
-        assert got[i] == (bool(p.is_complete), p.error, p.warning, [(k, float(d)) for k, d in p.commands]), t
-    assert df.select(M._fast_json_commands(F.col("response")).isNotNull().alias("f")).where("f").count() > 50
-
-
 def test_byte_truncation_small_budgets_and_multibyte(spark):
     vals = ["aé€😀" * 7, "😀😀😀", "€" * 5, "abc", "", "é" * 9 + "x"]
     df = spark.createDataFrame([(v,) for v in vals], "t string")
