@@ -296,18 +296,25 @@ def match_test_cases(cases: DataFrame, expected: DataFrame, run: str = "run_id",
     a match form (or fingerprint) the later one in the list owns it; when
     several cases hit one id, the last case in document order decides.
     """
-    c = cases.where(F.col("status") != "xml_error")
+    return _matches(cases, expected, run, order).where("expected_id IS NOT NULL")
+
+
+def _matches(cases: DataFrame, expected: DataFrame, run: str, order: tuple[str, ...]) -> DataFrame:
+    """``match_test_cases`` plus one row ``(run, NULL, xml_error)`` per run with
+    an unreadable document, all in one pass over the cases."""
+    c = cases
+    unreadable = F.col("status") == "xml_error"
     k2 = match_form(F.concat(F.col("classname"), F.lit("."), F.col("name")))
     def probe(pri: int, kind: str, key: Column) -> Column:
         return F.struct(F.lit(pri).alias("pri"), F.lit(kind).alias("kind"), key.alias("key"))
 
-    probes = F.array(
+    probes = F.when(unreadable, F.array(probe(0, "xml_error", F.lit("")))).otherwise(F.array(
         probe(1, "exact", F.when(F.col("file") != "", F.concat(F.col("file"), F.lit("::"), F.col("name")))),
         probe(2, "norm", k2),
         probe(3, "fp", fingerprint(k2)),
         probe(4, "exact", F.concat(F.replace(F.col("classname"), F.lit("."), F.lit("/")), F.lit(".py::"),
                                    F.col("name"))),
-    )
+    ))
     probe_rows = c.select(run, *order, "status", F.explode(probes).alias("p")).select(
         run, *order, "status", "p.pri", "p.kind", "p.key").where(F.col("key").isNotNull())
     # one aggregation builds every lookup entry: the exact id, and the owner
@@ -318,34 +325,36 @@ def match_test_cases(cases: DataFrame, expected: DataFrame, run: str = "run_id",
         F.struct(F.lit("fp").alias("kind"), fingerprint(match_form(F.col("test_id"))).alias("key")))).alias("e"))
     entries = entries.groupBy(run, F.col("e.kind").alias("kind"), F.col("e.key").alias("key")).agg(
         F.max_by("test_id", "pos").alias("expected_id"))
-    hits = probe_rows.join(entries, [run, "kind", "key"], "inner")
+    hits = probe_rows.join(entries, [run, "kind", "key"], "left").where(F.col("expected_id").isNotNull() | unreadable)
     best = hits.groupBy(run, *order, "status").agg(F.min_by("expected_id", "pri").alias("expected_id"))
     order_key = F.struct(*[F.col(o) for o in order])
     return best.groupBy(run, "expected_id").agg(F.max_by("status", order_key).alias("status"))
 
 
-def expected_test_coverage(matched: DataFrame, expected: DataFrame, cases: DataFrame,
-                           run: str = "run_id") -> DataFrame:
-    """Per run: expected / matched / unmatched counts and the verdict
-    ``all_passed = some matched ∧ all matched passed ∧ none unmatched``; a
-    run with an unreadable XML document is not passed.
-
-    Every matched id is one of the run's expected ids, so both the matched
-    and the unmatched counts come from one ``expected ⟕ matched`` join; the
-    matching pipeline is consumed once."""
-    j = expected.select(run, "test_id").join(
-        matched.select(run, F.col("expected_id").alias("test_id"), "status"), [run, "test_id"], "left")
-    hit = F.col("status").isNotNull()
-    e = j.groupBy(run).agg(
-        F.count(F.lit(1)).cast("bigint").alias("total_expected"),
-        F.count_if(~hit).cast("bigint").alias("unmatched"),
-        F.count_distinct(F.when(hit, F.col("test_id"))).cast("bigint").alias("total_matched"),
+def expected_test_coverage(cases: DataFrame, expected: DataFrame, run: str = "run_id",
+                           order: tuple[str, ...] = ("doc_pos", "pos")) -> DataFrame:
+    """Per run with expected tests: expected / matched / unmatched counts and
+    the verdict ``all_passed = some matched ∧ all matched passed ∧ none
+    unmatched``; a run with an unreadable XML document is not passed.
+
+    One pass over the cases: expected ids and match results meet as rows of
+    one aggregation on ``(run, id)``, then one on ``run``; the unreadable
+    documents travel with the match results."""
+    found = _matches(cases, expected, run, order).select(
+        run, F.col("expected_id").alias("test_id"), "status", F.lit(0).alias("n"))
+    wanted = expected.select(run, "test_id", F.lit(None).cast("string").alias("status"), F.lit(1).alias("n"))
+    per_id = wanted.unionByName(found).groupBy(run, "test_id").agg(
+        F.max("status").alias("status"), F.sum("n").alias("n"))
+    hit = F.col("status").isNotNull() & F.col("test_id").isNotNull()
+    out = per_id.groupBy(run).agg(
+        F.sum("n").cast("bigint").alias("total_expected"),
+        F.count_if(hit).cast("bigint").alias("total_matched"),
+        F.sum(F.when(~hit, F.col("n")).otherwise(F.lit(0))).cast("bigint").alias("unmatched"),
         F.bool_and(F.when(hit, F.col("status") == "passed")).alias("_all_ok"),
-    )
-    bad = cases.groupBy(run).agg(F.bool_or(F.col("status") == "xml_error").alias("xml_error"))
-    out = e.join(bad, run, "left")
+        F.bool_or(F.coalesce(F.col("status") == "xml_error", F.lit(False))).alias("_unreadable"),
+    ).where(F.col("total_expected") > 0)
     return out.select(
         run, "total_expected", "total_matched", "unmatched",
         ((F.col("total_matched") > 0) & F.coalesce("_all_ok", F.lit(False))
-         & (F.col("unmatched") == 0) & ~F.coalesce("xml_error", F.lit(False))).alias("all_passed"),
+         & (F.col("unmatched") == 0) & ~F.col("_unreadable")).alias("all_passed"),
     )

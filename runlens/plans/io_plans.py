@@ -24,6 +24,7 @@ from runlens.operators import scoring as S
 from runlens.plans import scoring_plans, stats_plans  # noqa: F401  (oracles reused below)
 from runlens.functions.numeric import sql_round
 from runlens.plans.registry import ORACLE, register
+from runlens.plans.scoring_plans import _STATUS_CTE
 from runlens.session import scratch_path
 from runlens.sources import readers as RD
 from runlens.sources import writers as W
@@ -364,13 +365,33 @@ def q_scan_search_hits(spark, sf):
 
 # ── report / analysis / rollout writers ────────────────────────────────────
 
-@register("write_report", ORACLE["bucket_report"])
+_TOTALS = {
+    "total_instances": "true", "submitted_instances": "bucket <> 'incomplete'",
+    "completed_instances": "bucket IN ('resolved', 'unresolved', 'error')", "resolved_instances": "bucket = 'resolved'",
+    "unresolved_instances": "bucket = 'unresolved'", "error_instances": "bucket = 'error'",
+    "empty_patch_instances": "bucket = 'empty_patch'",
+}
+
+
+@register("write_report", _STATUS_CTE + """SELECT 'count' AS part, bucket AS name, count(*) AS n FROM st GROUP BY bucket
+UNION ALL SELECT concat('instance ', bucket), instance_id, 1 FROM st
+UNION ALL """ + "\nUNION ALL ".join(
+    f"SELECT 'total 1.0', '{name}', count(*) FILTER (WHERE {test}) FROM st" for name, test in _TOTALS.items()))
 def q_write_report(spark, sf):
     status = S.instance_status(fixture(spark, sf, "fx_instances"), fixture(spark, sf, "fx_predictions"),
                                fixture(spark, sf, "fx_progress"))
     out = _scratch(spark, "report")
-    W.write_report(S.bucket_report(status), status, out)
-    return spark.read.schema("bucket string, n bigint").json(f"{out}/counts")
+    W.write_report(status, out)
+    counts = spark.read.schema("bucket string, n bigint").json(f"{out}/counts")
+    listed = spark.read.schema("instance_id string, bucket string").parquet(f"{out}/instances")
+    totals = spark.read.schema("schema_version string, " + ", ".join(f"{k} bigint" for k in _TOTALS)).json(f"{out}/totals")
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).alias("n")) for k in _TOTALS])).alias("t")
+    return (
+        counts.select(F.lit("count").alias("part"), F.col("bucket").alias("name"), "n")
+        .unionByName(listed.select(F.concat(F.lit("instance "), "bucket").alias("part"), F.col("instance_id").alias("name"),
+                                   F.lit(1).cast("bigint").alias("n")))
+        .unionByName(totals.select(F.concat(F.lit("total "), "schema_version").alias("part"), pairs)
+                     .select("part", "t.name", "t.n")))
 
 
 _OVERALL = f"""

@@ -298,10 +298,5 @@ SELECT e.run_id, e.total_expected, coalesce(mm.total_matched, 0) AS total_matche
 FROM e LEFT JOIN mm ON e.run_id = mm.run_id LEFT JOIN bad ON e.run_id = bad.run_id""",
 )
 def q_expected_test_coverage(spark, sf):
-    # cases feed both the matching and the per-run XML-error flag: one
-    # exchange on run_id, reused by both consumers, so each document is
-    # parsed once
-    cases = TL.junit_cases(fixture(spark, sf, "fx_junit").select("run_id", "doc_pos", "xml")).repartition("run_id")
-    expected = fixture(spark, sf, "fx_expected")
-    matched = TL.match_test_cases(cases, expected)
-    return TL.expected_test_coverage(matched, expected, cases)
+    cases = TL.junit_cases(fixture(spark, sf, "fx_junit").select("run_id", "doc_pos", "xml"))
+    return TL.expected_test_coverage(cases, fixture(spark, sf, "fx_expected"))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Fixed values of the reference: config keys never written to disk.
+# Fixed value: the version of the report document.
+REPORT_SCHEMA_VERSION = "1.0"
 SECRET_KEYS = ("api_key", "secret", "token", "password", "credentials")
 
 
@@ -56,15 +58,20 @@ def write_progress_stream(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
 
 
-def write_report(counts: DataFrame, status: DataFrame, path: str, with_json_view: bool = False) -> None:
-    """Report = bucket counts table + long ``(bucket, instance_id)`` table;
-    on request also the id lists as sorted, bounded JSON chunks."""
-    counts.write.mode("overwrite").json(f"{path}/counts")
-    status.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/instances")
-    if with_json_view:
-        from runlens.operators.scoring import report_json_chunks
+def write_report(status: DataFrame, path: str, with_json_view: bool = False) -> None:
+    """The report of ``status`` (instance_id, bucket): the long instance table,
+    then from what was written the bucket counts and the summary document
+    (``schema_version``, totals, submitted, completed and bucket counts); on
+    request also the id lists as sorted, bounded JSON chunks.  The pipeline
+    behind ``status`` runs once."""
+    from runlens.operators.scoring import bucket_report, report_json_chunks, report_totals
 
-        report_json_chunks(status).write.mode("overwrite").json(f"{path}/report")
+    status.repartition("bucket", F.hash("instance_id") % 64).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/instances")
+    written = status.sparkSession.read.schema("instance_id string, bucket string").parquet(f"{path}/instances")
+    bucket_report(written).write.mode("overwrite").json(f"{path}/counts")
+    report_totals(written).select(F.lit(REPORT_SCHEMA_VERSION).alias("schema_version"), "*").write.mode("overwrite").json(f"{path}/totals")
+    if with_json_view:
+        report_json_chunks(written).write.mode("overwrite").json(f"{path}/report")
 
 
 def write_analysis(report: DataFrame, path: str) -> None:

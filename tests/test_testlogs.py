@@ -56,8 +56,7 @@ def _coverage(spark, docs, expected):
     e = spark.createDataFrame([(run, i, t) for run, ids in expected for i, t in enumerate(ids)],
                               "run_id long, pos int, test_id string")
     cases = TL.junit_cases(d)
-    matched = TL.match_test_cases(cases, e)
-    return {r.run_id: r for r in TL.expected_test_coverage(matched, e, cases).collect()}
+    return {r.run_id: r for r in TL.expected_test_coverage(cases, e).collect()}
 
 
 def test_junit_reference_cases(spark):
@@ -127,3 +126,10 @@ def test_all_expected_tests_keeps_order_and_duplicates(spark):
     df = spark.createDataFrame([('["a", "b"]', '["b"]'), ("", "c"), (None, None)], "f string, p string")
     got = [r[0] for r in df.select(TL.all_expected_tests(F.col("f"), F.col("p"))).collect()]
     assert got == [["a", "b", "b"], ["c"], []]
+
+
+def test_coverage_parses_each_document_once(spark):
+    docs = spark.createDataFrame([(1, 0, "<testsuite/>")], "run_id long, doc_pos int, xml string")
+    expected = spark.createDataFrame([(1, 0, "a::b")], "run_id long, pos int, test_id string")
+    plan = TL.expected_test_coverage(TL.junit_cases(docs), expected)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_xml") == 1
