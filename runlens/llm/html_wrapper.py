@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame
@@ -317,9 +317,9 @@ def constant_nodes(pages: DataFrame, chosen: DataFrame) -> DataFrame:
 class Wrapper:
     """A host's model tree with the texts of its constant nodes."""
 
-    def __init__(self, model: str | None, constant: list[int] | None):
+    def __init__(self, model: str | None, constant: Iterable[int] | None):
         self.root = parse(model)
-        chosen = set(constant or ())
+        chosen = set() if constant is None else {int(i) for i in constant}
         self.keys = {id(n): text_key(n) for i, n in enumerate(preorder(self.root)) if i in chosen}
 
     def extract(self, page: str | None) -> str:
