@@ -39,7 +39,7 @@ from runlens.llm.components import components
 SHINGLE = 5
 #: size of the count table behind the rare-first order; fixed, so it is small
 #: at every corpus size
-BUCKET_BITS = 17
+BUCKET_BITS = 20
 _LOW = np.uint64(64 - BUCKET_BITS)
 _LOW_MASK = np.uint64((1 << (64 - BUCKET_BITS)) - 1)
 #: representatives whose texts are looked up by a broadcast of their ids
@@ -75,7 +75,10 @@ def bucket_ranks(docs: DataFrame) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["bucket", "n"])
 
-    sums = docs.select("text").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    # few large tasks: each emits up to one row per bucket
+    spark = docs.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // 8)
+    sums = docs.select("text").coalesce(tasks).mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     total = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
     got = sums.toPandas()
     total[got["bucket"].to_numpy()] = got["n"].to_numpy()
@@ -86,7 +89,10 @@ def bucket_ranks(docs: DataFrame) -> np.ndarray:
 
 def ordered_set(text: str | None, ranks: np.ndarray) -> np.ndarray:
     """The set as keys whose numeric order is the global rare-first order."""
-    s = shingle_set(text)
+    return _ordered(shingle_set(text), ranks)
+
+
+def _ordered(s: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     return np.sort((ranks[(s >> _LOW).astype(np.int64)] << _LOW) | (s & _LOW_MASK))
 
 
@@ -116,6 +122,11 @@ def _distance_bound(a: np.ndarray, b: np.ndarray, depth: int) -> int:
     return _distance_bound(a[:i], b[:j], depth - 1) + _distance_bound(a[i:], b[j:], depth - 1)
 
 
+def signature(s: np.ndarray) -> list[int]:
+    """128 bits that stand for a whole set, as two numbers."""
+    return _signed(np.array([np.bitwise_xor.reduce(mix64(s + np.uint64(k))) for k in (1, 2)], dtype=np.uint64)) if len(s) else [0, 0]
+
+
 def _signed(x: np.ndarray) -> list[int]:
     return x.view(np.int64).tolist()
 
@@ -130,8 +141,8 @@ def document_sets(docs: DataFrame, ranks: Broadcast) -> DataFrame:
         def work(rows: list[tuple]) -> list[tuple]:
             out = []
             for doc_id, row_hash, text in rows:
-                s = ordered_set(text, order)
-                sig = _signed(np.array([np.bitwise_xor.reduce(mix64(s + np.uint64(k))) for k in (1, 2)], dtype=np.uint64))
+                raw = shingle_set(text)
+                s, sig = _ordered(raw, order), signature(raw)
                 parts = np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS)
                 out.append((doc_id, row_hash, len(s), *sig, _signed(s[: prefix_length(len(s))]) if len(s) else [], parts.tolist()))
             return out
@@ -142,6 +153,20 @@ def document_sets(docs: DataFrame, ranks: Broadcast) -> DataFrame:
     return map_rows(rows, make, SET_SCHEMA)
 
 
+def signatures(docs: DataFrame) -> DataFrame:
+    """``doc_id, row_hash, n, sig1, sig2`` per row."""
+
+    def make() -> Callable[[list[tuple]], list[tuple]]:
+        def work(rows: list[tuple]) -> list[tuple]:
+            read = [(doc_id, row_hash, shingle_set(text)) for doc_id, row_hash, text in rows]
+            return [(doc_id, row_hash, len(s), *signature(s)) for doc_id, row_hash, s in read]
+
+        return work
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_hash"), "text")
+    return map_rows(rows, make, "doc_id bigint, row_hash bigint, n bigint, sig1 bigint, sig2 bigint")
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, ranks: Broadcast) -> DataFrame:
     """The pairs(a, b) that link.  Texts are looked up for their nodes only."""
     pairs = shared_table(pairs, "pairs")
@@ -295,9 +320,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     named = reps.join(groups, "node", "left").select(*key, "least_id", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     classes = named.join(smallest, "component").select(*key, "component_id", F.col("component").alias("group"))
-    members = sets.select("doc_id", "row_hash", *key)
     return (
-        members.join(classes, key, "left")
+        signatures(docs).join(classes, key, "left")
         .select(
             "doc_id",
             F.col("n").alias("n_shingles"),
