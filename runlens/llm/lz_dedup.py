@@ -78,6 +78,13 @@ def _anchors(rows: DataFrame) -> DataFrame:
     return shared_table(map_rows(rows.filter("is_first").select("doc_id", "text"), make, "doc_id bigint, anchors array<bigint>"), "anchors")
 
 
+def _holders(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """The rows with a shared anchor: kept before any text is shuffled if their
+    ids are few enough to send to every task."""
+    ids = shared.select(F.col("doc_id").alias("s_id"))
+    return rows.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("s_id")), "left_semi") if ids.count() <= BROADCAST_IDS else rows
+
+
 def _phrases(rows: DataFrame, shared: DataFrame) -> DataFrame:
     """``doc_id, phrase, weight``: one row per phrase whose anchor is shared."""
 
@@ -138,12 +145,15 @@ def dedup(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """
     rows = _with_copies(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     anchors = _anchors(rows).select("doc_id", F.explode_outer("anchors").alias("anchor")).filter("anchor IS NOT NULL")
-    repeated = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # written, so that the join below shuffles both sides itself and a hot anchor can be split
+    repeated = shared_table(anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "repeated")
     shared = shared_table(
         anchors.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "shared"
     )
-    phrases = _phrases(rows, shared)
-    index = phrases.groupBy("phrase").agg(F.sum("weight").alias("n"), F.min("doc_id").alias("block")).filter("n > 1").select("phrase", "block")
+    phrases = _phrases(_holders(rows, shared), shared)
+    index = shared_table(
+        phrases.groupBy("phrase").agg(F.sum("weight").alias("n"), F.min("doc_id").alias("block")).filter("n > 1").select("phrase", "block"), "index"
+    )
     matches = (
         phrases.filter("weight = 1").join(index, "phrase")
         .groupBy("doc_id")
