@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import LOWER, map_batches, map_rows, mix64, shared_table, with_ids, word_bounds, word_hashes
+from runlens.llm.common import LOWER, collected, map_batches, map_rows, mix64, shared_table, with_ids, word_bounds, word_hashes
 from runlens.llm.nbsvm import sampled
 
 DIM_BITS = 19
 PREFIXES = (3, 4, 5, 6)
-SAMPLE = 2000
+SAMPLE = 1000
 #: evidence (in nats) a feature needs to get a weight, and to label a token;
 #: a labelled token has at least this share of its document's strongest
 CANDIDATE, LABELLING, SHARE = 5.0, 11.5, 0.5
@@ -139,9 +139,10 @@ def document_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         label, feature = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(feature.astype(np.int32)), pa.array(total[label, feature])], names=["label", "feature", "n"])
 
-    sums = rows.select("label", "text").mapInArrow(count, "label int, feature int, n bigint").groupBy("label", "feature").agg(F.sum("n").alias("n")).toPandas()
+    sums = rows.select("label", "text").mapInArrow(count, "label int, feature int, n bigint").groupBy("label", "feature").agg(F.sum("n").alias("n"))
+    got = collected(sums)
     total = np.zeros((2, size + 1))
-    total[sums["label"].to_numpy(), sums["feature"].to_numpy()] = sums["n"].to_numpy()
+    total[got["label"], got["feature"]] = got["n"]
     return total[:, :size], total[:, size]
 
 
@@ -195,7 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
 
     chosen = sampled(labels, sample)  # bounded: at most 2 * sample ids
     read = map_rows(with_ids(docs.select("doc_id", "text"), chosen).select("doc_id", "label", "text"), make, "doc_id bigint, n int, place array<int>, feature array<int>, toxic array<int>")
-    return train(read.orderBy("doc_id").toPandas().to_dict("records"), size)
+    table = collected(read.orderBy("doc_id"))
+    return train([dict(zip(table, row, strict=True)) for row in zip(*table.values(), strict=True)], size)
 
 
 def train(tagged: list[dict], size: int) -> Field:
@@ -205,7 +207,7 @@ def train(tagged: list[dict], size: int) -> Field:
     lengths: list[int] = []
     for d in tagged:
         first = len(lengths)
-        lengths += [min(SEGMENT, d["n"] - s) for s in range(0, d["n"], SEGMENT)]
+        lengths += [min(SEGMENT, int(d["n"]) - s) for s in range(0, int(d["n"]), SEGMENT)]
         p = np.asarray(d["place"], dtype=np.int64)
         rows.append(first + p // SEGMENT)
         places.append(p % SEGMENT)
@@ -216,7 +218,7 @@ def train(tagged: list[dict], size: int) -> Field:
     row, place, feature = np.concatenate(rows), np.concatenate(places), np.concatenate(features)
     used, slot = np.unique(feature, return_inverse=True)
     inside = np.arange(SEGMENT)[None, :] < length[:, None]
-    tags = np.zeros((n, SEGMENT), dtype=np.int64)
+    tags = np.zeros((n, SEGMENT), dtype=np.int8)
     where = np.concatenate(gold)
     tags[where[:, 0], where[:, 1]] = 1
     both = inside[:, 1:]
@@ -224,7 +226,7 @@ def train(tagged: list[dict], size: int) -> Field:
     for i in (0, 1):
         for j in (0, 1):
             seen_moves[i, j] = ((tags[:, :-1] == i) & (tags[:, 1:] == j) & both).sum()
-    seen_toxic = tags[inside].sum()
+    seen_toxic = float(tags.sum())
     seen_features = np.bincount(slot, tags[row, place], len(used))
     # packed parameters: feature weights, bias, moves 01, 10, 11 (00 is fixed at 0)
     x = np.zeros(len(used) + 4)
@@ -233,12 +235,12 @@ def train(tagged: list[dict], size: int) -> Field:
     for t in range(1, PASSES + 1):
         w, bias = x[: len(used)], x[len(used)]
         moves = np.array([[0.0, x[-3]], [x[-2], x[-1]]])
-        e = np.full((n, SEGMENT), bias)
+        e = np.full((n, SEGMENT), bias, dtype=np.float32)
         np.add.at(e, (row, place), w[slot])
         marginal, expected = _expectations(e, moves, inside)
         gradient = np.concatenate([
             seen_features - np.bincount(slot, marginal[row, place], len(used)),
-            [seen_toxic - marginal.sum()],
+            [seen_toxic - marginal.sum(dtype=np.float64)],
             (seen_moves - expected).ravel()[1:],
         ]) - PENALTY * np.append(w, np.zeros(4)) * 1.0
         m1 = 0.9 * m1 + 0.1 * gradient
@@ -254,7 +256,7 @@ def _expectations(e: np.ndarray, moves: np.ndarray, inside: np.ndarray) -> tuple
     n, length = e.shape
     step = np.exp(moves)
     boost = np.exp(np.clip(e, -50, 50))
-    forward = np.empty((length, n, 2))
+    forward = np.empty((length, n, 2), dtype=np.float32)
     a = np.stack([np.ones(n), boost[:, 0]], axis=1)
     a /= a.sum(axis=1, keepdims=True)
     forward[0] = a
@@ -263,7 +265,7 @@ def _expectations(e: np.ndarray, moves: np.ndarray, inside: np.ndarray) -> tuple
         a[:, 1] *= boost[:, t]
         a /= a.sum(axis=1, keepdims=True)
         forward[t] = a
-    marginal, expected = np.zeros((n, length)), np.zeros((2, 2))
+    marginal, expected = np.zeros((n, length), dtype=np.float32), np.zeros((2, 2))
     b = np.ones((n, 2))
     for t in range(length - 1, -1, -1):
         both = forward[t] * b
