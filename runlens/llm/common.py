@@ -86,6 +86,22 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[tuple]], list[tupl
     return df.mapInArrow(run, schema)
 
 
+def collected(df: DataFrame) -> dict[str, np.ndarray]:
+    """The columns of a result of bounded size, as numpy arrays (lists as an
+    array of arrays); moved as Arrow batches, not as rows."""
+    table = df.toArrow().combine_chunks()
+    out = {}
+    for name, column in zip(table.column_names, table.columns, strict=True):
+        whole = column.chunk(0) if column.num_chunks else pa.array([], type=column.type)
+        if pa.types.is_list(whole.type):
+            cells = np.empty(len(whole), dtype=object)
+            cells[:] = [np.asarray(c) for c in _values(whole)] if len(whole) else []
+            out[name] = cells
+        else:
+            out[name] = whole.to_numpy(zero_copy_only=False)
+    return out
+
+
 def _values(column: pa.Array) -> list:
     """Python values; lists of numbers as numpy arrays."""
     kind = column.type

@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import gram_hashes, map_rows, mix64, shared_table, text_words
+from runlens.llm.common import collected, gram_hashes, map_rows, mix64, shared_table, text_words
 from runlens.llm.components import components
 
 SHINGLE = 5
@@ -80,10 +80,10 @@ def bucket_ranks(docs: DataFrame) -> np.ndarray:
     tasks = max(2 * spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // 8)
     sums = docs.select("text").coalesce(tasks).mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     total = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
-    got = sums.toPandas()
-    total[got["bucket"].to_numpy()] = got["n"].to_numpy()
-    ranks = np.empty(1 << BUCKET_BITS, dtype=np.uint64)
-    ranks[np.argsort(total, kind="stable")] = np.arange(1 << BUCKET_BITS, dtype=np.uint64)
+    got = collected(sums)
+    total[got["bucket"]] = got["n"]
+    ranks = np.empty(1 << BUCKET_BITS, dtype=np.uint32)
+    ranks[np.argsort(total, kind="stable")] = np.arange(1 << BUCKET_BITS, dtype=np.uint32)
     return ranks
 
 
@@ -93,7 +93,7 @@ def ordered_set(text: str | None, ranks: np.ndarray) -> np.ndarray:
 
 
 def _ordered(s: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    return np.sort((ranks[(s >> _LOW).astype(np.int64)] << _LOW) | (s & _LOW_MASK))
+    return np.sort((ranks[(s >> _LOW).astype(np.int64)].astype(np.uint64) << _LOW) | (s & _LOW_MASK))
 
 
 def prefix_length(n: int) -> int:

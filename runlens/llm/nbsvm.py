@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import map_rows, mix64, with_ids, word_bounds, word_hashes
+from runlens.llm.common import collected, map_rows, mix64, with_ids, word_bounds, word_hashes
 
 DIM_BITS = 18
 SAMPLE = 2000
@@ -73,9 +73,10 @@ def class_counts(rows: DataFrame) -> np.ndarray:
         label, feature = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(feature.astype(np.int32)), pa.array(total[label, feature])], names=["label", "feature", "n"])
 
-    sums = rows.select("label", "text").mapInArrow(count, "label int, feature int, n bigint").groupBy("label", "feature").agg(F.sum("n").alias("n")).toPandas()
+    sums = rows.select("label", "text").mapInArrow(count, "label int, feature int, n bigint").groupBy("label", "feature").agg(F.sum("n").alias("n"))
+    got = collected(sums)
     total = np.zeros((2, 1 << DIM_BITS))
-    total[sums["label"].to_numpy(), sums["feature"].to_numpy()] = sums["n"].to_numpy()
+    total[got["label"], got["feature"]] = got["n"]
     return total
 
 
@@ -128,8 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     chosen = sampled(labels, sample)  # bounded: at most 2 * sample ids
     read = map_rows(with_ids(docs.select("doc_id", "text"), chosen).select("doc_id", "label", "text"), make, "doc_id bigint, label int, f array<int>")
-    table = read.orderBy("doc_id").toPandas()
-    y = np.where(table["label"].to_numpy() == 1, 1.0, -1.0)
+    table = collected(read.orderBy("doc_id"))
+    y = np.where(table["label"] == 1, 1.0, -1.0)
     rows, values = [], []
     for f in table["f"]:
         f = np.asarray(f, dtype=np.int64)
