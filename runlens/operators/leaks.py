@@ -237,16 +237,16 @@ def block_commands(calls: DataFrame, blocklist: DataFrame, command: str = "comma
     command (case-sensitive; ``.`` stops at newlines, so line 2 is unseen).
 
     Each instance's rules are folded into one alternation, so the join
-    brings one pattern per instance; Spark reuses the compiled pattern while
-    consecutive rows carry the same one (calls arrive grouped by instance
-    after a sort-merge join).
+    brings one pattern per instance.  Spark keeps the last compiled pattern,
+    so calls are sorted by instance inside their partitions (no shuffle):
+    one compilation per instance and partition, whatever join was chosen.
     """
     folded = blocklist.groupBy(key).agg(
         F.concat(F.lit("(?dU)^(?:"),
                  F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "pattern"))),
                                           lambda r: F.concat(F.lit("(?:"), r["pattern"], F.lit(")"))), "|"),
                  F.lit(")")).alias("_rx"))
-    out = calls.join(folded, key, "left")
+    out = calls.join(folded, key, "left").sortWithinPartitions(key)
     hit = F.when(F.col("_rx").isNull(), F.lit(False)).otherwise(
         F.regexp_like(F.coalesce(F.col(command), F.lit("")), F.col("_rx")))
     return out.withColumn("blocked", hit).drop("_rx")

@@ -1,11 +1,9 @@
 """Per-run step logic: condensing, context cut-off, step cap, run outcome,
 completion confirmation, terminal deltas and token offsets.
 
-Where the rule only needs "the first step where ..." it is an aggregate
-(``min``) joined back, which combines map-side and is indifferent to one run
-owning many rows.  Running sums use the blocked prefix sum of
-``runstats.running_totals``.  Only ``lag`` of the previous parsed step /
-previous screen uses a per-run window; a run is bounded by ``max_steps``.
+A run is bounded by ``max_steps`` and a conversation by its message limit, so
+rules that look at other steps of the run are windows over it: one shuffle on
+the run, the source read once.
 """
 
 from __future__ import annotations
@@ -14,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions.text import py_strip
-from runlens.operators.runstats import running_totals
 
 
 def condense_messages(messages: DataFrame, max_messages: int, keep_first: int, conv: str = "conv_id",
@@ -24,8 +21,7 @@ def condense_messages(messages: DataFrame, max_messages: int, keep_first: int, c
     message position.  ``keep_first >= max`` is rejected (ill-defined)."""
     if keep_first >= max_messages:
         raise ValueError("keep_first must be smaller than max_messages")
-    n = messages.groupBy(conv).agg(F.count(F.lit(1)).alias("_n"))
-    out = messages.join(n, conv)
+    out = messages.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(conv)))
     rn = F.col(pos) + 1
     keep = (F.col("_n") <= max_messages) | (rn <= keep_first) | (rn > F.col("_n") - (max_messages - keep_first))
     return out.where(keep).drop("_n")
@@ -39,9 +35,9 @@ def context_cutoff(steps: DataFrame, limit: int, run: str = "run_id", step: str
     last one executed.  ``cutoff`` marks runs that were stopped with
     ``context_length`` (a later step existed)."""
     tokens = F.col("prompt_tokens") + F.col("completion_tokens")
-    first_over = steps.groupBy(run).agg(
-        F.min(F.when(tokens > limit, F.col(step))).alias("_v"), F.max(step).alias("_last"))
-    out = steps.join(first_over, run)
+    whole = Window.partitionBy(run)
+    out = steps.withColumns({
+        "_v": F.min(F.when(tokens > limit, F.col(step))).over(whole), "_last": F.max(step).over(whole)})
     return out.where(F.col("_v").isNull() | (F.col(step) <= F.col("_v"))).withColumn(
         "cutoff", F.coalesce(F.col("_v") < F.col("_last"), F.lit(False))).drop("_v", "_last")
 
@@ -75,9 +71,11 @@ def run_outcome(steps: DataFrame, max_steps: int, max_context_length: int | None
     n_tool_calls, finish_status, error``.
     """
     s = steps.where(F.col(step) < max_steps)
-    prev = s.select(run, (F.col(step) + 1).alias(step),
-                    (F.col("prompt_tokens") + F.col("completion_tokens")).alias("_prev_tokens"))
-    s = s.join(prev, [run, step], "left")
+    by_step = Window.partitionBy(run).orderBy(step)
+    # the previous step's tokens, if that step is in the log
+    s = s.withColumn("_prev_tokens", F.when(
+        F.lag(step).over(by_step) == F.col(step) - 1,
+        F.lag(F.col("prompt_tokens") + F.col("completion_tokens")).over(by_step)))
     guard = F.lit(False) if max_context_length is None else F.coalesce(
         F.col("_prev_tokens") > max_context_length, F.lit(False))
     msg_end = (F.col("action_type") == "message") & (F.coalesce(F.col("n_tool_calls"), F.lit(0)) == 0) & F.lit(
@@ -137,14 +135,13 @@ def terminal_delta(screens: DataFrame, run: str = "run_id", step: str = "step",
 
 
 def token_offsets(steps: DataFrame, budget: int, run: str = "run_id", step: str = "step",
-                  prompt_len: str = "prompt_len", added: str = "added_tokens",
-                  block_size: int = 1 << 20) -> DataFrame:
+                  prompt_len: str = "prompt_len", added: str = "added_tokens") -> DataFrame:
     """Sequence layout before each model call: ``seq_len`` = prompt length +
     response tokens of earlier steps, ``remaining = budget - seq_len - 128``;
     ``length`` marks steps whose call cannot generate (remaining <= 0).
     ``added`` is what a step appends (its model plus observation tokens)."""
-    run_tot = running_totals(steps, step, {"_cum": F.col(added)}, (run,), block_size)
-    seq_len = F.col(prompt_len) + F.col("_cum") - F.col(added)
-    remaining = F.lit(budget) - seq_len - 128
-    return run_tot.withColumn("seq_len", seq_len.cast("bigint")).withColumn(
-        "remaining", remaining.cast("bigint")).withColumn("length", F.col("remaining") <= 0).drop("_cum")
+    earlier = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    seq_len = F.col(prompt_len) + F.coalesce(F.sum(F.col(added).cast("bigint")).over(earlier), F.lit(0))
+    out = steps.withColumn("seq_len", seq_len.cast("bigint"))
+    return out.withColumn("remaining", (F.lit(budget) - F.col("seq_len") - 128).cast("bigint")).withColumn(
+        "length", F.col("remaining") <= 0)

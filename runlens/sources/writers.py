@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Fixed values of the reference: config keys never written to disk.
+ROLLOUTS_PER_FOLDER = 1000
 # Fixed value: the version of the report document.
 REPORT_SCHEMA_VERSION = "1.0"
 SECRET_KEYS = ("api_key", "secret", "token", "password", "credentials")
@@ -30,8 +31,14 @@ def results_rows(runs: DataFrame) -> DataFrame:
     )
 
 
+def _clustered(rows: DataFrame, folder: str = "run_id", key: str = "instance_id") -> DataFrame:
+    """Rows of one folder in a few tasks (up to 16 for a large one), so a
+    folder gets a few files and not one per task."""
+    return rows.repartition(F.col(folder), F.pmod(F.hash(key), F.lit(16)))
+
+
 def write_results(runs: DataFrame, path: str, fmt: str = "json") -> None:
-    results_rows(runs).write.mode("append").partitionBy("run_id").format(fmt).save(path)
+    _clustered(results_rows(runs)).write.mode("append").partitionBy("run_id").format(fmt).save(path)
 
 
 def trajectory_records(runs: DataFrame) -> DataFrame:
@@ -40,7 +47,7 @@ def trajectory_records(runs: DataFrame) -> DataFrame:
 
 
 def write_trajectories(runs: DataFrame, path: str) -> None:
-    trajectory_records(runs).write.mode("append").partitionBy("run_id").json(path)
+    _clustered(trajectory_records(runs)).write.mode("append").partitionBy("run_id").json(path)
 
 
 def write_progress(records: DataFrame, path: str) -> None:
@@ -81,9 +88,14 @@ def write_analysis(report: DataFrame, path: str) -> None:
 
 
 def write_rollout(samples: DataFrame, info: DataFrame, path: str) -> None:
-    """Flat sample dump without ``spec_info`` partitioned by rollout, plus
-    one info row per rollout."""
-    samples.drop("spec_info").write.mode("append").partitionBy("rollout_id").json(f"{path}/rollout_data")
+    """Flat sample dump without ``spec_info``, plus one info row per rollout.
+
+    Rollouts are small and many, so folders hold ``ROLLOUTS_PER_FOLDER``
+    consecutive ones, each rollout in one file and sorted by its id."""
+    folder = F.floor(F.col("rollout_id") / ROLLOUTS_PER_FOLDER).cast("bigint")
+    data = samples.drop("spec_info").withColumn("rollout_folder", folder)
+    data.repartition("rollout_folder", F.pmod("rollout_id", F.lit(8))).sortWithinPartitions("rollout_folder", "rollout_id").write.mode(
+        "append").partitionBy("rollout_folder").json(f"{path}/rollout_data")
     info.write.mode("append").json(f"{path}/rollout_info")
 
 
