@@ -23,7 +23,7 @@ from html.parser import HTMLParser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import map_rows
+from runlens.llm.common import BROADCAST_IDS, map_rows, shared_table
 
 #: a model node is constant when so many distinct pages have it, and so large
 #: a share of them has it with the model's text
@@ -32,6 +32,9 @@ LEAST_PAGES, CONSTANT_SHARE = 5, 0.9
 #: instead of by dynamic programming
 ALIGN_CELLS = 250_000
 
+#: hosts' models up to this many bytes in all are sent to every task
+BROADCAST_BYTES = 32 << 20
+
 #: fixed values of HTML: elements without an end tag, and elements that start a block
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -276,39 +279,55 @@ def host_of(url: Column) -> Column:
 
 
 def models(pages: DataFrame) -> DataFrame:
-    """``host, model``: the page with the smallest content hash of each host."""
-    return pages.groupBy("host").agg(F.min(F.struct("page_hash", "html")).alias("m")).select("host", F.col("m.html").alias("model"))
+    """``host, model``: the page with the smallest content hash of each host.
+    Only hashes are shuffled, then the chosen pages."""
+    chosen = shared_table(pages.groupBy("host").agg(F.min("page_hash").alias("page_hash")), "models")
+    side = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
+    return shared_table(
+        pages.select("host", "page_hash", "html").join(side, ["host", "page_hash"], "left_semi")
+        .groupBy("host").agg(F.first("html").alias("model")),
+        "models",
+    )
+
+
+def _with_host(pages: DataFrame, hosts: DataFrame, how: str) -> DataFrame:
+    """Pages with their host's columns; the hosts are broadcast only if their
+    models are small altogether, else both sides are shuffled on the host."""
+    size = hosts.agg(F.sum(F.octet_length("model"))).first()[0] or 0
+    return pages.join(F.broadcast(hosts) if size <= BROADCAST_BYTES else hosts, "host", how)
 
 
 def constant_nodes(pages: DataFrame, chosen: DataFrame) -> DataFrame:
     """``host, constant``: preorder numbers of the model's constant nodes, from
-    all distinct pages of the host."""
+    all distinct pages of the host.  A page votes with two lists of node
+    numbers, and equal pages are merged before their votes are counted."""
 
     def make() -> Callable[[list[tuple]], list[tuple]]:
         known: dict[str, tuple] = {}
 
         def work(rows: list[tuple]) -> list[tuple]:
-            votes: dict[tuple, list[int]] = {}
-            for host, page, model in rows:
+            out = []
+            for host, page_hash, page, model in rows:
                 if host not in known:
                     if len(known) >= 64:
                         known.clear()
                     root = parse(model)
                     known[host] = (root, {id(n): (i, text_key(n)) for i, n in enumerate(preorder(root))})
                 root, numbers = known[host]
-                for x, y in tree_match(root, parse(page)):
-                    i, key = numbers[id(x)]
-                    v = votes.setdefault((host, i), [0, 0])
-                    v[0] += 1
-                    v[1] += text_key(y) == key
-            return [(host, i, n, same) for (host, i), (n, same) in votes.items()]
+                pairs = [(*numbers[id(x)], y) for x, y in tree_match(root, parse(page))]
+                out.append((host, page_hash, [i for i, _, _ in pairs], [i for i, key, y in pairs if text_key(y) == key]))
+            return out
 
         return work
 
-    distinct = pages.select("host", "page_hash", "html").dropDuplicates(["host", "page_hash"])
-    votes = map_rows(distinct.join(chosen, "host").select("host", "html", "model"), make, "host string, node int, n bigint, same bigint")
+    votes = map_rows(
+        _with_host(pages.select("host", "page_hash", "html"), chosen, "inner").select("host", "page_hash", "html", "model"),
+        make, "host string, page_hash bigint, matched array<int>, same array<int>",
+    ).dropDuplicates(["host", "page_hash"])
+    each = votes.select("host", F.explode_outer("matched").alias("node"), "same")
     return (
-        votes.groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
+        each.groupBy("host", "node")
+        .agg(F.count("*").alias("n"), F.count_if(F.array_contains("same", F.col("node"))).alias("same"))
         .filter((F.col("n") >= LEAST_PAGES) & (F.col("same") >= CONSTANT_SHARE * F.col("n")))
         .groupBy("host").agg(F.collect_list("node").alias("constant"))
     )
@@ -340,7 +359,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     )
     voting = rows.filter("html IS NOT NULL AND html <> ''")
     chosen = models(voting)
-    wrappers = chosen.join(constant_nodes(voting, chosen), "host", "left")
+    wrappers = shared_table(chosen.join(constant_nodes(voting, chosen), "host", "left"), "wrappers")
 
     def make() -> Callable[[list[tuple]], list[tuple]]:
         known: dict[str, Wrapper] = {}
@@ -358,6 +377,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
         return work
 
-    joined = rows.join(wrappers, "host", "left").select("page_id", "url", "html", "host", "model", "constant")
+    joined = _with_host(rows, wrappers, "left").select("page_id", "url", "html", "host", "model", "constant")
     return map_rows(joined, make, "page_id bigint, url string, text string, n_chars bigint")
 
