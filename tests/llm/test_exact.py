@@ -246,3 +246,20 @@ def test_word_hashes_follow_words_only():
     assert a[0] == a[2] == b[1] and a[1] == b[2] and a[3] == b[0] and len({*a.tolist()}) == 3
     assert np.array_equal(common.text_words("AB É", lower=True)[0], common.text_words("ab É", lower=True)[0])
     assert len(common.gram_hashes(a, 5)) == 0
+
+
+def test_very_long_texts(spark):
+    """Two long texts that share their second half, and an item at the very end."""
+    rng = random.Random(12)
+    half = " ".join(f"w{rng.randrange(10**6)}" for _ in range(20_000))
+    item = " ".join(f"q{i}" for i in range(15))
+    rows = [(1, " ".join(f"a{i}" for i in range(20_000)) + " " + half), (2, " ".join(f"b{i}" for i in range(20_000)) + " " + half + " " + item)]
+    docs = frame(spark, rows)
+    removed = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in lz_dedup.dedup(docs).collect()}
+    assert removed == {1: (40_000, 20_000), 2: (40_015, 20_000)}
+    hits = by_id(winnowing.decontaminate(docs, spark.createDataFrame([(7, item)], "item_id bigint, text string")))
+    assert (hits[1]["n_hit"], hits[2]["n_hit"], hits[2]["n_items"]) == (0, 15, 1)
+    sets = by_id(jaccard_join.jaccard_components(docs))
+    assert sets[1]["n_shingles"] == 39_996 and sets[2]["component_id"] == 2
+    prints = by_id(syncmers.edited_fingerprints(docs))
+    assert prints[1]["n_chars"] == len(rows[0][1]) and 0.2 < prints[1]["near_next"] < 0.5
