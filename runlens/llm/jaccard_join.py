@@ -239,10 +239,15 @@ def _mixed(entries: DataFrame, groups: DataFrame | None) -> tuple[DataFrame, Dat
     return tagged, shared_table(mixed, "mixed")
 
 
-def _across(tagged: DataFrame, mixed: DataFrame, tried: DataFrame) -> DataFrame:
+def _across(tagged: DataFrame, mixed: DataFrame, first: DataFrame, tried: DataFrame) -> DataFrame:
     """All pairs(a, b) of different components that share a prefix shingle and
-    pass the length and positional filters, without the tried ones."""
-    rest = tagged.join(mixed.select("shingle", "main"), "shingle")
+    pass the length and positional filters, without the tried ones.  ``first``
+    has the shingles' first leaders: a leader was tried with every holder of
+    its shingle, so it takes no part there."""
+    rest = (
+        tagged.join(mixed.select("shingle", "main"), "shingle")
+        .join(first.select("shingle", F.col("leader").alias("first")), "shingle").filter("node <> first").drop("first")
+    )
     x = rest.filter("component <> main").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "at", "component")])
     y = rest.select("shingle", "main", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "at", "component")])
     need = F.ceil(4 * (F.col("x_n") + F.col("y_n")) / 9)
@@ -295,9 +300,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     entries = shared_table(entries.join(support, "node").drop("holders"), "entries")
     size = entries.count()
 
-    tried = found = groups = None
+    first = tried = found = groups = None
     for step in range(LEADER_ROUNDS + 1):
         tagged, mixed = _mixed(entries, groups)
+        first = mixed if first is None else first
         left = mixed.agg(F.sum(F.col("holders") * (F.col("holders") - F.col("main_size")))).first()[0] or 0
         if step == LEADER_ROUNDS or step and left <= JOIN_ROWS * size:
             break
@@ -313,7 +319,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         found = linked if found is None else found.unionByName(linked)
         groups = components(found)
 
-    more = _verified(_may_link(_across(tagged, mixed, tried), reps), reps, docs, ranks)
+    more = _verified(_may_link(_across(tagged, mixed, first, tried), reps), reps, docs, ranks)
     if not more.isEmpty():
         groups = components(found.unionByName(more))
 
