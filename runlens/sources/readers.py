@@ -14,7 +14,7 @@ import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,20 +97,27 @@ def schema_violations(predictions: DataFrame) -> DataFrame:
     return keyed.unionByName(dup)
 
 
-def check_predictions(predictions: DataFrame) -> None:
-    """Raise like the reference loader when any violation exists (one row is
-    fetched, never the table)."""
-    first = schema_violations(predictions).limit(1).collect()
-    if first:
-        r = first[0]
-        raise ValueError(f"Prediction schema violation: {r['kind']} {r['instance_id']!r} {r['detail']}")
-
-
 def scan_predictions(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Predictions; with ``strict`` the job that reads them fails on the first
+    broken one (missing or unexpected keys, an id seen more than once), as the
+    reference loader does.  The checks are part of that job: one read, one
+    shuffle on the id."""
     preds = parse_prediction_lines(spark.read.text(path))
-    if strict:
-        check_predictions(preds)
-    return preds.drop("keys")
+    if not strict:
+        return preds.drop("keys")
+    allowed = F.array(*[F.lit(k) for k in PREDICTION_KEYS])
+    missing = F.array_except(allowed, F.col("keys"))
+    extra = F.array_except(F.col("keys"), allowed)
+    times = F.count(F.lit(1)).over(Window.partitionBy("instance_id"))
+
+    def broken(kind: str, detail: Column) -> Column:
+        return F.raise_error(F.concat_ws(" ", F.lit(f"Prediction schema violation: {kind}"), F.col("instance_id"), detail))
+
+    ok = (F.when(F.size(missing) > 0, broken("missing_keys", F.array_join(missing, ",")))
+          .when(F.size(extra) > 0, broken("unexpected_keys", F.array_join(extra, ",")))
+          .when(F.col("_times") > 1, broken("duplicate_id", F.col("_times").cast("string")))
+          .cast("boolean"))
+    return preds.withColumn("_times", times).where(ok.isNull()).drop("keys", "_times")
 
 
 # ── progress log ───────────────────────────────────────────────────────────
