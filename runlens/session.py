@@ -6,7 +6,6 @@ only place that touches cluster configuration is this module.
 
 from __future__ import annotations
 
-import os
 import re
 import tempfile
 
@@ -78,6 +77,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub folder of the shared checkpoint folder for intermediate tables."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, name)
+    """A folder for an intermediate table, below one folder per application in
+    the shared checkpoint folder.  Results are lazy and may still read these
+    tables, so they are removed with the application's folder when it is over."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/runlens-{spark.sparkContext.applicationId}/{name}"
