@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ SAMPLE = 1000
 #: evidence (in nats) a feature needs to get a weight, and to label a token;
 #: a labelled token has at least this share of its document's strongest
 CANDIDATE, LABELLING, SHARE = 5.0, 11.5, 0.5
+#: of the documents that hold such a feature, at least this share is toxic
+LEAST_SHARE = 0.5
 SEGMENT = 128
 PASSES = 80
 PENALTY = 1e-2
@@ -79,15 +82,18 @@ class Field:
         """Toxic-state scores of tokens; a repeated feature counts once."""
         return np.where(_repeated(f), 0.0, self.weights[f]).sum(axis=1)
 
+    @cached_property
+    def powers(self) -> _Powers:
+        """Of the transition matrix over a token without weighted features."""
+        return _Powers(np.exp(self.moves) * np.array([1.0, np.exp(self.bias)]))
+
     def active_marginals(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, toxic marginals) of the tokens with a non-zero emission, by
         forward-backward over the whole chain."""
         places = np.flatnonzero(e)
         if not len(places):
             return places, np.zeros(0)
-        step = np.exp(self.moves)
-        plain = step * np.array([1.0, np.exp(self.bias)])
-        powers = _Powers(plain)
+        powers = self.powers
         forward = np.empty((len(places), 2))
         a = np.array([1.0, np.exp(self.bias)])
         at = 0
@@ -111,12 +117,16 @@ class Field:
 
 
 class _Powers(dict):
-    """Normalized powers of one matrix, by repeated squaring."""
+    """Normalized powers of one matrix, by repeated squaring; a bounded memo."""
 
     def __init__(self, m: np.ndarray):
         super().__init__({1: m / m.sum()})
 
     def __missing__(self, n: int) -> np.ndarray:
+        if len(self) > 20_000:
+            first = self[1]
+            self.clear()
+            self[1] = first
         half = self[n // 2]
         m = half @ half
         if n % 2:
@@ -148,13 +158,13 @@ def document_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def evidence(counts: np.ndarray, documents: np.ndarray) -> np.ndarray:
     """n * KL(share of toxic documents || their overall share), 0 where the
-    share is not above the overall one."""
+    share is not above the overall one or below LEAST_SHARE."""
     n = np.maximum(counts.sum(axis=0), 1)
     base = documents[1] / documents.sum()
     share = counts[1] / n
     with np.errstate(divide="ignore", invalid="ignore"):
         kl = np.where(share > 0, share * np.log(share / base), 0.0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - base)), 0.0)
-    return np.where(share > base, n * kl, 0.0)
+    return np.where((share > base) & (share >= LEAST_SHARE), n * kl, 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
