@@ -38,7 +38,7 @@ SAMPLE = 1000
 #: a labelled token has at least this share of its document's strongest
 CANDIDATE, LABELLING, SHARE = 5.0, 11.5, 0.5
 #: of the documents that hold such a feature, at least this share is toxic
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.9
 SEGMENT = 128
 PASSES = 80
 PENALTY = 1e-2
