@@ -333,13 +333,33 @@ def constant_nodes(pages: DataFrame, chosen: DataFrame) -> DataFrame:
     )
 
 
+def _content_nodes(root: Node) -> set[int]:
+    """Ids of the nodes that could be content by structure: not excluded, not
+    strictly inside an article or main element (there constants stay), with
+    text.  Aligned nodes have the same labels up to the root, so this holds for
+    every page node aligned with them."""
+    out: set[int] = set()
+    work = [root]
+    while work:
+        node = work.pop()
+        if _excluded(node, False):
+            continue
+        out.add(id(node))
+        if not _is_main(node):
+            work.extend(node.children)
+    return out
+
+
 class Wrapper:
-    """A host's model tree with the texts of its constant nodes."""
+    """A host's model tree with the texts of its constant nodes, as far as
+    they decide anything: others need no alignment."""
 
     def __init__(self, model: str | None, constant: Iterable[int] | None):
         self.root = parse(model)
         chosen = set() if constant is None else {int(i) for i in constant}
-        self.keys = {id(n): text_key(n) for i, n in enumerate(preorder(self.root)) if i in chosen}
+        content, empty = _content_nodes(self.root), text_key(Node("#text"))
+        keys = {id(n): text_key(n) for i, n in enumerate(preorder(self.root)) if i in chosen and id(n) in content}
+        self.keys = {n: key for n, key in keys.items() if key != empty}
 
     def extract(self, page: str | None) -> str:
         root = parse(page)
