@@ -144,6 +144,12 @@ def tree_match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     sizes: dict[tuple[int, int], int] = {}
     plans: dict[tuple[int, int], list[tuple[Node, Node]]] = {}
 
+    def plain(node: Node) -> bool:  # one text and nothing else, like most paragraphs
+        return len(node.children) == 1 and node.children[0].tag == "#text"
+
+    def value(x: Node, y: Node) -> int:
+        return sizes.get((id(x), id(y))) or (2 if plain(x) and plain(y) else 1)
+
     def align(x: Node, y: Node) -> list[tuple[Node, Node]]:
         xs, ys = x.children, y.children
         if len(xs) * len(ys) > ALIGN_CELLS:
@@ -154,7 +160,7 @@ def tree_match(a: Node, b: Node) -> list[tuple[Node, Node]]:
             for j in range(1, len(ys) + 1):
                 best = max(row[j - 1], above[j])
                 if xs[i - 1].label == ys[j - 1].label:
-                    best = max(best, above[j - 1] + sizes.get((id(xs[i - 1]), id(ys[j - 1])), 1))
+                    best = max(best, above[j - 1] + value(xs[i - 1], ys[j - 1]))
                 row[j] = best
         i, j, pairs = len(xs), len(ys), []
         while i and j:
@@ -174,8 +180,8 @@ def tree_match(a: Node, b: Node) -> list[tuple[Node, Node]]:
         if ready:
             pairs = align(x, y)
             plans[id(x), id(y)] = pairs
-            sizes[id(x), id(y)] = 1 + sum(sizes.get((id(p), id(q)), 1) for p, q in pairs)
-        elif x.label == y.label and x.children and y.children and (id(x), id(y)) not in plans:
+            sizes[id(x), id(y)] = 1 + sum(value(p, q) for p, q in pairs)
+        elif x.label == y.label and x.children and y.children and (id(x), id(y)) not in plans and not (plain(x) and plain(y)):
             plans[id(x), id(y)] = []
             work.append((x, y, True))
             if len(x.children) * len(y.children) > ALIGN_CELLS:
@@ -186,7 +192,10 @@ def tree_match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     while todo:
         pair = todo.pop()
         out.append(pair)
-        todo.extend(plans.get((id(pair[0]), id(pair[1])), []))
+        if plain(pair[0]) and plain(pair[1]):
+            out.append((pair[0].children[0], pair[1].children[0]))
+        else:
+            todo.extend(plans.get((id(pair[0]), id(pair[1])), []))
     return out
 
 
