@@ -20,14 +20,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import gram_hash, index_range, let
+from runlens.llm.common import gram_hash, index_range, let, shared_table
 
 #: everything between words; A-Z is inside words and folded afterwards
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPAN = 10
 GRAM = 5
+#: item windows / document hits up to these numbers are sent to every task
 BROADCAST_ROWS = 200_000
+BROADCAST_HITS = 1_000_000
 _POS_BITS = 31
 _POS_MASK = (1 << _POS_BITS) - 1
 
@@ -136,13 +138,16 @@ def find_windows(docs: DataFrame, windows: DataFrame, *, broadcast_rows: int = B
             .filter("start >= 0")
             .groupBy(*key).agg(F.collect_set(F.struct("start", "window")).alias("hits"))
         )
+        # written, so that its size is known: few hits are sent to the texts, many are shuffled with them
+        hits = shared_table(hits, "hits")
+        few = (hits.agg(F.sum(F.size("hits"))).first()[0] or 0) <= BROADCAST_HITS
         # the hit is extended to the whole window and compared there
         extended = let(
             _word_hashes(F.col("text")),
             lambda h: F.filter(F.col("hits"), lambda x: (x["start"] + SPAN <= F.size(h)) & (gram_hash(h, x["start"], SPAN) == x["window"])),
         )
         found = (
-            docs.dropDuplicates(key).join(hits, key)
+            docs.join(F.broadcast(hits) if few else hits, key)
             .select(*key, F.explode_outer(extended).alias("x")).filter("x IS NOT NULL")
             .select(*key, "x.start", F.lit(SPAN).alias("len"), "x.window")
         )
