@@ -44,7 +44,7 @@ _LOW = np.uint64(64 - BUCKET_BITS)
 _LOW_MASK = np.uint64((1 << (64 - BUCKET_BITS)) - 1)
 #: representatives whose texts are looked up by a broadcast of their ids
 BROADCAST_IDS = 100_000
-#: rounds of step 4 at most, and the joined rows per entry under which step 5
+#: rounds of step 4 at most (they end when one finds no link), and the joined rows per entry under which step 5
 #: takes over; neither changes the result
 LEADER_ROUNDS = 4
 JOIN_ROWS = 4
@@ -316,6 +316,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         pairs = shared_table(_may_link(pairs, reps), "leaders")
         linked = _verified(pairs, reps, docs, ranks)
         tried = pairs if tried is None else tried.unionByName(pairs)
+        if found is not None and linked.isEmpty():
+            break  # components, and so the next leaders, stay as they are
         found = linked if found is None else found.unionByName(linked)
         groups = components(found)
 
