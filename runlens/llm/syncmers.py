@@ -12,6 +12,8 @@ while both texts have at most ``SKETCH`` anchors.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,30 +46,37 @@ def anchor_positions(h: Column) -> Column:
     return let(F.transform(index_range(F.size(h) - F.lit(S - 1)), lambda i: gram_hash(h, i, S)), closed)
 
 
+def _anchored(text: Column, anchor: Callable[[Column, Column], Column], whole: Callable[[Column], Column]) -> Column:
+    """``anchor(token hashes, position)`` of every closed syncmer; of a text
+    with tokens but without one (always under K tokens, sometimes at K or
+    K + 1) the array of ``whole(token hashes)``."""
+
+    def found(h: Column) -> Column:
+        return let(
+            F.transform(anchor_positions(h), lambda i: anchor(h, i)),
+            lambda a: F.when((F.size(a) == 0) & (F.size(h) > 0), F.array(whole(h))).otherwise(a),
+        )
+
+    return let(token_hashes(text), found)
+
+
 def anchors(text: Column) -> Column:
     """Array of (position, hash): the anchors for positional matching.  A text
-    of 1 to K - 1 tokens has one anchor, the whole of it."""
-    return let(
-        token_hashes(text),
-        lambda h: F.when(
-            F.size(h) >= K,
-            F.transform(anchor_positions(h), lambda i: F.struct(i.alias("position"), gram_hash(h, i, K).alias("hash"))),
-        )
-        .when(F.size(h) > 0, F.array(F.struct(F.lit(0).alias("position"), F.xxhash64(h).alias("hash"))))
-        .otherwise(F.array().cast("array<struct<position:int,hash:bigint>>")),
+    without a closed syncmer has one anchor, the whole of it; one without
+    tokens has none."""
+    return _anchored(
+        text,
+        lambda h, i: F.struct(i.alias("position"), gram_hash(h, i, K).alias("hash")),
+        lambda h: F.struct(F.lit(0).alias("position"), F.xxhash64(h).alias("hash")),
     )
 
 
 def sketch(text: Column) -> Column:
     """The SKETCH smallest distinct 32-bit anchor hashes, ascending."""
-    hashes = let(
-        token_hashes(text),
-        lambda h: F.when(
-            F.size(h) >= K,
-            F.transform(anchor_positions(h), lambda i: F.shiftright(gram_hash(h, i, K), 32).cast("int")),
-        )
-        .when(F.size(h) > 0, F.array(F.shiftright(F.xxhash64(h), 32).cast("int")))
-        .otherwise(F.array().cast("array<int>")),
+    hashes = _anchored(
+        text,
+        lambda h, i: F.shiftright(gram_hash(h, i, K), 32).cast("int"),
+        lambda h: F.shiftright(F.xxhash64(h), 32).cast("int"),
     )
     return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
 

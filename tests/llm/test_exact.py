@@ -222,6 +222,16 @@ def test_fingerprint_edge_cases(spark):
     assert syncmers.edited_fingerprints(empty(spark)).count() == 0
 
 
+def test_texts_without_a_closed_syncmer_keep_a_fingerprint(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in range(4, 9) for _ in range(20)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", syncmers.sketch(common.F.col("t")).alias("sk"), syncmers.anchors(common.F.col("t")).alias("a")).collect()
+    assert all(r["a"] and len(r["sk"]) == len({x["hash"] for x in r["a"]}) for r in rows)
+    assert len({tuple(r["sk"]) for r in rows}) == len(texts)
+    got = syncmers.edited_fingerprints(frame(spark, [*enumerate(texts), (10**6, "")])).collect()
+    assert all(r["fingerprint"] for r in got if r["n_chars"]) and all(r["near_next"] < 1 for r in got)
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_components_equal_union_find(spark, seed):
     rng = random.Random(seed)
