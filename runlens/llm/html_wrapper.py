@@ -8,9 +8,11 @@ all pages that have it is a constant node: template.  Nodes aligned with
 constant nodes are dropped; varying slots are content.
 
 Inside a varying ``article`` or ``main`` slot constant paragraphs stay (pages
-may share passages); a constant one is template as a whole.  Elements that are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-or reader comments by their tag, role or class are never content, varying or
-not.
+may share passages); a constant one is template as a whole.  Elements that are
+menus, footers, sidebars, forms, scripts or styles by their tag are never
+content, varying or not.  A listed word in role, class or id (adverts, notices,
+comments) drops an element only if it is constant, or if it holds no article
+and less than a share of the page's varying text; reader comments always go.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame
@@ -58,15 +61,22 @@ WORDS_OUT = frozenset(
     "overlay newsletter subscribe subscription signup login form search share sharing social related recommended pagination pager skip toolbar".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: words that leave a listed word its meaning (promo-box), and first words that make it a flag of the layout (has-sidebar)
+NEUTRAL = frozenset("box list section area container wrapper wrap inner outer block bar button buttons link links item items row col column left right top bottom site slot panel".split())
+FLAGS = frozenset("has no not with without is".split())
+COMMENTS = frozenset("comment comments reply replies disqus respond".split())
+#: a marked element is content if it holds this share of the page's varying text: MOST for a mark of listed words, LITTLE
+#: for one with other words in it; reader comments are never content
+MOST, LITTLE = 0.5, 0.1
 
 
 class Node:
     """An element, or a text node (tag ``#text``)."""
 
-    __slots__ = ("children", "label", "marks", "tag", "text")
+    __slots__ = ("children", "label", "marks", "slug", "tag", "text")
 
-    def __init__(self, tag: str, marks: str = "", text: str = ""):
-        self.tag, self.marks, self.text = tag, marks, text
+    def __init__(self, tag: str, marks: str = "", text: str = "", slug: str = ""):
+        self.tag, self.marks, self.text, self.slug = tag, marks, text, slug
         self.label = f"{tag}.{marks}" if marks else tag
         self.children: list[Node] = []
 
@@ -84,7 +94,7 @@ class _Builder(HTMLParser):
             self._close(CLOSES[tag], SCOPES[tag])
         given = dict(attrs)
         marks = " ".join(given[k] or "" for k in ("role", "class", "id", "itemprop") if given.get(k)).lower()
-        node = Node(tag, marks)
+        node = Node(tag, marks, slug=(given.get("id") or "").lower())
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
@@ -216,17 +226,46 @@ def _in_order(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
     return pairs
 
 
-def _excluded(node: Node, in_article: bool) -> bool:
-    if node.tag in TAGS_OUT:
-        return True
-    if node.tag == "header" and not in_article:
-        return True
-    if not node.marks or node.tag in ("html", "body", "main"):
-        return False
-    words = set(re.split(r"[^a-z0-9]+", node.marks))
-    if node.tag == "article" and not in_article:
-        words -= {"widget", "form"}
-    return bool(words & WORDS_OUT or words & ROLES_OUT)
+def _tag_out(node: Node, in_article: bool) -> bool:
+    """Never content by its tag; a form around an article is a frame of the layout."""
+    if node.tag in ("form", "fieldset") or node.tag == "header" and not in_article:
+        return in_article or not _holds_article(node)
+    return node.tag in TAGS_OUT
+
+
+def _holds_article(node: Node) -> bool:
+    return any(n.tag in ("article", "main") for n in preorder(node)[1:])
+
+
+@lru_cache(maxsize=4096)
+def _mark(tag: str, marks: str, slug: str) -> int:
+    """What the words of role, class, id and itemprop say: 0 nothing, 1 a listed
+    word beside others, 2 listed words only, 3 reader comments.  An id names its
+    section's subject, so only one of listed words counts, and none on a heading."""
+    if tag in ("html", "body", "main"):
+        return 0
+    found, ids = 0, slug.split()
+    for token in marks.split():
+        words = [w for w in re.split(r"[^a-z0-9]+", token) if w]
+        listed = {w for w in words if w in WORDS_OUT or w in ROLES_OUT} - ({"widget", "form"} if tag == "article" else set())
+        if not listed or words[0] in FLAGS:
+            continue
+        whole = all(w in listed or w in NEUTRAL or w.isdigit() for w in words)
+        if token in ids and (tag in HEADINGS or not whole):
+            continue
+        found = max(found, 1 if not whole else 3 if listed & COMMENTS else 2)
+    return found
+
+
+def _varying_size(node: Node, template: set[int] | frozenset[int]) -> int:
+    """Characters below a node, without template and elements that are never content by tag."""
+    size, work = 0, [node]
+    while work:
+        n = work.pop()
+        if id(n) not in template and n.tag not in TAGS_OUT:
+            size += len(n.text.strip())
+            work.extend(n.children)
+    return size
 
 
 def _is_main(node: Node) -> bool:
@@ -236,17 +275,37 @@ def _is_main(node: Node) -> bool:
 def main_text(root: Node, template: set[int] = frozenset()) -> str:
     """The article's blocks, one per line.  ``template``: ids of nodes that are
     constant on the host."""
-    articles: list[Node] = []
-    work = [root]
-    while work:  # outermost article or main elements, in page order
-        node = work.pop()
-        if _excluded(node, False):
+    total: list[int] = []
+
+    def dropped(node: Node, in_article: bool, within: bool) -> bool:
+        if _tag_out(node, in_article):
+            return True
+        mark = _mark(node.tag, node.marks, node.slug) if node.marks else 0
+        if not mark or id(node) in template:
+            return bool(mark)
+        if not within and _holds_article(node) or mark == 1 and any(n.tag == "h1" for n in preorder(node)):
+            return False
+        if mark == 3:
+            return True
+        if not total:
+            total.append(_varying_size(root, template))
+        return _varying_size(node, template) < (MOST if mark == 2 else LITTLE) * total[0]
+
+    found: list[tuple[int, Node]] = []
+    work = [(0, root)]
+    while work:  # outermost article or main elements, in page order, with the marked elements around them
+        depth, node = work.pop()
+        if _tag_out(node, False):
             continue
+        depth += bool(node.marks and _mark(node.tag, node.marks, node.slug))
         if _is_main(node):
-            inner = [n for n in preorder(node) if n.tag == "article" and n is not node and not _excluded(n, True)] if node.tag != "article" else []
-            articles.append(inner[0] if len(inner) == 1 else node)
+            inner = [n for n in preorder(node) if n.tag == "article" and n is not node and not _mark(n.tag, n.marks, n.slug)] if node.tag != "article" else []
+            found.append((depth, inner[0] if len(inner) == 1 else node))
         else:
-            work.extend(reversed(node.children))
+            work.extend((depth, c) for c in reversed(node.children))
+    # articles inside more marked elements than others are teasers or comments
+    least = min((depth for depth, _ in found), default=0)
+    articles = [node for depth, node in found if depth == least]
     lines: list[str] = []
     part: list[str] = []
 
@@ -267,7 +326,7 @@ def main_text(root: Node, template: set[int] = frozenset()) -> str:
             elif node.tag == "#text":
                 if inside or id(node) not in template:
                     part.append(node.text)
-            elif node is not top and (_excluded(node, inside) or not inside and id(node) in template):
+            elif node is not top and (dropped(node, inside, top.tag == "article") or not inside and id(node) in template):
                 continue
             elif inside and node.tag == "header":
                 todo.extend(reversed([n for n in preorder(node) if n.tag in HEADINGS]))
@@ -351,7 +410,7 @@ def _content_nodes(root: Node) -> set[int]:
     work = [root]
     while work:
         node = work.pop()
-        if _excluded(node, False):
+        if _tag_out(node, False):
             continue
         out.add(id(node))
         if not _is_main(node):

@@ -211,6 +211,21 @@ def test_shared_paragraphs_of_articles_stay(spark):
     assert all(r["text"] == f"T {r['page_id']}\nThe same passage everywhere" for r in got)
 
 
+def test_marks_drop_only_what_is_not_content():
+    def text(page, template=()):
+        return html_wrapper.main_text(html_wrapper.parse(page), set(template))
+
+    assert text("<body><div class='page has-sidebar'><article><h1>T</h1><p>one</p></article></div></body>") == "T\none"
+    assert text("<body><div class='content no-sidebar promo'><article><p>one</p></article><div class=ad>no</div></div></body>") == "one"
+    assert text("<body><form id=aspnetForm><main><p>one</p></main></form></body>") == "one"
+    assert text("<article><div class=entry-header><h1>T</h1></div><h2 id=related-work>Related work</h2><section id=share-price><p>p</p></section><p>%s</p></article>" % ("x " * 40)).startswith("T\nRelated work\np\nx")
+    # teasers and comments go, though they are articles; a short advert goes, with most of the page's text it stays
+    assert text("<body><article><p>one</p></article><div class=related><article>teaser</article></div></body>") == "one"
+    assert text("<article><p>one</p><section class=comments><article>a long comment that says more than the text</article></section></article>") == "one"
+    assert text("<body><div class=ad>no</div><div>the text</div></body>") == "the text"
+    assert text("<body><div class=widget>the whole text of the page</div><div>x</div></body>") == "the whole text of the page\nx"
+
+
 # ------------------------------------------------------------ classifiers
 
 
