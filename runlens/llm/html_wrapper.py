@@ -7,8 +7,10 @@ trees with equal node labels.  A model node whose text is the same in nearly
 all pages that have it is a constant node: template.  Nodes aligned with
 constant nodes are dropped; varying slots are content.
 
-Inside a varying ``article`` or ``main`` slot constant paragraphs stay (pages
-may share passages); a constant one is template as a whole.  Elements that are
+Inside a varying ``article`` or ``main`` slot constant frames (``div``, lists,
+tables, ...) that nearly all pages of the host have are template; constant
+paragraphs and headings stay (pages may share passages).  An ``article`` that is
+constant is template as a whole.  Elements that are
 menus, footers, sidebars, forms, scripts or styles by their tag are never
 content, varying or not.  A listed word in role, class or id (adverts, notices,
 comments) drops an element only if it is constant, or if it holds no article
@@ -61,6 +63,9 @@ WORDS_OUT = frozenset(
     "overlay newsletter subscribe subscription signup login form search share sharing social related recommended pagination pager skip toolbar".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: frames inside an article: constant ones on nearly all pages of the host are template; constant paragraphs,
+#: headings, items and cells may be passages that pages share
+FRAMES = frozenset("address aside center details div dl figure menu ol section summary table ul".split())
 #: words that leave a listed word its meaning (promo-box), and first words that make it a flag of the layout (has-sidebar)
 NEUTRAL = frozenset("box list section area container wrapper wrap inner outer block bar button buttons link links item items row col column left right top bottom site slot panel".split())
 FLAGS = frozenset("has no not with without is".split())
@@ -326,7 +331,7 @@ def main_text(root: Node, template: set[int] = frozenset()) -> str:
             elif node.tag == "#text":
                 if inside or id(node) not in template:
                     part.append(node.text)
-            elif node is not top and (dropped(node, inside, top.tag == "article") or not inside and id(node) in template):
+            elif node is not top and (dropped(node, inside, top.tag == "article") or id(node) in template and (not inside or node.tag in FRAMES)):
                 continue
             elif inside and node.tag == "header":
                 todo.extend(reversed([n for n in preorder(node) if n.tag in HEADINGS]))
@@ -366,9 +371,10 @@ def _with_host(pages: DataFrame, hosts: DataFrame, how: str) -> DataFrame:
 
 
 def constant_nodes(pages: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``host, constant``: preorder numbers of the model's constant nodes, from
-    all distinct pages of the host.  A page votes with two lists of node
-    numbers, and equal pages are merged before their votes are counted."""
+    """``host, constant, usual``: preorder numbers of the model's constant
+    nodes, from all distinct pages of the host, and of those among them that
+    nearly all pages have.  A page votes with two lists of node numbers, and
+    equal pages are merged before their votes are counted."""
 
     def make() -> Callable[[list[tuple]], list[tuple]]:
         known: dict[str, tuple] = {}
@@ -396,25 +402,31 @@ def constant_nodes(pages: DataFrame, chosen: DataFrame) -> DataFrame:
     return (
         each.groupBy("host", "node")
         .agg(F.count("*").alias("n"), F.count_if(F.array_contains("same", F.col("node"))).alias("same"))
-        .filter((F.col("n") >= LEAST_PAGES) & (F.col("same") >= CONSTANT_SHARE * F.col("n")))
-        .groupBy("host").agg(F.collect_list("node").alias("constant"))
+        .withColumn("is_constant", (F.col("n") >= LEAST_PAGES) & (F.col("same") >= CONSTANT_SHARE * F.col("n")))
+        .groupBy("host")  # every page has the root, so the largest n counts the pages
+        .agg(F.collect_list(F.when(F.col("is_constant"), F.struct("node", "n"))).alias("found"), F.max("n").alias("pages"))
+        .select(
+            "host", F.col("found.node").alias("constant"),
+            F.transform(F.filter("found", lambda c: c["n"] >= CONSTANT_SHARE * F.col("pages")), lambda c: c["node"]).alias("usual"),
+        )
     )
 
 
-def _content_nodes(root: Node) -> set[int]:
-    """Ids of the nodes that could be content by structure: not excluded, not
-    strictly inside an article or main element (there constants stay), with
-    text.  Aligned nodes have the same labels up to the root, so this holds for
-    every page node aligned with them."""
-    out: set[int] = set()
-    work = [root]
+def _content_nodes(root: Node) -> dict[int, bool]:
+    """Ids of the nodes whose constancy can decide: outside articles those not
+    excluded by tag (False), inside frames and marked elements (True).  Aligned
+    nodes have the same labels up to the root, so this holds for every page
+    node aligned with them."""
+    out: dict[int, bool] = {}
+    work = [(root, False)]
     while work:
-        node = work.pop()
-        if _tag_out(node, False):
+        node, inside = work.pop()
+        if _tag_out(node, inside):
             continue
-        out.add(id(node))
-        if not _is_main(node):
-            work.extend(node.children)
+        if not inside or node.tag in FRAMES or node.marks and _mark(node.tag, node.marks, node.slug):
+            out[id(node)] = inside
+        inside = inside or _is_main(node)
+        work.extend((c, inside) for c in node.children)
     return out
 
 
@@ -422,11 +434,12 @@ class Wrapper:
     """A host's model tree with the texts of its constant nodes, as far as
     they decide anything: others need no alignment."""
 
-    def __init__(self, model: str | None, constant: Iterable[int] | None):
+    def __init__(self, model: str | None, constant: Iterable[int] | None, usual: Iterable[int] | None):
         self.root = parse(model)
-        chosen = set() if constant is None else {int(i) for i in constant}
+        chosen, common = (set() if nodes is None else {int(i) for i in nodes} for nodes in (constant, usual))
         content, empty = _content_nodes(self.root), text_key(Node("#text"))
-        keys = {id(n): text_key(n) for i, n in enumerate(preorder(self.root)) if i in chosen and id(n) in content}
+        decides = ((n, content.get(id(n))) for i, n in enumerate(preorder(self.root)) if i in chosen and (i in common or not content.get(id(n))))
+        keys = {id(n): text_key(n) for n, inside in decides if inside is not None}
         self.keys = {n: key for n, key in keys.items() if key != empty}
 
     def extract(self, page: str | None) -> str:
@@ -454,17 +467,17 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
         def work(batch: list[tuple]) -> list[tuple]:
             out = []
-            for page_id, url, page, host, model, constant in batch:
+            for page_id, url, page, host, model, constant, usual in batch:
                 if host not in known:
                     if len(known) >= 64:
                         known.clear()
-                    known[host] = Wrapper(model, constant)
+                    known[host] = Wrapper(model, constant, usual)
                 text = known[host].extract(page)
                 out.append((page_id, url, text, len(text)))
             return out
 
         return work
 
-    joined = _with_host(rows, wrappers, "left").select("page_id", "url", "html", "host", "model", "constant")
+    joined = _with_host(rows, wrappers, "left").select("page_id", "url", "html", "host", "model", "constant", "usual")
     return map_rows(joined, make, "page_id bigint, url string, text string, n_chars bigint")
 

@@ -211,6 +211,14 @@ def test_shared_paragraphs_of_articles_stay(spark):
     assert all(r["text"] == f"T {r['page_id']}\nThe same passage everywhere" for r in got)
 
 
+def test_constant_frames_inside_articles_are_template(spark):
+    shared = "<div>Read our new magazine every month</div>"
+    rows = [(i, "http://h.org/", page(i, f"<article><h1>T {i}</h1>{shared}<p>Body {i}</p><div>Own {i}</div>{'<div>Passage of a few</div>' if i < 6 else ''}</article>")) for i in range(10)]
+    got = html_wrapper.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    want = {i: f"T {i}\nBody {i}\nOwn {i}" + ("\nPassage of a few" if i < 6 else "") for i in range(10)}
+    assert {r["page_id"]: r["text"] for r in got} == want
+
+
 def test_marks_drop_only_what_is_not_content():
     def text(page, template=()):
         return html_wrapper.main_text(html_wrapper.parse(page), set(template))
