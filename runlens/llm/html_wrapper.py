@@ -1,8 +1,8 @@
 """HTML extraction by wrapper induction.
 
-Pages of one host share a template.  One page per host (the smallest content
-hash) is the host's model tree; every other distinct page is aligned with it by
-simple tree matching, which finds the largest top-down matching of two ordered
+Pages of one host share a template, or a few: one page (the smallest content
+hash) of each of its most frequent layouts is a model tree; every other distinct
+page is aligned with its layout's model, or the first one, by simple tree matching, which finds the largest top-down matching of two ordered
 trees with equal node labels.  A model node whose text is the same in nearly
 all pages that have it is a constant node: template.  Nodes aligned with
 constant nodes are dropped; varying slots are content.
@@ -21,21 +21,25 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 from html.parser import HTMLParser
+from math import isqrt
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import BROADCAST_IDS, map_rows, shared_table
+from runlens.llm.common import BROADCAST_IDS, let, map_rows, shared_table
 
 #: a model node is constant when so many distinct pages have it, and so large
 #: a share of them has it with the model's text
 LEAST_PAGES, CONSTANT_SHARE = 5, 0.9
-#: child lists whose product exceeds this are aligned by labels in order
-#: instead of by dynamic programming
-ALIGN_CELLS = 250_000
+#: alignment tables up to this size are filled without numpy, and up to the
+#: second kept whole; of larger ones only some rows are kept at a time
+SMALL_CELLS, ALIGN_CELLS = 400, 250_000
+#: models per host: its most frequent layouts
+LAYOUTS = 8
 
 #: hosts' models up to this many bytes in all are sent to every task
 BROADCAST_BYTES = 32 << 20
@@ -151,84 +155,123 @@ def text_key(node: Node) -> int:
     return zlib.crc32(" ".join(" ".join(n.text for n in preorder(node) if n.tag == "#text").split()).encode())
 
 
+def _shapes(root: Node, known: dict[tuple, int]) -> dict[int, int]:
+    """The shape of every node: equal numbers for equal trees of labels.  A
+    shape's number is larger than those of its children."""
+    out: dict[int, int] = {}
+    for node in reversed(preorder(root)):
+        key = (node.label, *[out[id(c)] for c in node.children])
+        out[id(node)] = known.setdefault(key, len(known))
+    return out
+
+
 def tree_match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Simple tree matching: the pairs of the largest top-down matching.
 
     Elements match if their labels do; children are matched in order.  Text
-    nodes match each other."""
-    sizes: dict[tuple[int, int], int] = {}
-    plans: dict[tuple[int, int], list[tuple[Node, Node]]] = {}
-
-    def plain(node: Node) -> bool:  # one text and nothing else, like most paragraphs
-        return len(node.children) == 1 and node.children[0].tag == "#text"
-
-    def value(x: Node, y: Node) -> int:
-        return sizes.get((id(x), id(y))) or (2 if plain(x) and plain(y) else 1)
-
-    def align(x: Node, y: Node) -> list[tuple[Node, Node]]:
-        xs, ys = x.children, y.children
-        if len(xs) * len(ys) > ALIGN_CELLS:
-            return _in_order(xs, ys)
-        gain = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-        for i in range(1, len(xs) + 1):
-            row, above = gain[i], gain[i - 1]
-            for j in range(1, len(ys) + 1):
-                best = max(row[j - 1], above[j])
-                if xs[i - 1].label == ys[j - 1].label:
-                    best = max(best, above[j - 1] + value(xs[i - 1], ys[j - 1]))
-                row[j] = best
-        i, j, pairs = len(xs), len(ys), []
-        while i and j:
-            if gain[i][j] == gain[i - 1][j]:
-                i -= 1
-            elif gain[i][j] == gain[i][j - 1]:
-                j -= 1
+    nodes match each other.  How much two trees match depends on their shapes
+    alone, so it is found once for each pair of shapes."""
+    known: dict[tuple, int] = {}
+    left, right = _shapes(a, known), _shapes(b, known)
+    shapes, sizes = list(known), []
+    for shape in shapes:
+        sizes.append(1 + sum(sizes[c] for c in shape[1:]))
+    values: dict[tuple[int, int], int] = {}
+
+    def value(x: int, y: int) -> int:
+        if x == y:
+            return sizes[x]
+        if shapes[x][0] != shapes[y][0]:
+            return 0
+        return values[x, y] if len(shapes[x]) > 1 and len(shapes[y]) > 1 else 1
+
+    def prepare(x: int, y: int) -> None:  # post-order over the pairs that can match, without recursion
+        work = [(x, y, False)]
+        while work:
+            x, y, ready = work.pop()
+            if x == y or (x, y) in values or shapes[x][0] != shapes[y][0] or len(shapes[x]) == 1 or len(shapes[y]) == 1:
+                continue
+            if ready:
+                values[x, y] = 1 + _best(shapes[x][1:], shapes[y][1:], value)
             else:
-                pairs.append((xs[i - 1], ys[j - 1]))
-                i, j = i - 1, j - 1
-        return pairs[::-1]
+                work.append((x, y, True))
+                work.extend((p, q, False) for p in set(shapes[x][1:]) for q in set(shapes[y][1:]))
 
-    # post-order over the pairs that can match, without recursion
-    work: list[tuple[Node, Node, bool]] = [(a, b, False)]
-    while work:
-        x, y, ready = work.pop()
-        if ready:
-            pairs = align(x, y)
-            plans[id(x), id(y)] = pairs
-            sizes[id(x), id(y)] = 1 + sum(value(p, q) for p, q in pairs)
-        elif x.label == y.label and x.children and y.children and (id(x), id(y)) not in plans and not (plain(x) and plain(y)):
-            plans[id(x), id(y)] = []
-            work.append((x, y, True))
-            if len(x.children) * len(y.children) > ALIGN_CELLS:
-                work.extend((p, q, False) for p, q in _in_order(x.children, y.children))
-            else:
-                work.extend((p, q, False) for p in x.children if p.children for q in y.children if q.children and p.label == q.label)
-    out, todo = [], [(a, b)] if a.label == b.label else []
+    if a.label != b.label:
+        return []
+    prepare(left[id(a)], right[id(b)])
+    out, todo = [], [(a, b)]
     while todo:
-        pair = todo.pop()
-        out.append(pair)
-        if plain(pair[0]) and plain(pair[1]):
-            out.append((pair[0].children[0], pair[1].children[0]))
-        else:
-            todo.extend(plans.get((id(pair[0]), id(pair[1])), []))
+        x, y = todo.pop()
+        out.append((x, y))
+        if left[id(x)] == right[id(y)]:
+            todo.extend(zip(x.children, y.children, strict=True))
+        elif x.children and y.children:
+            pairs = _aligned([left[id(c)] for c in x.children], [right[id(c)] for c in y.children], value)
+            todo.extend((x.children[i], y.children[j]) for i, j in pairs)
     return out
 
 
-def _in_order(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
-    """The k-th child of a label with the k-th of that label, where in order."""
-    places: dict[str, list[int]] = {}
-    for j, y in enumerate(ys):
-        places.setdefault(y.label, []).append(j)
-    taken: dict[str, int] = {}
-    pairs, last = [], -1
+Value = Callable[[int, int], int]
+
+
+def _gains(xs: Sequence[int], ys: Sequence[int], value: Value, first: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Rows of the alignment table, the one before the first x included."""
+    kinds, place = np.unique(np.asarray(ys), return_inverse=True)
+    row = np.zeros(len(ys) + 1, dtype=np.int32) if first is None else first
+    yield row
     for x in xs:
-        k = taken.get(x.label, 0)
-        at = places.get(x.label, [])
-        if k < len(at) and at[k] > last:
-            pairs.append((x, ys[at[k]]))
-            last = at[k]
-        taken[x.label] = k + 1
-    return pairs
+        worth = np.array([value(x, int(y)) for y in kinds], dtype=np.int32)[place]
+        step = np.where(worth > 0, row[:-1] + worth, 0)
+        row = np.concatenate([row[:1], np.maximum.accumulate(np.maximum(row[1:], step))])
+        yield row
+
+
+def _table(xs: Sequence[int], ys: Sequence[int], value: Value) -> list[list[int]]:
+    gain = [[0] * (len(ys) + 1)]
+    for x in xs:
+        above, row = gain[-1], [0]
+        for j, y in enumerate(ys):
+            best = max(row[j], above[j + 1])
+            worth = value(x, y)
+            if worth:
+                best = max(best, above[j] + worth)
+            row.append(best)
+        gain.append(row)
+    return gain
+
+
+def _best(xs: Sequence[int], ys: Sequence[int], value: Value) -> int:
+    if len(xs) * len(ys) <= SMALL_CELLS:
+        return _table(xs, ys, value)[-1][-1]
+    row = None
+    for row in _gains(xs, ys, value):
+        pass
+    return int(row[-1])
+
+
+def _aligned(xs: Sequence[int], ys: Sequence[int], value: Value) -> list[tuple[int, int]]:
+    """Places of the children paired by the best alignment, in order.  Only
+    every k-th row of a large table is kept, and the rows between are made
+    again on the way back: exact, in memory of about the lists' lengths times
+    the square root of the number of rows."""
+    n, j, pairs = len(xs), len(ys), []
+    small = n * j <= SMALL_CELLS
+    block = n if n * j <= ALIGN_CELLS else isqrt(n) + 1
+    kept = [] if small else [row for k, row in enumerate(_gains(xs, ys, value)) if k % block == 0]
+    for start in range((n - 1) // block * block, -1, -block):
+        part = xs[start : start + block]
+        gain = _table(part, ys, value) if small else list(_gains(part, ys, value, kept[start // block]))
+        i = len(part)
+        while i and j:
+            if gain[i][j] == gain[i - 1][j]:
+                i -= 1
+            elif gain[i][j] == gain[i][j - 1]:
+                j -= 1
+            else:
+                pairs.append((start + i - 1, j - 1))
+                i, j = i - 1, j - 1
+    return pairs[::-1]
 
 
 def _tag_out(node: Node, in_article: bool) -> bool:
@@ -351,65 +394,110 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1))
 
 
+def layout_of(page: Column) -> Column:
+    """Hash of the set of a page's frames: tags and classes without digits."""
+    tags = F.regexp_extract_all(page, F.lit(r"(?i)<((?:body|main|article|section|nav|aside|header|footer|form|table|div)\b[^<>]*|[a-z][a-z0-9]*\s[^<>]*class\s*=[^<>]*)>"), F.lit(1))
+    kind = lambda t: F.lower(F.concat_ws(" ", F.regexp_extract(t, r"^(\w+)", 1), F.regexp_replace(F.regexp_extract(t, r"(?i)\bclass\s*=\s*[\"']?([^\"'>]*)", 1), r"\d+", "")))
+    return F.xxhash64(F.array_sort(F.array_distinct(F.transform(tags, kind))))
+
+
 def models(pages: DataFrame) -> DataFrame:
-    """``host, model``: the page with the smallest content hash of each host.
-    Only hashes are shuffled, then the chosen pages."""
-    chosen = shared_table(pages.groupBy("host").agg(F.min("page_hash").alias("page_hash")), "models")
+    """``host, layout, place, model``: the page with the smallest content hash
+    of each host's most frequent layout (place 1) and of up to ``LAYOUTS`` - 1
+    others with enough distinct pages.  Only hashes are shuffled, then the
+    chosen pages."""
+    laid = pages.select("host", layout_of(F.col("html")).alias("layout"), "page_hash").distinct()
+    sizes = laid.groupBy("host", "layout").agg(F.count("*").alias("n"), F.min("page_hash").alias("page_hash"))
+    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "page_hash"))
+    ranked = sizes.withColumn("place", place).filter(F.col("place") <= LAYOUTS).filter((F.col("place") == 1) | (F.col("n") >= LEAST_PAGES))
+    chosen = shared_table(ranked.select("host", "layout", "place", "page_hash"), "models")
     side = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
     return shared_table(
-        pages.select("host", "page_hash", "html").join(side, ["host", "page_hash"], "left_semi")
-        .groupBy("host").agg(F.first("html").alias("model")),
+        pages.select("host", "page_hash", "html").join(side, ["host", "page_hash"])
+        .groupBy("host", "layout", "place").agg(F.first("html").alias("model")),
         "models",
     )
 
 
-def _with_host(pages: DataFrame, hosts: DataFrame, how: str) -> DataFrame:
-    """Pages with their host's columns; the hosts are broadcast only if their
-    models are small altogether, else both sides are shuffled on the host."""
-    size = hosts.agg(F.sum(F.octet_length("model"))).first()[0] or 0
-    return pages.join(F.broadcast(hosts) if size <= BROADCAST_BYTES else hosts, "host", how)
+def by_host(flat: DataFrame) -> DataFrame:
+    """``host, models``: the models of a host in one array, by place."""
+    fields = [c for c in ("place", "layout", "model", "constant", "usual") if c in flat.columns]
+    return flat.groupBy("host").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("models"))
+
+
+def _with_model(pages: DataFrame, hosts: DataFrame, how: str) -> DataFrame:
+    """Pages with the model of their layout, or else of their host's first one;
+    the hosts are broadcast only if their models are small altogether, else both
+    sides are shuffled on the host."""
+    size = hosts.agg(F.sum(F.octet_length(F.array_join(F.col("models.model"), "")))).first()[0] or 0
+    joined = pages.join(F.broadcast(hosts) if size <= BROADCAST_BYTES else hosts, "host", how)
+    of_layout = let(layout_of(F.col("html")), lambda own: F.get(F.filter("models", lambda m: m["layout"] == own), F.lit(0)))
+    first = F.get("models", F.lit(0))
+    return joined.withColumn("picked", F.when(F.size("models") > 1, F.coalesce(of_layout, first)).otherwise(first)).select(*pages.columns, "picked.*")
 
 
 def constant_nodes(pages: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``host, constant, usual``: preorder numbers of the model's constant
-    nodes, from all distinct pages of the host, and of those among them that
-    nearly all pages have.  A page votes with two lists of node numbers, and
-    equal pages are merged before their votes are counted."""
+    """``host, layout, constant, usual``: preorder numbers of a model's constant
+    nodes, from all distinct pages aligned with it, and of those among them that
+    nearly all pages of the host have, in whichever layout.  A page votes with
+    two lists of node numbers, and equal pages are merged before their votes are
+    counted."""
 
     def make() -> Callable[[list[tuple]], list[tuple]]:
-        known: dict[str, tuple] = {}
+        known: dict[tuple, tuple] = {}
 
         def work(rows: list[tuple]) -> list[tuple]:
             out = []
-            for host, page_hash, page, model in rows:
-                if host not in known:
+            for host, layout, page_hash, page, model in rows:
+                if (host, layout) not in known:
                     if len(known) >= 64:
                         known.clear()
                     root = parse(model)
-                    known[host] = (root, {id(n): (i, text_key(n)) for i, n in enumerate(preorder(root))})
-                root, numbers = known[host]
+                    known[host, layout] = (root, {id(n): (i, text_key(n)) for i, n in enumerate(preorder(root))})
+                root, numbers = known[host, layout]
                 pairs = [(*numbers[id(x)], y) for x, y in tree_match(root, parse(page))]
-                out.append((host, page_hash, [i for i, _, _ in pairs], [i for i, key, y in pairs if text_key(y) == key]))
+                out.append((host, layout, page_hash, [i for i, _, _ in pairs], [i for i, key, y in pairs if text_key(y) == key]))
             return out
 
         return work
 
     votes = map_rows(
-        _with_host(pages.select("host", "page_hash", "html"), chosen, "inner").select("host", "page_hash", "html", "model"),
-        make, "host string, page_hash bigint, matched array<int>, same array<int>",
+        _with_model(pages.select("host", "page_hash", "html"), by_host(chosen), "inner").select("host", "layout", "page_hash", "html", "model"),
+        make, "host string, layout bigint, page_hash bigint, matched array<int>, same array<int>",
     ).dropDuplicates(["host", "page_hash"])
-    each = votes.select("host", F.explode_outer("matched").alias("node"), "same")
-    return (
-        each.groupBy("host", "node")
+    each = votes.select("host", "layout", F.explode_outer("matched").alias("node"), "same")
+    counts = (
+        each.groupBy("host", "layout", "node")
         .agg(F.count("*").alias("n"), F.count_if(F.array_contains("same", F.col("node"))).alias("same"))
         .withColumn("is_constant", (F.col("n") >= LEAST_PAGES) & (F.col("same") >= CONSTANT_SHARE * F.col("n")))
-        .groupBy("host")  # every page has the root, so the largest n counts the pages
+        .groupBy("host", "layout")  # every page has the root, so the largest n counts the pages
         .agg(F.collect_list(F.when(F.col("is_constant"), F.struct("node", "n"))).alias("found"), F.max("n").alias("pages"))
-        .select(
-            "host", F.col("found.node").alias("constant"),
-            F.transform(F.filter("found", lambda c: c["n"] >= CONSTANT_SHARE * F.col("pages")), lambda c: c["node"]).alias("usual"),
-        )
     )
+    found = counts.select("host", "layout", "pages", F.col("found.node").alias("node"), F.col("found.n").alias("n"))
+    hosts = chosen.join(found, ["host", "layout"]).groupBy("host").agg(*[F.collect_list(c).alias(c) for c in ("layout", "model", "pages", "node", "n")])
+    return map_rows(hosts, lambda: _usual, "host string, layout bigint, constant array<int>, usual array<int>", chunk=16)
+
+
+def _usual(rows: list[tuple]) -> list[tuple]:
+    """One row per layout of each host: its constant nodes, and those whose text
+    is constant in nearly all pages of the host's layouts taken together."""
+    out = []
+    for host, layouts, texts, pages, nodes, counts in rows:
+        having: dict[tuple[str, int], int] = {}
+        keyed = []
+        for model, places, n in zip(texts, nodes, counts, strict=True):
+            tree = preorder(parse(model)) if len(places) else []
+            keys = [(tree[i].label, text_key(tree[i])) for i in places]
+            keyed.append(keys)
+            most: dict[tuple[str, int], int] = {}
+            for key, k in zip(keys, n, strict=True):
+                most[key] = max(most.get(key, 0), int(k))
+            for key, k in most.items():
+                having[key] = having.get(key, 0) + k
+        least = CONSTANT_SHARE * sum(pages)
+        for layout, places, keys in zip(layouts, nodes, keyed, strict=True):
+            out.append((host, layout, [int(i) for i in places], [int(i) for i, key in zip(places, keys, strict=True) if having[key] >= least]))
+    return out
 
 
 def _content_nodes(root: Node) -> dict[int, bool]:
@@ -460,24 +548,24 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     )
     voting = rows.filter("html IS NOT NULL AND html <> ''")
     chosen = models(voting)
-    wrappers = shared_table(chosen.join(constant_nodes(voting, chosen), "host", "left"), "wrappers")
+    wrappers = shared_table(by_host(chosen.join(constant_nodes(voting, chosen), ["host", "layout"], "left")), "wrappers")
 
     def make() -> Callable[[list[tuple]], list[tuple]]:
-        known: dict[str, Wrapper] = {}
+        known: dict[tuple, Wrapper] = {}
 
         def work(batch: list[tuple]) -> list[tuple]:
             out = []
-            for page_id, url, page, host, model, constant, usual in batch:
-                if host not in known:
+            for page_id, url, page, host, layout, model, constant, usual in batch:
+                if (host, layout) not in known:
                     if len(known) >= 64:
                         known.clear()
-                    known[host] = Wrapper(model, constant, usual)
-                text = known[host].extract(page)
+                    known[host, layout] = Wrapper(model, constant, usual)
+                text = known[host, layout].extract(page)
                 out.append((page_id, url, text, len(text)))
             return out
 
         return work
 
-    joined = _with_host(rows, wrappers, "left").select("page_id", "url", "html", "host", "model", "constant", "usual")
+    joined = _with_model(rows, wrappers, "left").select("page_id", "url", "html", "host", "layout", "model", "constant", "usual")
     return map_rows(joined, make, "page_id bigint, url string, text string, n_chars bigint")
 

@@ -219,6 +219,27 @@ def test_constant_frames_inside_articles_are_template(spark):
     assert {r["page_id"]: r["text"] for r in got} == want
 
 
+def test_hosts_with_two_layouts_and_error_pages(spark):
+    one = lambda i: f"<body><div class=wrap><p>Welcome to us</p><p>Body {i}</p></div></body>"
+    two = lambda i: f"<body><section class=b><p>Title {i}</p><p>All rights kept</p></section></body>"
+    rows = [(i, "http://h.org/", one(i)) for i in range(9)] + [(i, "http://h.org/", two(i)) for i in range(9, 17)] + [(17, "http://h.org/", "<body><i class=e>Not found</i></body>")]
+    got = html_wrapper.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    want = {i: f"Body {i}" if i < 9 else f"Title {i}" for i in range(17)} | {17: "Not found"}
+    assert {r["page_id"]: r["text"] for r in got} == want
+
+
+def test_long_child_lists_are_aligned_exactly():
+    rng = random.Random(3)
+    xs, ys = ([rng.randrange(6) for _ in range(n)] for n in (700, 900))
+    value = lambda x, y: (x % 3 + 1) * (x % 3 == y % 3)
+    pairs = html_wrapper._aligned(xs, ys, value)
+    assert len(xs) * len(ys) > html_wrapper.ALIGN_CELLS and all(a < c and b < d for (a, b), (c, d) in itertools.pairwise(pairs))
+    assert sum(value(xs[i], ys[j]) for i, j in pairs) == html_wrapper._table(xs, ys, value)[-1][-1]
+    paragraphs = "".join(f"<p>{i}</p>" for i in range(600))
+    pairs = html_wrapper.tree_match(html_wrapper.parse(f"<div><p>x</p></div>{paragraphs}"), html_wrapper.parse(f"<ul></ul><p>new</p>{paragraphs}<div><p>x</p></div>"))
+    assert len(pairs) == 1 + 1200
+
+
 def test_marks_drop_only_what_is_not_content():
     def text(page, template=()):
         return html_wrapper.main_text(html_wrapper.parse(page), set(template))
