@@ -147,6 +147,32 @@ def test_cycles_and_bombs_end():
     assert secret_scan.scan(bomb)[3] >= 1
 
 
+def wrap(blob, width=76, end="\n"):
+    return end.join(blob[i : i + width] for i in range(0, len(blob), width))
+
+
+def test_wrapped_glued_and_odd_base64():
+    rng = random.Random(6)
+    noise = "".join(rng.choice("bcdfgjklmnpqrsuvwxyz ") for _ in range(300))
+    plain = f"{noise}{KEY} {noise}"
+    coded = [base64.b64encode(x).decode() for x in (plain.encode(), gzip.compress(plain.encode()), zlib.compress(plain.encode()))]
+    odd = base64.b64encode(b"\x01\xff" + plain.encode() + b"\x00").decode()
+    cases = [wrap(c, w, e) for c in coded for w, e in ((76, "\n"), (64, "\r\n"), (75, "\n  "), (76, "\\n"))]
+    cases += [g + c for c in [*coded, odd] for g in ("x/", "id-", "see_", "path/", "")]
+    for shift in range(57):  # the key at every place of a line
+        cases.append(wrap(base64.b64encode(f"{noise[:shift]}{KEY} {noise}".encode()).decode()))
+    for case in cases:
+        text = f"before: {case}"
+        spans = [(s, e) for s, kind, e in secret_scan.scan(text)[1] if kind == 1]
+        assert spans and all(8 <= s < e <= len(text) for s, e in spans), case
+        again = secret_scan.redact(text)
+        assert not [x for x in secret_scan.scan(again)[1] if x[1] == 1], case
+    lines = "\n".join(base64.b64encode(gzip.compress(f"{KEY}{i}".encode())).decode().rstrip("=") for i in range(3))
+    assert len({e for s, kind, e in secret_scan.scan(lines)[1] if kind == 1}) == 3
+    two = base64.b64encode(gzip.compress(b"the first member") + gzip.compress(KEY.encode())).decode()
+    assert any(kind == 1 for _, kind, _ in secret_scan.scan(two)[1])
+
+
 def test_secret_rows(spark):
     rows = [*EDGES, (7, f"token = abcdefghijkl and {KEY}")]
     got = by_id(secret_scan.scan_secrets(frame(spark, rows)))
