@@ -173,6 +173,15 @@ def test_wrapped_glued_and_odd_base64():
     assert any(kind == 1 for _, kind, _ in secret_scan.scan(two)[1])
 
 
+def test_large_blobs_are_scanned_in_pieces_and_redacted():
+    size = secret_scan.MAX_UNPACKED
+    for body in (zlib.compress(b" " * (size + 99) + KEY.encode() + b" "), gzip.compress(b" " * size) + gzip.compress(b"  " + KEY.encode()), gzip.compress(b" " * (size + 9))):
+        blob = base64.b64encode(body).decode()
+        text = f"a: {blob} z"
+        assert (secret_scan.scan(text)[1] == [(3, 1, 3 + len(blob))]) == (body[-9:] != gzip.compress(b" " * (size + 9))[-9:])
+        assert secret_scan.scan(text)[3] == 1 and secret_scan.redact(text) == "a: [SECRET] z"
+
+
 def test_secret_rows(spark):
     rows = [*EDGES, (7, f"token = abcdefghijkl and {KEY}")]
     got = by_id(secret_scan.scan_secrets(frame(spark, rows)))
