@@ -1,12 +1,14 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
 The reference is the whole corpus; its blocks are the documents, indexed by
-their phrases of ``PHRASE`` = 35 words.  Parsing a document is greedy: at a
-word, take the block that the phrase starting there also occurs in, and extend
-the factor while the next phrase occurs in the same block.  Every factor is a
-duplicate span of at least 35 words.  Where a factor ends, the phrases across
-its boundary are looked up on their own, so the union of the factors is exactly
-the words covered by a phrase that starts anywhere else.
+their phrases of ``PHRASE`` = 35 words.  The index keeps one block per phrase,
+the smallest doc_id that has it, which may be the document itself; a factor is
+a run of repeated phrases with one such block.  This departs from greedy
+relative Lempel-Ziv: a factor ends where the smallest holder changes, also where
+one block goes on matching, and may refer to its own text.  Every factor is a
+duplicate span of at least 35 words, and every repeated phrase lies in one, so
+the union of the factors is exactly the words covered by a phrase that starts
+anywhere else.
 
 Indexing every phrase would be several times the corpus, so an anchor index
 comes first: of each phrase's 28 grams of 8 words the smallest hash is its
@@ -111,7 +113,7 @@ def _joined(rows: DataFrame, lists: DataFrame, columns: list[str], how: str) ->
 
 
 def factors(h: np.ndarray, phrase: np.ndarray, blocks: np.ndarray) -> list[tuple[int, int, int]]:
-    """Greedy factors (start, words, block) of a text with word hashes ``h``;
+    """Factors (start, words, block) of a text with word hashes ``h``;
     ``phrase`` (ascending) are the phrases that occur elsewhere, ``blocks`` the
     block of each."""
     own = gram_hashes(h, PHRASE)
