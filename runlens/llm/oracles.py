@@ -51,3 +51,37 @@ items AS (SELECT rid, count(*) AS c, string_agg(item, ',' ORDER BY item) AS l FR
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(words.c, 0) AS n_hit, coalesce(items.c, 0) AS n_items,
        sha256(coalesce(items.l, '')) AS items_sha256, coalesce(words.c, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)"""
+
+_WORDED = r"[^\x20\x09-\x0D]"
+_GAPS = r"[\x20\x09-\x0D]+"
+
+LINE_RULES = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, regexp_extract_all(t, '{WINDOWED_WORDS}') AS w FROM d),
+l AS (
+  SELECT rid, source, t, ln, trim(regexp_replace(translate(ln, '{_UPPER}0123456789', '{_UPPER.lower()}0000000000'), '{_GAPS}', ' ', 'g'), ' ') AS norm,
+         len(regexp_extract_all(ln, '{WINDOWED_WORDS}')) AS n
+  FROM (SELECT rid, source, t, unnest(string_split(t, chr(10))) AS ln FROM d) WHERE regexp_matches(ln, '{_WORDED}')),
+hosts AS (SELECT source, count(DISTINCT t) AS all_docs FROM d GROUP BY source),
+often AS (
+  SELECT c.source, c.norm FROM (SELECT source, norm, count(DISTINCT t) AS docs FROM l GROUP BY source, norm) c
+  JOIN hosts h ON h.source IS NOT DISTINCT FROM c.source WHERE c.docs > 10 AND 100 * c.docs > h.all_docs),
+lost AS (SELECT l.rid, count(*) AS c, sum(l.n) AS n FROM l JOIN often o ON o.source IS NOT DISTINCT FROM l.source AND o.norm = l.norm GROUP BY l.rid),
+dup AS (SELECT rid, count(*) - count(DISTINCT ln) AS n FROM l GROUP BY rid),
+p AS (SELECT rid, i, [w[i], w[i + 1], w[i + 2]] AS win FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+rep AS (
+  SELECT rid, count(DISTINCT pos) AS n
+  FROM (SELECT p.rid, unnest(range(p.i, p.i + 3)) AS pos FROM p JOIN (SELECT rid, win FROM p GROUP BY rid, win HAVING count(*) > 1) USING (rid, win))
+  GROUP BY rid),
+base AS (
+  SELECT d.rid, d.doc_id, CAST(len(w.w) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(coalesce(lost.c, 0) AS BIGINT) AS n_removed_lines, CAST(len(w.w) - coalesce(lost.n, 0) AS BIGINT) AS n_left_words
+  FROM d JOIN w USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN lost USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_left_words >= 30 * n_words AS kept,
+       n_removed_lines, n_left_words
+FROM base"""

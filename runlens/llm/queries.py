@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import crf_toxicity, hd_langid, html_wrapper, jaccard_join, lz_dedup, nbsvm, oracles, piece_codec, secret_scan, syncmers, winnowing
+from runlens.llm import crf_toxicity, hd_langid, html_wrapper, jaccard_join, line_rules, lz_dedup, nbsvm, oracles, piece_codec, secret_scan, syncmers, winnowing
 from runlens.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.judge(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_syncmer_fingerprints": op1_syncmer_fingerprints,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -80,9 +84,11 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_secret_scans": op10_secret_scans,
+    "op13_quality_rules": op13_quality_rules,
 }
 ORACLE: dict[str, str] = {
     "op2_ngram_jaccard_join": oracles.JACCARD,
     "op3_substring_dedup": oracles.DEDUP,
     "op9_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op13_quality_rules": oracles.LINE_RULES,
 }
