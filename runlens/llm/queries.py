@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import crf_toxicity, hd_langid, html_wrapper, jaccard_join, line_rules, lz_dedup, nbsvm, oracles, piece_codec, secret_scan, syncmers, winnowing
+from runlens.llm import crf_toxicity, hd_langid, html_wrapper, jaccard_join, line_rules, lz_dedup, nbsvm, oracles, piece_codec, prefix_trie, secret_scan, syncmers, winnowing
 from runlens.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,12 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.col("conv_id") - F.col("conv_id") % 5
+    head = F.crc32(F.col("conv_id").cast("string")) % 9
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), base, head, max_head=8)
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(documents(spark, sf_dir))
 
@@ -84,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_secret_scans": op10_secret_scans,
+    "op11_conversation_trie": op11_conversation_trie,
     "op13_quality_rules": op13_quality_rules,
 }
 ORACLE: dict[str, str] = {
