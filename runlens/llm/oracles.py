@@ -85,3 +85,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_left_words >= 30 * n_words AS kept,
        n_removed_lines, n_left_words
 FROM base"""
+
+#: CRC-32 of the decimal id, bit by bit
+_CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda z: CAST(z AS BIGINT))), lambda v, w: xor(v >> 1, 3988292384 * (v & 1)))))"""
+
+TRIE = f"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+c AS (SELECT c, c - c % 5 AS b, {_CRC} % 9 AS h FROM n),
+turns AS (
+  SELECT c.c, t.pos AS d, t.r, t.x FROM c JOIN t ON t.c = c.b AND t.pos <= c.h
+  UNION ALL
+  SELECT c.c, t.pos - c.h + least(c.h, coalesce(n.n, 0)) AS d, t.r, t.x FROM c JOIN t ON t.c = c.c AND t.pos > c.h LEFT JOIN n ON n.c = c.b),
+seqs AS (SELECT c, list({{'r': r, 'x': x}} ORDER BY d) AS l FROM turns GROUP BY c),
+p AS (SELECT c, d, l[1:d] AS k, len(l) AS size
+      FROM (SELECT c.c, coalesce(l, []) AS l, unnest(range(0, coalesce(len(l), 0) + 1)) AS d FROM c LEFT JOIN seqs ON seqs.c = c.c)),
+node AS (SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, string_agg(CASE WHEN d = size THEN CAST(c AS VARCHAR) END, ',' ORDER BY c) AS ends FROM p GROUP BY d, k),
+up AS (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+below AS (
+  SELECT a AS d, k[1:a] AS k, sum(CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * strlen(k[d].x) END) AS saved, sum(leaf) AS leaves
+  FROM (SELECT node.d, node.k, n_convs, CASE WHEN up.n IS NULL THEN 1 ELSE 0 END AS leaf, unnest(range(0, node.d + 1)) AS a
+        FROM node LEFT JOIN up ON up.d = node.d AND up.k = node.k)
+  GROUP BY ALL)
+SELECT node.conv_id, CAST(node.d AS BIGINT) AS depth, parent.conv_id AS parent_conv_id, node.n_convs, CAST(coalesce(up.n, 0) AS BIGINT) AS n_children,
+       CAST(below.leaves AS BIGINT) AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, sha256(coalesce(node.ends, '')) AS ends_sha256
+FROM node JOIN below ON below.d = node.d AND below.k = node.k LEFT JOIN up ON up.d = node.d AND up.k = node.k
+LEFT JOIN node parent ON parent.d = node.d - 1 AND parent.k = node.k[1:node.d - 1] AND node.d > 0"""

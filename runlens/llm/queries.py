@@ -97,5 +97,6 @@ ORACLE: dict[str, str] = {
     "op2_ngram_jaccard_join": oracles.JACCARD,
     "op3_substring_dedup": oracles.DEDUP,
     "op9_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op11_conversation_trie": oracles.TRIE,
     "op13_quality_rules": oracles.LINE_RULES,
 }
