@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import crf_toxicity, hd_langid, html_wrapper, jaccard_join, line_rules, lz_dedup, nbsvm, oracles, piece_codec, prefix_trie, secret_scan, syncmers, winnowing
+from runlens.llm import crf_toxicity, hd_langid, html_wrapper, jaccard_join, line_rules, lz_dedup, nbsvm, oracles, piece_codec, prefix_trie, secret_scan, syncmers, whitening, winnowing
 from runlens.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,10 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), base, head, max_head=8)
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(documents(spark, sf_dir))
 
@@ -91,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_secret_scans": op10_secret_scans,
     "op11_conversation_trie": op11_conversation_trie,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "op13_quality_rules": op13_quality_rules,
 }
 ORACLE: dict[str, str] = {
