@@ -19,7 +19,11 @@ from runlens.session import scratch_path
 from runlens.streaming import streams as ST
 from runlens.streaming import watchdog as WD
 
-_LAST = """last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY seq DESC) rn
+# the landing files carry no seq for instances with an odd number: their order is
+# that of the waves, and of the lines in a wave's file
+_NO_SEQ = "CAST(substr(instance_id, 3) AS BIGINT) % 2 = 1"
+_LAST = f"""last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instance_id
+                     ORDER BY CASE WHEN {_NO_SEQ} THEN seq % 4 ELSE seq END DESC, seq DESC) rn
                    FROM fx_progress WHERE instance_id IS NOT NULL AND instance_id <> '') t WHERE rn = 1)"""
 
 
@@ -34,6 +38,13 @@ def _land(df: DataFrame, wave: str, n_waves: int, path: str) -> None:
         df.where(F.col(wave) == k).drop(wave).write.mode("append").json(path)
 
 
+def _land_log(df: DataFrame, wave: str, n_waves: int, path: str) -> None:
+    """The same, with each instance's lines of a wave in one file, by ``seq``."""
+    for k in range(n_waves):
+        rows = df.where(F.col(wave) == k).repartition("instance_id").sortWithinPartitions("seq")
+        rows.withColumn("seq", F.when(F.expr(f"NOT ({_NO_SEQ})"), F.col("seq"))).drop(wave).write.mode("append").json(path)
+
+
 def _progress_rows(spark, sf):
     prog = fixture(spark, sf, "fx_progress")
     details = F.when(F.col("details_error").isNotNull(), F.struct(F.col("details_error").alias("error")))
@@ -58,11 +69,11 @@ def _mixed_rows(spark, sf):
 @register(
     "stream_progress_latest",
     oracle_with("fx_progress") + ",\n" + _LAST
-    + "\nSELECT instance_id, seq, status, accepted, duration, details_error FROM last",
+    + f"\nSELECT instance_id, CASE WHEN {_NO_SEQ} THEN NULL ELSE seq END AS seq, status, accepted, duration, details_error FROM last",
 )
 def q_stream_progress_latest(spark, sf):
     landing, out, ckpt = _dirs(spark, "progress-latest")
-    _land(_progress_rows(spark, sf), "_wave", 4, landing)
+    _land_log(_progress_rows(spark, sf), "_wave", 4, landing)
     q = ST.start_progress_latest(ST.read_progress_stream(spark, landing, files_per_trigger=8), out, ckpt)
     q.awaitTermination()
     return ST.latest_view(spark, out).select("instance_id", "seq", "status", "accepted", "duration", "details_error")
@@ -70,18 +81,18 @@ def q_stream_progress_latest(spark, sf):
 
 @register(
     "stream_progress_counts",
-    oracle_with("fx_progress") + """
+    oracle_with("fx_progress") + ",\n" + _LAST + """
 SELECT CASE WHEN seq % 29 = 0 THEN 'passed' WHEN seq % 31 = 0 THEN 'error'
             WHEN status IN ('passed','failed','error') THEN status WHEN details_error IS NOT NULL THEN 'error'
             WHEN coalesce(accepted, false) THEN 'passed' ELSE 'failed' END AS outcome, count(*) AS n
-FROM fx_progress WHERE coalesce(instance_id, '') <> '' GROUP BY 1""",
+FROM last GROUP BY 1""",
 )
 def q_stream_progress_counts(spark, sf):
     landing, out, ckpt = _dirs(spark, "progress-counts")
-    _land(_mixed_rows(spark, sf), "_wave", 4, landing)
+    _land_log(_mixed_rows(spark, sf), "_wave", 4, landing)
     q = ST.start_progress_counts(ST.read_progress_stream(spark, landing, files_per_trigger=8), out, ckpt)
     q.awaitTermination()
-    return spark.read.parquet(out).select("outcome", F.col("n").cast("bigint").alias("n"))
+    return ST.progress_counts(spark, out)
 
 
 # stand-in sample groups for the collector: 4 consecutive samples per group
@@ -89,6 +100,22 @@ def q_stream_progress_counts(spark, sf):
 _GROUP = "CAST(floor(sample_index / 4) AS BIGINT)"
 
 
+def _sample_waves(spark: SparkSession, sf: str, landing: str, start) -> None:
+    """The stand-in samples in three waves; the expected group size travels
+    with each.  Every fifth group gets one sample too many, all of them in one
+    file.  After a run of the stream every seventh gets its samples again, now
+    that it is complete, and the stream goes on from its checkpoint."""
+    s = fixture(spark, sf, "fx_samples").withColumn("group_id", F.expr(_GROUP))
+    sizes = s.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    over = (F.col("group_id") % 5 == 0) & (F.col("n") > 1)
+    rows = s.join(sizes, "group_id").withColumn("group_size", F.col("n") - over.cast("int"))
+    first = rows.withColumn("_wave", F.when(over, 0).otherwise(F.col("sample_index") % 3))
+    late = rows.where("group_id % 7 = 3").withColumn("_wave", F.lit(0)).withColumn("status", F.lit("aborted"))
+    for rows, n_waves in ((first, 3), (late, 1)):
+        _land(rows.drop("n").repartition("group_id"), "_wave", n_waves, landing)
+        start(spark.readStream.schema(ST.SAMPLE_STREAM_SCHEMA).option("maxFilesPerTrigger", 4).json(landing)).awaitTermination()
+
+
 @register(
     "stream_groups",
     oracle_with("fx_samples") + f"""
@@ -97,18 +124,29 @@ SELECT {_GROUP} AS group_id, CASE WHEN bool_or(status = 'aborted') THEN 'retry'
 FROM fx_samples GROUP BY 1""",
 )
 def q_stream_groups(spark, sf):
-    s = fixture(spark, sf, "fx_samples").withColumn("group_id", F.expr(_GROUP))
-    # stand-in: the expected group size travels with each sample; every fifth
-    # group gets one sample too many, all of them in one file
-    sizes = s.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
-    over = (F.col("group_id") % 5 == 0) & (F.col("n") > 1)
-    rows = (s.join(sizes, "group_id").withColumn("group_size", F.col("n") - over.cast("int"))
-            .withColumn("_wave", F.when(over, 0).otherwise(F.col("sample_index") % 3)).drop("n").repartition("group_id"))
     landing, out, ckpt = _dirs(spark, "groups")
-    _land(rows, "_wave", 3, landing)
-    stream = spark.readStream.schema(ST.SAMPLE_STREAM_SCHEMA).option("maxFilesPerTrigger", 4).json(landing)
-    ST.start_groups_jvm(stream, out, ckpt).awaitTermination()
-    return ST.completed_groups(spark, out).select("group_id", "route", "n_samples", "first_index", "n_aborted")
+    _sample_waves(spark, sf, landing, lambda stream: ST.start_groups(stream, out, ckpt))
+    return spark.read.parquet(out)
+
+
+# groups collected before the stream stops taking more: half of those not aborted
+_TARGET = "(SELECT CAST(ceil(count(*) / 2.0) AS BIGINT) FROM g WHERE NOT aborted)"
+
+
+@register(
+    "stream_collector",
+    oracle_with("fx_samples") + f""",
+g AS (SELECT {_GROUP} AS group_id, bool_or(status = 'aborted') AS aborted FROM fx_samples GROUP BY 1)
+SELECT 'batch' AS route, {_TARGET} AS n UNION ALL
+SELECT 'queued', count(*) - {_TARGET} FROM g WHERE NOT aborted HAVING count(*) > {_TARGET} UNION ALL
+SELECT 'retry', count(*) FROM g WHERE aborted HAVING count(*) > 0""",
+)
+def q_stream_collector(spark, sf):
+    landing, out, ckpt = _dirs(spark, "collector")
+    whole = fixture(spark, sf, "fx_samples").groupBy(F.expr(_GROUP).alias("g")).agg(F.bool_or(F.col("status") == "aborted").alias("a"))
+    target = -(-whole.where("NOT a").count() // 2)
+    _sample_waves(spark, sf, landing, lambda stream: ST.start_collector(stream, out, ckpt, target))
+    return spark.read.parquet(f"{out}/groups").groupBy("route").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(
@@ -125,8 +163,13 @@ def q_stream_watchdog(spark, sf):
     rows = ev.select(F.col("user_id").alias("rollout_id"), "event_id",
                      (WD.epoch_micros(ev.schema["ts"].dataType, F.col("ts")) / 1_000_000.0).alias("ts_seconds"))
     landing, out, ckpt = _dirs(spark, "watchdog")
-    rows.write.mode("append").json(landing)
-    stream = spark.readStream.schema("rollout_id bigint, event_id bigint, ts_seconds double").json(landing)
+    # four waves that follow each other in time, a file each, so that gaps reach over micro-batches
+    cuts = rows.agg(F.percentile_approx("ts_seconds", [0.25, 0.5, 0.75])).first()[0] or []
+    wave = sum((F.coalesce(F.col("ts_seconds") >= c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    _land(rows.withColumn("_wave", wave).repartition("rollout_id"), "_wave", 4, landing)
+    files = spark.read.text(landing).select(F.input_file_name().alias("f")).distinct().count()
+    stream = spark.readStream.schema("rollout_id bigint, event_id bigint, ts_seconds double").option(
+        "maxFilesPerTrigger", max(1, files // 4)).json(landing)
     q = (WD.watchdog_stream(stream).writeStream.outputMode("append").format("parquet").option("path", out)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()

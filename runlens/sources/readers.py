@@ -14,6 +14,7 @@ import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -167,6 +168,26 @@ def progress_records(lines: DataFrame) -> DataFrame:
 LOG_POS = "struct<written:timestamp,path:string,block:bigint,line:bigint>"
 
 
+def _file_place() -> list[Column]:
+    return [F.col("_metadata.file_modification_time").alias("written"), F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("block")]
+
+
+def place_stream_lines(lines: DataFrame) -> DataFrame:
+    """``value`` and ``log_pos`` of ``spark.readStream.text``: the place that
+    ``scan_progress`` gives a line.  Streams have no row-number expression, so
+    a counter runs along the rows of each task, which come in file order."""
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(range(at, at + batch.num_rows), pa.int64())],
+                                             names=[*batch.schema.names, "line"])
+            at += batch.num_rows
+
+    numbered = lines.select("value", *_file_place()).mapInArrow(number, "value string, written timestamp, path string, block long, line long")
+    return numbered.select("value", F.struct("written", "path", "block", "line").alias("log_pos"))
+
+
 def scan_progress(spark: SparkSession, path: str) -> DataFrame:
     """Progress records with their place in the log.
 
@@ -181,8 +202,7 @@ def scan_progress(spark: SparkSession, path: str) -> DataFrame:
         lines.schema  # noqa: B018  (forces the path check)
     except AnalysisException:
         return progress_records(spark.createDataFrame([], f"value string, log_pos {LOG_POS}"))
-    place = F.struct(F.col("_metadata.file_modification_time").alias("written"), F.col("_metadata.file_path").alias("path"),
-                     F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    place = F.struct(*_file_place(), F.monotonically_increasing_id().alias("line"))
     return progress_records(lines.select("value", place.alias("log_pos")))
 
 

@@ -3,47 +3,48 @@ progress log and the RL sample collector, plus the results append.
 
 All streams are checkpointed and resume from their checkpoint.  File sinks
 are exactly-once; ``foreachBatch`` sinks are written so that a replayed batch
-changes nothing (an epoch-partitioned upsert log, a full overwrite for the
-counters).  None of the outputs goes through the driver.
+changes nothing (epoch-partitioned logs whose epochs are overwritten).  None of
+the outputs goes through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from runlens.operators.scoring import classify_status
-from runlens.sources.readers import progress_records
-
-# the record as writers append it (readers parse text lines, see below)
-PROGRESS_STREAM_SCHEMA = ("seq bigint, instance_id string, status string, accepted boolean, duration double, "
-                          "details struct<error:string>")
+from runlens.sources.readers import place_stream_lines, progress_records
+from runlens.sources.tail import tail_lines
+from runlens.streaming.processors import complete_groups, outcome_changes
 
 
 def read_progress_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Progress records as they are appended, with the columns of
+    """Progress records of files as they appear, with the columns of
     ``scan_progress``: the same parser, so ``outcome`` and the presence of an
-    error key reach the classification."""
+    error key reach the classification, and the same ``log_pos``, so records
+    without ``seq`` have the order they have in a batch read."""
     reader = spark.readStream
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return progress_records(reader.text(path))
+    return progress_records(place_stream_lines(reader.text(path)))
+
+
+def tail_progress_stream(spark: SparkSession, pattern: str) -> DataFrame:
+    """The same columns from log files that writers append to in place."""
+    return progress_records(tail_lines(spark, pattern))
 
 
 # ── latest record per instance (update mode, upsert log) ───────────────────
 
 
 def progress_latest_updates(stream: DataFrame) -> DataFrame:
-    """Streaming aggregate: the record with the highest ``seq`` per instance.
+    """Streaming aggregate: the last record per instance, by ``seq`` and then
+    by ``log_pos`` (logs without sequence numbers), as ``latest_progress``.
 
-    ``max(struct(seq, …))`` keeps one row of state per instance id (the
+    ``max(struct(seq, log_pos, …))`` keeps one row of state per instance id (the
     dataset size bounds it); update mode emits only the ids that changed."""
-    others = [c for c in stream.columns if c not in ("instance_id", "seq")]
+    others = sorted((c for c in stream.columns if c not in ("instance_id", "seq")), key=lambda c: c != "log_pos")
     rec = F.struct(F.col("seq"), *[F.col(c) for c in others])
     return stream.groupBy("instance_id").agg(F.max(rec).alias("last"))
 
@@ -73,7 +74,7 @@ def latest_view(spark: SparkSession, out: str, snapshot: str | None = None) -> D
         since = snap.agg(F.max("epoch")).collect()[0][0]
         if since is not None:
             log = log.where(F.col("epoch") > F.lit(since)).unionByName(snap.select("instance_id", "last", "epoch"))
-    return log.groupBy("instance_id").agg(F.max_by("last", "epoch").alias("last")).select("instance_id", "last.*")
+    return log.groupBy("instance_id").agg(F.max_by("last", "epoch").alias("last")).select("instance_id", "last.*").drop("log_pos")
 
 
 def compact_latest(spark: SparkSession, out: str, snapshot: str, previous: str | None = None) -> None:
@@ -90,108 +91,94 @@ def compact_latest(spark: SparkSession, out: str, snapshot: str, previous: str |
     newest.select("instance_id", "r.last", "r.epoch").write.mode("overwrite").parquet(snapshot)
 
 
-# ── live counters (complete mode over a 3-row state) ───────────────────────
+# ── live counters (changes of each instance's outcome) ─────────────────────
 
 
-def progress_counts(stream: DataFrame) -> DataFrame:
-    """Running count of progress records by classified outcome."""
-    return stream.groupBy(classify_status(stream).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+def _before(spark: SparkSession, out: str, epoch: int) -> DataFrame | None:
+    """The rows of the newest epoch below ``epoch``, None without one."""
+    try:
+        log = spark.read.parquet(out).where(F.col("epoch") < epoch)
+    except AnalysisException:  # nothing written yet
+        return None
+    newest = log.agg(F.max("epoch")).first()[0]
+    return None if newest is None else log.where(F.col("epoch") == newest).drop("epoch")
 
 
-def start_progress_counts(stream: DataFrame, out: str, checkpoint: str):
-    def overwrite(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch).cast("bigint")).write.mode("overwrite").parquet(out)
+def start_progress_counts(stream: DataFrame, out: str, checkpoint: str, available_now: bool = True):
+    """Instances by the outcome of their last record, as they change.
 
-    return (progress_counts(stream).writeStream.outputMode("complete").foreachBatch(overwrite)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    Each instance whose outcome changes sends -1 for the old and +1 for the
+    new one; an epoch's row per outcome is the epoch before plus its changes,
+    so every epoch holds the counts after its micro-batch and a replayed one
+    overwrites itself with the same rows."""
+    def add(batch: DataFrame, epoch: int) -> None:
+        changes = batch.groupBy("outcome").agg(F.sum("delta").alias("n"))
+        before = _before(batch.sparkSession, out, epoch)
+        both = changes if before is None else before.unionByName(changes)
+        both.groupBy("outcome").agg(F.sum("n").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
+    records = stream.select("instance_id", "seq", "log_pos", classify_status(stream).alias("outcome"))
+    w = outcome_changes(records).writeStream.outputMode("append").foreachBatch(add).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w).start()
 
-# ── sample groups (stateful, applyInPandasWithState) ───────────────────────
 
-SAMPLE_STREAM_SCHEMA = "group_id bigint, sample_index bigint, status string, n_tokens bigint, group_size bigint"
-GROUP_OUT = T.StructType([
-    T.StructField("group_id", T.LongType()),
-    T.StructField("route", T.StringType()),
-    T.StructField("n_samples", T.LongType()),
-    T.StructField("first_index", T.LongType()),
-    T.StructField("n_aborted", T.LongType()),
-])
-GROUP_STATE = T.StructType([
-    T.StructField("indices", T.ArrayType(T.LongType())),
-    T.StructField("n_aborted", T.LongType()),
-    T.StructField("size", T.LongType()),
-])
-
-
-def _collect_group(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Buffer a group's samples until all ``group_size`` arrived, then emit
-    it once: route ``retry`` when any sample was aborted, else ``batch``.
-    The state holds at most one group's sample indices."""
-    if state.exists:
-        indices, n_aborted, size = state.get
-        indices = list(indices)
-    else:
-        indices, n_aborted, size = [], 0, None
-    for pdf in pdfs:
-        indices.extend(int(x) for x in pdf["sample_index"])
-        n_aborted += int((pdf["status"] == "aborted").sum())
-        size = int(pdf["group_size"].max())
-    if size is not None and len(indices) >= size:
-        state.remove()
-        yield pd.DataFrame([{
-            "group_id": int(key[0]), "route": "retry" if n_aborted else "batch", "n_samples": len(indices),
-            "first_index": min(indices), "n_aborted": n_aborted,
-        }])
-    else:
-        state.update((indices, n_aborted, size))
-
-
-def complete_groups(stream: DataFrame) -> DataFrame:
-    return stream.groupBy("group_id").applyInPandasWithState(
-        _collect_group, GROUP_OUT, GROUP_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def start_groups(stream: DataFrame, out: str, checkpoint: str):
-    """Python-state form: ``complete_groups`` with a file sink."""
-    return (complete_groups(stream).writeStream.outputMode("append").format("parquet")
-            .option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+def progress_counts(spark: SparkSession, out: str, epoch: int | None = None) -> DataFrame:
+    """``outcome, n`` after the newest micro-batch (or after ``epoch``)."""
+    log = spark.read.parquet(out)
+    at = log.agg(F.max("epoch")).first()[0] if epoch is None else epoch
+    return log.where((F.col("epoch") == at) & (F.col("n") > 0)).select("outcome", "n")
 
 
-def group_counters(stream: DataFrame) -> DataFrame:
-    """JVM form of the collector state: per group only counters (samples
-    seen, aborted, first index, expected size), as an update-mode streaming
-    aggregate."""
-    return stream.groupBy("group_id").agg(
-        F.count(F.lit(1)).alias("n_samples"),
-        F.count_if(F.col("status") == "aborted").alias("n_aborted"),
-        F.min("sample_index").alias("first_index"),
-        F.max("group_size").alias("group_size"),
-    )
-
-
-def start_groups_jvm(stream: DataFrame, out: str, checkpoint: str, available_now: bool = True):
-    """Emit each group once, in the micro-batch where its sample count
-    reaches the expected size or passes it (update mode emits changed groups;
-    late samples emit a group again, and readers keep its first row).  Route ``retry`` when any sample was
-    aborted.  Output rows carry the batch id; a replayed batch rewrites the
-    same rows, and readers keep one row per group (``completed_groups``)."""
-    def emit(batch: DataFrame, epoch: int) -> None:
-        done = batch.where(F.col("n_samples") >= F.col("group_size")).select(
-            "group_id", F.when(F.col("n_aborted") > 0, F.lit("retry")).otherwise(F.lit("batch")).alias("route"),
-            "n_samples", "first_index", "n_aborted", F.lit(epoch).cast("bigint").alias("epoch"))
-        done.write.mode("append").partitionBy("epoch").parquet(out)
-
-    w = (group_counters(stream).writeStream.outputMode("update").foreachBatch(emit)
-         .option("checkpointLocation", checkpoint))
-    return (w.trigger(availableNow=True) if available_now else w).start()
+# ── sample groups ──────────────────────────────────────────────────────────
+
+
+def _start_timed(writer, spark: SparkSession, available_now: bool):
+    """Start a query whose state has processing-time expiry.  Such a query may
+    always run one more batch without data; an ``availableNow`` run would never
+    end, so there expiry waits for the next batch with data."""
+    if not available_now:
+        return writer.start()
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "false")  # a started query keeps the settings it was started with
+    try:
+        return writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(key, was)
+
+
+SAMPLE_STREAM_SCHEMA = "group_id bigint, sample_index bigint, status string, n_tokens bigint, group_size bigint"
 
 
-def completed_groups(spark: SparkSession, out: str) -> DataFrame:
-    """One row per completed group from ``start_groups_jvm``'s output."""
-    rows = spark.read.parquet(out)
-    first = rows.groupBy("group_id").agg(F.min_by(F.struct("route", "n_samples", "first_index", "n_aborted"),
-                                                  "epoch").alias("r"))
-    return first.select("group_id", "r.*")
+def start_groups(stream: DataFrame, out: str, checkpoint: str, available_now: bool = True, **options):
+    """``complete_groups`` with a file sink: one row per complete group, route
+    ``retry`` if a sample was aborted, else ``batch``."""
+    w = (complete_groups(stream, **options).writeStream.outputMode("append").format("parquet")
+         .option("path", out).option("checkpointLocation", checkpoint))
+    return _start_timed(w, stream.sparkSession, available_now)
+
+
+def start_collector(stream: DataFrame, out: str, checkpoint: str, target: int, available_now: bool = True, **options):
+    """Complete groups until ``target`` are collected: groups beyond it have
+    route ``queued`` (they wait for the next batch), aborted ones ``retry``.
+
+    Groups of one micro-batch are taken by id.  Only ids up to the target are
+    ranked; each epoch also holds how many were collected, so a replayed epoch
+    is the same."""
+    def take(batch: DataFrame, epoch: int) -> None:
+        before = _before(batch.sparkSession, f"{out}/collected", epoch)
+        had = 0 if before is None else before.first()["n"]
+        done = batch.persist()
+        first = done.where("route = 'batch'").select("group_id").orderBy("group_id").limit(max(target - had, 0))
+        routed = done.join(first.withColumn("taken", F.lit(True)), "group_id", "left").withColumn(
+            "route", F.when((F.col("route") == "batch") & F.col("taken").isNull(), F.lit("queued")).otherwise(F.col("route"))).drop("taken")
+        routed.write.mode("overwrite").parquet(f"{out}/groups/epoch={epoch}")
+        taken = first.agg((F.count(F.lit(1)) + had).alias("n"))
+        taken.write.mode("overwrite").parquet(f"{out}/collected/epoch={epoch}")
+        done.unpersist()
+
+    w = complete_groups(stream, **options).writeStream.outputMode("append").foreachBatch(take).option("checkpointLocation", checkpoint)
+    return _start_timed(w, stream.sparkSession, available_now)
 
 
 # ── results append (exactly once) ──────────────────────────────────────────

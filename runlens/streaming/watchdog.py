@@ -15,30 +15,20 @@ Two forms:
 from __future__ import annotations
 
 import logging
-import math
 import time
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from runlens.streaming.processors import WARNING, Watchdog
 
 log = logging.getLogger(__name__)
 
 # Fixed value of the reference: seconds without a completed group.
 NO_PROGRESS_TIMEOUT = 30.0
 
-WARN_OUT = T.StructType([
-    T.StructField("rollout_id", T.LongType()),
-    T.StructField("event_id", T.LongType()),
-    T.StructField("gap_seconds", T.DoubleType()),
-    T.StructField("warnings", T.LongType()),
-])
-WARN_STATE = T.StructType([T.StructField("last_ts", T.DoubleType())])
-
 
 def epoch_micros(dtype: T.DataType, ts):
     """Microseconds since the epoch; a wall-clock (NTZ) timestamp is read as
@@ -48,56 +38,18 @@ def epoch_micros(dtype: T.DataType, ts):
     return F.unix_micros(ts)
 
 
-def warnings_in_gap(gap: float, timeout: float = NO_PROGRESS_TIMEOUT) -> int:
-    """Warnings logged while waiting ``gap`` seconds: one each time more than
-    ``timeout`` seconds passed since the last progress or warning."""
-    return max(int(math.ceil(gap / timeout)) - 1, 0) if gap > 0 else 0
-
-
-def _make_watch(timeout: float, live: bool):
-    timeout_ms = int(timeout * 1000)
-
-    def watch(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if live and state.hasTimedOut:
-            # no completion for this rollout within the timeout (processing
-            # time): one warning, then the timer restarts
-            state.setTimeoutDuration(timeout_ms)
-            yield pd.DataFrame([{"rollout_id": int(key[0]), "event_id": None, "gap_seconds": None, "warnings": 1}],
-                               columns=[f.name for f in WARN_OUT.fields])
-            return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts_seconds", "event_id"], kind="stable")
-        out = []
-        for ev, ts in zip(rows["event_id"], rows["ts_seconds"]):
-            if last is not None:
-                n = warnings_in_gap(float(ts) - last, timeout)
-                if n:
-                    out.append({"rollout_id": int(key[0]), "event_id": int(ev), "gap_seconds": float(ts) - last,
-                                "warnings": n})
-            last = float(ts)
-        state.update((last,))
-        if live:
-            state.setTimeoutDuration(timeout_ms)
-        if out:
-            yield pd.DataFrame(out, columns=[f.name for f in WARN_OUT.fields])
-
-    return watch
-
-
 def watchdog_stream(completions: DataFrame, timeout: float = NO_PROGRESS_TIMEOUT, live: bool = False) -> DataFrame:
-    """``completions``: ``rollout_id, event_id, ts_seconds`` arriving in time
-    order per rollout.  State: one timestamp per rollout.
+    """``completions``: ``rollout_id, event_id, ts_seconds`` whose micro-batches
+    follow each other in time per rollout.  State: one time per rollout.
 
-    Event time: each gap between consecutive completions reports the
-    warnings the collector would have logged.  ``live=True`` also arms a
-    processing-time timeout per rollout in the same processor: when no
+    Event time: each gap between consecutive completions, within a micro-batch
+    or across them, reports the warnings the collector would have logged.
+    ``live=True`` also registers a processing-time timer per rollout: when no
     completion arrives for ``timeout`` seconds of wall-clock time, one
     warning row (no ``event_id``) is emitted and the timer restarts.  Live
-    mode is for continuous (processing-time) triggers: armed timers keep an
-    ``availableNow`` query from finishing."""
-    mode = GroupStateTimeout.ProcessingTimeTimeout if live else GroupStateTimeout.NoTimeout
-    return completions.groupBy("rollout_id").applyInPandasWithState(
-        _make_watch(timeout, live), WARN_OUT, WARN_STATE, "append", mode)
+    mode is for continuous (processing-time) triggers."""
+    return completions.groupBy("rollout_id").transformWithState(
+        Watchdog(timeout, live), WARNING, "Append", "ProcessingTime" if live else "None")
 
 
 class WatchdogListener(StreamingQueryListener):

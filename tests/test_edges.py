@@ -51,7 +51,7 @@ def test_stream_reads_outcome_and_error_fields(spark):
     base = scratch(spark, "stream-fields")
     spark.createDataFrame([('{"seq":1,"instance_id":"a","outcome":"passed"}',), ('{"seq":2,"instance_id":"b","error":"x","accepted":true}',)], "value string").write.text(f"{base}/in")
     ST.start_progress_counts(ST.read_progress_stream(spark, f"{base}/in"), f"{base}/out", f"{base}/ck").awaitTermination()
-    assert {r.outcome: r.n for r in spark.read.parquet(f"{base}/out").collect()} == {"passed": 1, "error": 1}
+    assert {r.outcome: r.n for r in ST.progress_counts(spark, f"{base}/out").collect()} == {"passed": 1, "error": 1}
 
 
 def test_group_that_overshoots_in_one_batch_is_emitted(spark):
@@ -59,8 +59,8 @@ def test_group_that_overshoots_in_one_batch_is_emitted(spark):
     rows = [(1, 10 + i, "completed", 5, 2) for i in range(3)] + [(2, 20, "aborted", 5, 2)]
     spark.createDataFrame(rows, ST.SAMPLE_STREAM_SCHEMA).coalesce(1).write.json(f"{base}/in")
     stream = spark.readStream.schema(ST.SAMPLE_STREAM_SCHEMA).json(f"{base}/in")
-    ST.start_groups_jvm(stream, f"{base}/out", f"{base}/ck").awaitTermination()
-    assert [(r.group_id, r.n_samples) for r in ST.completed_groups(spark, f"{base}/out").collect()] == [(1, 3)]
+    ST.start_groups(stream, f"{base}/out", f"{base}/ck").awaitTermination()
+    assert [(r.group_id, r.n_samples) for r in spark.read.parquet(f"{base}/out").collect()] == [(1, 3)]
 
 
 def test_malformed_result_line_fails(spark):

@@ -134,7 +134,7 @@ def test_progress_stream_writer(spark):
 
     base = scratch(spark, "prog-stream")
     rows = [(i, f"I-{i % 3}", "passed", True, 1.0, None) for i in range(12)]
-    spark.createDataFrame(rows, ST.PROGRESS_STREAM_SCHEMA).write.json(f"{base}/in")
+    spark.createDataFrame(rows, "seq bigint, instance_id string, status string, accepted boolean, duration double, details struct<error:string>").write.json(f"{base}/in")
     stream = ST.read_progress_stream(spark, f"{base}/in")
     W.write_progress_stream(stream, f"{base}/out", f"{base}/ck").trigger(availableNow=True).start().awaitTermination()
     back = RD.scan_progress(spark, f"{base}/out")

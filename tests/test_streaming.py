@@ -1,18 +1,27 @@
 """Streaming equals batch under availableNow, across several micro-batches."""
 
+import json
+import os
+
 from pyspark.sql import functions as F
 
 from runlens.operators import scoring as S
+from runlens.sources import readers as RD
+from runlens.sources import tail
+from runlens.streaming import processors as PR
 from runlens.streaming import streams as ST
 from runlens.streaming import watchdog as WD
 
 from .conftest import scratch
 
+# the record as writers append it (readers parse text lines)
+RECORD = "seq bigint, instance_id string, status string, accepted boolean, duration double, details struct<error:string>"
+
 
 def test_progress_latest_stream_equals_batch(spark):
     rows = [(i, f"I-{i % 7}", ["passed", "failed", "error", None][i % 4], i % 5 == 0, float(i), None)
             for i in range(200)]
-    df = spark.createDataFrame(rows, ST.PROGRESS_STREAM_SCHEMA)
+    df = spark.createDataFrame(rows, RECORD)
     base = scratch(spark, "t-stream-latest")
     for k in range(4):
         df.where(F.col("seq") % 4 == k).write.mode("append").json(f"{base}/landing")
@@ -26,7 +35,7 @@ def test_progress_latest_stream_equals_batch(spark):
 
 
 def test_watchdog_gap_rule():
-    assert [WD.warnings_in_gap(g) for g in (0, 10, 30, 31, 60, 61, 95)] == [0, 0, 0, 1, 1, 2, 3]
+    assert [PR.warnings_in_gap(g, 30.0) for g in (0, 10, 30, 31, 60, 61, 95)] == [0, 0, 0, 1, 1, 2, 3]
 
 
 def test_watchdog_listener_counts_idle_batches():
@@ -65,36 +74,17 @@ def test_results_append_is_exactly_once_across_restarts(spark):
     assert got == sorted(r[1] for r in rows)
 
 
-def test_watchdog_processor_timeout_and_gaps():
-    import pandas as pd
-
-    class FakeState:
-        def __init__(self, value=None, timed_out=False):
-            self.value, self.hasTimedOut, self.timeout = value, timed_out, None
-
-        @property
-        def exists(self):
-            return self.value is not None
-
-        @property
-        def get(self):
-            return self.value
-
-        def update(self, v):
-            self.value = v
-
-        def setTimeoutDuration(self, ms):  # noqa: N802
-            self.timeout = ms
-
-    fn = WD._make_watch(30.0, live=True)
-    st = FakeState()
-    batch = pd.DataFrame({"rollout_id": [7, 7, 7], "event_id": [3, 1, 2], "ts_seconds": [100.0, 0.0, 40.0]})
-    out = list(fn((7,), iter([batch]), st))
-    assert out[0][["event_id", "warnings"]].values.tolist() == [[2, 1], [3, 1]]
-    assert st.value == (100.0,) and st.timeout == 30000
-    timed = FakeState((100.0,), timed_out=True)
-    warn = list(fn((7,), iter([]), timed))[0]
-    assert warn["warnings"].tolist() == [1] and warn["event_id"].isna().all() and timed.timeout == 30000
+def test_watchdog_state_is_carried_over_batches(spark):
+    base = scratch(spark, "wd-waves")
+    schema = "rollout_id bigint, event_id bigint, ts_seconds double"
+    waves = [[(7, 1, 0.0), (7, 2, 40.0), (8, 1, 5.0)], [(7, 3, 100.0)], [(8, 2, 200.0), (7, 4, 101.0)]]
+    for wave in waves:
+        spark.createDataFrame(wave, schema).coalesce(1).write.mode("append").json(f"{base}/in")
+        stream = spark.readStream.schema(schema).json(f"{base}/in")
+        (WD.watchdog_stream(stream).writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start().awaitTermination())
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{base}/out").collect())
+    assert got == [(7, 2, 40.0, 1), (7, 3, 60.0, 1), (8, 2, 195.0, 6)]
 
 
 def test_watchdog_live_timer_fires_on_continuous_trigger(spark):
@@ -115,7 +105,7 @@ def test_watchdog_live_timer_fires_on_continuous_trigger(spark):
 
 def test_latest_view_with_snapshot_compaction(spark):
     base = scratch(spark, "compact")
-    schema = ST.PROGRESS_STREAM_SCHEMA
+    schema = RECORD
     first = spark.createDataFrame([(i, f"I-{i % 4}", "failed", False, 1.0, None) for i in range(8)], schema)
     second = spark.createDataFrame([(100 + i, f"I-{i % 2}", "passed", True, 1.0, None) for i in range(4)], schema)
 
@@ -135,23 +125,120 @@ def test_latest_view_with_snapshot_compaction(spark):
     assert sorted((r.instance_id, r.seq) for r in ST.latest_view(spark, f"{base}/log", f"{base}/snap2").collect()) == full
 
 
-def test_group_collectors_jvm_and_python_agree(spark):
+def write_lines(path, records, written):
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "a") as f:
+        f.writelines(json.dumps(r) + "\n" for r in records)
+    if written:
+        os.utime(path, (written, written))
+
+
+def test_log_without_seq_keeps_its_order_in_the_stream(spark):
+    base = scratch(spark, "no-seq")
+    write_lines(f"{base}/in/b.jsonl", [{"instance_id": "x", "status": "passed"}, {"instance_id": "y", "status": "passed"}], 1000)
+    write_lines(f"{base}/in/a.jsonl", [{"instance_id": "y", "status": "passed"}, {"instance_id": "x", "status": "failed"}, {"instance_id": "y", "status": "error"}], 2000)
+    stream = ST.read_progress_stream(spark, f"{base}/in", files_per_trigger=1)
+    ST.start_progress_latest(stream, f"{base}/out", f"{base}/ck").awaitTermination()
+    got = sorted((r.instance_id, r.status) for r in ST.latest_view(spark, f"{base}/out").collect())
+    batch = sorted((r.instance_id, r.status) for r in S.latest_progress(RD.scan_progress(spark, f"{base}/in")).collect())
+    assert got == batch == [("x", "failed"), ("y", "error")]
+
+
+def test_counts_equal_the_latest_outcomes_after_every_wave(spark):
+    base = scratch(spark, "counts")
+    waves = [[("a", "passed"), ("b", "failed"), ("a", "failed")], [("a", "passed"), ("c", "error"), ("b", "failed")], [("c", "passed"), ("b", "passed")]]
+    want = []
+    for k, wave in enumerate(waves):
+        write_lines(f"{base}/in/{k}.jsonl", [{"instance_id": i, "status": s} for i, s in wave], 1000 + k)
+        stream = ST.read_progress_stream(spark, f"{base}/in")
+        ST.start_progress_counts(stream, f"{base}/out", f"{base}/ck").awaitTermination()
+        last = S.latest_progress(RD.scan_progress(spark, f"{base}/in"))
+        want.append(sorted(tuple(r) for r in last.groupBy(S.classify_status(last).alias("o")).count().collect()))
+        assert sorted(tuple(r) for r in ST.progress_counts(spark, f"{base}/out").collect()) == want[-1]
+    assert [sorted(tuple(r) for r in ST.progress_counts(spark, f"{base}/out", k).collect()) for k in range(3)] == want
+
+
+def test_tail_reads_lines_as_they_are_appended(spark):
+    base = scratch(spark, "tail")
+    path = f"{base}/in/log.jsonl"
+
+    def run():
+        ST.start_progress_latest(ST.tail_progress_stream(spark, f"{base}/in/*.jsonl"), f"{base}/out", f"{base}/ck").awaitTermination()
+        return sorted((r.instance_id, r.status) for r in ST.latest_view(spark, f"{base}/out").collect())
+
+    write_lines(path, [{"instance_id": "x", "status": "failed"}], None)
+    with open(path, "a") as f:
+        f.write('{"instance_id": "y", "sta')  # a line that is being written
+    assert run() == [("x", "failed")]
+    with open(path, "a") as f:
+        f.write('tus": "error"}\n')
+    write_lines(path, [{"instance_id": "x", "status": "passed"}], None)
+    assert run() == run() == [("x", "passed"), ("y", "error")]
+
+
+def test_tail_pieces_give_every_line_once(tmp_path, monkeypatch):
+    lines = [f"line {i} " + "é" * (i % 9) for i in range(200)]
+    (tmp_path / "a.log").write_text("\n".join(lines) + "\nhalf")
+    for chunk, step in [(1, 3), (7, 5), (50, 64), (10**6, 1)]:
+        monkeypatch.setattr(tail, "CHUNK", chunk)
+        monkeypatch.setattr(tail, "STEP", step)
+        reader = tail.LogTailReader(f"{tmp_path}/*.log")
+        pieces = reader.partitions({}, reader.latestOffset())
+        assert [r[0] for p in pieces for r in reader.read(p)] == lines
+
+
+def groups_of(spark, base):
+    return sorted(tuple(r) for r in spark.read.parquet(f"{base}/out").collect())
+
+
+def test_groups_are_emitted_once_and_their_state_expires(spark):
     base = scratch(spark, "groups")
-    rows = [(i // 4, i, "aborted" if i % 11 == 0 else "completed", 5, 4) for i in range(40)]
-    df = spark.createDataFrame(rows, ST.SAMPLE_STREAM_SCHEMA)
-    for k in range(3):
-        df.where(f"sample_index % 3 = {k}").write.mode("append").json(f"{base}/in")
 
-    def stream():
-        return spark.readStream.schema(ST.SAMPLE_STREAM_SCHEMA).option("maxFilesPerTrigger", 2).json(f"{base}/in")
+    def wave(rows, **options):
+        spark.createDataFrame(rows, ST.SAMPLE_STREAM_SCHEMA).coalesce(1).write.mode("append").json(f"{base}/in")
+        stream = spark.readStream.schema(ST.SAMPLE_STREAM_SCHEMA).json(f"{base}/in")
+        q = ST.start_groups(stream, f"{base}/out", f"{base}/ck", **options)
+        q.awaitTermination()
+
+    wave([(1, 0, "completed", 5, 2), (2, 4, "completed", 5, 2)], keep_ms=3_600_000)
+    wave([(1, 1, "aborted", 5, 2), (2, 5, "completed", 5, 2), (2, 6, "completed", 5, 2)], keep_ms=3_600_000)
+    want = [(1, "retry", 2, 0, 1), (2, "batch", 3, 4, 0)]
+    assert groups_of(spark, base) == want
+    wave([(1, 9, "completed", 5, 2), (2, 9, "aborted", 5, 2), (2, 8, "aborted", 5, 2)], keep_ms=3_600_000)  # late
+    assert groups_of(spark, base) == want
 
-    ST.start_groups_jvm(stream(), f"{base}/jvm", f"{base}/ck1").awaitTermination()
-    ST.start_groups(stream(), f"{base}/py", f"{base}/ck2").awaitTermination()
-    jvm = sorted(tuple(r) for r in ST.completed_groups(spark, f"{base}/jvm").collect())
-    py = sorted(tuple(r) for r in spark.read.parquet(f"{base}/py").select(
-        "group_id", "route", "n_samples", "first_index", "n_aborted").collect())
-    assert jvm == py and len(jvm) == 10
-    assert spark.read.parquet(f"{base}/jvm").select("epoch").distinct().count() > 1
+
+def test_state_of_groups_falls_to_nothing(spark):
+    import time
+
+    base = scratch(spark, "groups-ttl")
+    rows = [(g, i, "completed", 5, 2) for g in range(20) for i in range(1 + g % 2)]
+
+    def wave(rows):
+        spark.createDataFrame(rows, ST.SAMPLE_STREAM_SCHEMA).coalesce(1).write.mode("append").json(f"{base}/in")
+        stream = spark.readStream.schema(ST.SAMPLE_STREAM_SCHEMA).json(f"{base}/in")
+        q = ST.start_groups(stream, f"{base}/out", f"{base}/ck", keep_ms=1000)
+        q.awaitTermination()
+        return [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]][-1]
+
+    assert wave(rows) > 0
+    time.sleep(2)
+    # a group of one sample leaves only its own mark
+    assert wave([(99, 0, "completed", 5, 1)]) < 5
+    assert len(groups_of(spark, base)) == 11
+
+
+def test_collector_stops_at_its_target(spark):
+    base = scratch(spark, "collector")
+    for k in range(3):
+        rows = [(10 * k + g, i, "aborted" if g == 1 else "completed", 5, 2) for g in range(4) for i in range(2)]
+        spark.createDataFrame(rows, ST.SAMPLE_STREAM_SCHEMA).coalesce(1).write.mode("append").json(f"{base}/in")
+        stream = spark.readStream.schema(ST.SAMPLE_STREAM_SCHEMA).json(f"{base}/in")
+        ST.start_collector(stream, f"{base}/out", f"{base}/ck", target=5).awaitTermination()
+    got = {r["group_id"]: r["route"] for r in spark.read.parquet(f"{base}/out/groups").collect()}
+    assert [g for g, r in sorted(got.items()) if r == "batch"] == [0, 2, 3, 10, 12]
+    assert [g for g, r in sorted(got.items()) if r == "queued"] == [13, 20, 22, 23]
+    assert [g for g, r in sorted(got.items()) if r == "retry"] == [1, 11, 21]
 
 
 def test_watchdog_gap_rule_against_loop_simulation():
@@ -167,4 +254,4 @@ def test_watchdog_gap_rule_against_loop_simulation():
         for now in range(1, gap_ms):
             if now - mark > timeout * 1000:
                 warned, mark = warned + 1, now
-        assert WD.warnings_in_gap(gap_ms / 1000, timeout) == warned, (gap_ms, timeout)
+        assert PR.warnings_in_gap(gap_ms / 1000, timeout) == warned, (gap_ms, timeout)
