@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runlens.fixtures import fixture, oracle_with, read_table
+from runlens.operators import constraints as CN
 from runlens.operators import instances as I
 from runlens.operators import leaks as L
 from runlens.operators import search as SR
@@ -97,6 +98,36 @@ def q_filter_hits(spark, sf):
     return L.filter_hits(hits, HIT_RULES).select("query_id", "position", "blocked")
 
 
+# stand-in constraints: the repo rules of every instance, rules that name what the
+# titles start with, for all scopes, and broken ones
+_TABLE_RULES = """,
+titles AS (SELECT DISTINCT substr(title, 1, 9) AS t FROM fx_hits WHERE title <> ''),
+constraints AS (
+  SELECT instance_id AS scope_id, 'url' AS field, pattern FROM rules WHERE kind = 'url'
+  UNION ALL SELECT NULL, 'title', concat('.*', regexp_replace(t, '[^A-Za-z ]', '.', 'g'), '$') FROM titles
+  UNION ALL SELECT NULL, 'url', '.*/(issues|pulls)/[0-9]+' UNION ALL SELECT 'I-3', 'url', '.*' UNION ALL SELECT 'I-5', 'body', 'x+')"""
+
+
+@register(
+    "filter_hits_table",
+    oracle_with("fx_instances", "fx_hits") + ",\n" + _PARTS + _RULES_SQL + _TABLE_RULES + """
+SELECT h.hit_id, h.instance_id, coalesce(bool_or(regexp_matches(CASE r.field WHEN 'url' THEN coalesce(h.url, '') WHEN 'title' THEN coalesce(h.title, '') ELSE '' END,
+    concat('^(?:', r.pattern, ')'), 'i')), false) AS blocked
+FROM fx_hits h LEFT JOIN constraints r ON r.scope_id IS NULL OR r.scope_id = h.instance_id
+GROUP BY h.hit_id, h.instance_id""",
+)
+def q_filter_hits_table(spark, sf):
+    hits = fixture(spark, sf, "fx_hits").select("hit_id", "instance_id", "url", "title")
+    repo = L.repo_rules(_instances_with_repo(spark, sf)).where("kind = 'url'").select(F.col("instance_id").alias("scope_id"), F.lit("url").alias("field"), "ord", "pattern")
+    titles = hits.where("title <> ''").select(F.substring("title", 1, 9).alias("t")).distinct().select(
+        F.lit(None).cast("string").alias("scope_id"), F.lit("title").alias("field"), F.lit(0).alias("ord"),
+        F.concat(F.lit(".*"), F.regexp_replace("t", "[^A-Za-z ]", "."), F.lit("$")).alias("pattern"))
+    more = spark.createDataFrame([(None, "url", 0, ".*/(issues|pulls)/[0-9]+"), (None, "url", 1, "(unclosed"), ("I-3", "url", 0, ".*"),
+                                  ("I-3", "url", 1, "[z-a]"), ("I-5", "body", 0, "x+")], "scope_id string, field string, ord int, pattern string")
+    rules = L.merge_constraints(repo.unionByName(titles), more)
+    return CN.filter_hits_by_rules(hits, rules, ["hit_id"], scope="instance_id").select("hit_id", "instance_id", "blocked")
+
+
 _QTEXT = "CASE query_id WHEN 3 THEN '   ' ELSE concat('query ', CAST(query_id AS STRING)) END"
 _START, _NUM = 5, 10
 _PAGE_SQL = f""",
