@@ -8,7 +8,7 @@ answers that are not one well-formed object is an Arrow UDF.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -298,30 +298,29 @@ def answers_files(text: Column) -> Column:
 # A readable block: a number or ``a-b`` (``+`` allowed, ASCII digits), with
 # surrounding whitespace.
 _WS = r"[\s\x1c-\x1f]*"
-_NUM = r"\+?[0-9]+"
+_NUM = r"\+?0*[0-9]{1,38}"
 _BLOCK = rf"(?U)^{_WS}{_NUM}{_WS}(?:-{_WS}{_NUM}{_WS})?$"
-# A range of more lines than this is not expanded (one answer line must not
-# produce billions of rows); it is kept as one row, see ``answers_lines``.
-MAX_RANGE = 1_000_000
+#: ends are whole numbers of up to 38 digits; a block with a longer one is unreadable
+_END = "decimal(38,0)"
+#: numbers of one generated array: a range is cut into spans of this many squared,
+#: those into spans of this many, those into numbers
+_SPAN = 1 << 20
 
 
-def answers_lines(df: DataFrame, text: str, key: str) -> DataFrame:
-    """``file:1,3-5`` lines -> ``(key, file, line_no, ord)`` rows.
+def answers_line_ranges(df: DataFrame, text: str, key: str) -> DataFrame:
+    """``file:1,3-5`` lines -> ``(key, file, lo, hi, ord)``, one row per block:
+    the numbers lo..hi, exact to 38 digits and never written out.
 
     A line without exactly one ``:`` is skipped; within a line, blocks are
     read left to right and the first unreadable block drops itself and the
-    rest of that line (earlier blocks stay).  ``a-b`` expands to a..b (empty
-    when b < a).  Order: line, block, position in the block.
+    rest of that line (earlier blocks stay).  A single number is a range of
+    one, ``b < a`` an empty one (kept as written).  Order: line, block.
 
     A file is listed as soon as a line reaches it -- unless the line's first
     block is a malformed range (not exactly one ``-``) -- even if no number
     follows.  A reaching line that may add no number (no readable block, or
-    a range, which can be empty) also contributes one row with ``line_no``
-    NULL, so a per-file ``collect_list`` of the non-NULL numbers gives
-    ``[]`` for such files, as the reference's ``defaultdict`` does.
-
-    A range of more than ``MAX_RANGE`` lines is one row with ``line_no`` NULL
-    and the range in ``unexpanded`` (``lo-hi``, else NULL)."""
+    a range, which can be empty) also contributes one row with ``lo`` and
+    ``hi`` NULL."""
     lines = df.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("_li", "_line"))
     lines = lines.withColumn("_line", py_strip(F.col("_line"))).where(F.col("_line") != "")
     parts = F.split(F.col("_line"), ":")
@@ -339,15 +338,50 @@ def answers_lines(df: DataFrame, text: str, key: str) -> DataFrame:
     arr = F.concat(F.when(marker, F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>")), F.col("_ok"))
     blocks = lines.select(key, "_li", "_file", F.posexplode(arr).alias("_bi", "_b"))
     ends = F.split(F.col("_b"), "-")
-    lo = py_strip(F.element_at(ends, 1)).try_cast("int")
-    hi = F.coalesce(py_strip(F.try_element_at(ends, F.lit(2))).try_cast("int"), lo)
-    wide = hi.cast("bigint") - lo >= MAX_RANGE
-    nums = (F.when(F.col("_b").isNull() | wide, F.array(F.lit(None).cast("int")))
-            .when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>")))
-    unexpanded = F.when(wide, F.concat(lo.cast("string"), F.lit("-"), hi.cast("string")))
-    out = blocks.select(key, "_li", "_file", "_bi", unexpanded.alias("unexpanded"), F.posexplode(nums).alias("_k", "line_no"))
-    return out.select(key, F.col("_file").alias("file"), "line_no", "unexpanded",
-                      F.struct(F.col("_li").alias("li"), F.col("_bi").alias("bi"), F.col("_k").alias("k")).alias("ord"))
+    lo = py_strip(F.element_at(ends, 1)).try_cast(_END)
+    hi = F.when(F.size(ends) > 1, py_strip(F.try_element_at(ends, F.lit(2))).try_cast(_END)).otherwise(lo)
+    return blocks.select(key, F.col("_file").alias("file"), lo.alias("lo"), hi.alias("hi"),
+                         F.struct(F.col("_li").alias("li"), F.col("_bi").alias("bi")).alias("ord"))
+
+
+def answers_line_sets(df: DataFrame, text: str, key: str) -> DataFrame:
+    """``(key, file, lo, hi)``: each file's numbers as disjoint ascending
+    ranges that do not touch; a listed file without numbers has one row with
+    NULL ends.  Ranges are merged as intervals, whatever their width."""
+    ranges = answers_line_ranges(df, text, key)
+    w = Window.partitionBy(key, "file").orderBy("lo", "hi")
+    before = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    real = ranges.where("lo <= hi").withColumn("_new", F.coalesce(F.col("lo") - 1 > before, F.lit(True)).cast("int"))
+    islands = real.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = islands.groupBy(key, "file", "_island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_island")
+    bare = ranges.groupBy(key, "file").agg(F.bool_or(F.coalesce(F.col("lo") <= F.col("hi"), F.lit(False))).alias("_any")).where("NOT _any")
+    return merged.unionByName(bare.select(key, "file", F.lit(None).cast(_END).alias("lo"), F.lit(None).cast(_END).alias("hi")))
+
+
+def answers_lines(df: DataFrame, text: str, key: str) -> DataFrame:
+    """The blocks of ``answers_line_ranges`` written out: ``(key, file,
+    line_no, ord)`` rows, in order of line, block and place in the block, and
+    rows with ``line_no`` NULL for its listed files, so a per-file
+    ``collect_list`` of the non-NULL numbers gives ``[]`` for a file without
+    numbers, as the reference's ``defaultdict`` does.
+
+    A range of any width is written out, by arrays of a bounded size; one with
+    an end beyond 64 bits is one row with ``line_no`` NULL and the range in
+    ``unexpanded`` (``lo-hi``, else NULL)."""
+    ranges = answers_line_ranges(df, text, key)
+    lo, hi = F.col("lo").try_cast("bigint"), F.col("hi").try_cast("bigint")
+    lost = (F.col("lo") <= F.col("hi")) & (lo.isNull() | hi.isNull() | ((F.col("hi") - F.col("lo")) >= _SPAN**3))
+    none = F.lit(None).cast("bigint")
+    cut = ranges.withColumn("_lost", F.coalesce(lost, F.lit(False))).withColumns({"_lo": F.when(~F.col("_lost"), lo), "_hi": F.when(~F.col("_lost"), hi)})
+    out = cut.where("_lost OR _lo IS NULL OR _lo <= _hi").select(
+        key, "file", "ord", "_lo", "_hi", F.when(F.col("_lost"), F.concat(F.col("lo").cast("string"), F.lit("-"), F.col("hi").cast("string"))).alias("unexpanded"))
+    for step in (_SPAN**2, _SPAN, 1):
+        spans = F.when(F.col("_lo").isNull(), F.array(none)).when(F.col("_lo") <= F.col("_hi"), F.sequence(F.col("_lo"), F.col("_hi"), F.lit(step)))
+        out = out.select(key, "file", "ord", "unexpanded", F.coalesce("_first", "_lo").alias("_first") if "_first" in out.columns else F.col("_lo").alias("_first"),
+                         F.col("_hi").alias("_end"), F.explode(spans).alias("_lo"))
+        out = out.withColumn("_hi", F.col("_lo") + F.least(F.col("_end") - F.col("_lo"), F.lit(step - 1))).drop("_end")
+    place = F.struct(F.col("ord.li").alias("li"), F.col("ord.bi").alias("bi"), F.coalesce(F.col("_lo") - F.col("_first"), F.lit(0)).alias("k"))
+    return out.select(key, "file", F.col("_lo").alias("line_no"), "unexpanded", place.alias("ord"))
 
 
 def answers_path(text: Column) -> Column:

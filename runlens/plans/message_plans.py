@@ -238,7 +238,8 @@ _LINES = """concat('src/a', CAST(o_custkey % 5 AS STRING), '.py:', CAST(o_orderk
   CAST(o_custkey % 20 + o_orderkey % 4 - 1 AS STRING), chr(10), 'bad line', chr(10),
   'src/a', CAST(o_custkey % 5 AS STRING), '.py:3,x', CAST(o_orderkey % 3 AS STRING), ',9', chr(10),
   'c.py:1:2', chr(10), '  ', chr(10), 'lib/b.py:', CAST(o_orderkey % 11 AS STRING), chr(10),
-  'empty', CAST(o_orderkey % 3 AS STRING), '.py:', CASE WHEN o_orderkey % 2 = 0 THEN '9-7' ELSE 'x,1' END)"""
+  'empty', CAST(o_orderkey % 3 AS STRING), '.py:', CASE WHEN o_orderkey % 2 = 0 THEN '9-7' ELSE 'x,1' END, chr(10),
+  'far.py:', CAST(99999999990 + o_orderkey % 9 AS STRING), ',', CAST(99999999990 + o_orderkey % 3 AS STRING), '-99999999995')"""
 
 
 @register(
@@ -250,15 +251,15 @@ l2 AS (SELECT o_orderkey, li, string_split(trim(line), ':') AS parts FROM l WHER
 b AS (SELECT o_orderkey, li, trim(parts[1]) AS file, unnest(string_split(parts[2], ',')) AS blk,
         generate_subscripts(string_split(parts[2], ','), 1) AS bi FROM l2 WHERE len(parts) = 2),
 b2 AS (SELECT *, trim(blk) AS s, contains(trim(blk), '-') AS is_rng, string_split(trim(blk), '-') AS rng FROM b),
-b3 AS (SELECT *, CASE WHEN is_rng THEN len(rng) = 2 AND TRY_CAST(trim(rng[1]) AS INTEGER) IS NOT NULL
-                          AND TRY_CAST(trim(rng[2]) AS INTEGER) IS NOT NULL
-                 ELSE TRY_CAST(s AS INTEGER) IS NOT NULL END AS ok FROM b2),
+b3 AS (SELECT *, CASE WHEN is_rng THEN len(rng) = 2 AND TRY_CAST(trim(rng[1]) AS BIGINT) IS NOT NULL
+                          AND TRY_CAST(trim(rng[2]) AS BIGINT) IS NOT NULL
+                 ELSE TRY_CAST(s AS BIGINT) IS NOT NULL END AS ok FROM b2),
 ff AS (SELECT o_orderkey, li, min(bi) FILTER (WHERE NOT ok) AS fail FROM b3 GROUP BY 1, 2),
 kept AS (SELECT b3.* FROM b3 JOIN ff ON b3.o_orderkey = ff.o_orderkey AND b3.li = ff.li
          WHERE ff.fail IS NULL OR b3.bi < ff.fail),
 n AS (SELECT o_orderkey, file, li, bi, unnest(CASE WHEN is_rng THEN
-          range(CAST(trim(rng[1]) AS INTEGER), CAST(trim(rng[2]) AS INTEGER) + 1)
-          ELSE [CAST(s AS INTEGER)] END) AS line_no FROM kept),
+          range(CAST(trim(rng[1]) AS BIGINT), CAST(trim(rng[2]) AS BIGINT) + 1)
+          ELSE [CAST(s AS BIGINT)] END) AS line_no FROM kept),
 files AS (SELECT DISTINCT o_orderkey, trim(parts[1]) AS file FROM l2
           WHERE len(parts) = 2 AND NOT (contains(trim(string_split(parts[2], ',')[1]), '-')
                                         AND len(string_split(trim(string_split(parts[2], ',')[1]), '-')) <> 2)),

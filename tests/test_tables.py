@@ -123,6 +123,12 @@ def test_test_id_lists_table(spark):
         assert got[i] == want, text
 
 
+WIDE_LINES = [
+    ("a.py:5,99999999999,7", {"a.py": [5, 99999999999, 7]}),
+    ("a.py:99999999998-100000000001", {"a.py": [99999999998, 99999999999, 100000000000, 100000000001]}),
+    (f"a.py:9223372036854775806-{2**63 - 1}", {"a.py": [2**63 - 2, 2**63 - 1]}),
+    ("a.py:1," + "9" * 39 + ",2", {"a.py": [1]}),
+]
 LINES = [
     ("a.py:1,3-5", {"a.py": [1, 3, 4, 5]}),
     ("a.py: 2 , +7 \n\n b.py:9", {"a.py": [2, 7], "b.py": [9]}),
@@ -134,6 +140,7 @@ LINES = [
     ("nothing", {}),
     ("a.py:5\na.py:1", {"a.py": [5, 1]}),
     (None, {}),
+    *WIDE_LINES,
 ]
 
 
@@ -154,11 +161,20 @@ def test_line_answers_table(spark):
         assert r == want, text
 
 
-def test_wide_ranges_are_kept_unexpanded(spark):
-    df = spark.createDataFrame([(1, "a.py:1-2000000000,7"), (2, "b.py:3-4")], "id int, answer string")
-    got = {(r.id, r.file, r.line_no, r.unexpanded) for r in M.answers_lines(df, "answer", "id").collect()}
-    assert got - {(1, "a.py", None, None), (2, "b.py", None, None)} == {
-        (1, "a.py", None, "1-2000000000"), (1, "a.py", 7, None), (2, "b.py", 3, None), (2, "b.py", 4, None)}
+def test_ranges_of_any_width_are_exact(spark, monkeypatch):
+    texts = ["a.py:3-99999999999,5", f"b.py:{10**37}-{10**37 + 5}", "c.py:5,1-3,4,9-12,11-20,30-2", "d.py:9-7", "e.py:x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, answer string")
+    ranges = {(r.file, int(r.lo), int(r.hi)) for r in M.answers_line_ranges(df, "answer", "id").where("lo IS NOT NULL").collect()}
+    assert {("a.py", 3, 99999999999), ("b.py", 10**37, 10**37 + 5), ("d.py", 9, 7)} <= ranges
+    sets = sorted((r.file, r.lo and int(r.lo), r.hi and int(r.hi)) for r in M.answers_line_sets(df, "answer", "id").collect())
+    assert sets == [("a.py", 3, 99999999999), ("b.py", 10**37, 10**37 + 5), ("c.py", 1, 5), ("c.py", 9, 20), ("d.py", None, None), ("e.py", None, None)]
+    beyond = [r for r in M.answers_lines(df.where("id = 1"), "answer", "id").collect() if r.unexpanded]
+    assert [(r.line_no, r.unexpanded) for r in beyond] == [(None, f"{10**37}-{10**37 + 5}")]
+    wide = spark.createDataFrame([(1, "a.py:7-3000006")], "id int, answer string")
+    assert M.answers_lines(wide, "answer", "id").selectExpr("count(line_no)", "min(line_no)", "max(line_no)", "count(DISTINCT ord)").first()[:3] == (3_000_000, 7, 3_000_006)
+    monkeypatch.setattr(M, "_SPAN", 4)  # spans of every level
+    rows = M.answers_lines(spark.createDataFrame([(1, "a.py:10-60,3,5-5")], "id int, answer string"), "answer", "id").where("line_no IS NOT NULL").orderBy("ord")
+    assert [r.line_no for r in rows.collect()] == [*range(10, 61), 3, 5]
 
 
 INTS = [
