@@ -471,6 +471,25 @@ def q_redact_secrets(spark, sf):
     return red.select("doc_id", F.to_json(F.struct(*[c for c in red.columns if c != "doc_id"])).alias("config"))
 
 
+# a config whose depth follows the row: level k holds a secret, a list and level k + 1
+_DEPTH = 7
+
+
+def _open_config(level: int, clean: bool) -> str:
+    """SQL text expression of the config below ``level``, with or without secrets."""
+    secret = "" if clean else ["'\"Api_Key\":\"k\",'", "'\"TOKEN\":{\"x\":[1]},'", "'\"password\":null,'"][level % 3] + " || "
+    below = f" || CASE WHEN doc_id % {_DEPTH} >= {level} THEN ',\"next\":' || {_open_config(level + 1, clean)} ELSE '' END" if level < _DEPTH else ""
+    return f"'{{' || {secret}'\"n{level}\":' || CAST(n_chars AS STRING){below} || ',\"tools\":[{{\"token\":\"z\"}}]}}'"
+
+
+@register("redact_open_json", f"SELECT doc_id, {_open_config(0, True)} AS config, {_open_config(0, True)} AS typed FROM documents".replace("STRING", "VARCHAR"))
+def q_redact_open_json(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", F.expr(_open_config(0, False)).alias("config"))
+    red = W.redact_secrets(docs.withColumn("typed", F.parse_json("config")), json_columns=("config",))
+    # a VARIANT orders the keys of an object by name; the stand-in has them in that order
+    return red.select("doc_id", "config", F.to_json("typed").alias("typed"))
+
+
 # ── extension points ───────────────────────────────────────────────────────
 
 def demo_scorer(instance, prediction):

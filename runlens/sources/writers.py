@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runlens.functions.open_json import dropper
+
 # Fixed values of the reference: config keys never written to disk.
 ROLLOUTS_PER_FOLDER = 1000
 # Fixed value: the version of the report document.
@@ -116,8 +118,14 @@ def _redact_type(dt: T.DataType) -> T.DataType:
     return dt
 
 
+def _redact_text(c: Column) -> Column:
+    return F.pandas_udf(dropper(frozenset(SECRET_KEYS)), "string")(c)
+
+
 def _redact(c: Column, dt: T.DataType) -> Column:
     """Drop secret fields of a struct, recursing into structs (not arrays)."""
+    if isinstance(dt, T.VariantType):
+        return F.try_parse_json(_redact_text(F.to_json(c)))
     if isinstance(dt, T.StructType):
         keep = [f for f in dt.fields if f.name.lower() not in SECRET_KEYS]
         if not keep:
@@ -132,9 +140,14 @@ def _redact(c: Column, dt: T.DataType) -> Column:
     return c
 
 
-def redact_secrets(df: DataFrame) -> DataFrame:
+def redact_secrets(df: DataFrame, json_columns: tuple[str, ...] = ()) -> DataFrame:
     """Remove secret-looking keys (case-insensitive) from every column,
     recursing into nested structs and the values of string-keyed maps, but not
-    into arrays, as the reference config snapshot does."""
+    into arrays, as the reference config snapshot does.
+
+    VARIANT columns and the text columns named in ``json_columns`` hold
+    documents of any shape and depth: they are read whole and written again
+    without those keys, numbers as written, arrays untouched.  A text in
+    ``json_columns`` that is not JSON becomes NULL."""
     keep = [f for f in df.schema.fields if f.name.lower() not in SECRET_KEYS]
-    return df.select(*[_redact(F.col(f.name), f.dataType).alias(f.name) for f in keep])
+    return df.select(*[(_redact_text(F.col(f.name)) if f.name in json_columns else _redact(F.col(f.name), f.dataType)).alias(f.name) for f in keep])

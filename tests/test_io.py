@@ -156,3 +156,22 @@ def test_search_log_reader(spark):
                json.dumps({"query_id": "q2", "response": "plain text"}), ""])
     got = sorted((r.query_id, r.title, r.url, r.description) for r in RD.scan_search_log(spark, p).collect())
     assert got == [("q1", "t", "l", ""), ("q2", "", "", "plain text")]
+
+
+def test_open_documents_lose_secrets_at_any_depth(spark):
+    deep = '{"a":' * 400 + '{"Token":1,"b":2}' + "}" * 400
+    texts = [
+        '{"llm": {"a": {"b": {"c": {"PassWord": "p", "keep": 1.50, "n": 12345678901234567890}}}}, "Secret": {"x": 1}}',
+        '{"list": [{"token": "stays"}, [{"secret": 1}]], "é": "\\u00e9 \\n \\"", "t": true, "api_key": null, "e": 1e5}',
+        "[1]", "7", "not json", None, deep, '{"credentials": 1}', '{"a": 1, "a": 2}', "[" * 100_000,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, config string")
+    got = [r.config for r in W.redact_secrets(df, json_columns=("config",)).orderBy("id").collect()]
+    assert got == [
+        '{"llm":{"a":{"b":{"c":{"keep":1.50,"n":12345678901234567890}}}}}',
+        '{"list":[{"token":"stays"},[{"secret":1}]],"é":"é \\n \\"","t":true,"e":1e5}',
+        "[1]", "7", None, None, deep.replace('"Token":1,', ""), "{}", '{"a":1,"a":2}', None,
+    ]
+    variants = df.where("id < 2").select("id", F.struct(F.parse_json("config").alias("v"), F.lit(1).alias("token")).alias("s"))
+    seen = [r.v for r in W.redact_secrets(variants).select("id", F.to_json("s.v").alias("v")).orderBy("id").collect()]
+    assert "PassWord" not in seen[0] and '"keep":1.5' in seen[0] and '"token":"stays"' in seen[1] and "api_key" not in seen[1]
