@@ -22,7 +22,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from functools import lru_cache
 from html.parser import HTMLParser
 from math import isqrt
 
@@ -90,20 +89,29 @@ class Node:
         self.children: list[Node] = []
 
 
+_PARAGRAPH, _OTHER_BLOCKS = frozenset({"p"}), BLOCKS - {"p"}
+
+
 class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("#root")
         self.open = [self.root]
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # line numbers are not needed
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
-            self._close({"p"}, BLOCKS - {"p"})
+            self._close(_PARAGRAPH, _OTHER_BLOCKS)
         if tag in CLOSES:
             self._close(CLOSES[tag], SCOPES[tag])
-        given = dict(attrs)
-        marks = " ".join(given[k] or "" for k in ("role", "class", "id", "itemprop") if given.get(k)).lower()
-        node = Node(tag, marks, slug=(given.get("id") or "").lower())
+        if attrs:
+            given = dict(attrs)
+            marks = " ".join(given[k] or "" for k in ("role", "class", "id", "itemprop") if given.get(k)).lower()
+            node = Node(tag, marks, slug=(given.get("id") or "").lower())
+        else:
+            node = Node(tag)
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
@@ -155,6 +163,34 @@ def text_key(node: Node) -> int:
     return zlib.crc32(" ".join(" ".join(n.text for n in preorder(node) if n.tag == "#text").split()).encode())
 
 
+class Texts:
+    """``text_key`` of the nodes of one tree: each node covers a run of the
+    tree's folded text pieces, so a tree is walked once for all its keys."""
+
+    def __init__(self, root: Node):
+        self.pieces: list[str] = []
+        self.first: dict[int, int] = {}
+        self.end: dict[int, int] = {}
+        work: list[tuple[Node, bool]] = [(root, False)]
+        while work:
+            node, left = work.pop()
+            if left:
+                self.end[id(node)] = len(self.pieces)
+                continue
+            self.first[id(node)] = len(self.pieces)
+            if node.tag == "#text":
+                folded = " ".join(node.text.split())
+                if folded:
+                    self.pieces.append(folded)
+                self.end[id(node)] = len(self.pieces)
+            else:
+                work.append((node, True))
+                work.extend((c, False) for c in reversed(node.children))
+
+    def key(self, node: Node) -> int:
+        return zlib.crc32(" ".join(self.pieces[self.first[id(node)] : self.end[id(node)]]).encode())
+
+
 def _shapes(root: Node, known: dict[tuple, int]) -> dict[int, int]:
     """The shape of every node: equal numbers for equal trees of labels.  A
     shape's number is larger than those of its children."""
@@ -285,8 +321,22 @@ def _holds_article(node: Node) -> bool:
     return any(n.tag in ("article", "main") for n in preorder(node)[1:])
 
 
-@lru_cache(maxsize=4096)
+#: what ``_mark`` found; a plain dict, so that tasks get it with the function
+_MARKS: dict[tuple[str, str, str], int] = {}
+
+
 def _mark(tag: str, marks: str, slug: str) -> int:
+    """``_read_mark`` with a memory of bounded size."""
+    key = (tag, marks, slug)
+    found = _MARKS.get(key)
+    if found is None:
+        if len(_MARKS) >= 4096:
+            _MARKS.clear()
+        found = _MARKS[key] = _read_mark(tag, marks, slug)
+    return found
+
+
+def _read_mark(tag: str, marks: str, slug: str) -> int:
     """What the words of role, class, id and itemprop say: 0 nothing, 1 a listed
     word beside others, 2 listed words only, 3 reader comments.  An id names its
     section's subject, so only one of listed words counts, and none on a heading."""
@@ -348,7 +398,9 @@ def main_text(root: Node, template: set[int] = frozenset()) -> str:
         depth += bool(node.marks and _mark(node.tag, node.marks, node.slug))
         if _is_main(node):
             inner = [n for n in preorder(node) if n.tag == "article" and n is not node and not _mark(n.tag, n.marks, n.slug)] if node.tag != "article" else []
-            found.append((depth, inner[0] if len(inner) == 1 else node))
+            # a lone article stands for its main element if it holds most of what varies there
+            lone = len(inner) == 1 and _varying_size(inner[0], template) >= MOST * _varying_size(node, template)
+            found.append((depth, inner[0] if lone else node))
         else:
             work.extend((depth, c) for c in reversed(node.children))
     # articles inside more marked elements than others are teasers or comments
@@ -440,8 +492,8 @@ def constant_nodes(pages: DataFrame, chosen: DataFrame) -> DataFrame:
     """``host, layout, constant, usual``: preorder numbers of a model's constant
     nodes, from all distinct pages aligned with it, and of those among them that
     nearly all pages of the host have, in whichever layout.  A page votes with
-    two lists of node numbers, and equal pages are merged before their votes are
-    counted."""
+    one list, twice the number of each node it has, plus one if the text is the
+    model's; equal pages are merged before their votes are counted."""
 
     def make() -> Callable[[list[tuple]], list[tuple]]:
         known: dict[tuple, tuple] = {}
@@ -453,22 +505,25 @@ def constant_nodes(pages: DataFrame, chosen: DataFrame) -> DataFrame:
                     if len(known) >= 64:
                         known.clear()
                     root = parse(model)
-                    known[host, layout] = (root, {id(n): (i, text_key(n)) for i, n in enumerate(preorder(root))})
+                    texts = Texts(root)
+                    known[host, layout] = (root, {id(n): (i, texts.key(n)) for i, n in enumerate(preorder(root))})
                 root, numbers = known[host, layout]
-                pairs = [(*numbers[id(x)], y) for x, y in tree_match(root, parse(page))]
-                out.append((host, layout, page_hash, [i for i, _, _ in pairs], [i for i, key, y in pairs if text_key(y) == key]))
+                tree = parse(page)
+                texts = Texts(tree)
+                pairs = [(*numbers[id(x)], y) for x, y in tree_match(root, tree)]
+                out.append((host, layout, page_hash, [2 * i + (texts.key(y) == key) for i, key, y in pairs]))
             return out
 
         return work
 
     votes = map_rows(
         _with_model(pages.select("host", "page_hash", "html"), by_host(chosen), "inner").select("host", "layout", "page_hash", "html", "model"),
-        make, "host string, layout bigint, page_hash bigint, matched array<int>, same array<int>",
+        make, "host string, layout bigint, page_hash bigint, votes array<int>",
     ).dropDuplicates(["host", "page_hash"])
-    each = votes.select("host", "layout", F.explode_outer("matched").alias("node"), "same")
+    each = votes.select("host", "layout", F.explode_outer("votes").alias("vote"))
     counts = (
-        each.groupBy("host", "layout", "node")
-        .agg(F.count("*").alias("n"), F.count_if(F.array_contains("same", F.col("node"))).alias("same"))
+        each.groupBy("host", "layout", F.shiftright("vote", 1).alias("node"))
+        .agg(F.count("*").alias("n"), F.sum(F.col("vote").bitwiseAND(1)).alias("same"))
         .withColumn("is_constant", (F.col("n") >= LEAST_PAGES) & (F.col("same") >= CONSTANT_SHARE * F.col("n")))
         .groupBy("host", "layout")  # every page has the root, so the largest n counts the pages
         .agg(F.collect_list(F.when(F.col("is_constant"), F.struct("node", "n"))).alias("found"), F.max("n").alias("pages"))
@@ -527,12 +582,16 @@ class Wrapper:
         chosen, common = (set() if nodes is None else {int(i) for i in nodes} for nodes in (constant, usual))
         content, empty = _content_nodes(self.root), text_key(Node("#text"))
         decides = ((n, content.get(id(n))) for i, n in enumerate(preorder(self.root)) if i in chosen and (i in common or not content.get(id(n))))
-        keys = {id(n): text_key(n) for n, inside in decides if inside is not None}
+        texts = Texts(self.root)
+        keys = {id(n): texts.key(n) for n, inside in decides if inside is not None}
         self.keys = {n: key for n, key in keys.items() if key != empty}
 
     def extract(self, page: str | None) -> str:
         root = parse(page)
-        template = {id(y) for x, y in tree_match(self.root, root) if id(x) in self.keys and self.keys[id(x)] == text_key(y)} if self.keys else set()
+        template = set()
+        if self.keys:
+            texts = Texts(root)
+            template = {id(y) for x, y in tree_match(self.root, root) if id(x) in self.keys and self.keys[id(x)] == texts.key(y)}
         return main_text(root, template)
 
 

@@ -411,3 +411,16 @@ def test_bundle_is_the_sum_of_bound_letters():
 
 def test_digest_helpers():
     assert hashlib.sha256(secret_scan.spans_text([(0, 1, 4), (2, 0, 9)]).encode()).hexdigest() == hashlib.sha256(b"access:0:4,assign:2:9").hexdigest()
+
+
+def test_text_keys_of_a_tree_equal_those_of_its_nodes():
+    page = "<div> a <p>b  c</p><br><ul><li>d<li> <li>e f</ul>\n</div><p>" + "x " * 50
+    root = html_wrapper.parse(page)
+    texts = html_wrapper.Texts(root)
+    assert all(texts.key(n) == html_wrapper.text_key(n) for n in html_wrapper.preorder(root))
+
+
+def test_a_teaser_article_does_not_stand_for_its_main_element():
+    page = "<main><section><p>One is the long text of this page.</p></section><article class='teaser'><p>Two</p></article></main>"
+    assert "One is the long text of this page." in html_wrapper.main_text(html_wrapper.parse(page))
+    assert html_wrapper.main_text(html_wrapper.parse("<main><p>x</p><article><p>The whole long text.</p></article></main>")) == "The whole long text."
