@@ -47,6 +47,10 @@ STRETCH = re.compile(rb"(?:[\x20-\x7e\t\n\r]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][
 #: (decompression bombs inside bombs must not end a task).
 MAX_UNPACKED, PIECE, OVERLAP, MAX_PIECES = 64 << 20, 1 << 20, 1 << 16, 16 << 30
 
+#: characters that are unpacked first at a start of compressed data; all of the
+#: rest is, unless the data has a fault in them
+HEAD = 4096
+
 #: source spans of a layer's characters: None is the text itself
 Origin = list[tuple[int, int]] | None
 
@@ -136,6 +140,15 @@ def _unpack(raw: bytes) -> tuple[bytes | None, int]:
     return (out, size - len(raw)) if out else (raw, size)
 
 
+def _breaks(raw: bytes) -> bool:
+    """If the first member of compressed data has a fault in these bytes."""
+    try:
+        zlib.decompressobj(47).decompress(raw, MAX_UNPACKED)
+    except zlib.error:
+        return True
+    return False
+
+
 def _pieces(raw: bytes) -> Iterator[bytes]:
     """Decompressed zlib or gzip data, all members, in pieces that overlap."""
     tail = b""
@@ -221,10 +234,14 @@ def _blobs(layer: str) -> Iterator[tuple[int, int, str | bytes]]:
                 continue
         for m in PACKED.finditer(blob):
             at = m.start()
-            if any(_stretches(_unpack(_bytes(blob[at : at + 4096]))[0] or b"")):
-                packed, used = _unpack(rest := _bytes(blob[at:]))
-                for inner in [rest] if packed is None else [t for _, _, t in _stretches(packed)]:
-                    yield *span(at, 0, used), inner
+            head = _bytes(blob[at : at + HEAD])
+            if _breaks(head):  # chance characters, or data that ends in a fault: what precedes it is all there is
+                packed, used = _unpack(head)[0], (len(blob) - at) * 3 // 4
+                packed = b"" if packed == head else packed
+            else:
+                packed, used = _unpack(head := _bytes(blob[at:]))
+            for inner in [head] if packed is None else [t for _, _, t in _stretches(packed)]:
+                yield *span(at, 0, used), inner
         for shift in range(4):
             for a, b, inner in _stretches(_bytes(blob[shift:])):
                 yield *span(shift, a, b), inner

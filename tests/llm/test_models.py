@@ -424,3 +424,25 @@ def test_a_teaser_article_does_not_stand_for_its_main_element():
     page = "<main><section><p>One is the long text of this page.</p></section><article class='teaser'><p>Two</p></article></main>"
     assert "One is the long text of this page." in html_wrapper.main_text(html_wrapper.parse(page))
     assert html_wrapper.main_text(html_wrapper.parse("<main><p>x</p><article><p>The whole long text.</p></article></main>")) == "The whole long text."
+
+
+@pytest.mark.parametrize("odd", [0, 100, 8_000, 40_000])
+def test_secret_behind_odd_bytes_of_a_packed_blob(odd):
+    rng = random.Random(odd)
+    key = "AKIA" + "ABCDEFGH12345678"
+    noise = bytes(rng.randrange(128, 192) for _ in range(odd))
+    for pack in (gzip.compress, zlib.compress):
+        blob = base64.b64encode(pack(noise + b"\nthe key is " + key.encode() + b" here\n" + noise)).decode()
+        for text in (f"data {blob} end", f"path/{blob}"):
+            spans = secret_scan.scan(text)[1]
+            assert any(kind == 1 for _, kind, _ in spans), (odd, pack)
+            start = text.index(blob)
+            assert all(start - 5 <= a and b <= len(text) for a, _, b in spans)
+
+
+def test_broken_packed_blobs_keep_what_precedes_the_fault():
+    key = "AKIA" + "ABCDEFGH12345678"
+    packed = bytearray(zlib.compress((f"token is {key} " * 40).encode() + bytes(range(256)) * 60, 1))
+    packed[-200:] = b"\xff" * 200
+    blob = base64.b64encode(bytes(packed)).decode()
+    assert any(kind == 1 for _, kind, _ in secret_scan.scan(f"see {blob}")[1])
