@@ -8,13 +8,16 @@ Nothing is brought to the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from runlens.operators import messages as M
 
@@ -96,6 +99,61 @@ def parse_answer(kind: Column, params: Column) -> Column:
     return expr if expr is not None else F.lit(None).cast("string")
 
 
+# ── answer parsers that give rows ──────────────────────────────────────────
+
+RowParser = Callable[[str], Iterable[tuple]]
+
+ROW_PARSERS: dict[str, tuple[RowParser, T.StructType]] = {}
+
+
+def register_row_parser(name: str, schema: T.StructType, parser: RowParser | None = None):
+    """Register a parser ``params_json -> rows`` of ``schema`` under a
+    finish-tool name; usable as a decorator.  Call ``register_answer_rows``
+    afterwards: the SQL function takes the parsers that are known then."""
+    def add(fn: RowParser) -> RowParser:
+        ROW_PARSERS[name] = (fn, schema)
+        return fn
+
+    return add(parser) if parser is not None else add
+
+
+def _text_param(params: str, name: str) -> str:
+    value = json.loads(params)[name]
+    if not isinstance(value, str):
+        raise TypeError(f"{name} is not text")
+    return value
+
+
+@register_row_parser("file_fl", T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("file", T.StringType())]))
+def file_rows(params: str) -> Iterable[tuple]:
+    """The entries of a newline list, by their place."""
+    return enumerate(x.strip() for x in _text_param(params, "files").split("\n") if x.strip())
+
+
+def register_answer_rows(spark: SparkSession, name: str = "answer_rows") -> None:
+    """Register the table function ``answer_rows(kind, params_json)`` for SQL
+    and lateral joins.  ``kind`` is a literal: its parser's schema is the
+    function's.  A parser that fails gives no rows, as a finish tool whose
+    parameters cannot be read has no answer."""
+    parsers = dict(ROW_PARSERS)
+
+    class AnswerRows:
+        @staticmethod
+        def analyze(kind: AnalyzeArgument, params: AnalyzeArgument) -> AnalyzeResult:
+            if not kind.isConstantExpression or kind.value not in parsers:
+                raise ValueError(f"the first argument must be one of {sorted(parsers)}")
+            return AnalyzeResult(schema=parsers[kind.value][1])
+
+        def eval(self, kind: str, params: str) -> Iterator[tuple]:
+            try:
+                rows = [tuple(r) for r in parsers[kind][0](params)] if params is not None else []
+            except Exception:  # noqa: BLE001
+                return
+            yield from rows
+
+    spark.udtf.register(name, udtf(AnswerRows, useArrow=True))
+
+
 # ── step hooks ─────────────────────────────────────────────────────────────
 
 StepHook = Callable[[pd.DataFrame], pd.DataFrame]

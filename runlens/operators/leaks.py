@@ -92,17 +92,10 @@ def repo_rules(instances: DataFrame, repo: str = "repo", key: str = "instance_id
         F.concat(F.lit(r".*gitlab\.com/"), seg(own), F.lit("/"), en, F.lit(r"(/|$|\?).*")),
         F.concat(F.lit(r".*raw\.githubusercontent\.com/.*/"), en, F.lit("/.*")),
     )
-    cmd = F.array(
-        F.concat(F.lit(r".*git\s+clone\s+.*"), en, F.lit(".*")),
-        F.concat(F.lit(r".*git\s+fetch\s+.*"), en, F.lit(".*")),
-        F.concat(F.lit(r".*github\.io/"), seg(own), F.lit("/"), en, F.lit(".*")),
-        F.concat(F.lit(r".*api\.github\.com/repos/"), seg(own), F.lit("/"), en, F.lit(".*")),
-        F.concat(F.lit(r".*raw\.githubusercontent\.com/"), seg(own), F.lit("/"), en, F.lit(".*")),
-    )
     # (``length > 0`` also drops NULL repos; this shape avoids a Spark codegen
     # bug hit by ``coalesce(repo, '') != ''`` once pushed into a CASE)
     base = instances.where(F.length(F.col(repo)) > 0).select(
-        key, url.alias("_url"), F.when(name != "", cmd).otherwise(F.array().cast("array<string>")).alias("_cmd"))
+        key, url.alias("_url"), repo_command_rules(F.col(repo)).alias("_cmd"))
     urls = base.select(key, F.lit("url").alias("kind"), F.posexplode("_url").alias("ord", "pattern"))
     cmds = base.select(key, F.lit("command").alias("kind"), F.posexplode("_cmd").alias("ord", "pattern"))
     return urls.unionByName(cmds)

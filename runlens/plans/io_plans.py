@@ -537,6 +537,18 @@ def q_register_answer_parser(spark, sf):
     return ev.select("event_id", "kind", H.parse_answer(F.col("kind"), F.col("params")).alias("answer"))
 
 
+@register(
+    "answer_rows",
+    """SELECT event_id, CAST(p AS INTEGER) AS pos, f AS file FROM (
+  SELECT event_id, unnest([0, 1]) AS p, unnest([concat('a', CAST(user_id AS VARCHAR), '.py'), 'b.py']) AS f
+  FROM events WHERE event_type = 'click')""",
+)
+def q_answer_rows(spark, sf):
+    H.register_answer_rows(spark)
+    read_table(spark, sf, "events").select("event_id", F.expr(_KIND).alias("kind"), F.expr(_PARAMS).alias("params")).createOrReplaceTempView("answers_given")
+    return spark.sql("SELECT event_id, r.pos, r.file FROM answers_given a, LATERAL answer_rows('file_fl', a.params) r WHERE a.kind = 'file_fl'")
+
+
 def _count_calls_hook(pdf):
     """Example step callback: tool calls made so far in each run (written
     per run group, so it accepts a batch of complete runs)."""

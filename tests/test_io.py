@@ -175,3 +175,23 @@ def test_open_documents_lose_secrets_at_any_depth(spark):
     variants = df.where("id < 2").select("id", F.struct(F.parse_json("config").alias("v"), F.lit(1).alias("token")).alias("s"))
     seen = [r.v for r in W.redact_secrets(variants).select("id", F.to_json("s.v").alias("v")).orderBy("id").collect()]
     assert "PassWord" not in seen[0] and '"keep":1.5' in seen[0] and '"token":"stays"' in seen[1] and "api_key" not in seen[1]
+
+
+def test_answer_rows_from_sql(spark):
+    from pyspark.sql import types as T
+
+    from runlens.operators import hooks as H
+
+    schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("half", T.DoubleType())])
+    H.register_row_parser("evens", schema, lambda p: [(i, i / 2) for i in range(0, int(p), 2)])
+    try:
+        H.register_answer_rows(spark)
+    finally:
+        del H.ROW_PARSERS["evens"]
+    spark.createDataFrame([(1, "5"), (2, "bad"), (3, None), (4, "0")], "id int, p string").createOrReplaceTempView("given")
+    got = spark.sql("SELECT id, r.* FROM given, LATERAL answer_rows('evens', p) r ORDER BY 1, 2").collect()
+    assert [tuple(r) for r in got] == [(1, 0, 0.0), (1, 2, 1.0), (1, 4, 2.0)]
+    files = spark.sql("""SELECT * FROM answer_rows('file_fl', '{"files": " a.py\\\\n\\\\nb.py "}')""").collect()
+    assert [tuple(r) for r in files] == [(0, "a.py"), (1, "b.py")]
+    with pytest.raises(Exception, match="first argument"):
+        spark.sql("SELECT * FROM answer_rows('unknown', '1')").collect()
