@@ -50,6 +50,18 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores added until no column has it (column
+    names are compared as Spark does, whatever their case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: ids up to this number are sent to every task, more are shuffled
 BROADCAST_IDS = 500_000
 

@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import collected, gram_hashes, map_rows, mix64, shared_table, text_words
+from runlens.llm.common import collected, free_names, gram_hashes, map_rows, mix64, shared_table, text_words
 from runlens.llm.components import components
 
 SHINGLE = 5
@@ -345,10 +345,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     with that id, the smallest text hash).  Documents with an empty set stay;
     equal rows become one.  ``docs`` has any columns, among them ``doc_id`` and
     ``text``."""
-    found = jaccard_components(docs)
-    first = F.min(F.struct(F.struct(F.col("doc_id").alias("v")).alias("__id"), F.col("row_hash").alias("__hash"))).alias("k")
-    kept = found.filter("group IS NOT NULL").groupBy("group").agg(first).select("k.*")
-    alone = found.filter("group IS NULL").select(F.struct(F.col("doc_id").alias("v")).alias("__id"), F.col("row_hash").alias("__hash")).distinct()
-    keyed = docs.withColumn("__id", F.struct(F.col("doc_id").cast("long").alias("v"))).withColumn("__hash", F.xxhash64("text"))
-    once = keyed.dropDuplicates(["__id", "__hash"])
-    return once.join(kept.unionByName(alone), ["__id", "__hash"], "left_semi").select(*docs.columns)
+    id_name, hash_name = free_names(docs.columns, "kept_id", "kept_hash")
+    found = jaccard_components(docs.select("doc_id", "text"))
+    node = [F.struct(F.col("doc_id").alias("v")).alias(id_name), F.col("row_hash").alias(hash_name)]
+    kept = found.filter("group IS NOT NULL").groupBy("group").agg(F.min(F.struct(*node)).alias("k")).select("k.*")
+    alone = found.filter("group IS NULL").select(*node).distinct()
+    keyed = docs.withColumn(id_name, F.struct(F.col("doc_id").cast("long").alias("v"))).withColumn(hash_name, F.xxhash64("text"))
+    once = keyed.dropDuplicates([id_name, hash_name])
+    return once.join(kept.unionByName(alone), [id_name, hash_name], "left_semi").select(*docs.columns)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import index_range, let, shared_table
+from runlens.llm.common import free_names, index_range, let, shared_table
 
 SEPARATORS = " \t\n\x0b\x0c\r"
 BETWEEN = r"[\x20\x09-\x0D]+"
@@ -188,7 +188,7 @@ def clean(
     )
     left = F.col("n_words") - F.coalesce(F.aggregate("lost", F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(0))
     _, kept = _kept(F.col("n_words"), F.col("n_repeat_words"), left, least_left)
-    free = [next(n for n in (f"{base}{'_' * k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns) for base in ("kept_host", "kept_hash", "lost_at")]
+    free = free_names(docs.columns, "kept_host", "kept_hash", "lost_at")
     verdicts = verdicts.filter(kept).select(F.col("host").alias(free[0]), F.col("text_hash").alias(free[1]), F.col("lost.at").alias(free[2]))
     text = F.coalesce(F.col("text"), F.lit(""))
     pieces = F.split(text, "\n", -1)

@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import gram_hash, index_range, let, shared_table
+from runlens.llm.common import free_names, gram_hash, index_range, let, shared_table
 
 #: everything between words; A-Z is inside words and folded afterwards
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -213,8 +213,9 @@ def reject(docs: DataFrame, items: DataFrame, *, broadcast_rows: int = BROADCAST
     without any word of a window of ``items(item_id, text)``."""
     rows = _with_id(docs.select("doc_id", F.xxhash64("text").alias("row_hash"), "text"))
     found = find_windows(rows, item_windows(items, "item_id", "text"), broadcast_rows=broadcast_rows)
-    found = found.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash")).distinct()
-    return docs.join(found, (F.struct(F.col("doc_id").alias("v")) == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
+    id_name, hash_name = free_names(docs.columns, "hit_id", "hit_hash")
+    found = found.select(F.col("doc_id").alias(id_name), F.col("row_hash").alias(hash_name)).distinct()
+    return docs.join(found, (F.struct(docs["doc_id"].alias("v")) == F.col(id_name)) & (F.xxhash64(docs["text"]) == F.col(hash_name)), "left_anti")
 
 
 def _with_id(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from runlens.llm import common, components, jaccard_join, lz_dedup, syncmers, winnowing
 
@@ -273,3 +274,13 @@ def test_very_long_texts(spark):
     assert sets[1]["n_shingles"] == 39_996 and sets[2]["component_id"] == 2
     prints = by_id(syncmers.edited_fingerprints(docs))
     assert prints[1]["n_chars"] == len(rows[0][1]) and 0.2 < prints[1]["near_next"] < 0.5
+
+
+def test_filters_leave_columns_of_any_name(spark):
+    names = ["__id", "__hash", "kept_id", "KEPT_HASH", "hit_id", "hit_hash", "group", "row_hash", "component_id"]
+    docs = frame(spark, corpus(6)).drop("row_hash", "n")
+    docs = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    items = spark.createDataFrame([(1, "on the ing er est ou an zu on the x1 an")], "item_id bigint, text string")
+    for out in (jaccard_join.keep_one(docs), winnowing.reject(docs, items)):
+        assert out.columns == docs.columns and out.schema == docs.schema
+        assert [tuple(r) for r in out.select(*names).distinct().collect()] == [tuple(range(len(names)))]
