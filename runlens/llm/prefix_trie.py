@@ -243,13 +243,14 @@ def turns_differ(conversations: DataFrame, table: DataFrame, attempt: int) -> Da
     """Residues shared by turns of different role or text (none: verified).
     Only residues with more than one reference are looked up again; copies are
     compared before the shuffle."""
-    shared = table.groupBy("e1", "e2").agg(F.count("*").alias("refs")).filter("refs > 1").select("e1", "e2")
+    shared = shared_table(table.groupBy("e1", "e2").agg(F.count("*").alias("refs")).filter("refs > 1").select("e1", "e2"), "trie-shared")
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     residue = [F.shiftrightunsigned(F.xxhash64(F.lit(f"{attempt}{side}"), role, text), 3).alias(f"e{k}") for k, side in enumerate("ab", 1)]
     stored = conversations.filter("conv_id IS NOT NULL").select(role.alias("role"), text.alias("text"), *residue)
     return (
         stored.join(shared, ["e1", "e2"], "left_semi")
-        # another key than the join's, so that a frequent turn's join can be split and combined before the shuffle
+        # the join reads two plain tables and the groups have another key than it, so that a frequent turn's rows
+        # can be split in the join and are combined before the next shuffle
         .groupBy(F.struct("e1", "e2").alias("e"))
         .agg(F.min("role").alias("r0"), F.max("role").alias("r1"), F.min("text").alias("t0"), F.max("text").alias("t1"))
         .filter("r0 <> r1 OR t0 <> t1").select("e.e1", "e.e2")
