@@ -16,7 +16,7 @@ from runlens.plans import ORACLE, QUERIES  # noqa: E402
 
 ALIASES = {"S": "scoring", "RS": "runstats", "I": "instances", "TL": "testlogs", "L": "leaks", "SR": "search",
            "ST": "steps", "M": "messages", "RL": "rl", "H": "hooks", "RD": "readers", "W": "writers",
-           "WD": "watchdog"}
+           "WD": "watchdog", "CN": "constraints"}
 
 
 def functions_used(fn, depth: int = 1) -> list[str]:
