@@ -30,7 +30,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.common import collected, free_names, gram_hashes, map_rows, mix64, shared_table, text_words
@@ -48,6 +48,8 @@ BROADCAST_IDS = 100_000
 #: takes over; neither changes the result
 LEADER_ROUNDS = 4
 JOIN_ROWS = 4
+#: pairs of one node that are verified together on average; more are dealt over several groups
+GROUP_PAIRS = 64
 #: classes of the suffix filter's bound
 PARTS = 16
 
@@ -153,20 +155,6 @@ def document_sets(docs: DataFrame, ranks: Broadcast) -> DataFrame:
     return map_rows(rows, make, SET_SCHEMA)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, row_hash, n, sig1, sig2`` per row."""
-
-    def make() -> Callable[[list[tuple]], list[tuple]]:
-        def work(rows: list[tuple]) -> list[tuple]:
-            read = [(doc_id, row_hash, shingle_set(text)) for doc_id, row_hash, text in rows]
-            return [(doc_id, row_hash, len(s), *signature(s)) for doc_id, row_hash, s in read]
-
-        return work
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_hash"), "text")
-    return map_rows(rows, make, "doc_id bigint, row_hash bigint, n bigint, sig1 bigint, sig2 bigint")
-
-
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, ranks: Broadcast) -> DataFrame:
     """The pairs(a, b) that link.  Texts are looked up for their nodes only."""
     pairs = shared_table(pairs, "pairs")
@@ -179,28 +167,30 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, ranks: Broadca
         .join(F.broadcast(wanted) if small else wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("row_hash") == F.col("w_hash")))
         .select("node", "text").dropDuplicates(["node"])
     )
-    joined = (
-        pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        .select("a", "b", "text_a", "text_b")
-    )
+    # a node with many pairs is dealt over several groups; its text goes to each group once, ahead of the others
+    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP_PAIRS).alias("groups")).filter("groups > 1")
+    dealt = pairs.join(many, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("groups", F.lit(1))).alias("part"))
+    own = dealt.select("b", "part").distinct().join(texts.withColumnRenamed("node", "b"), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "text")
+    others = dealt.join(texts.withColumnRenamed("node", "a"), "a").select("b", "part", "a", "text")
+    grouped = own.unionByName(others).repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
 
     def make() -> Callable[[list[tuple]], list[tuple]]:
         order = ranks.value
-        last: list = [None, None]  # the join leaves the pairs of one leader together
+        head: list = [None]  # the set of the group's own node
 
         def work(rows: list[tuple]) -> list[tuple]:
             out = []
-            for a, b, text_a, text_b in rows:
-                if last[0] != b:
-                    last[:] = [b, ordered_set(text_b, order)]
-                if links(ordered_set(text_a, order), last[1]):
+            for b, a, text in rows:
+                s = ordered_set(text, order)
+                if a is None:
+                    head[0] = s
+                elif links(s, head[0]):
                     out.append((a, b))
             return out
 
         return work
 
-    return shared_table(map_rows(joined, make, "a bigint, b bigint"), "links")
+    return shared_table(map_rows(grouped.select("b", "a", "text"), make, "a bigint, b bigint"), "links")
 
 
 def _may_link(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -277,7 +267,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     ranks = docs.sparkSession.sparkContext.broadcast(bucket_ranks(docs))  # 2**BUCKET_BITS numbers
-    sets = document_sets(docs, ranks)
+    sets = shared_table(document_sets(docs, ranks), "sets")
     key = ["n", "sig1", "sig2"]
     reps = shared_table(
         sets.filter("n > 0")
@@ -291,11 +281,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         .select(F.monotonically_increasing_id().alias("node"), *key, "of.doc_id", "of.row_hash", "least_id", "prefix", "parts"),
         "classes",
     )
-    # one shuffle on the shingle finds how many hold it
+    # counted with a map-side part and joined back: a shingle that very many hold is never one task's
     entries = reps.select("node", "n", F.posexplode("prefix").alias("at", "shingle"))
-    entries = shared_table(
-        entries.withColumn("holders", F.count("*").over(Window.partitionBy("shingle"))).filter("holders > 1"), "holders"
-    )
+    held = entries.groupBy("shingle").agg(F.count("*").alias("holders")).filter("holders > 1")
+    entries = shared_table(entries.join(held, "shingle"), "holders")
     support = entries.groupBy("node").agg(F.sum("holders").alias("support"))
     entries = shared_table(entries.join(support, "node").drop("holders"), "entries")
     size = entries.count()
@@ -329,7 +318,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     smallest = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     classes = named.join(smallest, "component").select(*key, "component_id", F.col("component").alias("group"))
     return (
-        signatures(docs).join(classes, key, "left")
+        sets.select("doc_id", "row_hash", *key).join(classes, key, "left")
         .select(
             "doc_id",
             F.col("n").alias("n_shingles"),

@@ -48,7 +48,9 @@ def test_jaccard_components_equal_brute_force(spark, seed):
     assert got == sorted(brute_components(rows))
 
 
-def test_jaccard_large_near_copy_group_and_chain(spark):
+@pytest.mark.parametrize("pairs", [jaccard_join.GROUP_PAIRS, 2])
+def test_jaccard_large_near_copy_group_and_chain(spark, monkeypatch, pairs):
+    monkeypatch.setattr(jaccard_join, "GROUP_PAIRS", pairs)  # 2: a leader's pairs are dealt over many groups
     rng = random.Random(5)
     base = sentence(rng, 120).split()
     rows = []
