@@ -394,6 +394,28 @@ def q_write_report(spark, sf):
                      .select("part", "t.name", "t.n")))
 
 
+# the document's lines: each id list in its order, and the counts
+_LISTS = {"completed": "bucket IN ('resolved', 'unresolved', 'error')", "submitted": "bucket <> 'incomplete'",
+          **{b: f"bucket = '{b}'" for b in ("empty_patch", "error", "incomplete", "resolved", "unresolved")}}
+_DOCUMENT = "\nUNION ALL ".join(
+    ["SELECT '{' AS line", "SELECT '}'", """SELECT '  "schema_version": "1.0",'"""]
+    + [f"""SELECT concat('  "{name}": ', count(*) FILTER (WHERE {test}){'' if name == 'unresolved_instances' else ", ','"}) FROM st"""
+       for name, test in _TOTALS.items()]
+    + [f"""SELECT concat('  "{name}_ids": [', CASE WHEN count(*) = 0 THEN '],' ELSE '' END) FROM st WHERE {test}
+UNION ALL SELECT '  ],' FROM st WHERE {test} HAVING count(*) > 0
+UNION ALL SELECT concat('    "', instance_id, '"', CASE WHEN row_number() OVER (ORDER BY instance_id DESC) > 1 THEN ',' ELSE '' END)
+FROM st WHERE {test}""" for name, test in _LISTS.items()])
+
+
+@register("report_document", _STATUS_CTE + _DOCUMENT)
+def q_report_document(spark, sf):
+    status = S.instance_status(fixture(spark, sf, "fx_instances"), fixture(spark, sf, "fx_predictions"),
+                               fixture(spark, sf, "fx_progress"))
+    out = _scratch(spark, "report-document")
+    W.write_report(status, out, with_document=True)
+    return spark.read.text(f"{out}/report.json").withColumnRenamed("value", "line")
+
+
 _OVERALL = f"""
 UNION ALL SELECT 'overall', count(*), NULL, NULL, NULL, NULL, NULL, count(*) FILTER (WHERE score >= 1.0),
   {sql_round('CAST(count(*) FILTER (WHERE score >= 1.0) AS DOUBLE) / count(*)', 4)},

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runlens.functions.open_json import dropper
+from runlens.sources.report_file import CLOSE, FIELD, ITEM, OPEN
+from runlens.sources.report_file import register as register_document
 
 # Fixed values of the reference: config keys never written to disk.
 ROLLOUTS_PER_FOLDER = 1000
@@ -67,12 +69,48 @@ def write_progress_stream(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
 
 
-def write_report(status: DataFrame, path: str, with_json_view: bool = False) -> None:
+#: fixed values: the report's id lists, which stand in its document by name
+REPORT_LISTS = ("completed", "empty_patch", "error", "incomplete", "resolved", "submitted", "unresolved")
+
+
+def report_tokens(status: DataFrame) -> DataFrame:
+    """The report document's tokens (``json_document``), unsorted: every id of
+    each list, and from one row of totals the lists' ends and the counts.  A
+    bucket that the report does not know counts in the totals only; an instance
+    without id is ``null`` in its lists."""
+    from runlens.operators.scoring import report_totals, sorted_buckets
+
+    totals = report_totals(status)
+    entries = sorted([f"{name}_ids" for name in REPORT_LISTS] + totals.columns + ["schema_version"])
+    place = {name: at for at, name in enumerate(entries)}
+
+    def one(name: str, kind: int, value: Column) -> Column:
+        return F.struct(F.lit(place[name]).alias("place"), F.lit(kind).alias("kind"), value.cast("string").alias("value"), F.lit(name).alias("name"))
+
+    frame = [one(f"{name}_ids", kind, F.lit(None)) for name in REPORT_LISTS for kind in (OPEN, CLOSE)]
+    frame += [one(c, FIELD, F.col(c)) for c in totals.columns] + [one("schema_version", FIELD, F.lit(f'"{REPORT_SCHEMA_VERSION}"'))]
+    at = F.create_map(*[F.lit(x) for name in REPORT_LISTS for x in (name, place[f"{name}_ids"])])
+    ids = sorted_buckets(status).where(F.col("list_name").isin(*REPORT_LISTS)).select(
+        at[F.col("list_name")].alias("place"), F.lit(ITEM).alias("kind"), F.col("instance_id").alias("value"), F.lit(None).cast("string").alias("name"))
+    return totals.select(F.explode(F.array(*frame)).alias("t")).select("t.*").unionByName(ids)
+
+
+def write_report_document(status: DataFrame, file: str) -> None:
+    """The whole report as one JSON file, ids by code point, as an indented
+    dump of the report writes it.  ``status`` is read twice (totals and lists):
+    give it as a table.  See ``report_file`` for how parts become one file."""
+    register_document(status.sparkSession)
+    rows = report_tokens(status).orderBy("place", "kind", "value")
+    rows.write.format("json_document").mode("overwrite").save(file)
+
+
+def write_report(status: DataFrame, path: str, with_json_view: bool = False, with_document: bool = False) -> None:
     """The report of ``status`` (instance_id, bucket): the long instance table,
     then from what was written the bucket counts and the summary document
     (``schema_version``, totals, submitted, completed and bucket counts); on
-    request also the id lists as sorted, bounded JSON chunks.  The pipeline
-    behind ``status`` runs once."""
+    request also the id lists as sorted, bounded JSON chunks, and the whole
+    report as one file ``report.json``.  The pipeline behind ``status`` runs
+    once."""
     from runlens.operators.scoring import bucket_report, report_json_chunks, report_totals
 
     status.repartition("bucket", F.hash("instance_id") % 64).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/instances")
@@ -81,6 +119,8 @@ def write_report(status: DataFrame, path: str, with_json_view: bool = False) ->
     report_totals(written).select(F.lit(REPORT_SCHEMA_VERSION).alias("schema_version"), "*").write.mode("overwrite").json(f"{path}/totals")
     if with_json_view:
         report_json_chunks(written).write.mode("overwrite").json(f"{path}/report")
+    if with_document:
+        write_report_document(written, f"{path}/report.json")
 
 
 def write_analysis(report: DataFrame, path: str) -> None:
