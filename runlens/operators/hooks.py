@@ -160,37 +160,83 @@ StepHook = Callable[[pd.DataFrame], pd.DataFrame]
 
 
 def run_step_hooks(steps: DataFrame, hook: StepHook, schema: str | T.StructType, run: str = "run_id",
-                   step: str = "step", per_run: bool = True) -> DataFrame:
+                   step: str = "step", per_run: bool = True, unnamed: str = "run") -> DataFrame:
     """Call ``hook`` with each run's steps in step order.
 
     Rows are hash-partitioned by run and sorted by ``(run, step)`` inside each
-    partition; a run that straddles two Arrow batches is carried over, so a
-    run is never split.  ``per_run=True`` calls the hook once per run;
+    partition; the pieces of a run that straddles Arrow batches are put together
+    once, so a run is never split.  ``per_run=True`` calls the hook once per run;
     ``per_run=False`` hands it whole batches of complete runs (sorted), for
-    hooks written with vectorised ``groupby`` logic.  Steps without a run id are
-    one run.  Either way there is no
-    Python round trip per group (a run is bounded by ``max_steps``)."""
-    ordered = steps.repartition(run).sortWithinPartitions(run, step)
+    hooks written with vectorised ``groupby`` logic.  Either way there is no
+    Python round trip per group (a run is bounded by ``max_steps``).
+
+    Steps without a run id are one run with ``unnamed="run"``, which is for
+    tables that hold few of them; with ``unnamed="step"`` each is a run of its
+    own, dealt over all tasks, and the hook is called with that one row."""
+    if unnamed not in ("run", "step"):
+        raise ValueError(f"unnamed must be 'run' or 'step', not {unnamed!r}")
+    keys = [F.col(run)]
+    if unnamed == "step":
+        keys.append(F.when(F.col(run).isNull(), F.xxhash64(*steps.columns)))
+    ordered = steps.repartition(*keys).sortWithinPartitions(run, step)
+
+    def called(done: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if unnamed == "step":
+            alone = done[run].isna()
+            for i in range(int(alone.sum())):
+                yield hook(done[alone].iloc[i : i + 1].reset_index(drop=True))
+            done = done[~alone]
+        if done.empty:
+            return
+        if per_run:
+            for _, g in done.groupby(run, sort=False, dropna=False):
+                yield hook(g.reset_index(drop=True))
+        else:
+            yield hook(done.reset_index(drop=True))
 
     def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carry = None
+        open_run: list[pd.DataFrame] = []  # pieces of the run that may go on in the next batch
         for pdf in batches:
-            if carry is not None:
-                pdf = pd.concat([carry, pdf], ignore_index=True)
             if pdf.empty:
                 continue
             last = pdf[run].iloc[-1]
             tail = pdf[run].isna() if pd.isna(last) else pdf[run] == last
-            carry = pdf[tail]
-            done = pdf[~tail]
-            if done.empty:
-                continue
-            if per_run:
-                yield pd.concat([hook(g.reset_index(drop=True)) for _, g in done.groupby(run, sort=False, dropna=False)],
-                                ignore_index=True)
-            else:
-                yield hook(done.reset_index(drop=True))
-        if carry is not None and not carry.empty:
-            yield hook(carry.reset_index(drop=True))
+            if unnamed == "step" and pd.isna(last):
+                tail[:] = False  # each of these steps is complete
+            if open_run:
+                held = open_run[0][run].iloc[0]
+                same = pdf[run].isna() if pd.isna(held) else pdf[run] == held
+                if same.all() and tail.all():
+                    open_run.append(pdf)
+                    continue
+                yield from called(pd.concat([*open_run, pdf[same]], ignore_index=True))
+                pdf, tail, open_run = pdf[~same], tail[~same], []
+            if not pdf[~tail].empty:
+                yield from called(pdf[~tail])
+            if tail.any():
+                open_run = [pdf[tail]]
+        if open_run:
+            yield from called(pd.concat(open_run, ignore_index=True))
 
     return ordered.mapInPandas(per_partition, schema)
+
+
+#: ``(memo, step) -> (memo, output columns or None)``: a callback that sees the
+#: steps of a run one by one; the memo (any JSON value, ``None`` at the start of
+#: a run) is what it remembers of the run
+StepFold = Callable[[Any, dict[str, Any]], tuple[Any, dict[str, Any] | None]]
+
+
+def fold_hook(fold: StepFold, columns: list[str], run: str = "run_id", step: str = "step") -> StepHook:
+    """The hook for ``run_step_hooks(per_run=True)`` that gives one run's steps
+    to ``fold``, with the rows that ``stream_step_hooks`` gives: ``run``, ``step``
+    and ``columns``."""
+    def hook(pdf: pd.DataFrame) -> pd.DataFrame:
+        memo, out = None, []
+        for rec in pdf.to_dict("records"):
+            memo, found = fold(memo, {k: v for k, v in rec.items() if k != run})
+            if found is not None:
+                out.append((rec[run], rec[step], *[found.get(c) for c in columns]))
+        return pd.DataFrame(out, columns=[run, step, *columns])
+
+    return hook

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from runlens.fixtures import fixture, oracle_with, read_table
 from runlens.plans.registry import register
 from runlens.session import scratch_path
+from runlens.streaming.step_order import stream_step_hooks
 from runlens.streaming import streams as ST
 from runlens.streaming import watchdog as WD
 
@@ -176,6 +177,34 @@ def q_stream_watchdog(spark, sf):
     return spark.read.parquet(out)
 
 
+def count_calls(memo, step):
+    """Example step callback: the tool calls a run has made so far."""
+    memo = (memo or 0) + (step["tool_name"] != "finish")
+    return memo, {"calls_so_far": memo}
+
+
+@register(
+    "stream_step_hook",
+    oracle_with("fx_calls") + """
+SELECT run_id, step, CAST(sum(CASE WHEN tool_name <> 'finish' THEN 1 ELSE 0 END)
+  OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS calls_so_far
+FROM fx_calls""",
+)
+def q_stream_step_hook(spark, sf):
+    # the waves hold the steps out of order: the last ones of a run come first
+    calls = fixture(spark, sf, "fx_calls").select("run_id", F.col("step").cast("long").alias("step"), "tool_name")
+    rows = calls.withColumn("ts", F.timestamp_seconds(F.col("step") + 1_700_000_000)).withColumn("_wave", F.lit(2) - F.col("step") % 3)
+    landing, out, ckpt = _dirs(spark, "step-hook")
+    _land(rows.repartition("run_id"), "_wave", 3, landing)
+    files = spark.read.text(landing).select(F.input_file_name().alias("f")).distinct().count()
+    stream = spark.readStream.schema("run_id bigint, step bigint, tool_name string, ts timestamp").option(
+        "maxFilesPerTrigger", max(1, -(-files // 3))).json(landing)
+    q = (stream_step_hooks(stream, count_calls, "calls_so_far long").writeStream.outputMode("append").format("parquet")
+         .option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).select("run_id", "step", "calls_so_far")
+
+
 _RUN = "concat('m1_20260101_00000', right(instance_id, 1))"
 
 
