@@ -364,6 +364,57 @@ def test_forward_backward_equals_enumeration():
         inside = np.ones((1, n), dtype=bool)
         marginal, expected = crf_toxicity._expectations((e - 1.2)[None], moves, inside)
         assert np.allclose(marginal[0], want) and expected.sum() == pytest.approx(n - 1)
+        thrice = crf_toxicity._expectations((e - 1.2)[None], moves, inside, np.array([3.0]))
+        assert np.allclose(thrice[0], marginal) and np.allclose(thrice[1], 3 * expected)
+
+
+def test_marginals_over_long_gaps_do_not_lose_precision():
+    e = np.zeros(50_000)
+    e[[7, 8, 30_000, 49_999]] = [4.0, -2.0, 60.0, 3.0]
+    field = crf_toxicity.Field(np.zeros(1), -3.0, np.array([[0.0, -1.5], [-1.0, 0.4]]))
+    places, got = field.active_marginals(e)
+    dense, _ = crf_toxicity._expectations((np.minimum(e, 50) - 3.0)[None], field.moves, np.ones((1, len(e)), dtype=bool))
+    assert places.tolist() == [7, 8, 30_000, 49_999] and np.allclose(got, dense[0][places], atol=1e-5)
+
+
+def test_field_gradient_vanishes_over_all_segments():
+    """The trained field's expected tags equal the gold ones when every segment,
+    with and without features, is laid out (training counts the plain ones)."""
+    rng, size = np.random.default_rng(8), 64
+    tagged = []
+    for n in (5, 128, 300, 700, 129):
+        place = np.sort(rng.choice(n, max(1, n // 40), replace=False))
+        feature = rng.integers(0, 6, len(place))
+        tagged.append({"label": 1, "n": n, "place": place, "feature": feature, "toxic": place[feature < 3]})
+    field = crf_toxicity.train(tagged, size)
+    toxic = expected = 0.0
+    for d in tagged:
+        e = np.zeros(d["n"])
+        e[d["place"]] = field.weights[d["feature"]]
+        for at in range(0, d["n"], crf_toxicity.SEGMENT):
+            part = e[at : at + crf_toxicity.SEGMENT] + field.bias
+            expected += crf_toxicity._expectations(part[None], field.moves, np.ones((1, len(part)), dtype=bool))[0].sum()
+        toxic += len(d["toxic"])
+    assert expected == pytest.approx(toxic, rel=0.1)
+
+
+def test_document_score_weighs_repeated_mentions():
+    field = crf_toxicity.Field(np.zeros(1), -1.0, np.zeros((2, 2)), (2.0, 3.0, 3.0, -4.0))
+    assert field.document_score(np.zeros(0)) == 0.0
+    assert field.document_score(np.array([0.7])) < 0.5 <= field.document_score(np.array([0.7, 0.1, 0.7, 0.6]))
+    assert field.document_score(np.array([0.95])) >= 0.5 > field.document_score(np.array([0.94]))
+    x = [{"label": i % 2, "n": 9, "place": [1, 4, 7][: 1 + 2 * (i % 2)], "feature": [0] * (1 + 2 * (i % 2))} for i in range(40)]
+    lean = crf_toxicity.Field(np.array([6.0]), -5.5, np.zeros((2, 2)))
+    verdict = crf_toxicity.fit_verdict(lean, x, np.array([200.0, 20.0]))
+    scored = crf_toxicity.replace(lean, verdict=verdict)
+    m = lean.active_marginals(np.array([0, 6.0, 0, 0, 6.0, 0, 0, 6.0, 0]))[1]
+    assert scored.document_score(m) >= 0.5 > scored.document_score(m[:1])
+
+
+def test_evidence_is_the_divergence_of_counts():
+    counts, documents = np.array([[10.0, 0.0, 4.0, 0.0], [10.0, 5.0, 1.0, 0.0]]), np.array([60.0, 40.0])
+    want = [20 * (0.5 * np.log(0.5 / 0.4) + 0.5 * np.log(0.5 / 0.6)), 5 * np.log(1 / 0.4), 0.0, 0.0]
+    assert np.allclose(crf_toxicity.evidence(counts, documents), want)
 
 
 def test_toxicity_spans_and_held_out_accuracy(spark):
