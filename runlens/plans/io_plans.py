@@ -4,9 +4,10 @@ Readers: the stand-in lines / documents made from the driver tables are
 written with Spark's text writer into the shared scratch folder
 (``spark.checkpoint.dir``) and the library's ``scan_*`` reader runs on those
 files.  Two readers need file names Spark's writers cannot produce
-(``task.toml`` / ``instruction.md`` folders); their queries feed the parse
-job rows in the exact schema the ``binaryFile`` reader yields
-(``(path, content)``).  Writers: rows are written with
+(``task.toml`` / ``instruction.md`` folders): the queries over ``part`` feed the
+parse job rows in the exact schema the ``binaryFile`` reader yields
+(``(path, content)``), those over ``supplier`` write the folders file by file
+and read them.  Writers: rows are written with
 the library writer into the scratch folder and read back.
 """
 
@@ -28,6 +29,7 @@ from runlens.plans.scoring_plans import _STATUS_CTE
 from runlens.session import scratch_path
 from runlens.sources import readers as RD
 from runlens.sources import writers as W
+from runlens.sources.file_tree import write_file_tree
 
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
@@ -303,6 +305,55 @@ def q_collect_task_files(spark, sf):
     return RD.task_files(_task_files(spark, sf))
 
 
+def _task_folders(spark, sf, name):
+    """Task folders on disk, one per supplier; the root."""
+    sup = read_table(spark, sf, "supplier")
+    d = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+
+    def files(tail, content, where="true"):
+        return sup.where(where).select(F.concat(d, F.lit(tail)).alias("path"), F.encode(F.expr(content), "UTF-8").alias("content"))
+
+    toml = """concat('[environment]', chr(10),
+      CASE WHEN s_suppkey % 13 = 0 THEN '' ELSE concat('docker_image = "reg.io/n', CAST(s_nationkey AS STRING), ':1"', chr(10)) END,
+      CASE WHEN s_suppkey % 5 = 0 THEN concat('memory_mb = ', CAST(s_suppkey AS STRING), chr(10)) ELSE '' END,
+      CASE WHEN s_suppkey % 17 = 0 THEN '[[broken' ELSE '' END, chr(10),
+      '[verifier]', chr(10), 'timeout_sec = ', CAST(s_nationkey + 1 AS STRING), chr(10))"""
+    tree = (files("/task.toml", toml).unionByName(files("/instruction.md", "s_name", "s_suppkey % 11 <> 0"))
+            .unionByName(files("/tests/test_outputs.py", "concat('# ', s_name, chr(10))"))
+            .unionByName(files("/tests/data/tests/__init__.py", "''", "s_suppkey % 2 = 0"))
+            .unionByName(files("/environment/Dockerfile", "'FROM scratch'")))
+    root = _scratch(spark, name)
+    write_file_tree(tree, root)
+    return root
+
+
+@register(
+    "scan_task_folders",
+    """SELECT concat('s', CAST(s_suppkey AS VARCHAR)) AS instance_id,
+  CASE WHEN s_suppkey % 13 = 0 OR s_suppkey % 17 = 0 THEN NULL ELSE concat('reg.io/n', CAST(s_nationkey AS VARCHAR), ':1') END AS docker_image,
+  CASE WHEN s_suppkey % 13 = 0 OR s_suppkey % 17 = 0 THEN NULL WHEN s_suppkey % 5 = 0 THEN CAST(s_suppkey AS BIGINT) ELSE 2048 END AS memory_mb,
+  CASE WHEN s_suppkey % 13 = 0 OR s_suppkey % 17 = 0 THEN NULL ELSE CAST(s_nationkey + 1 AS DOUBLE) END AS verifier_timeout_sec,
+  s_name AS instruction, s_suppkey % 13 = 0 OR s_suppkey % 17 = 0 AS broken
+FROM supplier WHERE s_suppkey % 11 <> 0""",
+)
+def q_scan_task_folders(spark, sf):
+    tasks = RD.scan_task_dirs(spark, _task_folders(spark, sf, "task-folders"))
+    return tasks.select("instance_id", "docker_image", "memory_mb", "verifier_timeout_sec", "instruction",
+                        F.col("error").isNotNull().alias("broken"))
+
+
+@register(
+    "collect_task_folders",
+    """SELECT concat('s', CAST(s_suppkey AS VARCHAR)) AS instance_id, '/tests/test_outputs.py' AS key,
+  to_base64(encode(concat('# ', s_name, chr(10)))) AS content_b64 FROM supplier WHERE s_suppkey % 11 <> 0
+UNION ALL SELECT concat('s', CAST(s_suppkey AS VARCHAR)), '/tests/data/tests/__init__.py', '' FROM supplier
+WHERE s_suppkey % 2 = 0 AND s_suppkey % 11 <> 0""",
+)
+def q_collect_task_folders(spark, sf):
+    files = RD.collect_task_files(spark, _task_folders(spark, sf, "task-files"))
+    return files.select(F.substring_index("task_dir", "/", -1).alias("instance_id"), "key", "content_b64")
+
+
 # ── id lists and search payloads ───────────────────────────────────────────
 
 @register(

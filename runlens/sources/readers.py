@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -329,10 +330,50 @@ def task_dirs(files: DataFrame) -> DataFrame:
     return tasks.mapInPandas(_parse_task_tomls, TASK_SCHEMA)
 
 
-def scan_task_dirs(spark: SparkSession, root: str) -> DataFrame:
-    """Tasks among the direct children of ``root``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "{task.toml,instruction.md}").load(f"{root.rstrip('/')}/*/")
-    return task_dirs(files.select(F.regexp_replace("path", "^file:", "").alias("path"), "content"))
+def _binary_files(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    files = spark.read.format("binaryFile").options(**options).load(path)
+    return files.select(F.regexp_replace("path", "^file:", "").alias("path"), "content")
+
+
+def _spark_hides(name: str) -> bool:
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def unlisted_files(files: DataFrame) -> DataFrame:
+    """``(path, content)`` of the files that Spark's readers leave out, in and
+    below the folders that hold a ``task.toml`` of ``files``: those without a
+    byte, and those with a part below the folder that starts with ``_`` or
+    ``.`` (``__init__.py``, ``_helpers.py``, ``.coveragerc``).
+
+    Tasks list and read them with Arrow's file systems (local or mounted paths,
+    and the object stores that the installed build knows), a few files at a time."""
+    folders = (files.select(F.regexp_extract("path", _TASK_DIR, 1).alias("task_dir"), F.regexp_extract("path", _TASK_DIR, 2).alias("name"))
+               .where("name = 'task.toml'").select("task_dir").distinct())
+
+    def listed(batches):
+        for pdf in batches:
+            for folder in pdf["task_dir"]:
+                system, base = pa_fs.FileSystem.from_uri(folder)
+                for info in system.get_file_info(pa_fs.FileSelector(base, recursive=True)):
+                    below = info.path[len(base):]
+                    if info.type == pa_fs.FileType.File and (info.size == 0 or any(map(_spark_hides, below.split("/")))):
+                        with system.open_input_stream(info.path) as f:
+                            yield pd.DataFrame({"path": [folder + below], "content": [f.read()]})
+
+    # a folder inside a task folder is listed with both
+    return folders.mapInPandas(listed, "path string, content binary").dropDuplicates(["path"])
+
+
+def scan_task_dirs(spark: SparkSession, root: str, unlisted: bool = True) -> DataFrame:
+    """Tasks among the direct children of ``root``; with ``unlisted`` also those
+    whose instruction is an empty file."""
+    files = _binary_files(spark, f"{root.rstrip('/')}/*/", pathGlobFilter="{task.toml,instruction.md}")
+    if unlisted:
+        tomls = _binary_files(spark, f"{root.rstrip('/')}/*/", pathGlobFilter="task.toml").select("path")
+        folder = F.regexp_extract("path", _TASK_DIR, 1)
+        blank = unlisted_files(tomls).where(F.substring_index("path", "/", -1) == "instruction.md").withColumn("folder", folder)
+        files = files.unionByName(blank.join(tomls.select(folder.alias("folder")), "folder", "left_semi").drop("folder"))
+    return task_dirs(files)
 
 
 def task_files(files: DataFrame, tests_dir: str = "tests") -> DataFrame:
@@ -361,9 +402,14 @@ def task_files_map(files: DataFrame) -> DataFrame:
         F.struct("key", "content_b64")))).alias("test_files"))
 
 
-def collect_task_files(spark: SparkSession, root: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return task_files(files.select(F.regexp_replace("path", "^file:", "").alias("path"), "content"))
+def collect_task_files(spark: SparkSession, root: str, unlisted: bool = True) -> DataFrame:
+    """``task_files`` of all folders below ``root``; with ``unlisted`` also the
+    files that Spark's readers leave out."""
+    files = _binary_files(spark, root, recursiveFileLookup="true")
+    if unlisted:
+        tomls = _binary_files(spark, root, recursiveFileLookup="true", pathGlobFilter="task.toml").select("path")
+        files = files.unionByName(unlisted_files(tomls))
+    return task_files(files)
 
 
 # ── id lists and search payloads ───────────────────────────────────────────

@@ -1,5 +1,6 @@
 """Readers and writers on real files in the shared scratch folder."""
 
+import base64
 import json
 import os
 
@@ -9,6 +10,7 @@ from pyspark.sql import types as T
 
 from runlens.sources import readers as RD
 from runlens.sources import writers as W
+from runlens.sources.file_tree import write_file_tree
 
 from .conftest import scratch
 
@@ -83,6 +85,36 @@ def test_task_dirs_and_files(spark):
     assert sorted((r.key, r.content_b64) for r in files)[0] == ("/tests/test_a.py", "YXNzZXJ0IDE=")
 
 
+def test_task_files_that_spark_does_not_list(spark):
+    root = scratch(spark, "t-unlisted")
+    tree = {"t 1/task.toml": b'[environment]\ndocker_image = "img:1"\n', "t 1/instruction.md": b"", "t 1/tests/__init__.py": b"",
+            "t 1/tests/_helpers.py": b"h", "t 1/tests/.coveragerc": b"c", "t 1/tests/_data/a.txt": b"a", "t 1/tests/b.py": b"b",
+            "t 1/tests/empty.txt": b"", "t 1/_hidden.sh": b"no test", "no-task/instruction.md": b"", "no-task/tests/__init__.py": b""}
+    assert write_file_tree(spark.createDataFrame(list(tree.items()), "path string, content binary"), root) == len(tree)
+    got = {(r.task_dir, r.key): base64.b64decode(r.content_b64) for r in RD.collect_task_files(spark, root).collect()}
+    assert got == {(f"{root}/t 1", p[3:]): c for p, c in tree.items() if p.startswith("t 1/tests/")}
+    (task,) = RD.scan_task_dirs(spark, root).collect()
+    assert (task.instance_id, task.instruction, task.docker_image) == ("t 1", "", "img:1")
+    assert RD.collect_task_files(spark, root, unlisted=False).count() == 0  # the empty instruction is not seen
+
+
+def test_file_tree_is_written_under_exact_names(spark):
+    root = scratch(spark, "t-tree")
+    rows = [("/a/task.toml", b"x = 1"), ("a/tests/deep/b.bin", bytes(range(256))), ("c.txt", b""), ("d.txt", b"2"), ("d.txt", b"1"),
+            (None, b"no path"), ("no-content", None)]
+    files = spark.createDataFrame(rows, "path string, content binary").withColumn("other", F.lit(1)).repartition(3)
+    for _ in range(2):  # a second run leaves the same tree
+        assert write_file_tree(files, root) == 4
+        found = {os.path.relpath(os.path.join(d, f), root) for d, _, names in os.walk(root) for f in names}
+        assert found == {"a/task.toml", "a/tests/deep/b.bin", "c.txt", "d.txt"}
+    for name, want in (("a/tests/deep/b.bin", bytes(range(256))), ("c.txt", b""), ("d.txt", b"1")):
+        with open(f"{root}/{name}", "rb") as f:
+            assert f.read() == want
+    assert write_file_tree(files.limit(0), root) == 0
+    with pytest.raises(Exception, match="leaves the folder"):
+        write_file_tree(spark.createDataFrame([("../x", b"")], "path string, content binary"), root)
+
+
 def test_id_list(spark):
     p = scratch(spark, "t-ids/ids.json")
     _write(p, [json.dumps(["b", "a", "c"])])
