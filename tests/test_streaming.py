@@ -3,16 +3,20 @@
 import json
 import os
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from runlens.fixtures import BASE_TABLES
 from runlens.operators import scoring as S
+from runlens.plans import ORACLE, QUERIES
 from runlens.sources import readers as RD
 from runlens.sources import tail
 from runlens.streaming import processors as PR
 from runlens.streaming import streams as ST
 from runlens.streaming import watchdog as WD
 
-from .conftest import scratch
+from .conftest import SF_SMALL, rows, scratch
 
 # the record as writers append it (readers parse text lines)
 RECORD = "seq bigint, instance_id string, status string, accepted boolean, duration double, details struct<error:string>"
@@ -255,3 +259,24 @@ def test_watchdog_gap_rule_against_loop_simulation():
             if now - mark > timeout * 1000:
                 warned, mark = warned + 1, now
         assert PR.warnings_in_gap(gap_ms / 1000, timeout) == warned, (gap_ms, timeout)
+
+
+@pytest.mark.parametrize("key", ["stream_progress_counts", "stream_groups", "stream_collector", "stream_watchdog", "stream_step_hook"])
+def test_stateful_streams_run_in_a_session_with_the_default_state_store(spark, key):
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    was, default = spark.conf.get(provider), "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    con = duckdb.connect()
+    for t in BASE_TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
+    want = con.execute(ORACLE[key])
+    cols = [d[0] for d in want.description]
+    spark.conf.set(provider, default)
+    try:
+        got = rows(QUERIES[key](spark, SF_SMALL), *cols)
+        assert spark.conf.get(provider) == default
+    finally:
+        spark.conf.set(provider, was)
+    want = sorted(want.fetchall())
+    assert len(got) == len(want) > 0
+    for g, w in zip(got, want, strict=True):
+        assert g == pytest.approx(w) if key == "stream_watchdog" else g == w
