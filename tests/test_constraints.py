@@ -50,3 +50,15 @@ def test_many_rules_meet_few_hits(spark):
     assert {r["hit"] for r in out.where("blocked").collect()} == {i for i in range(300) if i % 2 == 0 and i * 1000 < 100_000}
     empty = spark.createDataFrame([], "scope_id string, field string, pattern string")
     assert CN.filter_hits_by_rules(hits, empty, ["hit"]).where("blocked").count() == 0
+
+
+def test_rules_without_a_gram_meet_values_in_blocks(spark):
+    hits = spark.range(1500).selectExpr("id AS hit", "concat('v', id % 700, 'é', id % 13) AS url")
+    rules = spark.range(300).selectExpr("CAST(NULL AS STRING) AS scope_id", "'url' AS field", "concat('.*', id, 'é7$') AS pattern")
+    got = {r["hit"] for r in CN.filter_hits_by_rules(hits, rules, ["hit"]).where("blocked").collect()}
+    assert got == {i for i in range(1500) if i % 13 == 7 and any(str(i % 700).endswith(str(r)) for r in range(300))}
+    grams = hits.selectExpr("struct(hit) AS _hit", "'url' AS _field", "url AS _value", "'' AS _gram")
+    keyed = rules.selectExpr("field AS _field", "pattern", "'' AS run", "1500L AS _n", "'' AS _gram")
+    blocks = CN._blocks(grams, keyed).selectExpr("_block", "size(hits) AS v", "size(patterns) AS r").collect()
+    assert sum(b["v"] * b["r"] for b in blocks) == 1500 * 300
+    assert len({b["_block"] for b in blocks}) == 3 and max(b["v"] for b in blocks) < 700 and max(b["r"] for b in blocks) < 200
