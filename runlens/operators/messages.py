@@ -336,11 +336,14 @@ def answers_line_ranges(df: DataFrame, text: str, key: str) -> DataFrame:
     # readable block, or a range that can be empty
     marker = F.col("_created") & ((F.size("_ok") == 0) | F.array_join("_ok", ",").contains("-"))
     arr = F.concat(F.when(marker, F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>")), F.col("_ok"))
-    blocks = lines.select(key, "_li", "_file", F.posexplode(arr).alias("_bi", "_b"))
-    ends = F.split(F.col("_b"), "-")
-    lo = py_strip(F.element_at(ends, 1)).try_cast(_END)
-    hi = F.when(F.size(ends) > 1, py_strip(F.try_element_at(ends, F.lit(2))).try_cast(_END)).otherwise(lo)
-    return blocks.select(key, F.col("_file").alias("file"), lo.alias("lo"), hi.alias("hi"),
+    # (read inside the array: after the explode both ends are plain columns, read once)
+    def read(block: Column) -> Column:
+        ends = F.split(block, "-")
+        lo = py_strip(F.element_at(ends, 1)).try_cast(_END)
+        return F.struct(lo.alias("lo"), F.when(F.size(ends) > 1, py_strip(F.try_element_at(ends, F.lit(2))).try_cast(_END)).otherwise(lo).alias("hi"))
+
+    blocks = lines.select(key, "_li", "_file", F.posexplode(F.transform(arr, read)).alias("_bi", "_b"))
+    return blocks.select(key, F.col("_file").alias("file"), F.col("_b.lo").alias("lo"), F.col("_b.hi").alias("hi"),
                          F.struct(F.col("_li").alias("li"), F.col("_bi").alias("bi")).alias("ord"))
 
 

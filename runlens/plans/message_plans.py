@@ -272,7 +272,7 @@ def q_answers_lines(spark, sf):
     orders = read_table(spark, sf, "orders").select("o_orderkey", F.expr(_LINES).alias("txt"))
     rows = M.answers_lines(orders, "txt", "o_orderkey")
     per_file = rows.groupBy("o_orderkey", "file").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "line_no"))).alias("_l"))
+        F.sort_array(F.collect_list(F.struct("ord.*", "line_no"))).alias("_l"))
     return per_file.select("o_orderkey", "file", F.array_join(F.transform("_l", lambda x: x["line_no"].cast("string")),
                                                              ",").alias("lines"))
 

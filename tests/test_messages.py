@@ -101,3 +101,14 @@ def test_byte_truncation_small_budgets_and_multibyte(spark):
     for m in (0, 1, 2, 3, 4, 5, 7, 10):
         got = [r[0] for r in df.select(M.truncate_middle_bytes(F.col("t"), m)).collect()]
         assert got == [_py_bytes(v, m) for v in vals], m
+
+
+def test_line_ends_are_read_once_before_the_expansion(spark):
+    df = spark.createDataFrame([(1, "a.py:3,7-9,2\nb.py:9-7\nc.py:x")], "k int, t string")
+    out = M.answers_lines(df, "t", "k")
+    got = [(r["file"], r["line_no"]) for r in out.orderBy("ord").collect()]
+    assert [x for x in got if x[1] is not None] == [("a.py", n) for n in (3, 7, 8, 9, 2)]
+    assert {f for f, n in got if n is None} >= {"b.py", "c.py"}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # after the explode of the blocks nothing casts text to a number again
+    assert plan[: plan.index("posexplode(transform")].count("try_cast(trim") + plan[: plan.index("posexplode(transform")].count("cast(trim") == 0
