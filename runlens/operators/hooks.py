@@ -130,12 +130,28 @@ def file_rows(params: str) -> Iterable[tuple]:
     return enumerate(x.strip() for x in _text_param(params, "files").split("\n") if x.strip())
 
 
+def _column_value(kind: T.DataType):
+    """Python value -> value that a column of ``kind`` takes as it is."""
+    def whole(v):
+        if int(v) != v:
+            raise TypeError(f"{v!r} is not a whole number")
+        return int(v)
+
+    take = float if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType) else whole if isinstance(kind, T.IntegralType) else (
+        lambda v: v.item() if hasattr(v, "item") else v)
+    return lambda v: None if v is None else take(v)
+
+
 def register_answer_rows(spark: SparkSession, name: str = "answer_rows") -> None:
     """Register the table function ``answer_rows(kind, params_json)`` for SQL
     and lateral joins.  ``kind`` is a literal: its parser's schema is the
     function's.  A parser that fails gives no rows, as a finish tool whose
-    parameters cannot be read has no answer."""
+    parameters cannot be read has no answer.
+
+    The function is a plain one: an Arrow table function builds and casts a
+    frame for each of its calls, one per row of a lateral join."""
     parsers = dict(ROW_PARSERS)
+    takes = {kind: [_column_value(f.dataType) for f in schema.fields] for kind, (_, schema) in parsers.items()}
 
     class AnswerRows:
         @staticmethod
@@ -149,9 +165,11 @@ def register_answer_rows(spark: SparkSession, name: str = "answer_rows") -> None
                 rows = [tuple(r) for r in parsers[kind][0](params)] if params is not None else []
             except Exception:  # noqa: BLE001
                 return
-            yield from rows
+            take = takes[kind]
+            for row in rows:
+                yield tuple(f(v) for f, v in zip(take, row, strict=True))
 
-    spark.udtf.register(name, udtf(AnswerRows, useArrow=True))
+    spark.udtf.register(name, udtf(AnswerRows, useArrow=False))
 
 
 # ── step hooks ─────────────────────────────────────────────────────────────

@@ -4,10 +4,12 @@ import base64
 import json
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runlens.operators import hooks as H
 from runlens.sources import readers as RD
 from runlens.sources import writers as W
 from runlens.sources.file_tree import write_file_tree
@@ -227,3 +229,16 @@ def test_answer_rows_from_sql(spark):
     assert [tuple(r) for r in files] == [(0, "a.py"), (1, "b.py")]
     with pytest.raises(Exception, match="first argument"):
         spark.sql("SELECT * FROM answer_rows('unknown', '1')").collect()
+
+
+def test_answer_rows_are_not_built_frame_by_frame(spark):
+    kind = T.StructType([T.StructField("n", T.LongType()), T.StructField("x", T.DoubleType()), T.StructField("s", T.StringType())])
+    H.register_row_parser("mixed", kind, lambda p: [(np.int64(3), 2, "a"), (4.0, np.float64(0.5), None)] if p == "1" else [])
+    try:
+        H.register_answer_rows(spark)
+    finally:
+        del H.ROW_PARSERS["mixed"]
+    df = spark.sql("SELECT id, r.* FROM range(3) g, LATERAL answer_rows('mixed', CAST(id AS STRING)) r")
+    assert sorted(map(tuple, df.collect())) == [(1, 3, 2.0, "a"), (1, 4, 0.5, None)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan
