@@ -229,9 +229,9 @@ UNION ALL SELECT DISTINCT concat('I-', CAST(run_id AS VARCHAR)), CAST(NULL AS IN
 
 
 def _traj_out(trajectories):
-    info = trajectories.select("instance_id", F.try_variant_get("stats", "$.n_calls", "bigint").alias("n_calls"),
-                               F.try_variant_get("eval_result.details", "$.n_failed", "bigint").alias("n_failed"))
-    return RD.trajectory_steps(trajectories).join(info, "instance_id").select(
+    info = trajectories.withColumns({"n_calls": F.try_variant_get("stats", "$.n_calls", "bigint"),
+                                     "n_failed": F.try_variant_get("eval_result.details", "$.n_failed", "bigint")})
+    return RD.trajectory_steps(info, ("n_calls", "n_failed")).select(
         "instance_id", F.col("pos").cast("int").alias("pos"), "step", "action_type", "content",
         F.try_element_at("tool_calls", F.lit(1))["name"].alias("first_call"),
         F.when(F.col("observations").isNotNull(), F.size("observations")).alias("n_observations"), "n_calls", "n_failed")

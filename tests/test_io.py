@@ -242,3 +242,10 @@ def test_answer_rows_are_not_built_frame_by_frame(spark):
     assert sorted(map(tuple, df.collect())) == [(1, 3, 2.0, "a"), (1, 4, 0.5, None)]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan
+
+
+def test_steps_carry_columns_of_their_own_record(spark):
+    lines = ['{"instance_id": "I-1", "score": %s, "trajectory": [{"step": 0}, {"step": 1}]}' % x for x in ("0.25", "0.75")]
+    recs = RD.parse_trajectory_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
+    got = sorted((r["score"], r["pos"]) for r in RD.trajectory_steps(recs, ("score",)).collect())
+    assert got == [(0.25, 0), (0.25, 1), (0.75, 0), (0.75, 1)]
