@@ -7,7 +7,7 @@ Everything is column expressions (array functions, ``from_xml``,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from runlens.functions.metrics import observe_malformed
@@ -289,46 +289,55 @@ def match_test_cases(cases: DataFrame, expected: DataFrame, run: str = "run_id",
 
     Four strategies in priority order: 1 exact ``file::name``; 2 match form
     of ``classname.name``; 3 its whitespace-free fingerprint; 4 ``classname``
-    as a path + ``::name``.  Each case contributes up to four ``(kind, key,
-    priority)`` probes and each expected id up to three ``(kind, key)``
-    entries, so all strategies run as **one** equi-join on ``(run, kind,
-    key)``.  A case takes its best-priority hit; when two expected ids share
-    a match form (or fingerprint) the later one in the list owns it; when
-    several cases hit one id, the last case in document order decides.
+    as a path + ``::name``.  Texts that are equal have equal fingerprints, so
+    a case meets the expected ids of its fingerprints in **one** equi-join on
+    ``(run, fingerprint)``: one row per case, unless its spellings differ by
+    more than dots, ``.py`` and white space.  A case takes its best-priority
+    hit; when two expected ids share a match form (or fingerprint) the later
+    one in the list owns it; when several cases hit one id, the last case in
+    document order decides.
     """
-    return _matches(cases, expected, run, order).where("expected_id IS NOT NULL")
+    return _matches(cases, expected, run, order).where("expected_id IS NOT NULL").select(run, "expected_id", "status")
 
 
 def _matches(cases: DataFrame, expected: DataFrame, run: str, order: tuple[str, ...]) -> DataFrame:
-    """``match_test_cases`` plus one row ``(run, NULL, xml_error)`` per run with
-    an unreadable document, all in one pass over the cases."""
-    c = cases
+    """``run, expected_id, status, n`` of the matched ids (``n``: how often the
+    id is expected) plus one row ``(run, NULL, xml_error, NULL)`` per run with an
+    unreadable document, all in one pass over the cases."""
     unreadable = F.col("status") == "xml_error"
-    k2 = match_form(F.concat(F.col("classname"), F.lit("."), F.col("name")))
-    def probe(pri: int, kind: str, key: Column) -> Column:
-        return F.struct(F.lit(pri).alias("pri"), F.lit(kind).alias("kind"), key.alias("key"))
-
-    probes = F.when(unreadable, F.array(probe(0, "xml_error", F.lit("")))).otherwise(F.array(
-        probe(1, "exact", F.when(F.col("file") != "", F.concat(F.col("file"), F.lit("::"), F.col("name")))),
-        probe(2, "norm", k2),
-        probe(3, "fp", fingerprint(k2)),
-        probe(4, "exact", F.concat(F.replace(F.col("classname"), F.lit("."), F.lit("/")), F.lit(".py::"),
-                                   F.col("name"))),
-    ))
-    probe_rows = c.select(run, *order, "status", F.explode(probes).alias("p")).select(
-        run, *order, "status", "p.pri", "p.kind", "p.key").where(F.col("key").isNotNull())
-    # one aggregation builds every lookup entry: the exact id, and the owner
-    # (last expected id in the list) of each match form and fingerprint
-    entries = expected.select(run, "pos", "test_id", F.explode(F.array(
-        F.struct(F.lit("exact").alias("kind"), F.col("test_id").alias("key")),
-        F.struct(F.lit("norm").alias("kind"), match_form(F.col("test_id")).alias("key")),
-        F.struct(F.lit("fp").alias("kind"), fingerprint(match_form(F.col("test_id"))).alias("key")))).alias("e"))
-    entries = entries.groupBy(run, F.col("e.kind").alias("kind"), F.col("e.key").alias("key")).agg(
-        F.max_by("test_id", "pos").alias("expected_id"))
-    hits = probe_rows.join(entries, [run, "kind", "key"], "left").where(F.col("expected_id").isNotNull() | unreadable)
-    best = hits.groupBy(run, *order, "status").agg(F.min_by("expected_id", "pri").alias("expected_id"))
+    spelled = cases.select(
+        run, *order, "status",
+        F.when(F.col("file") != "", F.concat(F.col("file"), F.lit("::"), F.col("name"))).alias("exact"),
+        match_form(F.concat(F.col("classname"), F.lit("."), F.col("name"))).alias("form"),
+        F.concat(F.replace(F.col("classname"), F.lit("."), F.lit("/")), F.lit(".py::"), F.col("name")).alias("as_path"))
+    # mostly one fingerprint: it is made anew only for a spelling with another match form
+    spelled = spelled.withColumns({"fp": fingerprint(F.col("form")), "path_form": match_form(F.col("as_path"))})
+    by_path = F.when(F.col("path_form") == F.col("form"), F.col("fp")).otherwise(F.coalesce(fingerprint(F.col("path_form")), "fp"))
+    spelled = spelled.withColumn("path_fp", by_path)
+    by_name = (F.when(F.col("exact").isNull() | (F.col("exact") == F.col("as_path")), F.col("path_fp"))
+               .otherwise(fingerprint(match_form(F.col("exact")))))
+    spelled = spelled.withColumn("name_fp", by_name)
+    one = (F.col("path_fp") == F.col("fp")) & (F.col("name_fp") == F.col("fp"))
+    keys = F.when(one, F.array("fp")).otherwise(F.array_distinct(F.array("fp", "path_fp", "name_fp")))
+    probes = spelled.withColumn("key", F.explode(keys)).drop("path_form", "path_fp", "name_fp")
+    # one row per id; dealt as the join needs them, so that neither the counts
+    # nor the owners (the last in the list) need another shuffle
+    norm = match_form(F.col("test_id"))
+    ids = expected.select(run, "pos", "test_id", norm.alias("norm")).withColumn("key", fingerprint(F.col("norm"))).repartition(run, "key")
+    ids = ids.groupBy(run, "key", "norm", "test_id").agg(F.max("pos").alias("at"), F.count(F.lit(1)).alias("n"))
+    last = (F.col("at").desc_nulls_last(), F.col("test_id").desc())
+    entries = ids.withColumns({"owns_form": F.row_number().over(Window.partitionBy(run, "key", "norm").orderBy(*last)) == 1,
+                               "owns_fp": F.row_number().over(Window.partitionBy(run, "key").orderBy(*last)) == 1}).drop("at")
+    by = [F.col("test_id") == F.col("exact"), F.col("owns_form") & (F.col("norm") == F.col("form")),
+          F.col("owns_fp") & (entries["key"] == F.col("fp")), F.col("test_id") == F.col("as_path")]
+    same = (probes[run] == entries[run]) & (probes["key"] == entries["key"])
+    hits = probes.join(entries, same & (by[0] | by[1] | by[2] | by[3]), "left").where(F.col("test_id").isNotNull() | unreadable)
+    pri = F.when(by[0], 1).when(by[1], 2).when(by[2], 3).otherwise(4)
+    hits = hits.select(probes[run], *order, "status", pri.alias("pri"), F.col("test_id").alias("expected_id"), "n")
+    # a case keeps its best hit
+    best = hits.withColumn("best", F.min("pri").over(Window.partitionBy(run, *order, "status"))).where("pri = best")
     order_key = F.struct(*[F.col(o) for o in order])
-    return best.groupBy(run, "expected_id").agg(F.max_by("status", order_key).alias("status"))
+    return best.groupBy(run, "expected_id").agg(F.max_by("status", order_key).alias("status"), F.max("n").alias("n"))
 
 
 def expected_test_coverage(cases: DataFrame, expected: DataFrame, run: str = "run_id",
@@ -337,19 +346,18 @@ def expected_test_coverage(cases: DataFrame, expected: DataFrame, run: str = "ru
     the verdict ``all_passed = some matched ∧ all matched passed ∧ none
     unmatched``; a run with an unreadable XML document is not passed.
 
-    One pass over the cases: expected ids and match results meet as rows of
-    one aggregation on ``(run, id)``, then one on ``run``; the unreadable
-    documents travel with the match results."""
-    found = _matches(cases, expected, run, order).select(
-        run, F.col("expected_id").alias("test_id"), "status", F.lit(0).alias("n"))
-    wanted = expected.select(run, "test_id", F.lit(None).cast("string").alias("status"), F.lit(1).alias("n"))
-    per_id = wanted.unionByName(found).groupBy(run, "test_id").agg(
-        F.max("status").alias("status"), F.sum("n").alias("n"))
-    hit = F.col("status").isNotNull() & F.col("test_id").isNotNull()
-    out = per_id.groupBy(run).agg(
-        F.sum("n").cast("bigint").alias("total_expected"),
+    One pass over the cases: a matched id carries how often it is expected, so
+    only the runs' totals meet the match results, in one aggregation on ``run``;
+    the unreadable documents travel with the match results."""
+    found = _matches(cases, expected, run, order).withColumn("total", F.lit(0).cast("bigint"))
+    totals = expected.groupBy(run).agg((F.count("test_id") + F.count_if(F.col("test_id").isNull())).alias("total")).select(
+        run, F.lit(None).cast("string").alias("expected_id"), F.lit(None).cast("string").alias("status"),
+        F.lit(None).cast("bigint").alias("n"), "total")
+    hit = F.col("expected_id").isNotNull()
+    out = totals.unionByName(found).groupBy(run).agg(
+        F.sum("total").cast("bigint").alias("total_expected"),
         F.count_if(hit).cast("bigint").alias("total_matched"),
-        F.sum(F.when(~hit, F.col("n")).otherwise(F.lit(0))).cast("bigint").alias("unmatched"),
+        (F.sum("total") - F.coalesce(F.sum("n"), F.lit(0))).cast("bigint").alias("unmatched"),
         F.bool_and(F.when(hit, F.col("status") == "passed")).alias("_all_ok"),
         F.bool_or(F.coalesce(F.col("status") == "xml_error", F.lit(False))).alias("_unreadable"),
     ).where(F.col("total_expected") > 0)

@@ -133,3 +133,37 @@ def test_coverage_parses_each_document_once(spark):
     expected = spark.createDataFrame([(1, 0, "a::b")], "run_id long, pos int, test_id string")
     plan = TL.expected_test_coverage(TL.junit_cases(docs), expected)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("from_xml") == 1
+
+
+def test_a_case_is_dealt_once(spark):
+    docs = spark.createDataFrame([(1, 0, JUNIT_EXACT), (1, 1, JUNIT_NORM)], "run_id long, doc_pos int, xml string")
+    expected = spark.createDataFrame([(1, 0, "tests/test_foo.py::test_one"), (1, 1, "tests.test_bar.test_thing")],
+                                     "run_id long, pos int, test_id string")
+    seen = []
+
+    def written(plan):
+        if plan.nodeName() == "Exchange":
+            seen.append(plan.metrics().apply("shuffleRecordsWritten").value())
+        children = [plan.plan()] if plan.nodeName().startswith("ShuffleQueryStage") else [
+            plan.children().apply(i) for i in range(plan.children().size())]
+        for child in children:
+            written(child)
+
+    df = TL.match_test_cases(TL.junit_cases(docs), expected)
+    assert len(df.collect()) == 2
+    written(df._jdf.queryExecution().executedPlan().finalPhysicalPlan())
+    # three cases, two ids, and what they become; not four spellings of each
+    assert seen and max(seen) <= 3
+
+
+def test_spellings_with_other_fingerprints(spark):
+    xml = ('<testsuite><testcase name="pytest_x" classname="a.b" file="other/f.py"/>'
+           '<testcase name="t" classname="c.d" file="e/g.py"/><testcase name="u v" classname="h.i"/></testsuite>')
+    docs = spark.createDataFrame([(1, 0, xml)], "run_id long, doc_pos int, xml string")
+    ids = ["a/b.py::pytest_x", "other/f.py::pytest_x", "c/d.py::t", "h.i.u v", "h/i.u  v", "h.i.uv", "h/i.uv"]
+    expected = spark.createDataFrame([(1, i, t) for i, t in enumerate(ids)], "run_id long, pos int, test_id string")
+    # a file spelling goes before the class as a path; the last id of a form or fingerprint owns it
+    assert rows(TL.match_test_cases(TL.junit_cases(docs), expected), "expected_id") == [
+        ("c/d.py::t",), ("h.i.u v",), ("other/f.py::pytest_x",)]
+    cov = TL.expected_test_coverage(TL.junit_cases(docs), expected).first()
+    assert (cov.total_expected, cov.total_matched, cov.unmatched, cov.all_passed) == (7, 3, 4, False)
