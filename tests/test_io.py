@@ -14,7 +14,7 @@ from runlens.sources import readers as RD
 from runlens.sources import writers as W
 from runlens.sources.file_tree import write_file_tree
 
-from .conftest import scratch
+from .conftest import rows, scratch
 
 
 def _write(path, lines):
@@ -249,3 +249,20 @@ def test_steps_carry_columns_of_their_own_record(spark):
     recs = RD.parse_trajectory_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
     got = sorted((r["score"], r["pos"]) for r in RD.trajectory_steps(recs, ("score",)).collect())
     assert got == [(0.25, 0), (0.25, 1), (0.75, 0), (0.75, 1)]
+
+
+def test_task_folders_are_listed_by_tasks(spark, tmp_path):
+    files = {"set/t1/task.toml": b"a", "set/t1/instruction.md": b"", "set/t1/tests/a.py": b"1", "set/t1/tests/_x/.c": b"2",
+             "set/t1/tests/deep/tests/e.py": b"", "t2/task.toml": b"a", "t2/instruction.md": b"b", "t2/tests/f.py": b"3",
+             ".old/t3/task.toml": b"a", ".old/t3/instruction.md": b"b", ".old/t3/tests/g.py": b"4",
+             "t4/task.toml": b"", "t4/instruction.md": b"b", "t4/tests/h.py": b"5"}
+    for name, content in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    df = RD.collect_task_files(spark, f"file://{tmp_path}")
+    # Spark's file reader would send the status of every file to the driver
+    assert "binaryFile" not in df._jdf.queryExecution().executedPlan().toString()
+    by_pattern = RD.collect_task_files(spark, f"file://{tmp_path}*")
+    want = [(str(tmp_path / "set/t1"), f"/tests/{k}") for k in ("_x/.c", "a.py", "deep/tests/e.py")] + [(str(tmp_path / "t2"), "/tests/f.py")]
+    assert rows(df, "task_dir", "key") == rows(by_pattern, "task_dir", "key") == want
+    assert rows(df, "content_b64") == rows(by_pattern, "content_b64")
