@@ -29,8 +29,9 @@ class StepOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run_state = handle.getValueState("run", "next long, memo string, n_waiting int, due long")
-        self.waiting = handle.getListState("waiting", self.columns)
+        # every call on the state is a round trip to the JVM: all of a run is one value, its waiting steps included
+        run = T.StructType().add("next", "long").add("memo", "string").add("due", "long")
+        self.run_state = handle.getValueState("run", run.add("waiting", T.ArrayType(self.columns)))
 
     def _call(self, run: Any, memo: Any, step: dict[str, Any]) -> tuple[Any, list[Row]]:
         memo, found = self.fold(memo, step)
@@ -47,36 +48,32 @@ class StepOrder(StatefulProcessor):
             for r in rows:
                 yield from self._call(None, None, self._named([r[c] for c in self.columns.names]))[1]
             return
-        at, text, n_waiting, due = self.run_state.get() if self.run_state.exists() else (self.first, "null", 0, None)
-        memo, newest = json.loads(text), due
+        state = self.run_state.get()
+        at, text, newest, waiting = state or (self.first, "null", 0, [])
+        memo = json.loads(text)
         # a run has few steps (max_steps); one read and one write of the state for all rows of a micro-batch
-        steps = {w[self.step]: w for w in map(self._named, self.waiting.get())} if n_waiting else {}
+        steps = {w[self.step]: w for w in map(self._named, waiting)}
         for r in rows:
-            newest = max(r[self.millis] + self.keep_ms, newest or 0)
+            newest = max(r[self.millis] + self.keep_ms, newest)
             if r[self.step] is not None and r[self.step] >= at:
                 steps.setdefault(r[self.step], self._named([r[c] for c in self.columns.names]))
         while at in steps:
             memo, found = self._call(run, memo, steps.pop(at))
             yield from found
             at += 1
-        if steps:
-            self.waiting.put([tuple(w[c] for c in self.columns.names) for w in steps.values()])
-        elif n_waiting:
-            self.waiting.clear()
-        self.run_state.update((at, json.dumps(memo), len(steps), newest))
-        if newest != due:
-            if due is not None:
-                self.handle.deleteTimer(due)
-            self.handle.registerTimer(newest)
+        self.run_state.update((at, json.dumps(memo), newest, [tuple(w[c] for c in self.columns.names) for w in steps.values()]))
+        if state is None:
+            self.handle.registerTimer(newest)  # the one timer of a run; it is moved when it expires
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        _, text, n_waiting, _ = self.run_state.get()
+        _, text, due, waiting = self.run_state.get()
+        if due >= timerValues.getCurrentWatermarkInMs():  # the run has had steps since
+            self.handle.registerTimer(due)
+            return
         memo = json.loads(text)
-        left = [self._named(w) for w in self.waiting.get()] if n_waiting else []
-        for step in sorted(left, key=lambda w: w[self.step]):
+        for step in sorted(map(self._named, waiting), key=lambda w: w[self.step]):
             memo, found = self._call(key[0], memo, step)
             yield from found
-        self.waiting.clear()
         self.run_state.clear()
 
     def close(self) -> None:

@@ -1,13 +1,16 @@
 """Step hooks on streams and tables: the same rows, whatever order steps come in."""
 
+import datetime as dt
 import random
+from decimal import Decimal
 
 import pandas as pd
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runlens.operators import hooks as H
-from runlens.streaming.step_order import stream_step_hooks
+from runlens.streaming.step_order import StepOrder, stream_step_hooks
 
 from .conftest import scratch
 
@@ -64,3 +67,88 @@ def test_runs_over_many_batches_and_single_steps_without_run(spark):
                 assert sorted((r.run_id or "", r.step, r.n) for r in out.collect()) == sorted((k or "", s, sizes.get(k, n)) for k, s in rows)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
+def test_waiting_steps_reach_the_callback_as_they_came(spark):
+    base, t0 = scratch(spark, "steps"), dt.datetime(2026, 1, 2, 3, 4, 5, 678901)
+    schema = "run_id string, step long, tags array<string>, size decimal(9,2), ts timestamp"
+    rows = [("a", s, ["x", None] * s, Decimal(s) / 4, t0 + dt.timedelta(seconds=s)) for s in range(4)]
+
+    def told(memo, step):
+        return None, {"all": repr((step["tags"], step["size"], step["ts"].timestamp()))}
+
+    for wave in (rows[2:], rows[:2]):
+        spark.createDataFrame(wave, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        (stream_step_hooks(spark.readStream.schema(schema).parquet(f"{base}/in"), told, "all string").writeStream.format("parquet")
+         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start().awaitTermination())
+    got = {r.step: r["all"] for r in spark.read.parquet(f"{base}/out").collect()}
+    assert got == {s: repr((tags, Decimal(size).quantize(Decimal("0.01")), ts.timestamp())) for _, s, tags, size, ts in rows}
+
+
+class Handle:
+    """Counts the calls on one run's state and timers."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, set()
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    getListState = getValueState
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    put = update
+
+    def clear(self):
+        self.update(None)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.discard(at)
+
+
+class Times:
+    def __init__(self, watermark):
+        self.watermark = watermark
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.watermark
+
+
+def test_a_run_costs_two_state_calls_per_batch_and_one_timer():
+    columns, handle = T.StructType().add("step", "long").add("tool", "string"), Handle()
+    order = StepOrder(seen, ("run_id", "step", "millis"), columns, ["path"], 0, 1000)
+    order.init(handle)
+
+    def batch(*steps):
+        before = handle.calls
+        out = list(order.handleInputRows(("a",), iter([{"step": s, "tool": str(s), "millis": 100 * s} for s in steps]), Times(0)))
+        return [r.path for r in out], handle.calls - before
+
+    def expire(watermark):
+        fired = [t for t in handle.timers if t < watermark]
+        out = [r.path for t in fired for r in order.handleExpiredTimer(("a",), Times(watermark), None)]
+        handle.timers.difference_update(fired)
+        return out
+
+    assert batch(2, 5) == ([], 3)
+    assert batch(1) == ([], 2)
+    assert batch(0, 7) == (["0", "0>1", "0>1>2"], 2)
+    assert handle.timers == {1500}
+    assert expire(1600) == [] and handle.timers == {1700}
+    assert expire(1700) == [] and handle.timers == {1700}
+    assert expire(1701) == ["0>1>2>5", "0>1>2>5>7"] and not handle.timers and handle.value is None
