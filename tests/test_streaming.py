@@ -16,7 +16,7 @@ from runlens.streaming import processors as PR
 from runlens.streaming import streams as ST
 from runlens.streaming import watchdog as WD
 
-from .conftest import SF_SMALL, rows, scratch
+from .conftest import SF_MID, SF_SMALL, rows, scratch
 
 # the record as writers append it (readers parse text lines)
 RECORD = "seq bigint, instance_id string, status string, accepted boolean, duration double, details struct<error:string>"
@@ -280,3 +280,20 @@ def test_stateful_streams_run_in_a_session_with_the_default_state_store(spark, k
     assert len(got) == len(want) > 0
     for g, w in zip(got, want, strict=True):
         assert g == pytest.approx(w) if key == "stream_watchdog" else g == w
+
+
+@pytest.mark.parametrize("key, start, batches", [("stream_groups", "start_groups", 3), ("stream_progress_counts", "start_progress_counts", 4)])
+def test_micro_batches_do_not_grow_with_the_files_of_the_input(spark, monkeypatch, key, start, batches):
+    started, run = [], getattr(ST, start)
+    monkeypatch.setattr(ST, start, lambda *a, **b: started.append(run(*a, **b)) or started[-1])
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    were = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert QUERIES[key](spark, SF_MID).count() > 0
+    finally:
+        for k, v in were.items():
+            spark.conf.set(k, v)
+    ran = [sum(p.numInputRows > 0 for p in q.recentProgress) for q in started]
+    assert ran and all(0 < n <= batches for n in ran), ran
